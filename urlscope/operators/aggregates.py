@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import urlparts as U
 from ..functions.constants import (DISPLAY_URL_CHARS, LENGTH_BUCKET_WIDTH, OTHER_CODE, PAGE_SIZE)
 from ..functions.features import simple_risk_score
-from .clean import is_not_benign, numeric_only
+from .clean import is_not_benign, is_number
 
 
 def counts_by_type(urls: DataFrame) -> DataFrame:
@@ -35,13 +35,19 @@ def malicious_tld_counts(urls: DataFrame) -> DataFrame:
 
 
 def threat_scores(urls: DataFrame) -> DataFrame:
-    """A4: sum, max, count and mean of the numeric threat scores per label."""
-    s = F.col("threat_score").cast("double")
-    return (numeric_only(urls, "threat_score").groupBy("type")
+    """A4: sum, max, count and mean of the numeric threat scores per label.
+
+    The "is a number" test (P9) is folded into the aggregate instead of a filter, so nothing is
+    pushed into the enrichment plan; labels without any numeric score are dropped afterwards,
+    as a map step that emits nothing for them would.
+    """
+    ok = is_number("threat_score")
+    s = F.when(ok, F.col("threat_score").cast("double"))
+    return (urls.groupBy("type")
             .agg(F.sum(s).alias("sum_score"), F.max(s).alias("max_score"),
-                 F.count(F.lit(1)).alias("cnt"))
-            .withColumn("avg_score", F.when(F.col("cnt") > 0, F.col("sum_score") / F.col("cnt"))
-                        .otherwise(F.lit(0.0))))
+                 F.count(s).alias("cnt"))
+            .filter(F.col("cnt") > 0)
+            .withColumn("avg_score", F.col("sum_score") / F.col("cnt")))
 
 
 def url_length_by_type(urls: DataFrame, width: int = LENGTH_BUCKET_WIDTH) -> DataFrame:

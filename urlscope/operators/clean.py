@@ -52,7 +52,17 @@ def drop_null_rows(df: DataFrame, cols=("url", "type")) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def is_number(col: str = "threat_score") -> Column:
+    """P9 predicate: the value is a number (not null, not NaN).
+
+    Written with a single reference to the column: predicates are pushed below projections
+    with the column's defining expression substituted in, so each extra reference would copy
+    the whole derivation (here the suffix resolution) into generated code again.
+    """
+    v = F.col(col).try_cast("double")
+    return ~F.isnan(F.coalesce(v, F.lit(float("nan"))))
+
+
 def numeric_only(df: DataFrame, col: str = "threat_score") -> DataFrame:
     """Keep rows whose value is a number (not null, not NaN)."""
-    v = F.col(col).try_cast("double") if hasattr(F.col(col), "try_cast") else F.col(col).cast("double")
-    return df.filter(v.isNotNull() & ~F.isnan(v))
+    return df.filter(is_number(col))
