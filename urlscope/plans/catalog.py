@@ -427,3 +427,5 @@ for _old, _new in {"enrich": "enrich_urls", "lexical": "lexical_features", "trai
                    "quick": "quick_features", "simple_risk": "simple_risk_score",
                    "char_entropy_query": "char_entropy", "resolve_suffix_query": "resolve_suffix"}.items():
     QUERIES[_new] = QUERIES.pop(_old)
+
+from . import catalog_more  # noqa: E402,F401  (registers the ML, source and streaming queries)

@@ -207,10 +207,10 @@ def b(cond: str) -> str:
 MAL = "type is distinct from 'benign'"
 
 F1_SQL = f"""
-f1a AS (select page_id, url, tld, {sql_netloc('url')} as _nl, {sql_path('url')} as _pth,
+f1a AS (select page_id, url, type, tld, {sql_netloc('url')} as _nl, {sql_path('url')} as _pth,
                {sql_query('url')} as _qry, lower(url) as _low from urls),
 f1b AS (select *, regexp_replace(_nl, '[^\\p{{L}}\\p{{N}}]', '', 'g') as _aln from f1a),
-f1c AS (select page_id, url, tld, _nl,
+f1c AS (select page_id, url, type, tld, _nl,
   cast(length(url) as bigint) as url_length,
   cast(length(_nl) as bigint) as domain_length,
   cast(len(regexp_extract_all(url, {q(SPECIAL_CHAR_CLASS)})) as bigint) as special_char_count,
@@ -522,3 +522,62 @@ reg("zscore_outliers", over_urls(z_sql("hc", "host, cnt", "cnt"),
                                  f"hc AS (select {sql_netloc('url')} as host, count(*) as cnt from urls group by 1)"))
 reg("outlier_types", over_urls(z_sql("ct", "type, cnt", "cnt"), "ct AS (select type, count(*) as cnt from urls group by type)"))
 reg("outlier_scores", over_urls(z_sql("ts", "type, round(avg_score, 6) as avg_score", "avg_score"), THREAT))
+
+# --- L, S, W ----------------------------------------------------------------------------------
+
+reg("index_labels", over_urls("select page_id, type, cast(dense_rank() over (order by type) - 1 as bigint) as label from urls"))
+_TF = {c: _T[c] for c in TRAINING_FEATURES}
+_TF["digit_ratio"] = "cast(len(regexp_extract_all(url, '[0-9]')) as double) / url_length"
+reg("scale_features", over_urls(
+    "select page_id, " + ", ".join(
+        f"round(case when stddev_pop({c}) over () > 0 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0.0 end, 6) as {c}"
+        for c in TRAINING_FEATURES)
+    + " from (select page_id, " + ", ".join(f"{_TF[c]} as {c}" for c in TRAINING_FEATURES) + " from urls)"))
+reg("accuracy", over_scored("select round(avg(case when type = prediction then 1.0 else 0.0 end), 6) as accuracy from scored"))
+reg("upsert_metrics", ORACLE["accuracy"])
+reg("classification_report", over_scored(
+    """, per AS (
+         select coalesce(t.class, p.class) as class, coalesce(t.support, 0) as support, coalesce(t.tp, 0) as tp,
+                coalesce(p.predicted, 0) as predicted
+         from (select type as class, count(*) as support, sum(case when type = prediction then 1 else 0 end) as tp
+               from scored group by type) t
+         full outer join (select prediction as class, count(*) as predicted from scored group by prediction) p
+           on t.class = p.class),
+       pr AS (select class, support, tp,
+                     case when predicted > 0 then cast(tp as double) / predicted else 0.0 end as precision,
+                     case when support > 0 then cast(tp as double) / support else 0.0 end as recall from per),
+       f AS (select *, case when precision + recall > 0 then 2.0 * precision * recall / (precision + recall) else 0.0 end as f1 from pr)
+     select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, cast(support as bigint) as support from f
+     union all select 'accuracy', null, null, round(cast(sum(tp) as double) / sum(support), 6), cast(sum(support) as bigint) from f
+     union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from f
+     union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                      round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from f""".replace(", per AS", "select * from (with per AS", 1)
+    + ")"))
+reg("confusion_matrix", over_scored(
+    """select a.c as label, b.c as prediction, cast(coalesce(n.cnt, 0) as bigint) as cnt
+       from (select type as c from scored union select prediction from scored) a
+       cross join (select type as c from scored union select prediction from scored) b
+       left join (select type, prediction, count(*) as cnt from scored group by type, prediction) n
+         on n.type = a.c and n.prediction = b.c"""))
+
+RAW_ROWS = "select url, type from urls_raw"
+reg("read_raw_urls", over_raw(RAW_ROWS))
+reg("drop_header_row", over_raw(RAW_ROWS))
+reg("pick_source", over_raw(RAW_ROWS))
+reg("with_fallback_source", over_raw(RAW_ROWS))
+_LINE = f"trim(concat_ws(' ', url, type), {WS})"
+reg("split_fallback", over_raw(
+    f"""select regexp_extract(l, '^(\\S+)\\s+(.*)$', 1) as url, regexp_extract(l, '^(\\S+)\\s+(.*)$', 2) as type
+        from (select {_LINE} as l from urls_raw) where regexp_matches(l, '^\\S+\\s+')"""))
+reg("write_jsonl", ORACLE["enrich_urls"])
+reg("read_jsonl", ORACLE["enrich_urls"])
+reg("append_urls", over_raw("select page_id, url, type from urls_raw union all select page_id, url, type from urls_raw"))
+reg("overwrite_result", ORACLE["counts_by_type"])
+reg("layout_urls", over_urls("select page_id, url, domain, type from urls where type = 'malware'"))
+
+reg("stream_new_urls", "WITH " + URLS_RAW.strip() + "," + URL_FEED.strip() + "\nselect event_id, url, type from url_feed")
+reg("stream_counts", over_urls("select type, count(*) as cnt from urls group by type", feed=True))
+reg("stream_alerts", over_urls(
+    "select event_id, url, type, prediction, rule_score, round(confidence, 6) as confidence from scored "
+    "where prediction in ('phishing', 'malware', 'defacement')",
+    RULES_SQL.replace("page_id", "event_id"), feed=True))
