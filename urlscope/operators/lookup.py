@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import COUNTRY_DIM, FUZZY_MAX_DISTANCE, OTHER_CODE, OTHER_NAME
+from ..functions.literals import literal_table
 from .clean import is_not_benign
 
 MAX_BROADCAST_DIM = 1_000_000
 
 
 def country_dim(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(list(rows or COUNTRY_DIM), "name string, alias string, alpha_3 string")
+    return literal_table(spark, list(rows or COUNTRY_DIM), "name string, alias string, alpha_3 string")
 
 
 def _bounded(dim: DataFrame) -> DataFrame:

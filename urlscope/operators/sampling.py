@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import HOSTING_EXAMPLE_REPEATS, HOSTING_EXAMPLE_URLS
+from ..functions.literals import literal_table
 
 PREFIX_DIGITS = 5
 
@@ -93,7 +94,7 @@ def restrict_to_sample(df: DataFrame, sample_keys: DataFrame, key: str) -> DataF
 def augment_training(df: DataFrame, url: str = "url", label: str = "type") -> DataFrame:
     """Append the hosting-platform URLs, each repeated, labelled benign."""
     spark = df.sparkSession
-    extra = (spark.createDataFrame([(u,) for u in HOSTING_EXAMPLE_URLS], f"{url} string")
+    extra = (literal_table(spark, [(u,) for u in HOSTING_EXAMPLE_URLS], f"{url} string")
              .withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(HOSTING_EXAMPLE_REPEATS))))
              .select(url, F.lit("benign").alias(label)))
     return df.select(url, label).unionByName(extra)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_SUFFIX_RULES
+from ..functions.literals import literal_table
 
 #: Largest rule index that is broadcast; beyond it the per-depth joins are shuffle joins.
 MAX_BROADCAST_RULES = 2_000_000
@@ -36,7 +37,7 @@ _IPV4 = (r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
 def rules_frame(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
     """Suffix rules in public-suffix-list syntax, one per row (column ``rule``)."""
     rules = DEFAULT_SUFFIX_RULES if rules is None else rules
-    return spark.createDataFrame([(r.strip().lower(),) for r in rules if r.strip()], "rule string")
+    return literal_table(spark, [(r.strip().lower(),) for r in rules if r.strip()], "rule string")
 
 
 def rule_index(rules: DataFrame) -> DataFrame:
