@@ -140,50 +140,58 @@ def top_host_labels(urls: DataFrame, n: int = 10) -> DataFrame:
     return _top(c, "tld", n)
 
 
-def exact_int_quantiles(df: DataFrame, group: str, value: Column, probs=(0.25, 0.5, 0.75),
-                        names=("q1", "median", "q3")) -> DataFrame:
-    """Exact linear-interpolated quantiles of an integer column per group, without sorting rows.
-
-    Rows are folded into a (group, value, count) histogram by a partial aggregate; the
-    cumulative count per group is a window over that histogram (one row per distinct value),
-    and the k-th order statistic is the smallest value whose cumulative count exceeds k.
-    Matches ``percentile`` / ``quantile_cont``.
+def quantiles_from_histogram(hist: DataFrame, group: str, probs=(0.25, 0.5, 0.75),
+                             names=("q1", "median", "q3")) -> DataFrame:
+    """Exact linear-interpolated quantiles per group from a ``(group, _v, _c)`` histogram.
+
+    The cumulative count per group is a window over the histogram (one row per distinct
+    value, so a hot group costs no more than its number of distinct values), and the k-th
+    order statistic is the smallest value whose cumulative count exceeds k. Matches
+    ``percentile`` / ``quantile_cont``.
     """
-    hist = df.groupBy(F.col(group), value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns({"_cum": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(group))})
+    h = hist.withColumns({"_cum": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(group))})
     aggs = [F.first("_n").alias("_n")]
     for p, name in zip(probs, names):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
         aggs.append(F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"_{name}_lo"))
         aggs.append(F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"_{name}_hi"))
-        aggs.append(F.first(h - lo).alias(f"_{name}_f"))
-    out = hist.groupBy(group).agg(*aggs)
+        aggs.append(F.first(pos - lo).alias(f"_{name}_f"))
+    out = h.groupBy(group).agg(*aggs)
     for name in names:
         lo, hi, fr = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
         out = out.withColumn(name, lo.cast("double") + fr * (hi - lo).cast("double"))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
+def exact_int_quantiles(df: DataFrame, group: str, value: Column, probs=(0.25, 0.5, 0.75),
+                        names=("q1", "median", "q3")) -> DataFrame:
+    """Exact quantiles of an integer column per group, without sorting rows (see above)."""
+    hist = df.groupBy(F.col(group), value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_from_histogram(hist, group, probs, names)
+
+
 def _box(urls: DataFrame, value: Column, outliers: bool) -> DataFrame:
-    base = urls.select("type", value.cast("bigint").alias("v"))
-    stats = base.groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("min_len"), F.max("v").alias("max_len"),
-        F.avg("v").alias("mean_len"))
-    q = exact_int_quantiles(base, "type", F.col("v"))
-    out = stats.join(q, "type")
+    """Box statistics from one (type, value) histogram: one scan, one shuffle of the histogram.
+
+    Count, min, max and mean, the quartiles and the outlier count are all read off the
+    histogram, whose size is (labels × distinct lengths) whatever the number of rows.
+    """
+    hist = (urls.groupBy(F.col("type"), value.cast("bigint").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    stats = hist.groupBy("type").agg(
+        F.sum("_c").alias("n"), F.min("_v").alias("min_len"), F.max("_v").alias("max_len"),
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_len"))
+    out = stats.join(quantiles_from_histogram(hist, "type"), "type")
     if outliers:
         iqr = F.col("q3") - F.col("q1")
         out = out.withColumns({"lower_fence": F.col("q1") - F.lit(1.5) * iqr,
                                "upper_fence": F.col("q3") + F.lit(1.5) * iqr})
-        # Outlier count from the per-(type, value) histogram joined to the per-type fences:
-        # both sides are small, and nothing row-sized is joined back.
-        hist = base.groupBy("type", "v").agg(F.count(F.lit(1)).alias("c"))
         fences = out.select("type", "lower_fence", "upper_fence")
         n_out = (hist.join(fences, "type")
-                 .groupBy("type").agg(F.sum(F.when((F.col("v") < F.col("lower_fence"))
-                                                   | (F.col("v") > F.col("upper_fence")), F.col("c"))
+                 .groupBy("type").agg(F.sum(F.when((F.col("_v") < F.col("lower_fence"))
+                                                   | (F.col("_v") > F.col("upper_fence")), F.col("_c"))
                                             .otherwise(F.lit(0))).alias("n_outliers")))
         out = out.join(n_out, "type")
     return out

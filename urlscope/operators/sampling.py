@@ -46,15 +46,25 @@ def smallest_k_per_group(df: DataFrame, group: Column, h: Column, alloc: DataFra
     cut = (buckets.filter(F.col("_before") < F.col("_k"))
            .groupBy("_g").agg(F.max("_b").alias("_edge"), F.max_by("_before", "_b").alias("_edge_before"),
                               F.first("_k").alias("_k")))
+    rn = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
+    drop = ["_g", "_h", "_b", "_edge", "_edge_before", "_k"]
+    if isinstance(alloc, int):
+        # One group: the cut is a single row, used as three literals (no join at all).
+        c = cut.first()
+        if c is None:
+            return base.filter(F.lit(False)).drop(*[x for x in drop if x in base.columns])
+        inside = base.filter(F.col("_b") < F.lit(c["_edge"]))
+        edge = base.filter(F.col("_b") == F.lit(c["_edge"]))
+        edge = edge.withColumn("_rn", rn).filter(F.col("_rn") <= F.lit(int(c["_k"] - c["_edge_before"]))).drop("_rn")
+        return inside.unionByName(edge).drop(*[x for x in drop if x in base.columns])
     # ``cut`` has one row per group (groups are labels here), so it is broadcast and the
     # row side keeps its partitioning: a hot group is never funnelled into one task.
     joined = base.join(F.broadcast(cut), "_g")
     inside = joined.filter(F.col("_b") < F.col("_edge"))
     edge = joined.filter(F.col("_b") == F.col("_edge"))
-    rn = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
     edge = edge.withColumn("_rn", rn).filter(F.col("_rn") <= F.col("_k") - F.col("_edge_before")).drop("_rn")
     keep = inside.unionByName(edge)
-    return keep.drop("_g", "_h", "_b", "_edge", "_edge_before", "_k")
+    return keep.drop(*drop)
 
 
 def fixed_sample(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
