@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def _sql_value(v, t: str) -> str:
+    if v is None:
+        return f"CAST(NULL AS {t})"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return f"CAST({v!r} AS {t})"
+    s = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{s}' AS {t})"
 
 
 def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """``rows`` (tuples) as a DataFrame of the DDL ``schema`` ("a string, b double").
 
-    The rows become one literal array of structs exploded by ``inline``; Catalyst folds it
-    into a local relation, so lookup lists broadcast without touching Python workers.
+    Written as one ``VALUES`` statement: a single call into the JVM that plans to a local
+    relation, so lookup lists broadcast without Python workers or per-cell round trips.
     """
     fields = [f.strip().split() for f in schema.split(",")]
     names = [f[0] for f in fields]
     types = [f[1] for f in fields]
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows]
-    if not structs:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types)])
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    if not rows:
+        cols = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in zip(names, types))
+        return spark.sql(f"SELECT {cols} WHERE FALSE")
+    values = ", ".join("(" + ", ".join(_sql_value(v, t) for v, t in zip(row, types)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")

@@ -21,8 +21,10 @@ def country_dim(spark: SparkSession, rows=None) -> DataFrame:
     return literal_table(spark, list(rows or COUNTRY_DIM), "name string, alias string, alpha_3 string")
 
 
-def _bounded(dim: DataFrame) -> DataFrame:
-    return F.broadcast(dim) if dim.limit(MAX_BROADCAST_DIM + 1).count() <= MAX_BROADCAST_DIM else dim
+def _bounded(dim: DataFrame, known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``dim`` when it has at most ``MAX_BROADCAST_DIM`` rows (counted unless known)."""
+    n = known_rows if known_rows is not None else dim.limit(MAX_BROADCAST_DIM + 1).count()
+    return F.broadcast(dim) if n <= MAX_BROADCAST_DIM else dim
 
 
 def _names(dim: DataFrame) -> DataFrame:
@@ -44,8 +46,9 @@ def malicious_by_country_name(urls: DataFrame) -> DataFrame:
 
 def country_counts(urls: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """A5 with J2: ``country_code, country_name, cnt``; unmatched names roll into ``OTHER``."""
+    known = 2 * len(COUNTRY_DIM) if dim is None else None
     dim = dim if dim is not None else country_dim(urls.sparkSession)
-    names = _bounded(_names(dim))
+    names = _bounded(_names(dim), known)
     per_name = malicious_by_country_name(urls)
     keyed = per_name.join(names, F.lower(F.trim("country")) == F.col("key"), "left")
     code = F.when(F.col("alpha_3").isNotNull() & (F.col("country") != "Unknown"), F.col("alpha_3")).otherwise(F.lit(OTHER_CODE))
@@ -63,11 +66,12 @@ def country_lookup_fuzzy(urls: DataFrame, dim: DataFrame | None = None,
     (distinct unmatched names) × (dimension rows), both bounded by the number of countries.
     Output: ``country, country_code, distance`` (``OTHER`` and null distance when none is near).
     """
+    known = 2 * len(COUNTRY_DIM) if dim is None else None
     dim = dim if dim is not None else country_dim(urls.sparkSession)
     names = _names(dim)
     per_name = malicious_by_country_name(urls).select("country")
-    exact = per_name.join(_bounded(names), F.lower(F.trim("country")) == F.col("key"), "left_anti")
-    cand = exact.join(_bounded(names.select("key", "alpha_3")),
+    exact = per_name.join(_bounded(names, known), F.lower(F.trim("country")) == F.col("key"), "left_anti")
+    cand = exact.join(_bounded(names.select("key", "alpha_3"), known),
                       F.levenshtein(F.lower(F.trim("country")), F.col("key"), max_distance) >= 0, "left")
     dist = F.levenshtein(F.lower(F.trim("country")), F.col("key"))
     best = (cand.groupBy("country")

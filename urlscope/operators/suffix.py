@@ -58,6 +58,24 @@ def rule_index(rules: DataFrame) -> DataFrame:
             .agg(*[F.bool_or(c).alias(c) for c in ("node", "rule", "wild", "exc")]))
 
 
+def rule_index_rows(rules: list[str]) -> list[tuple[str, bool, bool, bool, bool]]:
+    """The same index for a fixed, in-memory rule list (no Spark job needed)."""
+    flags: dict[str, list[bool]] = {}
+    for r in (x.strip().lower() for x in rules):
+        if not r:
+            continue
+        labels = r.split(".")
+        for d in range(1, len(labels) + 1):
+            f = flags.setdefault(".".join(labels[-d:]), [False] * 4)
+            f[0] = True
+            f[1] = f[1] or d == len(labels)
+        if r.startswith("*."):
+            flags.setdefault(r[2:], [False] * 4)[2] = True
+        if r.startswith("!"):
+            flags.setdefault(r[1:], [False] * 4)[3] = True
+    return [(k, *v) for k, v in sorted(flags.items())]
+
+
 def max_rule_depth(rules: DataFrame) -> int:
     """Most labels in one rule: a single scalar aggregate over the (small) rule table."""
     return int(rules.agg(F.max(F.size(F.split("rule", r"[.]", -1)))).first()[0] or 0)
@@ -73,13 +91,16 @@ class SuffixResolver:
 
     def __init__(self, spark: SparkSession, rules: DataFrame | None = None):
         if rules is None:
+            # The built-in list is a fixed value: its index is built here and its size is known.
             self.depth = max(len(r.split(".")) for r in DEFAULT_SUFFIX_RULES)
-            rules = rules_frame(spark)
+            rows = rule_index_rows(DEFAULT_SUFFIX_RULES)
+            index = literal_table(spark, rows, "key string, node boolean, rule boolean, wild boolean, exc boolean")
+            small = len(rows) <= MAX_BROADCAST_RULES
         else:
             self.depth = max_rule_depth(rules)
-        index = rule_index(rules)
-        # A size check before broadcasting; the index is bounded by the rule list.
-        small = index.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+            index = rule_index(rules)
+            # A size check before broadcasting; the index is bounded by the rule list.
+            small = index.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
         self.index = F.broadcast(index) if small else index
 
     def resolve(self, df: DataFrame, host: str = "_host", prefix: str = "_sfx") -> DataFrame:

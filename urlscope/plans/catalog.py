@@ -128,7 +128,7 @@ def restrict_to_sample(spark, sf):
 def country_lookup(spark, sf):
     f = feed(spark, sf)
     names = f.select(F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("Unknown")).alias("country")).distinct()
-    dim = L._bounded(L._names(L.country_dim(spark)))
+    dim = L._bounded(L._names(L.country_dim(spark)), 2 * len(L.COUNTRY_DIM))
     j = names.join(dim, F.lower(F.trim("country")) == F.col("key"), "left")
     ok = F.col("alpha_3").isNotNull() & (F.col("country") != "Unknown")
     return j.select("country", F.when(ok, F.col("alpha_3")).otherwise(F.lit("OTHER")).alias("country_code"),
