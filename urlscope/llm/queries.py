@@ -1,9 +1,10 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import simhash, toxicity
+from . import simhash, tokens, toxicity
 
 QUERIES = {
     "op5_simhash_near_dedup": simhash.query,
+    "op6_token_files": tokens.query,
     "op9_toxicity": toxicity.query,
 }
 

@@ -128,7 +128,7 @@ def links(spark: SparkSession, distinct: DataFrame, max_bits: int = 4, agree: in
         key, fps, own = None, [], []
 
         def flush():
-            if len(fps) > 1:
+            if sum(map(len, fps)) > 1:
                 f = np.concatenate(fps).view(np.uint64)
                 o = np.concatenate(own)
                 got = forest(f, o if key[2] != key[3] else None, max_bits)
@@ -150,10 +150,9 @@ def links(spark: SparkSession, distinct: DataFrame, max_bits: int = 4, agree: in
                         us.append(got[0])
                         vs.append(got[1])
                     key, fps, own = now, [], []
-                # one-row pieces are kept too: a bucket may go on in the next batch
-                for i in range(lo, hi):
-                    fps.append(cols[5][i:i + 1])
-                    own.append(cols[4][i:i + 1])
+                # a bucket may go on in the next batch
+                fps.append(cols[5][lo:hi])
+                own.append(cols[4][lo:hi])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
                 us, vs = [], []
