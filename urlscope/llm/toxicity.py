@@ -29,7 +29,7 @@ from . import common
 _SENTENCES = common.byte_table(b"0123456789abcdefghijklmnopqrstuvwxyz\n", {c: 10 for c in b".!?"})
 
 #: Most labelled documents of each label in the fit.
-MAX_DOCS = 6000
+MAX_DOCS = 4000
 #: A word needs so many fitted documents to get a weight.
 MIN_DOCS = 5
 
@@ -39,21 +39,16 @@ def sentences(text: bytes | None) -> list[list[bytes]]:
     return [w for s in (text or b"").translate(_SENTENCES).split(b"\n") if (w := sorted(set(s.split())))]
 
 
-def fit(bags: list[list[list[bytes]]], labels: list[int], steps: int = 150, l2: float = 2e-5) -> dict:
-    """Weights by Adam on the noisy-or likelihood, classes weighted alike; {b"": bias, word: weight}."""
+def fit(vocab: dict[bytes, int], ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray,
+        steps: int = 120, l2: float = 2e-5) -> dict:
+    """Weights by Adam on the noisy-or likelihood, classes weighted alike; {b"": bias, word: weight}.
+
+    vocab: words to 1, 2, ...; ids: every sentence's word numbers behind a 0 for the bias;
+    starts: where each sentence begins; owner: the document of each sentence, ascending; labels: of the documents.
+    """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return {b"": -4.0}
-    df = Counter(w for bag in bags for w in {w for s in bag for w in s})
-    vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DOCS))}
-    ids, starts, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag or [[]]:
-            starts.append(len(ids))
-            owner.append(d)
-            ids.append(0)
-            ids.extend(v for w in s if (v := vocab.get(w)))
-    ids, starts, owner = (np.asarray(x, np.int64) for x in (ids, starts, owner))
     lens = np.diff(np.append(starts, len(ids)))
     doc_at = np.searchsorted(owner, np.arange(len(y)))
     # the starting point: smoothed log odds of a word's documents
@@ -102,6 +97,7 @@ def score(text: bytes | None, model: dict) -> tuple[float, int, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", max_docs: int = MAX_DOCS) -> dict:
     """Fit on at most ``max_docs`` labelled documents of each label, by hash of the id."""
+    spark = docs.sparkSession
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
              .where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
              .withColumn("h", F.xxhash64("id")))
@@ -111,20 +107,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * max_docs ids: small enough to send to every task
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .join(F.broadcast(picked), "id").dropDuplicates(["id"]))
-    bags, ys = [], []
-    got = common.map_arrow(rows, _bag_batches, "id bigint, y int, bag binary").collect()
-    for r in sorted(got, key=lambda r: r["id"]):
-        bags.append([s.split(b" ") if s else [] for s in bytes(r["bag"]).split(b"\n")])
-        ys.append(r["y"])
-    return fit(bags, ys)
+            .join(F.broadcast(picked.drop("h")), "id"))
+    rows = common.stored(spark, rows, "labelled")
+    words = common.map_arrow(rows.select("text"), _word_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    vocab = {bytes(r["word"]): i + 1 for i, r in enumerate(words.where(F.col("n") >= MIN_DOCS).orderBy("word").collect())}
+    sent = spark.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        for b in batches:
+            bags = [b"".join(np.array([0, *filter(None, map(sent.value.get, s))], np.int32).tobytes()
+                             for s in sentences(t) or [[]]) for t in common.utf8_lists(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("id").cast(pa.int64()), pa.array(bags, pa.binary())], ["y", "id", "bag"])
+
+    # word numbers of the bounded sample: some tens of MB at most
+    got = common.map_arrow(rows, run, "y int, id bigint, bag binary").toArrow().sort_by([("id", "ascending"), ("bag", "ascending")])
+    ids = [np.frombuffer(x, np.int32) for x in got["bag"].to_pylist()]
+    sizes = np.array([len(x) for x in ids], np.int64)
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    starts = np.flatnonzero(ids == 0)
+    return fit(vocab, ids, starts, np.repeat(np.arange(len(sizes)), sizes)[starts], got["y"].to_numpy())
 
 
-def _bag_batches(batches):
+def _word_batches(batches):
+    """Documents of each word, counted within a task before they are shuffled."""
     for b in batches:
-        bags = [b"\n".join(b" ".join(s) for s in sentences(t)) for t in common.utf8_lists(b, "text")]
-        yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("y"), pa.array(bags, pa.binary())],
-                                         ["id", "y", "bag"])
+        found = Counter(w for t in common.utf8_lists(b, "text") for w in {w for s in sentences(t) for w in s})
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
 
 def _scores(texts: list, model: dict) -> list[pa.Array]:
