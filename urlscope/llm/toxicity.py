@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence has the probability ``sigmoid(bias + sum of the
-weights of its distinct words)``; a document is toxic with the noisy-or of its sentences,
+weights of its distinct words)``, a word's weight being its own and those of its first four and
+five bytes, so that inflected forms share what was learned; a document is toxic with the noisy-or of its sentences,
 ``1 - prod(1 - p)``. Only document labels are needed to fit the weights, yet the sentences
 that made a document toxic can be pointed at afterwards.
 
@@ -39,11 +40,29 @@ def sentences(text: bytes | None) -> list[list[bytes]]:
     return [w for s in (text or b"").translate(_SENTENCES).split(b"\n") if (w := sorted(set(s.split())))]
 
 
+def features(word: bytes) -> tuple[bytes, ...]:
+    """The word and, of longer ones, its beginnings."""
+    return (word, word[:4] + b"*", word[:5] + b"*") if len(word) > 5 else (word,)
+
+
+class Weights(dict):
+    """Weight of any word, from the weights of its features; words seen before are kept."""
+
+    def __init__(self, model: dict):
+        self.get_one = model.get
+
+    def __missing__(self, word: bytes) -> float:
+        w = sum(self.get_one(f, 0.0) for f in features(word))
+        if len(self) < 300_000:
+            self[word] = w
+        return w
+
+
 def fit(vocab: dict[bytes, int], ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray,
         steps: int = 120, l2: float = 2e-5) -> dict:
     """Weights by Adam on the noisy-or likelihood, classes weighted alike; {b"": bias, word: weight}.
 
-    vocab: words to 1, 2, ...; ids: every sentence's word numbers behind a 0 for the bias;
+    vocab: features to 1, 2, ...; ids: every sentence's word numbers behind a 0 for the bias;
     starts: where each sentence begins; owner: the document of each sentence, ascending; labels: of the documents.
     """
     y = np.asarray(labels, float)
@@ -73,17 +92,15 @@ def fit(vocab: dict[bytes, int], ids: np.ndarray, starts: np.ndarray, owner: np.
     return {b"": float(w[0])} | {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) > 1e-2}
 
 
-def score(text: bytes | None, model: dict) -> tuple[float, int, float]:
+def score(text: bytes | None, bias: float, weights: Weights) -> tuple[float, int, float]:
     """(document score, index of its worst sentence or -1, that sentence's probability)."""
-    bias, get, log_none, worst, at = model[b""], model.get, 0.0, -1e9, -1
+    get, log_none, worst, at = weights.__getitem__, 0.0, -1e9, -1
     k = 0
     for s in (text or b"").translate(_SENTENCES).split(b"\n"):
         words = s.split()
         if not words:
             continue
-        z = bias
-        for x in set(words):
-            z += get(x, 0.0)
+        z = bias + sum(map(get, set(words)))
         if z > worst:
             worst, at = z, k
         log_none -= math.log1p(math.exp(z)) if z < 30 else z
@@ -115,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            bags = [b"".join(np.array([0, *filter(None, map(sent.value.get, s))], np.int32).tobytes()
+            get = sent.value.get
+            bags = [b"".join(np.array([0, *(v for w in s for f in features(w) if (v := get(f)))], np.int32).tobytes()
                              for s in sentences(t) or [[]]) for t in common.utf8_lists(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("id").cast(pa.int64()), pa.array(bags, pa.binary())], ["y", "id", "bag"])
 
@@ -131,12 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _word_batches(batches):
     """Documents of each word, counted within a task before they are shuffled."""
     for b in batches:
-        found = Counter(w for t in common.utf8_lists(b, "text") for w in {w for s in sentences(t) for w in s})
+        found = Counter(f for t in common.utf8_lists(b, "text") for f in {f for s in sentences(t) for w in s for f in features(w)})
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
 
-def _scores(texts: list, model: dict) -> list[pa.Array]:
-    found = [score(t, model) for t in texts]
+def _scores(texts: list, bias: float, weights: Weights) -> list[pa.Array]:
+    found = [score(t, bias, weights) for t in texts]
     return [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int32()),
             pa.array([x[2] for x in found], pa.float64())]
 
@@ -153,8 +171,10 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        weights = Weights(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), *_scores(common.utf8_lists(b, "text"), sent.value)], ["id", *_NAMES])
+            scores = _scores(common.utf8_lists(b, "text"), sent.value[b""], weights)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *scores], ["id", *_NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = common.map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run,
@@ -169,10 +189,11 @@ def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
     own = [c for c in docs.columns if c not in _NAMES or c == text_col]
 
     def run(batches):
+        weights = Weights(sent.value)
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, *_scores(texts, sent.value)], [*own, *_NAMES])
+            yield pa.RecordBatch.from_arrays([*b.columns, *_scores(texts, sent.value[b""], weights)], [*own, *_NAMES])
 
     rows = docs.select(*own)
     schema = rows.schema
