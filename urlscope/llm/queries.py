@@ -1,10 +1,12 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import simhash, tokens, toxicity
+from . import imatch, simhash, tokens, toxicity, warc
 
 QUERIES = {
+    "op3_imatch": imatch.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_files": tokens.query,
+    "op7_warc_store": warc.query,
     "op9_toxicity": toxicity.query,
 }
 
