@@ -1,6 +1,6 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import imatch, simhash, tokens, toxicity, warc
+from . import imatch, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op3_imatch": imatch.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_token_files": tokens.query,
     "op7_warc_store": warc.query,
     "op9_toxicity": toxicity.query,
+    "op10_quality": quality.query,
 }
 
 #: DuckDB twins, where SQL can express the query.
