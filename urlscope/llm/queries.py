@@ -1,12 +1,13 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import imatch, quality, simhash, tokens, toxicity, warc
+from . import ctw, imatch, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op3_imatch": imatch.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_files": tokens.query,
     "op7_warc_store": warc.query,
+    "op8_context_tree": ctw.query,
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
 }
