@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import struct
 import sys
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,15 @@ END_ID = 1
 _NULL = -(1 << 63)
 #: str.split() also cuts at these, the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
-_CACHE_WORDS = 400_000
+#: Words that a worker keeps.
+_CACHE_WORDS = 500_000
 
 
 # ---- the file format -------------------------------------------------------------------
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A file's bytes from the ids of its documents, one after the other."""
-    levels, rest = [], np.asarray(ids, np.uint32)
+    levels, rest = [], np.asarray(ids)
     while True:
         more = rest >> 8
         goes_on = more > 0
@@ -116,38 +116,89 @@ class Reader:
 
 # ---- encoding --------------------------------------------------------------------------
 
-def _encoder(path: str):
-    """Words to ids through the tokenizer, kept over the tasks of a worker."""
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards."""
+    out, n = {}, 256
+    for b in range(256):
+        if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255):
+            out[b] = chr(n)
+            n += 1
+    return out
+
+
+class WordIds(dict):
+    """Ids of a word between white space, as bytes; words seen before are kept.
+
+    Most words are letters and closing marks. The tokenizer's splitter parts the two, so the
+    letters go straight to its merge model and the marks are looked up; any other word takes
+    the whole way through the tokenizer. Letters up to U+012F only: there lower-casing and
+    composition go character by character in either language.
+    """
+
+    MARKS = ".,;:!?|"
+    LETTERS = _byte_letters()
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
+        self.marks, self.stems, self.older = {}, {}, {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _letters(self, stem: str) -> bytes:
+        """Ids of lower-case letters; of two generations of them the older goes when the younger is full."""
+        out = self.stems.get(stem)
+        if out is None:
+            out = self.older.get(stem)
+            if out is None:
+                spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.LETTERS)
+                out = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+            if len(self.stems) >= _CACHE_WORDS:
+                self.older, self.stems = self.stems, {}
+            self.stems[stem] = out
+        return out
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(self.MARKS)
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0130"):
+            out = self._letters(stem.lower())
+            if len(stem) < len(word):
+                marks = word[len(stem):]
+                if marks not in self.marks:
+                    self.marks[marks] = self.whole(marks)
+                out += self.marks[marks]
+        else:
+            out = self.whole(word)
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        self[word] = out
+        return out
+
+
+def _encoder(path: str) -> WordIds:
+    """Kept over the tasks of a worker."""
     kept = sys.__dict__.setdefault("_token_encoders", {})
     if path not in kept:
-        from tokenizers import Tokenizer
-        kept[path] = (Tokenizer.from_file(path), {})
+        kept[path] = WordIds(path)
     return kept[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, as ``encode(text, add_special_tokens=False)`` gives them.
-
-    The tokenizer drops white space and cuts there, so a text's ids are its words' ids one
-    after the other; each distinct word goes through the tokenizer once while the cache holds it.
-    """
-    tok, cache = _encoder(path)
-    if len(cache) > _CACHE_WORDS:
-        cache.clear()
-    split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-    new = list({w for words in split if words for w in words if w not in cache})
-    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-        cache[w] = np.array(e.ids, np.uint32).tobytes()
-    get = cache.__getitem__
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32) if words is None
-            else np.frombuffer(b"".join(map(get, words)), np.uint32) for t, words in zip(texts, split)]
+def encode_text(text: str, words: WordIds) -> bytes:
+    """Ids as ``encode(text, add_special_tokens=False)`` gives them: the tokenizer drops white
+    space and cuts there, so they are the words' ids one after the other."""
+    if any(c in text for c in _ODD):
+        return words.whole(text)
+    return b"".join(map(words.__getitem__, text.split()))
 
 
 def _encoded(batches, tokenizer: str, end_id: int):
-    last = np.array([end_id], np.uint32)
+    words = _encoder(tokenizer)
+    last = np.array([end_id], words.kind).tobytes()
     for b in batches:
-        texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-        yield b.column("id"), [np.append(x, last) for x in encode_texts(texts, tokenizer)]
+        yield b.column("id"), [encode_text(t or "", words) + last for t in b.column("text").to_pylist()], words.kind
 
 
 def _id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,8 +209,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """(id, ids): ids as little-endian unsigned 32-bit integers, the end id last."""
 
     def run(batches):
-        for ids, tokens in _encoded(batches, tokenizer, end_id):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in tokens], pa.binary())], ["id", "ids"])
+        for ids, tokens, kind in _encoded(batches, tokenizer, end_id):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([np.frombuffer(x, kind).astype("<u4").tobytes() for x in tokens], pa.binary())], ["id", "ids"])
 
     return common.map_arrow(_id_text(docs, id_col, text_col), run, "id bigint, ids binary")
 
@@ -186,12 +237,13 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: st
     bounds = np.unique(np.array((row and row["q"]) or [], np.int64))
 
     def deal(batches):
-        for ids, tokens in _encoded(batches, tokenizer, end_id):
+        for ids, tokens, kind in _encoded(batches, tokenizer, end_id):
             ids = ids.fill_null(_NULL)
             no = np.searchsorted(bounds, ids.to_numpy(), side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(no), ids, pa.array(map(_narrow, tokens), pa.binary())], ["file_no", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(no), ids, pa.array(tokens, pa.binary()), pa.array([kind.itemsize] * len(no), pa.int32())],
+                                             ["file_no", "id", "ids", "width"])
 
-    dealt = common.map_arrow(_id_text(docs, id_col, text_col), deal, "file_no int, id bigint, ids binary")
+    dealt = common.map_arrow(_id_text(docs, id_col, text_col), deal, "file_no int, id bigint, ids binary, width int")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("file_no")).sortWithinPartitions("file_no", "id", F.crc32("ids"))
 
     def write(batches):
@@ -220,8 +272,10 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: st
                     yield flush()
                     parts = []
                 file_no = int(nos[lo])
-                ids, lengths = _widen(b.column("ids").slice(lo, hi - lo))
-                parts.append((b.column("id").to_numpy()[lo:hi], lengths, ids))
+                kind = np.dtype(f"<u{b.column('width')[lo].as_py()}")
+                blobs = b.column("ids").slice(lo, hi - lo).to_pylist()
+                parts.append((b.column("id").to_numpy()[lo:hi], np.array([len(x) // kind.itemsize for x in blobs], np.int64),
+                              np.frombuffer(b"".join(blobs), kind)))
         if parts:
             yield flush()
 
@@ -235,18 +289,6 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: st
     return listed.join(F.broadcast(spark.createDataFrame(starts, "file_no int, start bigint")), "file_no")
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """16 bits an id where all fit, so that half is shuffled; the leading byte says which."""
-    if ids.max() < 65536:
-        return b"\x02" + ids.astype(np.uint16).tobytes()
-    return b"\x04" + ids.tobytes()
-
-
-def _widen(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    got = [np.frombuffer(x[1:], np.uint16 if x[0] == 2 else np.uint32) for x in ids.to_pylist()]
-    return np.concatenate(got), np.array([len(g) for g in got], np.int64)
-
-
 def read_files(listed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids) for each document of the files that ``write_files`` listed."""
 
