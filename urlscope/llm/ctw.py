@@ -37,6 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
+from .lookup import Lookup
 
 DEPTH = 6
 LEAST = 5e-6
@@ -179,7 +180,7 @@ class Tree:
                 add, times = sure[0][up[d]], sure[1][up[d]]
             ends = add + times * (weight[d] * kt + (1 - weight[d]) * end)
             sure = (add + times * weight[d] * kt, times * (1 - weight[d]))
-            self.nodes.append(Lookup(keys, ends.astype(np.float32)))
+            self.nodes.append(Lookup(keys, ends))
         self.contexts = [Lookup(np.unique(c >> np.uint64(8)), None) for c, _ in grams]
         self.grams = [Lookup(c, self._log_of_seen(d, c)) for d, (c, _) in enumerate(grams)]
 
@@ -236,56 +237,6 @@ class Tree:
         return out.astype(np.float32)
 
 
-class Lookup:
-    """64-bit keys to values: one multiplication, then a step to the next slot while slots collide."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None):
-        self.bits = max(4, int(1.5 * len(keys) + 1).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = None if values is None else np.zeros(1 << self.bits, np.float32)
-        self.used = np.zeros(1 << self.bits, bool)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = ~self.used[slot]
-            take, first = np.unique(slot[free], return_index=True)
-            mine = left[free][first]
-            self.keys[take], self.used[take] = keys[mine], True
-            if values is not None:
-                self.values[take] = values[mine]
-            stay = np.ones(len(left), bool)
-            stay[np.flatnonzero(free)[first]] = False
-            # those that met a slot taken before this round, or lost the draw, go one on
-            left, slot = left[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
-
-    def __getstate__(self):
-        """Without the empty slots: small to send, filled again where it arrives."""
-        return self.keys[self.used], None if self.values is None else self.values[self.used]
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """(found, values); values of what isn't found mean nothing."""
-        slot = self._slot(keys)
-        hit = (self.keys[slot] == keys) & self.used[slot]
-        value = None if self.values is None else self.values[slot]
-        left = np.flatnonzero(~hit)
-        slot = slot[left]
-        while True:
-            go = self.used[slot]
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
-            if not len(left):
-                return hit, value
-            found = (self.keys[slot] == keys[left]) & self.used[slot]
-            hit[left[found]] = True
-            if value is not None:
-                value[left[found]] = self.values[slot[found]]
-            left, slot = left[~found], slot[~found]
-
-
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> Tree:
     """Counts over all rows of ``docs``, added up by Spark; kept contexts come to the driver."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"))

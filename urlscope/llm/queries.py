@@ -1,8 +1,9 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import ctw, imatch, quality, simhash, tokens, toxicity, warc
+from . import ctw, imatch, lattice, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_piece_lattice": lattice.query,
     "op3_imatch": imatch.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_files": tokens.query,
