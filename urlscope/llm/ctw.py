@@ -237,24 +237,35 @@ class Tree:
         return out.astype(np.float32)
 
 
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> Tree:
-    """Counts over all rows of ``docs``, added up by Spark; kept contexts come to the driver."""
+def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> bytes:
+    """The tree of all rows of ``docs``, pickled. Spark adds up the counts; one task, which gets
+    the kept contexts only (a bounded number of rows), builds the tree."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     grams = common.map_arrow(rows, lambda batches: _gram_counts(batches, depth), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = common.stored(spark, grams, "grams")
     total = grams.agg(F.sum("n")).first()[0] or 0
-    kept = []
+    kept = None
     for d in range(depth, -1, -1):
         if d < depth:
             mask = (1 << 8 * (d + 1)) - 1
             grams = common.stored(spark, grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
         context = F.shiftrightunsigned("gram", 8)
         often = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= max(2, least * total))
-        mine = grams.join(often, context == F.col("context"), "left_semi") if d else grams
-        got = mine.toArrow().sort_by("gram")
-        kept.append((got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()))
-    # a kept context's shorter contexts are kept too: their counts are no smaller
-    return Tree(kept[::-1])
+        # a kept context's shorter contexts are kept too: their counts are no smaller
+        mine = (grams.join(often, context == F.col("context"), "left_semi") if d else grams).withColumn("d", F.lit(d))
+        kept = mine if kept is None else kept.unionByName(mine)
+
+    def build(batches):
+        parts = [(b.column("d").to_numpy(), b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        d, gram, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        levels = []
+        for k in range(depth + 1):
+            own = gram[d == k].view(np.uint64)
+            order = np.argsort(own)
+            levels.append((own[order], n[d == k][order]))
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(Tree(levels))], pa.binary())], ["tree"])
+
+    return bytes(kept.select("d", "gram", "n").repartition(1).mapInArrow(build, "tree binary").first()["tree"])
 
 
 # ---- words -----------------------------------------------------------------------------
@@ -280,16 +291,16 @@ def word_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text") ->
 
 # ---- scores ----------------------------------------------------------------------------
 
-def score_documents(spark: SparkSession, docs: DataFrame, tree: Tree, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, tree: bytes, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") >= LEAST_WORD * total).collect()}
-    # classes go along by value, as the tasks' functions do
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps((tree, hot)))
+    # the tree's class goes along by value, as the tasks' functions do
+    sent = spark.sparkContext.broadcast((tree, hot))
 
     def run(batches):
         from pyspark import TaskContext
-        tree, hot = cloudpickle.loads(sent.value)
+        tree, hot = cloudpickle.loads(sent.value[0]), sent.value[1]
         # the value of a word's count, so that a token costs one lookup
         value = {w: math.log10(c + 1) for w, c in hot.items()}
         row = TaskContext.get().partitionId() << 40
