@@ -1,9 +1,10 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import ctw, imatch, lattice, quality, simhash, tokens, toxicity, warc
+from . import ctw, decontaminate, imatch, lattice, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_piece_lattice": lattice.query,
+    "op2_positional_index": decontaminate.query,
     "op3_imatch": imatch.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_files": tokens.query,
@@ -14,4 +15,4 @@ QUERIES = {
 }
 
 #: DuckDB twins, where SQL can express the query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_positional_index": decontaminate.ORACLE_SQL}
