@@ -1,11 +1,12 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import ctw, decontaminate, imatch, lattice, quality, simhash, tokens, toxicity, warc
+from . import ctw, decontaminate, imatch, lattice, quality, simhash, suffix_array, tokens, toxicity, warc
 
 QUERIES = {
     "op1_piece_lattice": lattice.query,
     "op2_positional_index": decontaminate.query,
     "op3_imatch": imatch.query,
+    "op4_suffix_array": suffix_array.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_files": tokens.query,
     "op7_warc_store": warc.query,
