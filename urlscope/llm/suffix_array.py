@@ -383,8 +383,10 @@ class Repeats:
 
         rows = self._surroundings().join(self._hot_table, "key", "left_semi")
         each = common.stored(self.spark, common.map_arrow(rows, strings, "a bigint, b bigint, key bigint, ctx bigint, before bigint"), "strings")
-        again = each.groupBy("a", "b").count().where("count > 1").select("a", "b")
-        return (each.join(again, ["a", "b"], "left_semi").groupBy("key", "ctx")
+        # by anchor too: one place is not counted once for each anchor within reach
+        same = ["a", "b", "key", "before"]
+        again = each.groupBy(*same).count().where("count > 1").select(*same)
+        return (each.join(again, same, "left_semi").groupBy("key", "ctx")
                 .agg(F.max("before").alias("before"), (F.lit(length) - F.min("before")).alias("behind")))
 
     def _spans(self) -> DataFrame:
