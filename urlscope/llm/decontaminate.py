@@ -7,8 +7,9 @@
    rarest term, by the number of postings over all documents, is its seed: every place where
    the window occurs has a posting of the seed. Shifted back by the seed's place in the item, a
    posting names an alignment of item and document.
-3. Around the seeds of each alignment the words of the item are expected at known positions;
-   these offset-adjusted lists are intersected with the documents' words. A run of matching
+   The lists of the next two rarest terms, shifted likewise, leave the alignments on which all three agree.
+3. Around the seeds of each alignment that is left the words of the item are expected at known positions;
+   these are intersected with the documents' words. A run of matching
    words as long as a window is an occurrence, and every word in it is hit.
 
 The rarest terms cut the work down before any long list is touched; nothing is left out, as a
@@ -99,16 +100,39 @@ class Index:
         least = F.min("tf").over(Window.partitionBy("b", "ws"))
         return spread.join(cells, ["b", "at"]).withColumn("rank", rank).withColumn("least", least).where("least > 0").drop("least")
 
+    def _aligned(self, window: int) -> DataFrame:
+        """(doc_id, h, b, seed, shift): alignments where the rarest and the next two rarest terms of a window
+        stand at their places: the lists of the first, intersected with those of the others."""
+        ranked = common.stored(self.spark, self.ranked(window).where("rank <= 3").select("b", "ws", "size", "rank", "at", "t"), "ranked")
+        first = ranked.where("rank = 1").select("b", "ws", F.col("at").alias("seed"), "t", "size")
+        found = None
+        for rank in (1, 2, 3):
+            cells = ranked.where(F.col("rank") == rank).select("b", "at", "t").distinct()
+            cells = _small(cells, cells.count())
+            lists = self.postings.join(cells, "t").select("doc_id", "h", "b", "at", (F.col("pos") - F.col("at")).alias("shift"))
+            if found is None:
+                found = lists.withColumnRenamed("at", "seed")
+            else:
+                # which places a seed's windows want of this rank; windows without one stay as they are
+                wants = (first.join(ranked.where(F.col("rank") == rank).select("b", "ws", "at"), ["b", "ws"])
+                         .select("b", "seed", "at").distinct())
+                lists = lists.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "b", "at", "shift").distinct()
+                met = found.join(_small(wants, self.n_cells), ["b", "seed"]).alias("x").join(
+                    lists.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.shift") == F.col("y.shift"))
+                    & (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("id"))).select(
+                    "doc_id", "h", F.col("x.b").alias("b"), "seed", F.col("x.shift").alias("shift"))
+                short = first.where(F.col("size") < rank).select("b", "seed").distinct()
+                found = met.unionByName(found.join(_small(short, self.n_cells), ["b", "seed"]).select(*met.columns)).distinct()
+            found = common.stored(self.spark, found, "alignments")
+        return found
+
     def phrases(self, window: int = WINDOW) -> DataFrame:
         """(doc_id, h, b, lo, hi): maximal runs of words that belong to occurrences of windows of item b."""
-        ranked = common.stored(self.spark, self.ranked(window).where("rank = 1").select("b", "at", "t", "size"), "seeds")
-        seeds = ranked.select("b", F.col("at").alias("seed"), "t", "size").distinct()
-        n_seeds = seeds.count()
-        found = self.postings.join(_small(seeds, n_seeds), "t").select("doc_id", "h", "b", "seed", "size", (F.col("pos") - F.col("seed")).alias("shift"))
-        found = common.stored(self.spark, found, "alignments")
+        found = self._aligned(window)
+        seeds = self.items.select("b", F.least("n", F.lit(window)).alias("size")).distinct().join(found.select("b", "seed").distinct(), "b")
         # the words expected around each seed, at their positions in the document
         cells = self.items.select("b", "at", "word")
-        near = (seeds.select("b", "seed", "size").distinct()
+        near = (seeds
                 .select("b", "seed", F.explode(F.expr("sequence(seed - size + 1, seed + size - 1)")).alias("at")).join(cells, ["b", "at"]))
         n_near = near.count()
         wanted = found.select("doc_id", "h", "b", "shift", "seed").join(_small(near, n_near), ["b", "seed"])
