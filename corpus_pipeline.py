@@ -1,33 +1,74 @@
-"""Pipeline over documents: each stage calls one operator, is written as Parquet and read again."""
+"""Pipeline over documents: each stage calls one operator, is written as Parquet and read again.
+
+A stage works on all that its predecessor kept. All stages but the last return the columns of
+documents; rows of null id or text are ordinary rows throughout.
+
+1. toxicity: documents that score 0.5 or more go.
+2. simhash near-dedup: of each group linked by at most 4 bits over 4-word shingles, the
+   document with the smallest id stays (rows of a null id form no group and stay).
+3. suffix-array dedup: strings of 200 bytes that start anywhere else too are taken out of the
+   texts, a character only if all its bytes go; n_chars is that of the text that is left. Documents stay, if
+   need be with an empty text.
+4. benchmark decontamination: documents that hold a 10-word window of the benchmark go.
+5. sentencepiece: every text as sampled pieces, with the result of decoding them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from urlscope.llm import common, simhash, toxicity
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from urlscope.llm import common, decontaminate, lattice, simhash, suffix_array, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.5 or more go."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score_rows(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    scored = toxicity.score_rows(docs, model)
+    return scored.where("toxicity < 0.5").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (4-word shingles, 4 bits) the document with the smallest id stays."""
     found = simhash.near_duplicates(spark, docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # of rows with one id the one with the least text stays
+    stays = docs.join(keep, "doc_id", "left_semi")
+    twice = stays.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.limit(1).count():
+        once = stays.join(twice, "doc_id", "left_semi")
+        once = once.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("x")).select("doc_id", "x.*")
+        stays = stays.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return stays.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffix_array.Repeats(spark, docs).removed(docs, characters=True)
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars"))
+    columns = [n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    index = decontaminate.Index(spark, docs, common.table(spark, sf_dir, "benchmark"))
+    bad = index.phrases().select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (h == F.col("bad_h")), "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, ids, ids_crc32, lossless)."""
+    return lattice.round_trip(docs, lattice.piece_model(), with_ids=True)
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash near-dedup", one_of_each_group),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("sentencepiece", encode),
 ]
 
-#: The scores, lattices and suffix arrays of the stages are beyond SQL.
+#: Fitted scores, sampled lattices and repeated strings are beyond SQL; the tests hold the stages
+#: against brute-force versions.
 ORACLE_SQL = None
 
 

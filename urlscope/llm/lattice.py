@@ -314,12 +314,15 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return common.map_arrow(rows, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """(id_col, n_bytes, n_tokens, ids_crc32, lossless): encodes and decodes in one pass over the rows.
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, alpha: float = ALPHA,
+               with_ids: bool = False) -> DataFrame:
+    """(id_col, n_bytes, n_tokens, ids_crc32, lossless, with_ids: also ids): encodes and decodes in one pass over the rows.
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers.
     """
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+
     def run(batches):
         lattice = _lattice(model, alpha)
         for b in batches:
@@ -327,14 +330,17 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             out = []
             for values, part in _pieces(b.column("id").to_pylist(), texts):
                 for t, ids in zip(part, lattice.sample(part, [row_key(v) for v in values], seed)):
-                    out.append((len(t.encode()), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lattice.decode(ids) == t))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))],
-                                             ["id", "n_bytes", "n_tokens", "ids_crc32", "lossless"])
+                    out.append((len(t.encode()), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lattice.decode(ids) == t, ids))
+            columns = [b.column("id"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x[4]) for x in out)]).astype(np.int32)
+                flat = np.concatenate([x[4] for x in out]) if out else np.zeros(0, np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens", "ids_crc32", "lossless"] + ["ids"] * with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return common.map_arrow(rows, run, f"id {kind}, n_bytes bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean").withColumnRenamed("id", id_col)
+    return common.map_arrow(rows, run, f"id {kind}, n_bytes bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean" + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
 
 
 def piece_model() -> str:

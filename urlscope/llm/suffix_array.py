@@ -31,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -433,7 +434,7 @@ class Repeats:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], ["row", *names])
 
-        schema = joined.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+        schema = StructType([joined.schema["row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
         return common.map_arrow(joined, run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in own], *names)
 
 

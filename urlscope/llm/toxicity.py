@@ -23,6 +23,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -196,8 +197,8 @@ def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, *_scores(texts, sent.value[b""], weights)], [*own, *_NAMES])
 
     rows = docs.select(*own)
-    schema = rows.schema
-    for name, kind in zip(_NAMES, ("double", "int", "double")):
+    schema = StructType(list(rows.schema))
+    for name, kind in zip(_NAMES, ("double", "integer", "double")):
         schema = schema.add(name, kind)
     return common.map_arrow(rows, run, schema)
 
