@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -41,7 +42,7 @@ HOT = 20_000
 _SEGMENT = 2_000_000
 _PART = 3_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_SCHEMA = "key bigint, ctx bigint, doc_id bigint, place bigint"
+_SCHEMA = "key bigint, ctx bigint, doc_id bigint, place bigint, until bigint"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -122,6 +123,24 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return text[keep], pos[keep], grams[where[keep]], ctx[keep], right[keep]
 
 
+def _collapsed(text, pos, key, ctx, right, window: int):
+    """(rows to keep, (text, start, end) of merged spans): anchors with equal surroundings are repeats of each
+    other whatever else there is; one of them goes on, their spans are known."""
+    order = np.lexsort((pos, text, ctx, key))
+    k, c = key[order], ctx[order]
+    same = np.append(False, (k[1:] == k[:-1]) & (c[1:] == c[:-1]))
+    twice = order[same | np.append(same[1:], False)] if len(order) else order
+    twice = twice[np.lexsort((pos[twice], text[twice]))]
+    start, end, t = pos[twice] - np.minimum(pos[twice], window - 1), pos[twice] + right[twice], text[twice]
+    keep = np.sort(order[~same])
+    if not len(t):
+        return keep, (t, start, end)
+    reach = np.maximum.accumulate(t << 40 | end)
+    new = np.append(True, (t[1:] << 40 | start[1:]) > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(t)) - 1
+    return keep, (t[new], start[new], reach[last] & ((1 << 40) - 1))
+
+
 def _parts(texts: list):
     """(first, beyond) of runs of texts of some MB."""
     lo = size = 0
@@ -218,21 +237,31 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Repeats:
     """Repeats of at least ``length`` bytes in the texts of a table.
 
-    entries: (key, ctx, doc_id, place, copies, alone) one row for each anchor that isn't alone in its bucket.
-    place holds position << 32 | bytes on the right << 24 | h.
+    entries: (key, ctx, doc_id, place, until, copies, lead) one row for each anchor that isn't alone in its bucket.
+    place holds position << 32 | bytes on the right << 24 | h. Before the shuffle, equal surroundings within a batch
+    become one row, and rows with ``until`` hold the spans known from that: neither many copies nor a text
+    that repeats one word brings more than a row a batch to its bucket. occurrences: every anchor keeps a row,
+    which ``groups`` needs.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 length: int = LENGTH, gram: int = GRAM, hot: int = HOT):
+                 length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
+                 occurrences: bool = False):
         if not 0 < gram < length < 256:
             raise ValueError("0 < gram < length < 256 is asked for")
         self.spark, self.length, self.gram, self.hot, self.window = spark, length, gram, hot, length - gram + 1
+        self.occurrences = occurrences
         self.docs = _documents(docs, id_col, text_col)
         self.entries = common.stored(spark, self._entries(), "anchors")
         self.spans = self._spans()
 
     def _entries(self) -> DataFrame:
-        length, gram = self.length, self.gram
+        length, gram, occurrences, window = self.length, self.gram, self.occurrences, self.window
+
+        def rows(ids, h, text, pos, right, key, ctx, until):
+            place = pos << 32 | right << 24 | h[text]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), ids.take(pa.array(text)), pa.array(place), until],
+                                              ["key", "ctx", "doc_id", "place", "until"])
 
         def find(batches):
             for b in batches:
@@ -241,18 +270,26 @@ class Repeats:
                 for lo, hi in _parts(texts):
                     text, pos, key, ctx, right = anchors(texts[lo:hi], length, gram)
                     text = text + lo
-                    place = pos << 32 | right << 24 | h[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), ids.take(pa.array(text)), pa.array(place)],
-                                                     ["key", "ctx", "doc_id", "place"])
+                    if not occurrences:
+                        keep, (t, start, end) = _collapsed(text, pos, key, ctx, right, window)
+                        # dealt out by place, as they meet nobody
+                        yield rows(ids, h, t, start, np.zeros_like(t), _mix((t << 32 | start).astype(np.uint64)), np.zeros(len(t), np.uint64), pa.array(end))
+                        text, pos, key, ctx, right = (x[keep] for x in (text, pos, key, ctx, right))
+                    yield rows(ids, h, text, pos, right, key, ctx, pa.nulls(len(text), pa.int64()))
 
         def shared(batches):
             """Rows of keys that have more than one; a run is handed on as soon as that is known."""
             held = None
             for b in batches:
                 t = pa.Table.from_batches([b])
+                known = t.filter(pc.is_valid(t["until"]))
+                if len(known):
+                    no = pa.array(np.zeros(len(known), bool))
+                    yield from known.append_column("copies", no).append_column("lead", no).combine_chunks().to_batches()
+                t = t.filter(pc.is_null(t["until"]))
                 held = t if held is None else pa.concat_tables([held, t])
                 key = held["key"].to_numpy()
-                if len(key) < 100_000 or key[0] == key[-1] and len(key) < 1_000_000:
+                if not len(key) or len(key) < 100_000 or key[0] == key[-1] and len(key) < 1_000_000:
                     continue
                 # up to the last key, or all of a very long run (its rest is marked as shared by the overlap of one row)
                 cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
@@ -394,7 +431,9 @@ class Repeats:
         """(doc_id, h, start, end) of all repeats, not merged."""
         place = F.col("place")
         pos, right, h = F.shiftright(place, 32), F.shiftright(place, 24).bitwiseAND(F.lit(255)), place.bitwiseAND(F.lit((1 << 24) - 1))
-        rows = self.entries.select("key", "ctx", "doc_id", h.alias("h"), pos.alias("pos"), right.alias("right"), "copies", "lead")
+        rows = self.entries.select("key", "ctx", "doc_id", h.alias("h"), pos.alias("pos"), right.alias("right"), "until", "copies")
+        known = rows.where("until is not null").select("doc_id", "h", F.col("pos").alias("start"), F.col("until").alias("end"))
+        rows = rows.where("until is null").drop("until")
         left = F.least("pos", F.lit(self.window - 1))
         # copies of whole surroundings need no comparison
         whole = rows.where(F.col("copies") & (left + F.col("right") >= self.length)).select("doc_id", "h", (F.col("pos") - left).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
@@ -402,11 +441,13 @@ class Repeats:
         if self._hot_table.limit(1).count():
             found = found.unionByName(self._counted())
         part = (rows.join(found, ["key", "ctx"]).select("doc_id", "h", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("behind")).alias("end")))
-        return whole.unionByName(part)
+        return whole.unionByName(part).unionByName(known)
 
     def groups(self) -> DataFrame:
         """(number, doc_id, start, length): every maximal repeat within an anchor's reach with all its
         occurrences; copies of whole surroundings are a repeat of their own. Not for hot buckets, whose strings are counted only."""
+        if not self.occurrences:
+            raise ValueError("occurrences=True is asked for")
         rows = self.entries.select("key", "ctx", "doc_id", F.shiftright("place", 32).alias("pos"), F.shiftright("place", 24).bitwiseAND(F.lit(255)).alias("right"), "copies")
         left = F.least("pos", F.lit(self.window - 1))
         whole = rows.where(F.col("copies") & (left + F.col("right") >= self.length)).select(
