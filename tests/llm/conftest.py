@@ -1,0 +1,46 @@
+import random
+
+import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()),
+                     # names that the operators use for themselves
+                     *(StructField(n, StringType()) for n in ("id", "h", "key", "pos", "row", "spans", "toxicity", "ids", "n_chars"))])
+
+
+def prose(seed: int, n: int) -> str:
+    """Made-up prose with a few accents and sentence ends."""
+    r = random.Random(seed)
+    parts = ["ta", "lo", "mir", "sé", "gan", "ou", "fel", "ba", "ñu", "ke"]
+    return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) + r.choice(["", "", "", ".", ","]) for _ in range(n))
+
+
+def rows() -> list[tuple]:
+    shared = prose(1000, 90)
+    texts = [prose(i, 60 + 7 * i) for i in range(12)]
+    texts[3] = texts[2]
+    texts[4] = texts[2].replace("ta", "lo", 1)
+    texts[5] += " " + shared
+    texts[6] = shared + " " + texts[6]
+    texts[7] = texts[7][:50] + shared[:300] + texts[7][50:]
+    texts[8] = "de " * 400
+    texts[9] = prose(77, 9000)
+    out = [(i, t) for i, t in enumerate(texts)]
+    out += [(20, None), (21, ""), (22, " \t\n"), (23, "x"), (24, "▁ é😀\x00 ¡A-Z! <|endoftext|>"), (None, texts[0]), (None, None)]
+    out += [(30, prose(30, 80))] * 2  # a repeated row
+    out += [(31, prose(31, 50)), (31, texts[10])]  # one id, two texts
+    return [(i, t, *["x"] * 9) for i, t in out]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def pairs() -> list[tuple]:
+    return [(r[0], r[1]) for r in rows()]

@@ -237,9 +237,10 @@ class Tree:
         return out.astype(np.float32)
 
 
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> bytes:
+def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST, minimum: int = 2) -> bytes:
     """The tree of all rows of ``docs``, pickled. Spark adds up the counts; one task, which gets
-    the kept contexts only (a bounded number of rows), builds the tree."""
+    the kept contexts only (a bounded number of rows), builds the tree.
+    minimum: bytes that a context needs in any case."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     grams = common.map_arrow(rows, lambda batches: _gram_counts(batches, depth), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = common.stored(spark, grams, "grams")
@@ -250,7 +251,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
             mask = (1 << 8 * (d + 1)) - 1
             grams = common.stored(spark, grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
         context = F.shiftrightunsigned("gram", 8)
-        often = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= max(2, least * total))
+        often = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= max(minimum, least * total))
         # a kept context's shorter contexts are kept too: their counts are no smaller
         mine = (grams.join(often, context == F.col("context"), "left_semi") if d else grams).withColumn("d", F.lit(d))
         kept = mine if kept is None else kept.unionByName(mine)

@@ -34,7 +34,6 @@ from .components import components
 
 PIVOTS = 16
 CHUNK = 16384
-_BITS = [np.uint64(1) << np.uint64(i) for i in range(64)]
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -171,12 +170,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # one row for each fingerprint, named by its smallest id
     distinct = common.stored(spark, marks.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     named = distinct.select("fp")
-    found = components(spark, links(spark, named, max_bits))
+    # an id on rows of different texts links their fingerprints
+    split = marks.where("id is not null").groupBy("id").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u != v").select("id", "u")
+    same_id = marks.join(split, "id").select("u", F.col("fp").alias("v"))
+    found = components(spark, links(spark, named, max_bits).unionByName(same_id))
     classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     classes = classes.withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = classes.join(least, "component").select("fp", "component_id")
-    # an id on several rows links their fingerprints; a hot fingerprint is split by the skew join
+    # a hot fingerprint is split by the skew join
     out = marks.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
     return out
 

@@ -164,8 +164,7 @@ def parse(rows: DataFrame) -> DataFrame:
 def export_files(spark: SparkSession, folder: str, out: str) -> None:
     """Write the records as WARC text files, one for each partition: header, block, two line ends."""
     block = F.when(F.col("header").cast("string").contains("WARC-Type: response"), F.col("payload").cast("string")).otherwise("")
-    records(spark, folder).select(F.concat(F.col("header").cast("string"), block, F.lit(LINE + LINE)).alias("value")).write.option(
-        "lineSep", "").text(out)
+    records(spark, folder).select(F.concat(F.col("header").cast("string"), block).alias("value")).write.option("lineSep", LINE + LINE).text(out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
