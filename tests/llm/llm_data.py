@@ -1,6 +1,9 @@
+"""Data, fixtures and brute-force helpers of these tests (no conftest.py: that name is taken one folder up)."""
+
 import random
 
 import pytest
+import xxhash
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()),
@@ -44,3 +47,29 @@ def no_docs(spark):
 
 def pairs() -> list[tuple]:
     return [(r[0], r[1]) for r in rows()]
+
+
+def brute_bits(text, shingle=4):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(marks, max_bits):
+    """The least id that each row reaches; rows of one id are one node."""
+    group = list(range(len(marks)))
+    changed = True
+    while changed:
+        changed = False
+        for a, (i, x) in enumerate(marks):
+            for b, (j, y) in enumerate(marks):
+                if group[a] != group[b] and ((x ^ y).bit_count() <= max_bits or i is not None and i == j):
+                    group[a] = group[b] = min(group[a], group[b])
+                    changed = True
+    least = {}
+    for g, (i, _) in zip(group, marks):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return [least.get(g) for g in group]

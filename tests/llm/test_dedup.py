@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest_llm import brute_bits, brute_components, pairs, prose
+from llm_data import brute_bits, brute_components, docs, no_docs, pairs, prose  # noqa: F401
 
 from urlscope.llm import decontaminate, simhash, suffix_array
 from urlscope.llm.components import components

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest_llm import pairs, prose
+from llm_data import docs, no_docs, pairs, prose  # noqa: F401
 from pyspark import cloudpickle
 
 from urlscope.llm import ctw, imatch, lattice, quality, tokens, toxicity, warc

@@ -126,10 +126,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 def _collapsed(text, pos, key, ctx, right, window: int):
     """(rows to keep, (text, start, end) of merged spans): anchors with equal surroundings are repeats of each
     other whatever else there is; one of them goes on, their spans are known."""
+    if not len(key):
+        return np.zeros(0, np.int64), (text, pos, pos)
     order = np.lexsort((pos, text, ctx, key))
     k, c = key[order], ctx[order]
     same = np.append(False, (k[1:] == k[:-1]) & (c[1:] == c[:-1]))
-    twice = order[same | np.append(same[1:], False)] if len(order) else order
+    twice = order[same | np.append(same[1:], False)]
     twice = twice[np.lexsort((pos[twice], text[twice]))]
     start, end, t = pos[twice] - np.minimum(pos[twice], window - 1), pos[twice] + right[twice], text[twice]
     keep = np.sort(order[~same])
