@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB twin at sf0.01 (the driver's correctness gate)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -16,7 +18,8 @@ def con():
 
 
 def test_every_query_is_registered_with_a_twin_or_is_ml():
-    rows_only = set(QUERIES) - set(ORACLE)
+    # op1_... to op10_... and the pipeline have their own tests
+    rows_only = {k for k in set(QUERIES) - set(ORACLE) if k != "pipeline" and not re.match(r"op\d+_", k)}
     assert rows_only <= {"train_gbt", "train_forest", "train_text", "feature_importance", "score_batch",
                          "model_then_rules", "save_model"}
 
