@@ -3,13 +3,13 @@
 1. Every word of a document that stands in the benchmark at all is a posting (term, document,
    position). Postings are written in segments, each sorted by term, so a term's list is a
    range that the Parquet statistics find.
-2. A test window is ``WINDOW`` consecutive words of an item (a shorter item is one window). Its
-   rarest term, by the number of postings over all documents, is its seed: every place where
-   the window occurs has a posting of the seed. Shifted back by the seed's place in the item, a
-   posting names an alignment of item and document.
-   The lists of the next two rarest terms, shifted likewise, leave the alignments on which all three agree.
+2. A test window is ``WINDOW`` consecutive words of an item (a shorter item is one window). The rarest of
+   its terms, by the number of postings over all documents, is its seed (of those with a follower
+   in the window): every place where the window occurs has a posting of the seed. Shifted back by the
+   seed's place in the item, a posting names an alignment of item and document. A posting holds the
+   term behind it too, so the seed's list and its follower's are intersected as the first is read.
 3. Around the seeds of each alignment that is left the words of the item are expected at known positions;
-   these are intersected with the documents' words. A run of matching
+   these offset-adjusted lists are intersected with the documents' words. A run of matching
    words as long as a window is an occurrence, and every word in it is hit.
 
 The rarest terms cut the work down before any long list is touched; nothing is left out, as a
@@ -58,7 +58,8 @@ class Index:
     """Postings of documents for the terms of a benchmark.
 
     items: (b, item_id, n, at, word, t) one row for each word of each item; t numbers the terms.
-    postings: (t, doc_id, h, n_words, pos); t = -1 stands once for each document, at position -1.
+    postings: (t, doc_id, h, n_words, pos, next); next is the term of the word behind, -2 if that is no
+    term; t = -1 stands once for each document, at position -1.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -74,9 +75,13 @@ class Index:
         # the empty word stands for the document itself
         marks = terms.unionByName(spark.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("t")))
         words = self._keyed().select("doc_id", "h", words_of(F.col("text")).alias("words"))
-        words = words.select("doc_id", "h", F.size("words").alias("n_words"),
-                             F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "word"))
-        postings = words.join(_small(marks, self.n_terms + 1), "word").select("t", "doc_id", "h", "n_words", (F.col("pos") - 1).alias("pos"))
+        none = F.array(F.lit(None).cast("string"))
+        pairs = F.arrays_zip(F.concat(F.array(F.lit("")), "words").alias("word"), F.concat("words", none).alias("follower"))
+        words = words.select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode(pairs).alias("pos", "pair"))
+        words = words.select("doc_id", "h", "n_words", "pos", "pair.word", "pair.follower")
+        followers = terms.select(F.col("word").alias("follower"), F.col("t").alias("next"))
+        postings = (words.join(_small(marks, self.n_terms + 1), "word").join(_small(followers, self.n_terms), "follower", "left")
+                    .select("t", "doc_id", "h", "n_words", (F.col("pos") - 1).alias("pos"), F.coalesce("next", F.lit(-2)).alias("next")))
         self.postings = common.stored(spark, postings.sortWithinPartitions("t", "doc_id", "h", "pos"), "postings")
 
     def _keyed(self) -> DataFrame:
@@ -101,30 +106,17 @@ class Index:
         return spread.join(cells, ["b", "at"]).withColumn("rank", rank).withColumn("least", least).where("least > 0").drop("least")
 
     def _aligned(self, window: int) -> DataFrame:
-        """(doc_id, h, b, seed, shift): alignments where the rarest and the next two rarest terms of a window
-        stand at their places: the lists of the first, intersected with those of the others."""
-        ranked = common.stored(self.spark, self.ranked(window).where("rank <= 3").select("b", "ws", "size", "rank", "at", "t"), "ranked")
-        first = ranked.where("rank = 1").select("b", "ws", F.col("at").alias("seed"), "t", "size")
-        found = None
-        for rank in (1, 2, 3):
-            cells = ranked.where(F.col("rank") == rank).select("b", "at", "t").distinct()
-            cells = _small(cells, cells.count())
-            lists = self.postings.join(cells, "t").select("doc_id", "h", "b", "at", (F.col("pos") - F.col("at")).alias("shift"))
-            if found is None:
-                found = lists.withColumnRenamed("at", "seed")
-            else:
-                # which places a seed's windows want of this rank; windows without one stay as they are
-                wants = (first.join(ranked.where(F.col("rank") == rank).select("b", "ws", "at"), ["b", "ws"])
-                         .select("b", "seed", "at").distinct())
-                lists = lists.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "b", "at", "shift").distinct()
-                met = found.join(_small(wants, self.n_cells), ["b", "seed"]).alias("x").join(
-                    lists.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.shift") == F.col("y.shift"))
-                    & (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("id"))).select(
-                    "doc_id", "h", F.col("x.b").alias("b"), "seed", F.col("x.shift").alias("shift"))
-                short = first.where(F.col("size") < rank).select("b", "seed").distinct()
-                found = met.unionByName(found.join(_small(short, self.n_cells), ["b", "seed"]).select(*met.columns)).distinct()
-            found = common.stored(self.spark, found, "alignments")
-        return found
+        """(doc_id, h, b, seed, shift): alignments where a window's seed and the word behind it stand at their places."""
+        ranked = self.ranked(window)
+        # the rarest term that has a follower in its window; windows of one word have none to ask for
+        last = (F.col("at") == F.col("ws") + F.col("size") - 1) & (F.col("size") > 1)
+        seeds = ranked.where(~last).groupBy("b", "ws", "size").agg(F.min_by(F.struct("at", "t"), "rank").alias("x"))
+        behind = self.items.select("b", (F.col("at") - 1).alias("at"), F.col("t").alias("wanted"))
+        seeds = (seeds.select("b", "size", "x.at", "x.t").distinct().join(behind, ["b", "at"], "left")
+                 .select("b", "at", "t", F.when(F.col("size") > 1, F.col("wanted")).alias("wanted")).distinct())
+        seeds = common.stored(self.spark, seeds, "seeds")
+        lists = self.postings.join(_small(seeds, seeds.count()), "t").where("wanted is null or wanted = next")
+        return common.stored(self.spark, lists.select("doc_id", "h", "b", F.col("at").alias("seed"), (F.col("pos") - F.col("at")).alias("shift")), "alignments")
 
     def phrases(self, window: int = WINDOW) -> DataFrame:
         """(doc_id, h, b, lo, hi): maximal runs of words that belong to occurrences of windows of item b."""
@@ -138,12 +130,15 @@ class Index:
         wanted = found.select("doc_id", "h", "b", "shift", "seed").join(_small(near, n_near), ["b", "seed"])
         wanted = (wanted.withColumn("pos", F.col("shift") + F.col("at")).where("pos >= 0")
                   .select("doc_id", "h", "pos", "word", "b", "shift", "at").distinct())
-        some = found.select(F.col("doc_id").alias("id"), F.col("h").alias("g")).distinct()
-        docs = self._keyed().join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")), "left_semi")
-        words = docs.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
         # null ids stand under an own key, so that plain equality joins them
         key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.col("h"))
-        hit = (wanted.withColumn("key", key).join(words.select(key.alias("key"), "pos", "word"), ["key", "pos", "word"]).drop("key"))
+        wanted = (wanted.withColumn("key", key).groupBy("key")
+                  .agg(F.first("doc_id").alias("id"), F.collect_list(F.struct("pos", "word", "b", "shift", "at")).alias("cells")))
+        docs = self._keyed().select(key.alias("key"), "text").join(wanted, "key")
+        # one row for each key; the aggregate also keeps a text from being split for every cell again
+        docs = docs.groupBy("key").agg(F.first(words_of(F.col("text"))).alias("words"), F.first("id").alias("doc_id"), F.first("cells").alias("cells"))
+        there = F.filter("cells", lambda c: F.get("words", c["pos"].cast("int")) == c["word"])
+        hit = docs.select("doc_id", F.col("key.h").alias("h"), F.explode(there).alias("c")).select("doc_id", "h", "c.*")
         # islands of consecutive words of one alignment; at most an item's words in a group
         island = F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "h", "b", "shift").orderBy("at"))
         runs = (hit.withColumn("island", island).groupBy("doc_id", "h", "b", "shift", "island")
