@@ -10,7 +10,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_data import docs, no_docs, pairs, prose  # noqa: F401
-from pyspark import cloudpickle
 
 from urlscope.llm import ctw, imatch, lattice, quality, tokens, toxicity, warc
 
@@ -247,7 +246,7 @@ def brute_tree(texts, depth):
 def test_tree_against_the_definition(spark):
     texts = [b"abracadabra", b"Abra abra", b"cad cab"]
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    tree = cloudpickle.loads(ctw.train(spark, df, depth=2, least=0.0, minimum=1))
+    tree = ctw.load(ctw.train(spark, df, depth=2, least=0.0, minimum=1))
     want = brute_tree(texts, 2)
     for c in (b"ab", b"ra", b"\0a", b"zz", b"a ", b"br", b"qa"):
         codes = np.array([int.from_bytes(c, "big") << 8 | b for b in range(256)], np.uint64)
@@ -258,7 +257,7 @@ def test_tree_against_the_definition(spark):
 
 def test_contexts_that_are_not_kept(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["abracadabra", "abra abra", "cad cab"])], "doc_id bigint, text string")
-    tree = cloudpickle.loads(ctw.train(spark, df, depth=2, least=0.08))
+    tree = ctw.load(ctw.train(spark, df, depth=2, least=0.08))
     assert 0 < tree.contexts[2].used.sum() < 12
     for c in (b"ab", b"ra", b"zz", b"a "):
         codes = np.array([int.from_bytes(c, "big") << 8 | b for b in range(256)], np.uint64)
@@ -268,7 +267,7 @@ def test_contexts_that_are_not_kept(spark):
 def test_one_context_against_the_definition(spark):
     texts = [b"ababababab"] * 4
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    tree = cloudpickle.loads(ctw.train(spark, df, depth=1, least=0.0))
+    tree = ctw.load(ctw.train(spark, df, depth=1, least=0.0))
     want = brute_tree(texts, 1)
     for c in (b"a", b"b", b"\0"):
         codes = np.array([c[0] << 8 | b for b in range(256)], np.uint64)
@@ -284,7 +283,7 @@ def test_scores(spark, docs, least_word, monkeypatch):
     counts = Counter(w for i, t in pairs() if i is None or i < 25 for w in [*(t or "").encode().lower().split(), b""])
     n, v = sum(counts.values()), len(counts)
     want = Counter()
-    loaded = cloudpickle.loads(tree)
+    loaded = ctw.load(tree)
     for i, t in pairs():
         raw = (t or "").encode()
         own = [*raw.lower().split(), b""]

@@ -74,3 +74,20 @@ def crc_remainder(doc_id, n: int) -> int:
 
 def crc_column(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % n
+
+
+def open_folder(folder: str):
+    """(file system, path) for reads and writes within tasks: a URI, or a plain path of a local run."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+
+
+def write_whole(folder: str, name: str, data: bytes) -> None:
+    """Write a file under a name of the task's attempt, then rename it: a task run twice does no harm."""
+    from pyspark import TaskContext
+    system, path = open_folder(folder)
+    system.create_dir(path, recursive=True)
+    own = f"{path}/{name}.{TaskContext.get().taskAttemptId()}"
+    with system.open_output_stream(own) as f:
+        f.write(data)
+    system.move(own, f"{path}/{name}")

@@ -237,9 +237,9 @@ class Tree:
         return out.astype(np.float32)
 
 
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST, minimum: int = 2) -> bytes:
-    """The tree of all rows of ``docs``, pickled. Spark adds up the counts; one task, which gets
-    the kept contexts only (a bounded number of rows), builds the tree.
+def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST, minimum: int = 2) -> str:
+    """The tree of all rows of ``docs``: the shared folder it is written to. Spark adds up the counts; one
+    task, which gets the kept contexts only (a bounded number of rows), builds the tree.
     minimum: bytes that a context needs in any case."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     grams = common.map_arrow(rows, lambda batches: _gram_counts(batches, depth), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -264,9 +264,20 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
             own = gram[d == k].view(np.uint64)
             order = np.argsort(own)
             levels.append((own[order], n[d == k][order]))
-        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(Tree(levels))], pa.binary())], ["tree"])
+        common.write_whole(folder, "tree", cloudpickle.dumps(Tree(levels)))
+        yield pa.RecordBatch.from_arrays([pa.array([len(gram)], pa.int64())], ["grams"])
 
-    return bytes(kept.select("d", "gram", "n").repartition(1).mapInArrow(build, "tree binary").first()["tree"])
+    from urlscope.session import scratch_path  # here, as task functions take this module along by value
+
+    folder = scratch_path(spark, "tree")
+    kept.select("d", "gram", "n").repartition(1).mapInArrow(build, "grams bigint").collect()
+    return folder
+
+
+def load(folder: str) -> Tree:
+    system, path = common.open_folder(folder)
+    with system.open_input_file(f"{path}/tree") as f:
+        return cloudpickle.loads(f.read())
 
 
 # ---- words -----------------------------------------------------------------------------
@@ -292,18 +303,18 @@ def word_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text") ->
 
 # ---- scores ----------------------------------------------------------------------------
 
-def score_documents(spark: SparkSession, docs: DataFrame, tree: bytes, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") >= LEAST_WORD * total).collect()}
-    # the tree's class goes along by value, as the tasks' functions do
-    sent = spark.sparkContext.broadcast((tree, hot))
+    hot = words.where(F.col("c") >= LEAST_WORD * total).toArrow()
+    sent = spark.sparkContext.broadcast((hot["word"].to_pylist(), np.log10(hot["c"].to_numpy() + 1.0)))
+    folder = tree
 
     def run(batches):
         from pyspark import TaskContext
-        tree, hot = cloudpickle.loads(sent.value[0]), sent.value[1]
+        tree = load(folder)
         # the value of a word's count, so that a token costs one lookup
-        value = {w: math.log10(c + 1) for w, c in hot.items()}
+        value = dict(zip(sent.value[0], sent.value[1].tolist()))
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = common.utf8_lists(b, "text")

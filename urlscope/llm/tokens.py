@@ -217,12 +217,6 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 # ---- writing and reading ---------------------------------------------------------------
 
-def _open_folder(folder: str):
-    """(file system, path): a URI, or a plain path of a local run."""
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
-
-
 def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
                 text_col: str = "text", end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write the files and return (file_no, path, n_docs, n_tokens, start): one row a file, in id order.
@@ -247,19 +241,13 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: st
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("file_no")).sortWithinPartitions("file_no", "id", F.crc32("ids"))
 
     def write(batches):
-        from pyspark import TaskContext
         file_no, parts = None, []
 
         def flush():
             ids = np.concatenate([p[0] for p in parts])
             lengths = np.concatenate([p[1] for p in parts])
             data = pack(ids, lengths, np.concatenate([p[2] for p in parts]))
-            system, path = _open_folder(folder)
-            system.create_dir(path, recursive=True)
-            name = f"{path}/tokens-{file_no:06d}.dac"
-            with system.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}") as f:
-                f.write(data)
-            system.move(f"{name}.{TaskContext.get().taskAttemptId()}", name)
+            common.write_whole(folder, f"tokens-{file_no:06d}.dac", data)
             return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int32()), pa.array([f"{folder}/tokens-{file_no:06d}.dac"]),
                                                pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())],
                                               ["file_no", "path", "n_docs", "n_tokens"])
@@ -295,7 +283,7 @@ def read_files(listed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
-                system, at = _open_folder(path)
+                system, at = common.open_folder(path)
                 with system.open_input_file(at) as f:
                     reader = Reader(lambda offset, size: f.read_at(size, offset))
                     ids, ends = reader.documents()
