@@ -45,7 +45,7 @@ _WORD = re.compile(r" *[^ ]+| +")
 #: Factor for each character, which cancels out: about the usual weight of a piece to the power -1 / its length.
 PER_CHAR = 12.0
 #: States that a worker keeps filtered.
-_KEPT = 4_000_000
+_KEPT = 2_000_000
 _BLANK = np.uint64(ord(BLANK))
 #: Factors of the characters in a string's hash, the last character's first.
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], np.uint64)
@@ -93,8 +93,8 @@ class Lattice:
     def clear(self):
         self.words, self.n_states, self.n_edges = {}, 0, 0
         # of a state: where its edges begin; of an edge: cumulative share, id, state before it (-1: the word's start)
-        self.first, self.share = np.zeros(1 << 16, np.int32), np.zeros(1 << 17)
-        self.id, self.before = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32)
+        self.first, self.share = np.zeros(1 << 16, np.int32), np.zeros(1 << 17, np.float32)
+        self.id, self.before = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32)
 
     def cut(self, text: str) -> list[str]:
         """The text in runs that no piece spans."""
