@@ -45,7 +45,7 @@ _WORD = re.compile(r" *[^ ]+| +")
 #: Factor for each character, which cancels out: about the usual weight of a piece to the power -1 / its length.
 PER_CHAR = 12.0
 #: States that a worker keeps filtered.
-_KEPT = 2_000_000
+_KEPT = 1_000_000
 _BLANK = np.uint64(ord(BLANK))
 #: Factors of the characters in a string's hash, the last character's first.
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], np.uint64)
