@@ -133,3 +133,45 @@ def test_display_cut(spark):
     df = spark.createDataFrame([("x" * 60,), ("y" * 61,)], "url string")
     got = [r.d for r in df.select(A.display_url("url").alias("d")).collect()]
     assert got == ["x" * 60, "y" * 60 + "..."]
+
+
+# --- whole inputs and in-place sampling ------------------------------------------------------
+
+def test_split_keeps_repeated_keys_and_null_labels(spark):
+    from urlscope.operators import sampling as M
+    rows = [(i % 20, None if i % 4 == 0 else "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "k int, type string")
+    out = M.stratified_split(df, "k").collect()
+    assert len(out) == 80
+    for label in (None, "a", "b"):
+        mine = [r for r in out if r["type"] == label]
+        assert sum(r["split"] == "test" for r in mine) == len(mine) * 20 // 100
+    assert M.stratified_sample(df, 20, "k", floor=3).filter("type is null").count() == 5
+    plan = M.stratified_split(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") <= 4
+
+
+def test_format_comes_from_all_lines(spark, tmp_path):
+    from urlscope.sources import files as S
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("url;type\n" + "a.com;x\n" * 3)
+    (tmp_path / "in/b.txt").write_text("c.com;benign\n\n" + '"d;e";y\n' * 4 + "a;b;c\n")
+    got = sorted(tuple(r) for r in S.read_raw_urls(spark, str(tmp_path / "in")).collect())
+    assert got == sorted([("a.com", "x")] * 3 + [("c.com", "benign")] + [("d;e", "y")] * 4)
+    assert [tuple(r) for r in S.rejected_lines(spark, str(tmp_path / "in")).collect()] == [("a;b;c", 1)]
+    (tmp_path / "none.txt").write_text("\n \n")
+    assert S.read_raw_urls(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_empty_store_falls_back(spark, tmp_path):
+    from urlscope.sources import files as S
+    (tmp_path / "store").mkdir()
+    (tmp_path / "raw.csv").write_text("url,type\na.com,x\n")
+    assert S.with_fallback_source(spark, str(tmp_path / "store"), str(tmp_path / "raw.csv")).count() == 1
+
+
+def test_matrix_with_null_predictions(spark):
+    from urlscope.operators import ml as ML
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", None)], "type string, prediction string")
+    got = {(r["label"], r["prediction"]): r["cnt"] for r in ML.confusion_matrix(df).collect()}
+    assert got == {("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0}

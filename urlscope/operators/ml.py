@@ -49,7 +49,7 @@ def scale_exact(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def _front(features: list[str], scale: bool = True) -> list:
     stages = [StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc",
-                            handleInvalid="keep"),
+                            handleInvalid="skip"),
               VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
@@ -79,7 +79,7 @@ def train_text(train: DataFrame, url: str = "url", n: int = 3, num_features: int
                max_iter: int = 100, reg: float = 0.0) -> PipelineModel:
     """Classifier on the raw URL text: character n-grams → hashed TF → IDF → multinomial LR."""
     stages = [
-        StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
         RegexTokenizer(inputCol=url, outputCol="_chars", pattern="", gaps=True, toLowercase=True, minTokenLength=1),
         NGram(n=n, inputCol="_chars", outputCol="_grams"),
         HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=num_features),
@@ -95,8 +95,11 @@ def labels_of(model: PipelineModel) -> list[str]:
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Apply a model; ``prediction`` is the label string again (IndexToString)."""
-    out = model.transform(df)
+    """Apply a model; ``prediction`` is the label string again (IndexToString).
+
+    The label indexer only serves the fit (null labels are skipped there): rows of any label are scored.
+    """
+    out = PipelineModel(model.stages[1:]).transform(df)
     back = IndexToString(inputCol="prediction_idx", outputCol="prediction", labels=labels_of(model))
     return back.transform(out)
 
@@ -131,18 +134,22 @@ def accuracy(pairs: DataFrame, label: str = "type", prediction: str = "predictio
     return pairs.agg(F.avg(hit).alias("accuracy"))
 
 
+def pair_counts(pairs: DataFrame, label: str = "type", prediction: str = "prediction") -> DataFrame:
+    """(label, prediction, cnt): the one aggregate that the report and the matrix are made of."""
+    return pairs.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def classification_report(pairs: DataFrame, label: str = "type", prediction: str = "prediction") -> DataFrame:
     """Per-class precision, recall, F1, support, then accuracy, macro and weighted rows.
 
-    Zero divisions give 0. One aggregate pass per side, then a join of two per-class tables.
+    Zero divisions give 0. The rows are scored and counted once; each count then stands once for
+    its label and once for its prediction, in a table of classes squared.
     """
-    truth = pairs.groupBy(F.col(label).alias("class")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum(F.when(F.col(label) == F.col(prediction), 1).otherwise(0)).alias("tp"))
-    pred = pairs.groupBy(F.col(prediction).alias("class")).agg(F.count(F.lit(1)).alias("predicted"))
-    per = truth.join(pred, "class", "full_outer").select(
-        "class", F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
-        F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("cnt")).otherwise(F.lit(0))
+    sides = F.array(F.struct(F.col("label").alias("class"), F.col("cnt").alias("support"), hit.alias("tp"), F.lit(0).cast("bigint").alias("predicted")),
+                    F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("support"), F.lit(0).cast("bigint").alias("tp"), F.col("cnt").alias("predicted")))
+    per = (pair_counts(pairs, label, prediction).select(F.explode(sides).alias("s")).select("s.*").groupBy("class")
+           .agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")]))
     p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted").cast("double")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     per = per.withColumns({"precision": p, "recall": r})
@@ -168,25 +175,17 @@ def classification_report(pairs: DataFrame, label: str = "type", prediction: str
     return per.drop("tp").unionByName(summary)
 
 
-def confusion_matrix(pairs: DataFrame, classes: list[str], label: str = "type",
-                     prediction: str = "prediction") -> DataFrame:
-    """Long-form matrix over ``classes`` × ``classes``, absent pairs counted 0.
+def confusion_matrix(pairs: DataFrame, label: str = "type", prediction: str = "prediction") -> DataFrame:
+    """Long-form matrix over all classes that occur on either side, absent pairs counted 0.
 
-    The grid is built by exploding two literal arrays (the class list is tiny), the counts by
-    one aggregate; a left join fills the zeros.
+    The classes come from the pair counts, so the rows are scored once; nothing is collected.
     """
-    spark = pairs.sparkSession
-    arr = F.array(*[F.lit(c) for c in classes])
-    grid = (spark.range(1).select(F.explode(arr).alias("label"))
-            .select("label", F.explode(arr).alias("prediction")))
-    counts = pairs.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    return grid.join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
-
-
-def class_list(pairs: DataFrame, label: str = "type", prediction: str = "prediction") -> list[str]:
-    """Sorted union of labels and predictions (bounded by the number of classes)."""
-    vals = (pairs.select(F.col(label).alias("c")).union(pairs.select(F.col(prediction).alias("c")))
-            .distinct().orderBy("c").collect())
-    return [r["c"] for r in vals if r["c"] is not None]
+    counts = pair_counts(pairs, label, prediction)
+    classes = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("label", "prediction")))))
+    # one row: the classes and the counts by pair
+    whole = counts.agg(F.filter(classes, lambda c: c.isNotNull()).alias("classes"),
+                       F.map_from_entries(F.collect_list(F.struct(F.struct("label", "prediction").alias("k"), "cnt"))).alias("by_pair"))
+    cells = whole.select("classes", "by_pair", F.explode("classes").alias("label"))
+    cells = cells.select("by_pair", "label", F.explode("classes").alias("prediction"))
+    found = F.try_element_at("by_pair", F.struct("label", "prediction"))
+    return cells.select("label", "prediction", F.coalesce(found, F.lit(0)).cast("bigint").alias("cnt"))

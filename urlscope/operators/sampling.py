@@ -2,13 +2,13 @@
 
 Random order is ``md5(seed || '|' || key)``: stable across runs, engines and partitionings.
 
-``smallest_k_per_group`` is the core. It keeps, per group, the rows with the k smallest hashes
+``flag_smallest_k`` is the core. It marks, per group, the rows with the k smallest hashes
 without ever sorting a whole group in one task (a hot label may hold a third of all rows):
 
 1. rows are counted per (group, 5-hex-digit hash prefix) - a partial aggregate, at most
    about a million buckets per group;
 2. a window over those bucket counts finds, per group, the bucket where the k-th row falls;
-3. rows in earlier buckets are kept outright, and only rows of the boundary bucket
+3. rows in earlier buckets are in, rows in later ones out, and only rows of the boundary bucket
    (about 1/1,048,576 of the group) are ranked by a window.
 """
 
@@ -28,43 +28,46 @@ def hash_order(key: Column | str, seed: str = "42") -> Column:
     return F.md5(F.concat(F.lit(seed), F.lit("|"), k.cast("string")))
 
 
-def smallest_k_per_group(df: DataFrame, group: Column, h: Column, alloc: DataFrame | int) -> DataFrame:
-    """Rows of ``df`` whose hash ``h`` is among the ``alloc`` smallest of their ``group``.
+def flag_smallest_k(df: DataFrame, group: Column, h: Column, alloc: DataFrame | int) -> DataFrame:
+    """``df`` with ``_in``: whether the row's hash ``h`` is among the ``alloc`` smallest of its ``group``.
 
-    ``alloc`` is an int (same k everywhere) or a ``(_g, _k)`` table with one row per group.
-    Ties in ``h`` are broken by the full row order of ``h`` only (md5 of distinct keys).
+    ``alloc`` is an int (same k everywhere) or a ``(_g, _k)`` table with one row per group; null is
+    a group like any other. Rows stay as they are: a repeated key is as many rows as before, and
+    of rows with equal hashes at the edge as many are taken as fit.
     """
     base = df.withColumns({"_g": group, "_h": h}).withColumn("_b", F.substring("_h", 1, PREFIX_DIGITS))
     buckets = base.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bc"))
     if isinstance(alloc, int):
         buckets = buckets.withColumn("_k", F.lit(alloc).cast("bigint"))
     else:
-        buckets = buckets.join(alloc, "_g")
+        alloc = alloc.withColumnRenamed("_g", "_ag")
+        buckets = buckets.join(alloc, F.col("_g").eqNullSafe(F.col("_ag"))).drop("_ag")
     w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = buckets.withColumn("_cum", F.sum("_bc").over(w)).withColumn("_before", F.col("_cum") - F.col("_bc"))
-    # Per group: buckets entirely inside the sample, and the one boundary bucket.
-    cut = (buckets.filter(F.col("_before") < F.col("_k"))
-           .groupBy("_g").agg(F.max("_b").alias("_edge"), F.max_by("_before", "_b").alias("_edge_before"),
-                              F.first("_k").alias("_k")))
+    # Per group: the buckets entirely inside the sample, and the one boundary bucket.
+    cut = (buckets.filter((F.col("_before") < F.col("_k")) | (F.col("_before") == 0)).groupBy("_g")
+           .agg(F.max("_b").alias("_edge"), F.max_by("_before", "_b").alias("_edge_before"), F.first("_k").alias("_k")))
     rn = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
     drop = ["_g", "_h", "_b", "_edge", "_edge_before", "_k"]
     if isinstance(alloc, int):
         # One group: the cut is a single row, used as three literals (no join at all).
         c = cut.first()
         if c is None:
-            return base.filter(F.lit(False)).drop(*[x for x in drop if x in base.columns])
-        inside = base.filter(F.col("_b") < F.lit(c["_edge"]))
-        edge = base.filter(F.col("_b") == F.lit(c["_edge"]))
-        edge = edge.withColumn("_rn", rn).filter(F.col("_rn") <= F.lit(int(c["_k"] - c["_edge_before"]))).drop("_rn")
-        return inside.unionByName(edge).drop(*[x for x in drop if x in base.columns])
-    # ``cut`` has one row per group (groups are labels here), so it is broadcast and the
-    # row side keeps its partitioning: a hot group is never funnelled into one task.
-    joined = base.join(F.broadcast(cut), "_g")
-    inside = joined.filter(F.col("_b") < F.col("_edge"))
-    edge = joined.filter(F.col("_b") == F.col("_edge"))
-    edge = edge.withColumn("_rn", rn).filter(F.col("_rn") <= F.col("_k") - F.col("_edge_before")).drop("_rn")
-    keep = inside.unionByName(edge)
-    return keep.drop(*drop)
+            return base.withColumn("_in", F.lit(False)).drop(*drop)
+        joined = base.withColumns({"_edge": F.lit(c["_edge"]), "_edge_before": F.lit(c["_edge_before"]), "_k": F.lit(c["_k"])})
+    else:
+        # one row per group; Spark broadcasts it while it is small
+        cut = cut.withColumnRenamed("_g", "_cg")
+        joined = base.join(cut, F.col("_g").eqNullSafe(F.col("_cg"))).drop("_cg")
+    sure = joined.filter(F.col("_b") != F.col("_edge")).withColumn("_in", F.col("_b") < F.col("_edge"))
+    edge = (joined.filter(F.col("_b") == F.col("_edge"))
+            .withColumn("_in", rn <= F.col("_k") - F.col("_edge_before")))
+    return sure.unionByName(edge).drop(*drop)
+
+
+def smallest_k_per_group(df: DataFrame, group: Column, h: Column, alloc: DataFrame | int) -> DataFrame:
+    """Rows of ``df`` that ``flag_smallest_k`` marks."""
+    return flag_smallest_k(df, group, h, alloc).filter("_in").drop("_in")
 
 
 def fixed_sample(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
@@ -87,18 +90,17 @@ def stratified_split(df: DataFrame, key: str, label: str = "type", test_fraction
     """M3: ``split`` = ``test`` for the first ``floor(count * pct / 100)`` rows of each class."""
     counts = df.groupBy(F.col(label).alias("_g")).agg(F.count(F.lit(1)).alias("_c"))
     alloc = counts.select("_g", F.floor(F.col("_c") * F.lit(test_fraction_pct) / F.lit(100)).cast("bigint").alias("_k"))
-    test = smallest_k_per_group(df, F.col(label), hash_order(key, seed), alloc).select(key).withColumn("_t", F.lit(True))
-    # Anti-free labelling: left join of the (smaller) test keys back onto all rows.
-    out = df.join(test, key, "left")
-    return out.withColumn("split", F.when(F.col("_t"), F.lit("test")).otherwise(F.lit("train"))).drop("_t")
+    marked = flag_smallest_k(df, F.col(label), hash_order(key, seed), alloc)
+    return marked.withColumn("split", F.when(F.col("_in"), F.lit("test")).otherwise(F.lit("train"))).drop("_in")
 
 
 def restrict_to_sample(df: DataFrame, sample_keys: DataFrame, key: str) -> DataFrame:
     """Keep rows whose key is in the sample (left semi join).
 
-    The sample is bounded by its requested size, so it is broadcast.
+    Spark broadcasts the keys while they are below ``spark.sql.autoBroadcastJoinThreshold`` and
+    shuffles otherwise; adaptive execution looks at their real size.
     """
-    return df.join(F.broadcast(sample_keys.select(key)), key, "left_semi")
+    return df.join(sample_keys.select(key).distinct(), key, "left_semi")
 
 
 def augment_training(df: DataFrame, url: str = "url", label: str = "type") -> DataFrame:

@@ -26,15 +26,11 @@ GBT_ITER, GBT_DEPTH, FOREST_TREES, FOREST_DEPTH, TEXT_ITER = 10, 4, 20, 6, 50
 
 def _split(spark, sf):
     u = urls(spark, sf)
-    t = training_features(u)
-    s = M.stratified_split(u.select("page_id", "type"), "page_id").select("page_id", "split")
-    return t.join(s, "page_id")
+    return M.stratified_split(training_features(u), "page_id")
 
 
 def _text_split(spark, sf):
-    u = urls(spark, sf).select("page_id", "url", "type")
-    s = M.stratified_split(u.select("page_id", "type"), "page_id").select("page_id", "split")
-    return u.join(s, "page_id")
+    return M.stratified_split(urls(spark, sf).select("page_id", "url", "type"), "page_id")
 
 
 # --- L: learning ----------------------------------------------------------------------------
@@ -89,8 +85,7 @@ def classification_report(spark, sf):
 
 @query
 def confusion_matrix(spark, sf):
-    pairs = _rule_pairs(spark, sf)
-    return ML.confusion_matrix(pairs, ML.class_list(pairs))
+    return ML.confusion_matrix(_rule_pairs(spark, sf))
 
 
 @query
@@ -182,7 +177,14 @@ def write_jsonl(spark, sf):
     return back.withColumn("threat_score", r6("threat_score"))
 
 
-QUERIES["read_jsonl"] = write_jsonl
+@query
+def read_jsonl(spark, sf):
+    """Every seventh row's line is cut short; the reader's kept and dropped lines, counted."""
+    path = scratch_path(spark, "jsonl-cut")
+    u = urls(spark, sf)
+    line = F.to_json(F.struct(*u.columns))
+    u.select(F.when(F.col("page_id") % 7 == 3, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return S.jsonl_line_counts(spark, path, ENRICHED_SCHEMA)
 
 
 @query
@@ -190,7 +192,17 @@ def append_urls(spark, sf):
     path = scratch_path(spark, "appended")
     raw = urls_raw(spark, sf)
     S.append_urls(raw, path)
-    return S.append_urls(raw, path)
+    return S.append_urls(raw, path)[0]
+
+
+@query
+def append_urls_total(spark, sf):
+    """The rows a second call added, and all that are stored then."""
+    path = scratch_path(spark, "appended-total")
+    raw = urls_raw(spark, sf)
+    S.append_urls(raw, path)
+    stored, added = S.append_urls(raw, path)
+    return stored.agg(F.lit(added).alias("added"), F.count("*").alias("stored"))
 
 
 @query
@@ -213,15 +225,50 @@ def upsert_metrics(spark, sf):
 def with_fallback_source(spark, sf):
     csv = scratch_path(spark, "raw-pipe")
     S.write_raw_csv(_raw(spark, sf), csv, sep="|", header=True)
-    return S.with_fallback_source(spark, scratch_path(spark, "empty-store"), csv)
+    store = scratch_path(spark, "empty-store")
+    _raw(spark, sf).filter("false").write.parquet(store)
+    return S.with_fallback_source(spark, store, csv)
+
+
+def _untidy_folder(spark, sf):
+    """A folder of three files: one with a header, one with none, one with odd lines."""
+    path = scratch_path(spark, "raw-untidy")
+    raw = urls_raw(spark, sf)
+    part = raw.filter(F.length(F.trim("url")) > 0).select("page_id", "url", F.coalesce(F.nullif("type", F.lit("")), F.lit("none")).alias("type"))
+    S.write_raw_csv(part.filter("page_id % 3 = 0"), path, header=True)
+    S.write_raw_csv(part.filter("page_id % 3 = 1"), path, header=False, mode="append")
+    odd = part.filter("page_id % 3 = 2")
+    three = F.concat("url", F.lit("/x,y,"), "type")
+    quoted = F.concat(F.lit('"'), F.col("url"), F.lit('/a,b",'), F.col("type"))
+    odd.select(F.when(F.col("page_id") % 2 == 0, three).otherwise(quoted).alias("value")).write.mode("append").text(path)
+    return path
+
+
+@query
+def read_raw_folder(spark, sf):
+    """S1-S3 over a folder whose files differ: header rows in one file, quoted commas in another."""
+    return S.read_raw_urls(spark, _untidy_folder(spark, sf))
+
+
+@query
+def rejected_lines(spark, sf):
+    """Lines of three fields, which are neither cut nor lost."""
+    return S.rejected_lines(spark, _untidy_folder(spark, sf))
+
+
+@query
+def split_fallback_unicode(spark, sf):
+    """S3: a no-break space parts the fields."""
+    path = scratch_path(spark, "raw-nbsp")
+    _raw(spark, sf).select(F.concat_ws("\u00a0", "url", "type").alias("value")).write.text(path)
+    return S.read_raw_urls(spark, path)
 
 
 @query
 def layout_urls(spark, sf):
     path = scratch_path(spark, "layout")
     S.layout_urls(urls(spark, sf), path)
-    back = spark.read.parquet(path).filter(F.col("type") == "malware")
-    return back.select("page_id", "url", "domain", "type")
+    return spark.read.parquet(path).select("page_id", "url", "domain", "type")
 
 
 # --- W: streaming ---------------------------------------------------------------------------
@@ -229,7 +276,7 @@ def layout_urls(spark, sf):
 def _feed_folder(spark, sf):
     """Raw feed rows written as several parquet files (arrivals) into a fresh folder."""
     folder = scratch_path(spark, "feed-in")
-    url_feed(spark, sf).repartition(4, "event_id").write.mode("overwrite").parquet(folder)
+    url_feed(spark, sf).repartition("event_id").write.mode("overwrite").parquet(folder)
     return folder
 
 

@@ -570,10 +570,22 @@ reg("split_fallback", over_raw(
     f"""select regexp_extract(l, '^(\\S+)\\s+(.*)$', 1) as url, regexp_extract(l, '^(\\S+)\\s+(.*)$', 2) as type
         from (select {_LINE} as l from urls_raw) where regexp_matches(l, '^\\S+\\s+')"""))
 reg("write_jsonl", ORACLE["enrich_urls"])
-reg("read_jsonl", ORACLE["enrich_urls"])
+reg("read_jsonl", over_urls("""select count(*) as lines, count(*) filter (page_id % 7 <> 3) as good,
+        count(*) filter (page_id % 7 = 3) as bad from urls"""))
+reg("append_urls_total", over_raw("select count(*) as added, 2 * count(*) as stored from urls_raw"))
+_PART = """(select page_id, url, coalesce(nullif(type, ''), 'none') as type from urls_raw where length(trim(url)) > 0)"""
+reg("read_raw_folder", over_raw(f"""select url, type from {_PART} where page_id % 3 < 2
+        union all select url || '/a,b', type from {_PART} where page_id % 3 = 2 and page_id % 2 = 1"""))
+reg("rejected_lines", over_raw(f"""select url || '/x,y,' || type as line, count(*) as n from {_PART}
+        where page_id % 3 = 2 and page_id % 2 = 0 group by 1"""))
+_BLANKS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
+_NOT_BLANKS = "[^" + _BLANKS[1:]
+reg("split_fallback_unicode", over_raw(
+    f"""select regexp_extract(l, '^({_NOT_BLANKS}+){_BLANKS}+(.*)$', 1) as url, regexp_extract(l, '^({_NOT_BLANKS}+){_BLANKS}+(.*)$', 2) as type
+        from (select trim(concat_ws(chr(160), url, type), {WS}) as l from urls_raw) where regexp_matches(l, '^{_NOT_BLANKS}+{_BLANKS}+')"""))
 reg("append_urls", over_raw("select page_id, url, type from urls_raw union all select page_id, url, type from urls_raw"))
 reg("overwrite_result", ORACLE["counts_by_type"])
-reg("layout_urls", over_urls("select page_id, url, domain, type from urls where type = 'malware'"))
+reg("layout_urls", over_urls("select page_id, url, domain, type from urls"))
 
 reg("stream_new_urls", "WITH " + URLS_RAW.strip() + "," + URL_FEED.strip() + "\nselect event_id, url, type from url_feed")
 reg("stream_counts", over_urls("select type, count(*) as cnt from urls group by type", feed=True))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -42,12 +41,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach, and it is used as is.
-    Only when it is unset (local runs and tests) a folder of our own is set.
+    Only when it is unset on a ``local`` master (own runs and tests) a folder of our own is set; a
+    cluster without the setting is an error, as executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="urlscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -61,11 +63,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for the few driver-side existence checks on local paths."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Hadoop FileSystem existence check, so the same code works for any cluster file system."""
     jvm = spark.sparkContext._jvm
@@ -74,4 +71,4 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "exists", "local_path", "os"]
+__all__ = ["get_spark", "checkpoint_root", "scratch_path", "exists"]

@@ -1,77 +1,97 @@
 """Sources and sinks (S1-S12) over any Hadoop file system.
 
-Reading a raw ``url,type`` file: a bounded probe (at most ``PROBE_LINES`` lines) picks the
-separator and whether the first line is a header; the file itself is then read by Spark's CSV
-reader in parallel. When no separator fits, lines are split on their first tab or whitespace
-run as a column expression (S3). Writers are Spark writers: append, overwrite, partitioned.
+Reading a raw ``url,type`` file looks at every line of every file: one aggregate counts, for each
+separator, the lines that split into two fields, and the reader then parses all lines in
+parallel as column expressions. Header rows go by their value, wherever they stand, so a folder
+in which one file has a header loses no data row. Lines of more than two fields are kept in a
+reject table with their number, never cut. Writers are Spark writers: append, overwrite, partitioned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEPARATORS, WHITESPACE
 from ..functions.urlparts import py_strip
 from ..session import exists
 
-PROBE_LINES = 1000
 RAW_SCHEMA = "url string, type string"
+#: A run of what Python calls white space; Java's own class is ASCII only.
+_SPACES = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
 
 
-def _probe(spark: SparkSession, path: str) -> list[str]:
-    lines = spark.read.text(path).filter(F.length(py_strip("value")) > 0).limit(PROBE_LINES).collect()
-    return [r["value"] for r in lines]
+def _fields(line: Column, sep: str) -> Column:
+    """Quote-aware fields of a line, as an array: null for an absent field, '' for an empty one."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    row = F.from_csv(line, "a string, b string, c string", options)
+    return F.filter(F.array(row["a"], row["b"], row["c"]), lambda x: x.isNotNull())
 
 
-def detect_format(spark: SparkSession, path: str) -> tuple[str | None, bool]:
-    """(separator or None, header?) from the first non-blank lines.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).filter(F.length(py_strip("value")) > 0)
 
-    A separator fits when most probed lines split into at least two fields with it; the
-    separators are tried in the fixed order comma, tab, semicolon, pipe.
+
+def detect_format(spark: SparkSession, path: str) -> str | None:
+    """The separator, or None.
+
+    A separator fits when over half of all non-blank lines split into exactly two fields with it,
+    quotes respected; separators are tried in the fixed order comma, tab, semicolon, pipe. One
+    aggregate over all lines, five numbers to the driver.
     """
-    lines = _probe(spark, path)
-    if not lines:
-        return None, False
-    sep = None
-    for s in SEPARATORS:
-        if sum(1 for ln in lines if s in ln) * 2 > len(lines):
-            sep = s
-            break
-    header = False
-    if sep is not None:
-        first = lines[0].split(sep)
-        header = (len(first) >= 2 and first[0].strip(WHITESPACE).strip('"').lower() == "url"
-                  and first[1].strip(WHITESPACE).strip('"').lower() == "type")
-    return sep, header
+    counts = _lines(spark, path).agg(F.count("*").alias("n"), *[
+        F.count_if(F.size(_fields(F.col("value"), s)) == 2).alias(f"s{i}") for i, s in enumerate(SEPARATORS)]).first()
+    return next((s for i, s in enumerate(SEPARATORS) if counts[f"s{i}"] * 2 > counts["n"]), None)
+
+
+def _no_header(df: DataFrame) -> DataFrame:
+    """Rows whose two values are the column names go, case and blanks aside."""
+    named = (F.lower(py_strip("url")) == "url") & (F.lower(py_strip("type")) == "type")
+    return df.filter(~F.coalesce(named, F.lit(False)))
 
 
 def split_fallback(spark: SparkSession, path: str) -> DataFrame:
     """S3: skip blank lines; split once on a tab if the line has one, else on the first
-    whitespace run; keep lines with two parts."""
+    run of white space (Unicode's, as Python has it); keep lines with two parts."""
     line = py_strip("value")
-    parts = F.when(line.contains("\t"), F.split(line, "\t", 2)).otherwise(F.split(line, r"\s+", 2))
-    return (spark.read.text(path).select(parts.alias("p"))
-            .filter(F.size("p") == 2)
-            .select(F.col("p")[0].alias("url"), F.col("p")[1].alias("type")))
+    parts = F.when(line.contains("\t"), F.split(line, "\t", 2)).otherwise(F.split(line, _SPACES, 2))
+    return _no_header(spark.read.text(path).select(parts.alias("p"))
+                      .filter(F.size("p") == 2)
+                      .select(F.col("p")[0].alias("url"), F.col("p")[1].alias("type")))
 
 
-def read_raw_urls(spark: SparkSession, path: str) -> DataFrame:
-    """``url, type`` from a delimited file of unknown separator."""
-    sep, header = detect_format(spark, path)
+def _parsed(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    return _lines(spark, path).select("value", _fields(F.col("value"), sep).alias("f"))
+
+
+def read_raw_urls(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """``url, type`` from delimited text of unknown (or given) separator.
+
+    Lines of one field have a null type; lines of three or more fields are in ``rejected_lines``.
+    """
+    sep = sep or detect_format(spark, path)
     if sep is None:
         return split_fallback(spark, path)
-    return (spark.read.option("sep", sep).option("header", str(header).lower())
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-            # An empty field is the empty string (as a string-typed reader keeps it), not null;
-            # only a missing field is null.
-            .option("nullValue", "\u0000").option("emptyValue", "")
-            .schema(RAW_SCHEMA).csv(path))
+    f = F.col("f")
+    return _no_header(_parsed(spark, path, sep).filter(F.size("f") <= 2)
+                      .select(F.get(f, F.lit(0)).alias("url"), F.get(f, F.lit(1)).alias("type")))
 
 
-def write_raw_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
+def rejected_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(line, n): the lines that ``read_raw_urls`` leaves out, with how often they stand there."""
+    sep = sep or detect_format(spark, path)
+    if sep is None:
+        line = py_strip("value")
+        bad = _lines(spark, path).filter(F.size(F.when(line.contains("\t"), F.split(line, "\t", 2)).otherwise(F.split(line, _SPACES, 2))) != 2)
+    else:
+        bad = _parsed(spark, path, sep).filter(F.size("f") > 2)
+    return bad.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def write_raw_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> None:
     """Writer counterpart, keeping surrounding blanks and empty strings as they are."""
-    (df.select("url", "type").write.mode("overwrite").option("sep", sep)
+    (df.select("url", "type").write.mode(mode).option("sep", sep)
      .option("header", str(header).lower()).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .csv(path))
@@ -99,10 +119,20 @@ def read_jsonl(spark: SparkSession, path: str, schema, permissive: bool = False)
     return r.option("mode", "DROPMALFORMED").json(path)
 
 
-def append_urls(df: DataFrame, path: str) -> DataFrame:
-    """Append rows (no de-duplication); returns the table as now stored."""
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def jsonl_line_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(lines, good, bad): how many non-blank lines the JSON reader keeps and drops."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    row = F.from_json("value", schema + ", _corrupt_record string", options)
+    bad = _lines(spark, path).select(row["_corrupt_record"].isNotNull().alias("bad"))
+    return bad.agg(F.count("*").alias("lines"), F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+
+
+def append_urls(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Append rows (no de-duplication); returns the table as now stored and the number of
+    rows this call added, counted while they were written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def overwrite_result(df: DataFrame, path: str) -> DataFrame:
@@ -111,16 +141,22 @@ def overwrite_result(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def with_fallback_source(spark: SparkSession, primary: str, fallback_csv: str) -> DataFrame:
-    """The stored table when it exists and has a row, else the raw CSV."""
+def with_fallback_source(spark: SparkSession, primary: str, fallback_csv: str, schema: str = RAW_SCHEMA) -> DataFrame:
+    """The stored table when it exists and has a row, else the raw CSV.
+
+    A folder without files and a table without rows both count as empty.
+    """
     if exists(spark, primary):
-        stored = spark.read.parquet(primary)
+        stored = spark.read.schema(schema).parquet(primary)
         if stored.limit(1).count() > 0:
             return stored
     return read_raw_urls(spark, fallback_csv)
 
 
-def layout_urls(df: DataFrame, path: str, partition: str = "type", sort: str = "domain") -> None:
+def layout_urls(df: DataFrame, path: str, partition: str = "type", sort: str = "domain", files: int | None = None) -> None:
     """Partitioned by label, sorted by domain within files, so filters on the label prune
-    folders and filters on the domain skip row groups by their min/max statistics."""
-    df.repartition(partition).sortWithinPartitions(sort).write.mode("overwrite").partitionBy(partition).parquet(path)
+    folders and filters on the domain skip row groups by their min/max statistics. Ranges over
+    (label, domain) give a large label many files instead of one task."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, partition, sort).sortWithinPartitions(partition, sort)
+     .write.mode("overwrite").partitionBy(partition).parquet(path))
