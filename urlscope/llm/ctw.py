@@ -42,7 +42,7 @@ from .lookup import Lookup
 DEPTH = 6
 LEAST = 5e-6
 LEAST_WORD = 1e-6
-_CHUNK = 6_000_000
+_CHUNK = 2_000_000
 _WORDS = 300_000
 
 
@@ -105,7 +105,7 @@ def _gram_counts(batches, depth: int):
         if size > _CHUNK:
             total = _add(total, take())
             waiting, size = [], 0
-            if len(total[0]) > 4_000_000:
+            if len(total[0]) > 2_500_000:
                 yield _gram_batch(total)
                 total = empty
     total = _add(total, take()) if waiting else total
@@ -181,8 +181,8 @@ class Tree:
             ends = add + times * (weight[d] * kt + (1 - weight[d]) * end)
             sure = (add + times * weight[d] * kt, times * (1 - weight[d]))
             self.nodes.append(Lookup(keys, ends))
-        self.contexts = [Lookup(np.unique(c >> np.uint64(8)), None) for c, _ in grams]
-        self.grams = [Lookup(c, self._log_of_seen(d, c)) for d, (c, _) in enumerate(grams)]
+        self.contexts = [Lookup(np.unique(c >> np.uint64(8)), None, room=4) for c, _ in grams]
+        self.grams = [Lookup(c, self._log_of_seen(d, c), room=4) for d, (c, _) in enumerate(grams)]
 
     @staticmethod
     def _shorter(keys: np.ndarray, d: int) -> np.ndarray:
