@@ -31,7 +31,7 @@ from . import common
 _SENTENCES = common.byte_table(b"0123456789abcdefghijklmnopqrstuvwxyz\n", {c: 10 for c in b".!?"})
 
 #: Most labelled documents of each label in the fit.
-MAX_DOCS = 4000
+MAX_DOCS = 2000
 #: A word needs so many fitted documents to get a weight.
 MIN_DOCS = 5
 
@@ -73,8 +73,10 @@ def fit(vocab: dict[bytes, int], ids: np.ndarray, starts: np.ndarray, owner: np.
     doc_at = np.searchsorted(owner, np.arange(len(y)))
     # the starting point: smoothed log odds of a word's documents
     word_doc = np.unique(np.repeat(owner, lens) * (len(vocab) + 1) + ids)
-    pos = np.bincount(word_doc % (len(vocab) + 1), y[word_doc // (len(vocab) + 1)], len(vocab) + 1)
-    both = np.bincount(word_doc % (len(vocab) + 1), minlength=len(vocab) + 1)
+    word, doc = word_doc % (len(vocab) + 1), word_doc // (len(vocab) + 1)
+    del word_doc
+    pos, both = np.bincount(word, y[doc], len(vocab) + 1), np.bincount(word, minlength=len(vocab) + 1)
+    del word, doc
     n1, n = y.sum(), len(y)
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((both - pos + 0.5) / (n - n1 + 1))
     w = np.where(odds > 2, odds, 0.0)
