@@ -175,3 +175,38 @@ def test_matrix_with_null_predictions(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", None)], "type string, prediction string")
     got = {(r["label"], r["prediction"]): r["cnt"] for r in ML.confusion_matrix(df).collect()}
     assert got == {("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0}
+
+
+def test_whole_suffix_list(spark):
+    urls = ["http://bit.ly/x", "http://www.bbc.co.ke/", "http://shop.com.co/", "http://a.b.ck/", "http://www.ck/", "http://goo.gl/", "http://x.city.kawasaki.jp/", "http://a.b.kawasaki.jp/"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id int, url string, type string")
+    got = {r["url"]: (r["subdomain"], r["domain_label"], r["suffix"]) for r in resolve_suffix(df).collect()}
+    assert list(map(got.get, urls)) == [("", "bit", "ly"), ("www", "bbc", "co.ke"), ("", "shop", "com.co"), ("", "a", "b.ck"), ("", "www", "ck"),
+                                        ("", "goo", "gl"), ("x", "city", "kawasaki.jp"), ("", "a", "b.kawasaki.jp")]
+
+
+def test_too_many_rules_are_refused(spark, monkeypatch):
+    from urlscope.operators import suffix
+    monkeypatch.setattr(suffix, "MAX_RULES", 3)
+    with pytest.raises(ValueError, match="reference table"):
+        suffix.SuffixResolver(spark, suffix.rules_frame(spark, ["com", "net", "org", "edu"]))
+
+
+def test_countries_by_name_and_misspelt(spark):
+    from urlscope.operators import lookup as L
+    names = ["France", "Germny", "Japn ", "Nowhere", "", None, "fr", "Brazzil"]
+    df = spark.createDataFrame([(f"http://a{i}.com", "phishing", n) for i, n in enumerate(names)], "url string, type string, country string")
+    got = {r["country_code"]: r["cnt"] for r in L.country_counts(df).collect()}
+    assert got == {"FRA": 2, "OTHER": 6}
+    fuzzy = L.country_lookup_fuzzy(df)
+    near = {r["country"]: (r["country_code"], r["distance"]) for r in fuzzy.collect()}
+    assert near["Germny"] == ("DEU", 1) and near["Japn "] == ("JPN", 1) and near["Brazzil"] == ("BRA", 1) and near["Nowhere"] == ("OTHER", None)
+    assert "NestedLoop" not in fuzzy._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_features_without_a_shuffle(spark):
+    from conftest import SF_SMALL
+
+    from urlscope.plans.catalog import QUERIES
+    plan = QUERIES["top_features_per_url"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan

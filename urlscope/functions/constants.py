@@ -157,43 +157,6 @@ WHITESPACE_CODEPOINTS = [
 ]
 WHITESPACE = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
 
-# --- default public-suffix rules (J3) -------------------------------------------------------
-
-# A compact subset of the ICANN section of the public suffix list (private suffixes such as
-# web.app or github.io are not rules, so their suffix is the last label). "*." marks a
-# wildcard rule and "!" an exception. Callers with the full list pass it as a table.
-DEFAULT_SUFFIX_RULES = [
-    "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "mobi",
-    "app", "dev", "io", "co", "me", "tv", "cc", "ws", "ai", "xyz", "top", "club", "online",
-    "site", "work", "bid", "party", "review", "trade", "science", "space", "tech", "fun",
-    "icu", "loan", "win", "life", "stream", "download", "date", "shop", "store", "blog",
-    "cloud", "live", "news", "link", "click",
-    "tk", "ml", "ga", "cf", "gq", "ru", "cn", "in", "br", "mx", "tr", "pl", "ua", "ro",
-    "cz", "gr", "pt", "ar", "uk", "de", "fr", "it", "es", "nl", "be", "ch", "at", "se",
-    "no", "dk", "fi", "ie", "us", "ca", "au", "nz", "jp", "kr", "hk", "tw", "sg", "my",
-    "id", "ph", "th", "vn", "za", "ng", "ke", "eg", "il", "ir", "sa", "ae", "pk", "bd",
-    "by", "kz", "su", "eu", "hu", "sk", "bg", "rs", "hr", "si", "lt", "lv", "ee", "is",
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "net.uk", "ltd.uk", "plc.uk",
-    "com.au", "net.au", "org.au", "edu.au", "gov.au",
-    "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp",
-    "com.br", "net.br", "org.br", "gov.br",
-    "com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn",
-    "co.in", "net.in", "org.in", "gov.in", "ac.in",
-    "com.mx", "org.mx", "gob.mx", "com.tr", "org.tr", "gov.tr",
-    "com.pl", "net.pl", "org.pl", "com.ua", "org.ua", "com.ar", "gob.ar",
-    "co.nz", "org.nz", "co.za", "org.za", "com.sg", "com.hk", "com.tw", "co.kr", "or.kr",
-    "com.my", "co.id", "com.ph", "co.th", "com.vn", "com.eg", "co.il", "com.sa", "com.pk",
-    "com.ru", "msk.ru", "spb.ru", "com.ro", "com.gr", "com.pt",
-    "*.ck", "!www.ck",
-]
-
-# --- fixture country dimension (J2, J2b) ------------------------------------------------------
+# --- country lookup (J2b) ---------------------------------------------------------------------
 
-# (name, alias, alpha_3) rows of the test country table: NATION_0..NATION_19 map to codes,
-# NATION_18 and NATION_19 share one code, and one alias is misspelt; NATION_20..24 are absent.
-COUNTRY_DIM = (
-    [(f"NATION_{i}", f"Nation {i}", f"N{i:02d}") for i in range(18)]
-    + [("NATION_18", "Nation 18", "N18"), ("NATION_19", "Nation 19", "N18"),
-       ("NATOIN_22", "Natoin 22", "N22")]
-)
 FUZZY_MAX_DISTANCE = 2

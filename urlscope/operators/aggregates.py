@@ -93,16 +93,14 @@ def mean_of_type_means(urls: DataFrame) -> DataFrame:
 
 def table_cardinalities(urls: DataFrame) -> DataFrame:
     """A10: row counts of urls and of three derived tables, in one row per table."""
-    parts = [
-        urls.agg(F.count(F.lit(1)).alias("cnt")).select(F.lit("urls").alias("table_name"), "cnt"),
-        mal_domains(urls).agg(F.count(F.lit(1)).alias("cnt")).select(F.lit("mal_domains").alias("table_name"), "cnt"),
-        threat_scores(urls).agg(F.count(F.lit(1)).alias("cnt")).select(F.lit("threat_scores").alias("table_name"), "cnt"),
-        counts_by_type(urls).agg(F.count(F.lit(1)).alias("cnt")).select(F.lit("counts_by_type").alias("table_name"), "cnt"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = urls.groupBy("type", "domain").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(is_number("threat_score"), F.lit(1))).alias("scored"))
+    # null is a group too, which a distinct count would leave out
+    some = lambda c, when: F.count_distinct(F.when(when, F.struct(F.lit(1), c)))
+    one = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("urls"), some("domain", is_not_benign("type")).alias("mal_domains"),
+                    some("type", F.col("scored") > 0).alias("threat_scores"), some("type", F.lit(True)).alias("counts_by_type"))
+    names = ("urls", "mal_domains", "threat_scores", "counts_by_type")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("table_name"), F.col(n).alias("cnt")) for n in names])).alias("x")).select("x.*")
 
 
 def type_share(urls: DataFrame) -> DataFrame:

@@ -1,30 +1,41 @@
 """Country lookup (J2, J2b) and the country aggregate (A5).
 
-The country dimension is a reference table of bounded size (one row per country name or
-alias, a few hundred at most); it is broadcast after a row-count check, so the URL side is
-never shuffled for the lookup. The lookup runs on the per-country counts, not on URL rows.
+The country dimension is a reference table (one row per country name or alias, a few hundred);
+that is its contract, and a table of over ``MAX_NAMES`` rows is refused. It is broadcast, so
+the URL side is never shuffled for the lookup. The lookup runs on the per-country counts, not on URL rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import COUNTRY_DIM, FUZZY_MAX_DISTANCE, OTHER_CODE, OTHER_NAME
+from ..functions.constants import FUZZY_MAX_DISTANCE, OTHER_CODE, OTHER_NAME
 from ..functions.literals import literal_table
 from .clean import is_not_benign
 
-MAX_BROADCAST_DIM = 1_000_000
+MAX_NAMES = 100_000
+
+
+def iso_rows(spark: SparkSession) -> list[tuple[str, str, str]]:
+    """(English name, alpha-2 code as alias, alpha-3 code) of every ISO 3166 country, from the JVM's table."""
+    java = spark.sparkContext._jvm.java
+    locale, english = java.util.Locale, java.util.Locale.ENGLISH
+    # Locale.of came with Java 19, which is when the constructor was deprecated
+    of = locale.of if int(java.lang.System.getProperty("java.specification.version").split(".")[0]) >= 19 else locale
+    countries = [(code, of("", code)) for code in locale.getISOCountries()]
+    return [(c.getDisplayCountry(english), code, c.getISO3Country()) for code, c in countries]
 
 
 def country_dim(spark: SparkSession, rows=None) -> DataFrame:
-    return literal_table(spark, list(rows or COUNTRY_DIM), "name string, alias string, alpha_3 string")
+    """``name, alias, alpha_3``; by default the ISO 3166 countries."""
+    return literal_table(spark, list(iso_rows(spark) if rows is None else rows), "name string, alias string, alpha_3 string")
 
 
-def _bounded(dim: DataFrame, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``dim`` when it has at most ``MAX_BROADCAST_DIM`` rows (counted unless known)."""
-    n = known_rows if known_rows is not None else dim.limit(MAX_BROADCAST_DIM + 1).count()
-    return F.broadcast(dim) if n <= MAX_BROADCAST_DIM else dim
+def _bounded(dim: DataFrame) -> DataFrame:
+    if dim.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        raise ValueError(f"a country table of over {MAX_NAMES} names is not a reference table")
+    return F.broadcast(dim)
 
 
 def _names(dim: DataFrame) -> DataFrame:
@@ -46,9 +57,8 @@ def malicious_by_country_name(urls: DataFrame) -> DataFrame:
 
 def country_counts(urls: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """A5 with J2: ``country_code, country_name, cnt``; unmatched names roll into ``OTHER``."""
-    known = 2 * len(COUNTRY_DIM) if dim is None else None
     dim = dim if dim is not None else country_dim(urls.sparkSession)
-    names = _bounded(_names(dim), known)
+    names = _bounded(_names(dim))
     per_name = malicious_by_country_name(urls)
     keyed = per_name.join(names, F.lower(F.trim("country")) == F.col("key"), "left")
     code = F.when(F.col("alpha_3").isNotNull() & (F.col("country") != "Unknown"), F.col("alpha_3")).otherwise(F.lit(OTHER_CODE))
@@ -57,24 +67,36 @@ def country_counts(urls: DataFrame, dim: DataFrame | None = None) -> DataFrame:
             .agg(F.sum("cnt").cast("bigint").alias("cnt")))
 
 
+def deletions(word: Column, most: int) -> Column:
+    """All strings that ``word`` gives by leaving out up to ``most`` characters, each once."""
+    shorter, out = F.array(word), F.array(word)
+    for _ in range(most):
+        shorter = F.array_distinct(F.flatten(F.transform(shorter, lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+            lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))))))
+        out = F.array_union(out, shorter)
+    return out
+
+
 def country_lookup_fuzzy(urls: DataFrame, dim: DataFrame | None = None,
                          max_distance: int = FUZZY_MAX_DISTANCE) -> DataFrame:
     """Names without an exact match get the code of the nearest dimension name.
 
     Nearest = smallest Levenshtein distance (at most ``max_distance``), ties to the smaller
-    code. Only distinct unmatched names meet the broadcast dimension, so the pairs are
-    (distinct unmatched names) × (dimension rows), both bounded by the number of countries.
+    code. Names within that distance share a string that either becomes by at most as many
+    deletions, so an equi-join on these strings finds all candidates, whose distance is then checked.
     Output: ``country, country_code, distance`` (``OTHER`` and null distance when none is near).
     """
-    known = 2 * len(COUNTRY_DIM) if dim is None else None
     dim = dim if dim is not None else country_dim(urls.sparkSession)
     names = _names(dim)
     per_name = malicious_by_country_name(urls).select("country")
-    exact = per_name.join(_bounded(names, known), F.lower(F.trim("country")) == F.col("key"), "left_anti")
-    cand = exact.join(_bounded(names.select("key", "alpha_3"), known),
-                      F.levenshtein(F.lower(F.trim("country")), F.col("key"), max_distance) >= 0, "left")
-    dist = F.levenshtein(F.lower(F.trim("country")), F.col("key"))
-    best = (cand.groupBy("country")
-            .agg(F.min(F.when(F.col("key").isNotNull(), F.struct(dist.alias("d"), F.col("alpha_3").alias("c")))).alias("b")))
-    return best.select("country", F.coalesce(F.col("b.c"), F.lit(OTHER_CODE)).alias("country_code"),
-                       F.col("b.d").cast("bigint").alias("distance"))
+    rest = per_name.join(_bounded(names), F.lower(F.trim("country")) == F.col("key"), "left_anti")
+    name = F.lower(F.trim("country"))
+    left = rest.select("country", F.explode(deletions(name, max_distance)).alias("part"))
+    right = names.select("key", "alpha_3", F.explode(deletions(F.col("key"), max_distance)).alias("part"))
+    pairs = left.join(right, "part").select("country", "key", "alpha_3").distinct()
+    dist = F.levenshtein(name, F.col("key"))
+    best = (pairs.withColumn("d", dist).filter(F.col("d") <= max_distance)
+            .groupBy("country").agg(F.min(F.struct("d", F.col("alpha_3").alias("c"))).alias("b")))
+    return rest.join(best, "country", "left").select(
+        "country", F.coalesce(F.col("b.c"), F.lit(OTHER_CODE)).alias("country_code"), F.col("b.d").cast("bigint").alias("distance"))

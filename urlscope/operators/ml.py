@@ -7,12 +7,14 @@ pairs, so they apply to any predictor, the rule scorer included.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import (IDF, HashingTF, IndexToString, NGram, RegexTokenizer,
                                 StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +58,49 @@ def _front(features: list[str], scale: bool = True) -> list:
     return stages
 
 
+@dataclass
+class BoostedModel:
+    """L3's model: indexing and scaling, then one two-class boosted model for each label."""
+
+    front: PipelineModel
+    models: list[GBTClassificationModel]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``probability`` (each label's share of the summed class probabilities) and ``prediction_idx``."""
+        out = PipelineModel(self.front.stages[1:]).transform(df)
+        for i, m in enumerate(self.models):
+            m = m.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(f"_y{i}")
+            out = m.transform(out)
+        shares = F.array(*[vector_to_array(f"_p{i}")[1] for i in range(len(self.models))])
+        out = out.withColumn("_shares", shares).drop(*[f"{c}{i}" for i in range(len(self.models)) for c in ("_raw", "_p", "_y")])
+        total = F.aggregate("_shares", F.lit(0.0), lambda a, x: a + x)
+        out = out.withColumn("probability", array_to_vector(F.transform("_shares", lambda x: x / total)))
+        best = F.array_position("_shares", F.array_max("_shares")) - 1
+        return out.withColumn("prediction_idx", best.cast("double")).drop("_shares")
+
+
 def train_gbt(train: DataFrame, features: list[str] = TRAINING_FEATURES, max_iter: int = 100,
               max_depth: int = 8, step_size: float = 0.1, subsampling_rate: float = 0.8,
-              min_instances: int = 10, seed: int = 42) -> PipelineModel:
-    """L3: one-vs-rest gradient-boosted trees (Spark's GBT is two-class)."""
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step_size, subsamplingRate=subsampling_rate,
-                        minInstancesPerNode=min_instances, seed=seed)
-    ovr = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label", predictionCol="prediction_idx")
-    return Pipeline(stages=_front(features) + [ovr]).fit(train)
+              min_instances: int = 10, seed: int = 42, validation: str | None = "_valid", key: str = "page_id") -> BoostedModel:
+    """L3: gradient-boosted trees, one label against the rest (Spark's are two-class).
+
+    Boosting stops early: a tenth of the rows, by hash of ``key``, is held out, and a model ends
+    once a further tree no longer lowers the loss on it (validation=None: all rounds).
+    """
+    rows = train
+    if validation:
+        rows = train.withColumn(validation, F.pmod(F.xxhash64(key), F.lit(10)) == 0)
+    front = Pipeline(stages=_front(features)).fit(rows)
+    ready = front.transform(rows).select("features", "label", *([validation] if validation else []))
+    models = []
+    for i in range(len(front.stages[0].labels)):
+        gbt = GBTClassifier(featuresCol="features", labelCol="_one", maxIter=max_iter, maxDepth=max_depth,
+                            stepSize=step_size, subsamplingRate=subsampling_rate,
+                            minInstancesPerNode=min_instances, seed=seed)
+        if validation:
+            gbt = gbt.setValidationIndicatorCol(validation)
+        models.append(gbt.fit(ready.withColumn("_one", (F.col("label") == i).cast("double"))))
+    return BoostedModel(front, models)
 
 
 def train_forest(train: DataFrame, features: list[str] = TRAINING_FEATURES, num_trees: int = 100,
@@ -90,8 +126,8 @@ def train_text(train: DataFrame, url: str = "url", n: int = 3, num_features: int
     return Pipeline(stages=stages).fit(train)
 
 
-def labels_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def labels_of(model: PipelineModel | BoostedModel) -> list[str]:
+    return list((model.front if isinstance(model, BoostedModel) else model).stages[0].labels)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -99,7 +135,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
     The label indexer only serves the fit (null labels are skipped there): rows of any label are scored.
     """
-    out = PipelineModel(model.stages[1:]).transform(df)
+    out = (model if isinstance(model, BoostedModel) else PipelineModel(model.stages[1:])).transform(df)
     back = IndexToString(inputCol="prediction_idx", outputCol="prediction", labels=labels_of(model))
     return back.transform(out)
 
@@ -115,14 +151,13 @@ def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
     })
 
 
-def feature_importance(model: PipelineModel, features: list[str] = TRAINING_FEATURES):
-    """(feature, importance); one-vs-rest importances are averaged over the class models."""
-    last = model.stages[-1]
-    if hasattr(last, "models"):
-        vecs = [m.featureImportances.toArray() for m in last.models]
+def feature_importance(model: PipelineModel | BoostedModel, features: list[str] = TRAINING_FEATURES):
+    """(feature, importance); those of the boosted models of all labels are averaged."""
+    if isinstance(model, BoostedModel):
+        vecs = [m.featureImportances.toArray() for m in model.models]
         imp = [sum(v[i] for v in vecs) / len(vecs) for i in range(len(features))]
     else:
-        imp = list(last.featureImportances.toArray())
+        imp = list(model.stages[-1].featureImportances.toArray())
     return [(f, float(i)) for f, i in zip(features, imp)]
 
 

@@ -31,8 +31,11 @@ def _conditions(f) -> dict[str, Column]:
     }
 
 
-def score_rules(features: DataFrame, url: str = "url") -> DataFrame:
-    """R1-R5 over an F1 table: ``rule_score, reasons, prediction, confidence, is_malicious``."""
+def score_rules(features: DataFrame, url: str = "url", clamp: bool = False) -> DataFrame:
+    """R1-R5 over an F1 table: ``rule_score, reasons, prediction, confidence, is_malicious``.
+
+    clamp: confidences stay within 0 and 1 (a strongly negative score gives more than 1 otherwise).
+    """
     cond = _conditions(F.col)
     host = F.lower(U.netloc(F.col(url)))
     staged = features.withColumn("_rhost", host)
@@ -56,19 +59,23 @@ def score_rules(features: DataFrame, url: str = "url") -> DataFrame:
                   .when(s >= 5, F.least(F.lit(0.9), F.lit(0.6) + (s - 5) * F.lit(0.06)))
                   .when(s >= 2, F.least(F.lit(0.8), F.lit(0.4) + (s - 2) * F.lit(0.1)))
                   .otherwise(F.greatest(F.lit(0.6), F.lit(0.8) - s * F.lit(0.1))))
+    if clamp:
+        confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence))
     staged = staged.withColumns({"prediction": prediction, "confidence": confidence})
     return staged.withColumn("is_malicious", is_malicious_type("prediction")).drop("_rhost", "_hosting")
 
 
 def legit_override(scored: DataFrame, url: str = "url", prediction: str = "prediction",
-                   confidence: str = "confidence") -> DataFrame:
+                   confidence: str = "confidence", strict: bool = False) -> DataFrame:
     """A non-benign prediction becomes benign when a listed domain is a substring of the host.
 
-    The list is a fixed literal of 42 entries, so the test is an ``exists`` over a literal
+    strict: the host has to be the domain or end with a dot and the domain. The list is a fixed literal of 42 entries, so the test is an ``exists`` over a literal
     array inside the projection (no join at all).
     """
     host = F.lower(U.netloc(F.col(url)))
-    hit = F.exists(F.array(*[F.lit(d) for d in LEGIT_DOMAINS]), lambda d: F.contains(host, d))
+    listed = F.array(*[F.lit(d) for d in LEGIT_DOMAINS])
+    hit = F.exists(listed, (lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d))) if strict
+                   else lambda d: F.contains(host, d))
     applied = (F.col(prediction) != F.lit("benign")) & hit
     probs = F.create_map(*[x for k, v in OVERRIDE_PROBABILITIES for x in (F.lit(k), F.lit(v))])
     out = scored.withColumn("override_applied", F.coalesce(applied, F.lit(False)))
@@ -80,3 +87,14 @@ def legit_override(scored: DataFrame, url: str = "url", prediction: str = "predi
     if "probabilities" in scored.columns:
         out = out.withColumn("probabilities", F.when(o, probs).otherwise(F.col("probabilities")))
     return out.withColumn("is_malicious", is_malicious_type(prediction))
+
+
+def model_then_rules(features: DataFrame, model=None, url: str = "url", strict: bool = False) -> DataFrame:
+    """R6 in one pass over an F1 table: the model's prediction with the known-domain override and the
+    rules' reasons; without a model the rules alone (``override_applied`` false)."""
+    ruled = score_rules(features, url)
+    if model is None:
+        return ruled.withColumn("override_applied", F.lit(False))
+    from .ml import score_batch
+    scored = score_batch(model, ruled.drop("prediction", "confidence", "is_malicious"))
+    return legit_override(scored, url, strict=strict)

@@ -14,21 +14,25 @@ With W the deepest node depth and E the deepest rule depth, the suffix has
 else ``E`` labels. This is the longest-match walk a suffix trie makes, so unknown endings give
 an empty suffix and a bare IPv4 host is its own domain.
 
-Scale: the rule index is a fixed list (about ten thousand rows for the full public list); its
-row count is checked before it is broadcast, so every URL is resolved by D hash probes in its
-own partition. No shuffle of the URL table happens, and a hot host costs no more than any other.
+Scale: a rule list is a reference table of some ten thousand rows. That is its contract: the
+index is broadcast after a count, and a table of more than ``MAX_RULES`` keys is refused. Every URL is
+resolved by D hash probes in its own partition; the URL table isn't shuffled, and a hot host
+costs no more than any other.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import DEFAULT_SUFFIX_RULES
 from ..functions.literals import literal_table
+from ..functions.suffix_list import icann_rules
 
-#: Largest rule index that is broadcast; beyond it the per-depth joins are shuffle joins.
-MAX_BROADCAST_RULES = 2_000_000
+#: Most keys of a rule index; the whole public list has about 10,000 rules.
+MAX_RULES = 200_000
 
 _IPV4 = (r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
          r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$")
@@ -36,7 +40,7 @@ _IPV4 = (r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
 
 def rules_frame(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
     """Suffix rules in public-suffix-list syntax, one per row (column ``rule``)."""
-    rules = DEFAULT_SUFFIX_RULES if rules is None else rules
+    rules = icann_rules() if rules is None else rules
     return literal_table(spark, [(r.strip().lower(),) for r in rules if r.strip()], "rule string")
 
 
@@ -58,8 +62,17 @@ def rule_index(rules: DataFrame) -> DataFrame:
             .agg(*[F.bool_or(c).alias(c) for c in ("node", "rule", "wild", "exc")]))
 
 
-def rule_index_rows(rules: list[str]) -> list[tuple[str, bool, bool, bool, bool]]:
-    """The same index for a fixed, in-memory rule list (no Spark job needed)."""
+@lru_cache(maxsize=1)
+def icann_index() -> tuple[pa.Table, int]:
+    """The same index and depth for the shipped list (no Spark job needed)."""
+    rules = icann_rules()
+    rows = rule_index_rows(rules)
+    names = ("key", "node", "rule", "wild", "exc")
+    return pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}), max(r.count(".") + 1 for r in rules)
+
+
+def rule_index_rows(rules) -> list[tuple[str, bool, bool, bool, bool]]:
+    """The index of an in-memory rule list."""
     flags: dict[str, list[bool]] = {}
     for r in (x.strip().lower() for x in rules):
         if not r:
@@ -91,17 +104,14 @@ class SuffixResolver:
 
     def __init__(self, spark: SparkSession, rules: DataFrame | None = None):
         if rules is None:
-            # The built-in list is a fixed value: its index is built here and its size is known.
-            self.depth = max(len(r.split(".")) for r in DEFAULT_SUFFIX_RULES)
-            rows = rule_index_rows(DEFAULT_SUFFIX_RULES)
-            index = literal_table(spark, rows, "key string, node boolean, rule boolean, wild boolean, exc boolean")
-            small = len(rows) <= MAX_BROADCAST_RULES
+            table, self.depth = icann_index()
+            index = spark.createDataFrame(table)
         else:
             self.depth = max_rule_depth(rules)
             index = rule_index(rules)
-            # A size check before broadcasting; the index is bounded by the rule list.
-            small = index.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
-        self.index = F.broadcast(index) if small else index
+            if index.limit(MAX_RULES + 1).count() > MAX_RULES:
+                raise ValueError(f"a suffix list of over {MAX_RULES} keys is not a reference table")
+        self.index = F.broadcast(index)  # at most MAX_RULES short rows
 
     def resolve(self, df: DataFrame, host: str = "_host", prefix: str = "_sfx") -> DataFrame:
         """Append ``{prefix}_sub``, ``{prefix}_dom``, ``{prefix}_suf`` computed from ``host``."""

@@ -25,7 +25,7 @@ from ..operators import rules as R
 from ..operators import sampling as M
 from ..operators.enrich import enrich_urls
 from ..operators.suffix import resolve_suffix
-from ..sources.fixtures import url_feed, urls_raw
+from ..sources.fixtures import COUNTRY_DIM, url_feed, urls_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -128,7 +128,7 @@ def restrict_to_sample(spark, sf):
 def country_lookup(spark, sf):
     f = feed(spark, sf)
     names = f.select(F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("Unknown")).alias("country")).distinct()
-    dim = L._bounded(L._names(L.country_dim(spark)), 2 * len(L.COUNTRY_DIM))
+    dim = L._bounded(L._names(L.country_dim(spark, COUNTRY_DIM)))
     j = names.join(dim, F.lower(F.trim("country")) == F.col("key"), "left")
     ok = F.col("alpha_3").isNotNull() & (F.col("country") != "Unknown")
     return j.select("country", F.when(ok, F.col("alpha_3")).otherwise(F.lit("OTHER")).alias("country_code"),
@@ -137,7 +137,7 @@ def country_lookup(spark, sf):
 
 @query
 def country_lookup_fuzzy(spark, sf):
-    return L.country_lookup_fuzzy(feed(spark, sf))
+    return L.country_lookup_fuzzy(feed(spark, sf), L.country_dim(spark, COUNTRY_DIM))
 
 
 @query
@@ -179,7 +179,7 @@ def threat_scores(spark, sf):
 
 @query
 def country_counts(spark, sf):
-    return L.country_counts(feed(spark, sf))
+    return L.country_counts(feed(spark, sf), L.country_dim(spark, COUNTRY_DIM))
 
 
 @query
@@ -247,7 +247,7 @@ def tld_share(spark, sf):
 
 @query
 def country_map_data(spark, sf):
-    c = A.country_map_data(L.country_counts(feed(spark, sf)))
+    c = A.country_map_data(L.country_counts(feed(spark, sf), L.country_dim(spark, COUNTRY_DIM)))
     return c.select("country_code", "country_name", "cnt", *[r6(x).alias(x) for x in ("log_cnt", "min_log", "max_log")])
 
 
@@ -281,12 +281,12 @@ def recent_urls(spark, sf):
 @query
 def top_features_per_url(spark, sf):
     f = features(spark, sf)
-    stacked = f.select("page_id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for i, c in enumerate(F1_COLUMNS)])).alias("kv")).select("page_id", "kv.*")
-    w = Window.partitionBy("page_id").orderBy(F.desc("value"), F.asc("pos"))
-    return (stacked.filter(F.col("value") > 0).withColumn("rnk", F.row_number().over(w))
-            .filter(F.col("rnk") <= 10).select("page_id", "feature", r6("value").alias("value"), "rnk"))
+    # sorted within the row: descending value, then the features' order; no shuffle
+    all_features = F.array(*[F.struct((-F.col(c).cast("double")).alias("minus"), F.lit(i).alias("pos"), F.lit(c).alias("feature"))
+                             for i, c in enumerate(F1_COLUMNS)])
+    top = F.slice(F.array_sort(F.filter(all_features, lambda x: x["minus"] < 0)), 1, 10)
+    return (f.select("page_id", F.posexplode(top).alias("at", "x"))
+            .select("page_id", "x.feature", r6(-F.col("x.minus")).alias("value"), (F.col("at") + 1).alias("rnk")))
 
 
 @query

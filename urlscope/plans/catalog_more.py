@@ -6,10 +6,11 @@ Queries with side effects write only below the shared checkpoint folder
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions.constants import TRAINING_FEATURES
-from ..functions.features import training_features
+from ..functions.features import F1_COLUMNS, lexical_features, training_features
 from ..operators import aggregates as A
 from ..operators import ml as ML
 from ..operators import rules as R
@@ -20,17 +21,47 @@ from ..sources.fixtures import url_feed, urls_raw
 from ..streaming import streams as W
 from .catalog import QUERIES, query, r6, scored, urls
 
-# Small model settings for the registered queries; the functions default to the full ones.
+#: Most labelled rows of a fit: a stratified sample (M2) with at least FIT_FLOOR rows of a label.
+FIT_ROWS, FIT_FLOOR = 20_000, 1_000
+#: Sizes of the registered queries' models; the functions default to the full ones (100 rounds of depth 8
+#: with early stopping, 100 trees of depth 10, 100 iterations), which take minutes on these tables.
 GBT_ITER, GBT_DEPTH, FOREST_TREES, FOREST_DEPTH, TEXT_ITER = 10, 4, 20, 6, 50
 
 
-def _split(spark, sf):
-    u = urls(spark, sf)
-    return M.stratified_split(training_features(u), "page_id")
+def _fit_split(df, key="page_id"):
+    """The bounded sample with its split, written once: a fit reads it again and again."""
+    path = scratch_path(df.sparkSession, "fit")
+    M.stratified_split(M.stratified_sample(df, FIT_ROWS, key, floor=FIT_FLOOR), key).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _gbt_rows(spark, sf):
+    return _fit_split(training_features(urls(spark, sf)))
+
+
+def _forest_rows(spark, sf):
+    return _fit_split(lexical_features(urls(spark, sf)))
+
+
+def _text_rows(spark, sf):
+    return _fit_split(urls(spark, sf).select("page_id", "url", "type"))
 
 
-def _text_split(spark, sf):
-    return M.stratified_split(urls(spark, sf).select("page_id", "url", "type"), "page_id")
+def _part(df, name):
+    return df.filter(F.col("split") == name)
+
+
+def _fit_gbt(rows):
+    return ML.train_gbt(_part(rows, "train"), max_iter=GBT_ITER, max_depth=GBT_DEPTH)
+
+
+def _fit_forest(rows):
+    return ML.train_forest(_part(rows, "train"), F1_COLUMNS, num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
+
+
+def _fit_text(rows):
+    """L5 with U1: the hosting examples join the training rows."""
+    return ML.train_text(M.augment_training(_part(rows, "train")), max_iter=TEXT_ITER)
 
 
 # --- L: learning ----------------------------------------------------------------------------
@@ -49,23 +80,57 @@ def scale_features(spark, sf):
 
 @query
 def train_gbt(spark, sf):
-    d = _split(spark, sf)
-    model = ML.train_gbt(d.filter(F.col("split") == "train"), max_iter=GBT_ITER, max_depth=GBT_DEPTH)
-    return ML.predict(model, d.filter(F.col("split") == "test")).select("page_id", "type", "prediction")
+    d = _gbt_rows(spark, sf)
+    return ML.predict(_fit_gbt(d), _part(d, "test")).select("page_id", "type", "prediction")
 
 
 @query
 def train_forest(spark, sf):
-    d = _split(spark, sf)
-    model = ML.train_forest(d.filter(F.col("split") == "train"), num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
-    return ML.predict(model, d.filter(F.col("split") == "test")).select("page_id", "type", "prediction")
+    d = _forest_rows(spark, sf)
+    return ML.predict(_fit_forest(d), _part(d, "test")).select("page_id", "type", "prediction")
 
 
 @query
 def train_text(spark, sf):
-    d = _text_split(spark, sf)
-    model = ML.train_text(d.filter(F.col("split") == "train"), max_iter=TEXT_ITER)
-    return ML.predict(model, d.filter(F.col("split") == "test")).select("page_id", "type", "prediction")
+    d = _text_rows(spark, sf)
+    return ML.predict(_fit_text(d), _part(d, "test")).select("page_id", "type", "prediction")
+
+
+def _model_facts(spark, model, d, importance):
+    """What must hold of any fitted model: rows by split, classes, probabilities, importances, accuracy."""
+    scored = ML.score_batch(model, _part(d, "test"))
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
+    top = F.array_max(F.map_values("probabilities"))
+    one = scored.agg(F.count("*").alias("n_test"), F.bool_and(F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+                     F.bool_and(F.abs(top - F.col("confidence")) < 1e-9).alias("confidence_is_largest"),
+                     F.avg((F.col("type") == F.col("prediction")).cast("double")).alias("acc"),
+                     F.max(F.size("probabilities")).alias("n_classes"))
+    most = _part(d, "test").groupBy("type").count().agg(F.max("count").alias("most"))
+    n_train = _part(d, "train").count()
+    whole = importance is None or abs(sum(i for _, i in importance) - 1) < 1e-6
+    return (one.crossJoin(most).select(F.lit(n_train).alias("n_train"), "n_test", "n_classes", "sums_to_one", "confidence_is_largest",
+                                       (F.col("acc") * F.col("n_test") >= F.col("most")).alias("at_least_majority"),
+                                       F.lit(whole).alias("importances_sum_to_one")))
+
+
+@query
+def gbt_facts(spark, sf):
+    d = _gbt_rows(spark, sf)
+    model = _fit_gbt(d)
+    return _model_facts(spark, model, d, ML.feature_importance(model))
+
+
+@query
+def forest_facts(spark, sf):
+    d = _forest_rows(spark, sf)
+    model = _fit_forest(d)
+    return _model_facts(spark, model, d, ML.feature_importance(model, F1_COLUMNS))
+
+
+@query
+def text_facts(spark, sf):
+    d = _text_rows(spark, sf)
+    return _model_facts(spark, _fit_text(d), d, None)
 
 
 def _rule_pairs(spark, sf):
@@ -90,41 +155,58 @@ def confusion_matrix(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    d = _split(spark, sf)
-    model = ML.train_forest(d.filter(F.col("split") == "train"), num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
+    model = _fit_gbt(_gbt_rows(spark, sf))
     return spark.createDataFrame(ML.feature_importance(model), "feature string, importance double")
 
 
 @query
 def score_batch(spark, sf):
-    d = _text_split(spark, sf)
-    model = ML.train_text(d.filter(F.col("split") == "train"), max_iter=TEXT_ITER)
-    out = ML.score_batch(model, d)
+    d = _text_rows(spark, sf)
+    out = ML.score_batch(_fit_text(d), d)
     return out.select("page_id", "prediction", "confidence", F.to_json("probabilities").alias("probabilities"))
 
 
 @query
 def model_then_rules(spark, sf):
-    """Model prediction, known-domain override, rule reasons (rules alone without a model)."""
-    d = _text_split(spark, sf)
-    model = ML.train_text(d.filter(F.col("split") == "train"), max_iter=TEXT_ITER)
-    pred = ML.score_batch(model, d).select("page_id", "prediction", "confidence", "probabilities")
-    over = R.legit_override(pred.join(urls(spark, sf).select("page_id", "url"), "page_id"))
-    reasons = scored(spark, sf).select("page_id", F.array_join("reasons", "; ").alias("reasons"))
-    return over.join(reasons, "page_id").select("page_id", "prediction", "confidence", "is_malicious",
-                                                "override_applied", "reasons")
+    """Model prediction, known-domain override, rule reasons, in one pass over the features."""
+    out = R.model_then_rules(lexical_features(urls(spark, sf)), _fit_text(_text_rows(spark, sf)))
+    return out.select("page_id", "prediction", "confidence", "is_malicious", "override_applied",
+                      F.to_json("probabilities").alias("probabilities"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def rules_without_model(spark, sf):
+    """R6 where there is no model: the rules alone."""
+    out = R.model_then_rules(lexical_features(urls(spark, sf)))
+    return out.select("page_id", "prediction", r6("confidence").alias("confidence"), "override_applied")
+
+
+@query
+def override_facts(spark, sf):
+    """Every row on a listed host, scored as if the model had called it malware."""
+    u = urls(spark, sf).select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://google.com.evil.ru/"), "page_id"))
+                               .when(F.col("page_id") % 3 == 1, F.concat(F.lit("http://mail.google.com/"), "page_id")).otherwise(F.lit("http://evil.ru/")).alias("url"))
+    bad = u.select("page_id", "url", F.lit("malware").alias("prediction"), F.lit(0.8).alias("confidence"))
+    loose, strict = R.legit_override(bad), R.legit_override(bad, strict=True)
+    strict = strict.select("page_id", F.col("override_applied").alias("strict_applied"))
+    return loose.join(strict, "page_id").select("page_id", "prediction", "confidence", "is_malicious", "override_applied", "strict_applied")
 
 
 @query
 def save_model(spark, sf):
-    """Persist a fitted pipeline, load it back and score with the loaded copy."""
-    from pyspark.ml import PipelineModel
-    d = _split(spark, sf)
-    model = ML.train_forest(d.filter(F.col("split") == "train"), num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
-    path = scratch_path(spark, "model")
+    """Persist a fitted pipeline with its metadata, load both back and score with the loaded copy."""
+    d = _forest_rows(spark, sf)
+    model = _fit_forest(d)
+    path, about = scratch_path(spark, "model"), scratch_path(spark, "model-about")
     model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return ML.predict(loaded, d.filter(F.col("split") == "test")).select("page_id", "prediction")
+    one = ML.accuracy(ML.predict(model, _part(d, "test"))).select(
+        F.lit("forest").alias("kind"), F.lit(_part(d, "train").count()).alias("n_train"), F.array(*[F.lit(c) for c in F1_COLUMNS]).alias("features"),
+        F.array(*[F.lit(c) for c in ML.labels_of(model)]).alias("labels"), "accuracy")
+    S.overwrite_result(one, about)
+    loaded, features = PipelineModel.load(path), spark.read.parquet(about).first()["features"]
+    if list(features) != F1_COLUMNS:
+        raise ValueError("the model was fitted on other features")
+    return ML.predict(loaded, _part(d, "test")).select("page_id", "prediction")
 
 
 # --- S: sources and sinks -------------------------------------------------------------------
@@ -216,7 +298,11 @@ def overwrite_result(spark, sf):
 @query
 def upsert_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
-    m = ML.accuracy(_rule_pairs(spark, sf)).select(r6("accuracy").alias("accuracy"))
+    pairs = _rule_pairs(spark, sf)
+    accuracy = ML.accuracy(pairs).select(F.lit("accuracy").alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), r6("accuracy").alias("value"))
+    report = ML.classification_report(pairs).filter("precision is not null").select(F.lit("f1").alias("part"), F.col("class").alias("a"), F.lit("").alias("b"), r6("f1").alias("value"))
+    matrix = ML.confusion_matrix(pairs).select(F.lit("matrix").alias("part"), F.col("label").alias("a"), F.col("prediction").alias("b"), F.col("cnt").cast("double").alias("value"))
+    m = accuracy.unionByName(report).unionByName(matrix)
     S.overwrite_result(m, path)
     return S.overwrite_result(m, path)
 

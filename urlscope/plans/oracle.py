@@ -8,7 +8,9 @@ places in both engines.
 
 from __future__ import annotations
 
-from ..functions.constants import (DEFAULT_SUFFIX_RULES, THREAT_TLDS, WHITESPACE)
+from ..functions.constants import THREAT_TLDS, WHITESPACE
+from ..functions.suffix_list import icann_rules
+from ..sources.fixtures import COUNTRY_DIM
 
 
 def q(s: str) -> str:
@@ -85,49 +87,35 @@ def sql_suffix_host(url: str) -> str:
 
 
 def suffix_ctes(rules=None) -> str:
-    rules = DEFAULT_SUFFIX_RULES if rules is None else rules
-    values = ", ".join(f"({q(r.lower())})" for r in rules)
+    """The plain rule table: what a rule must end a host with, and its kind."""
+    rules = icann_rules() if rules is None else rules
+    kinds = [(r[1:], "exception") if r[0] == "!" else (r[2:], "wildcard") if r[:2] == "*." else (r, "plain") for r in rules]
+    values = ", ".join(f"({q(base)}, {q(kind)})" for base, kind in kinds)
     return f"""
-sfx_rules(rule) AS (VALUES {values}),
-sfx_tails AS (select rule, string_split(rule, '.') as labels,
-                     unnest(generate_series(1, len(string_split(rule, '.')))) as d from sfx_rules),
-sfx_idx_raw AS (
-  select array_to_string(list_slice(labels, len(labels) - d + 1, len(labels)), '.') as key,
-         true as node, d = len(labels) as rule, false as wild, false as exc from sfx_tails
-  union all select substr(rule, 3), false, false, true, false from sfx_rules where starts_with(rule, '*.')
-  union all select substr(rule, 2), false, false, false, true from sfx_rules where starts_with(rule, '!')),
-sfx_idx AS (select key, bool_or(node) as node, bool_or(rule) as rule, bool_or(wild) as wild,
-                   bool_or(exc) as exc from sfx_idx_raw group by key)"""
-
-
-def suffix_resolve(src: str, name: str, host: str = "_host", rules=None) -> str:
-    """CTEs ending in ``{name}``: ``src`` plus ``_sub, _dom, _suf``."""
-    rules = DEFAULT_SUFFIX_RULES if rules is None else rules
-    depth = max(len(r.split(".")) for r in rules)
-    ks = ", ".join(
-        f"case when len(_labs) >= {d} then lower(array_to_string(list_slice(_labs, len(_labs) - {d} + 1, len(_labs)), '.')) end as _k{d}"
-        for d in range(1, depth + 1))
-    flags = ", ".join(
-        f"coalesce(i{d}.{c}, false) as _{c}{d}" for d in range(1, depth + 1) for c in ("node", "rule", "wild", "exc"))
-    joins = " ".join(f"left join sfx_idx i{d} on i{d}.key = a._k{d}" for d in range(1, depth + 1))
-    w = "greatest(0, " + ", ".join(f"case when _node{d} then {d} else 0 end" for d in range(1, depth + 1)) + ")"
-    e = "greatest(0, " + ", ".join(f"case when _rule{d} then {d} else 0 end" for d in range(1, depth + 1)) + ")"
-    wild_w = "case " + " ".join(f"when _w = {d} then _wild{d}" for d in range(1, depth + 1)) + " else false end"
-    exc_n = "case " + " ".join(f"when _w + 1 = {d} then _exc{d}" for d in range(1, depth + 1)) + " else false end"
+sfx_rules(base, kind) AS (VALUES {values})"""
+
+
+def suffix_resolve(src: str, name: str, host: str = "_host") -> str:
+    """CTEs ending in ``{name}``: ``src`` plus ``_sub, _dom, _suf`` of the longest matching rule.
+
+    A plain rule matches the labels it has, a wildcard one label more, an exception one less;
+    an exception prevails, else the longest match, else there is no suffix.
+    """
     return f"""
-{name}_a AS (select *, string_split({host}, '.') as _labs from {src}),
-{name}_b AS (select *, {ks} from {name}_a),
-{name}_c AS (select a.*, {flags} from {name}_b a {joins}),
-{name}_d AS (select *, {w} as _w, {e} as _e, len(_labs) as _n from {name}_c),
-{name}_e AS (select *, case when _w < _n and ({wild_w}) then (case when ({exc_n}) then _w else _w + 1 end)
-                         else _e end as _s from {name}_d),
-{name}_f AS (select *, _n - _s as _i,
-                    (_s = 0 and _n = 4 and regexp_matches({host}, {q(RE_IPV4)})) as _ip from {name}_e),
-{name} AS (select *,
-   case when _ip then '' when _i >= 2 then array_to_string(list_slice(_labs, 1, _i - 1), '.') else '' end as _sub,
-   case when _ip then {host} when _i >= 1 then _labs[_i] else '' end as _dom,
-   case when _ip then '' when _s > 0 then array_to_string(list_slice(_labs, _i + 1, _n), '.') else '' end as _suf
- from {name}_f)"""
+{name}_h AS (select distinct {host} as h, string_split({host}, '.') as labs from {src}),
+{name}_t AS (select h, len(labs) as n, d, lower(array_to_string(list_slice(labs, len(labs) - d + 1, len(labs)), '.')) as tail
+             from (select h, labs, unnest(generate_series(1, len(labs))) as d from {name}_h)),
+{name}_m AS (select t.h, max(case when r.kind = 'exception' then t.d - 1 end) as exc,
+                    max(case when r.kind = 'plain' then t.d when r.kind = 'wildcard' and t.n > t.d then t.d + 1 end) as longest
+             from {name}_t t join sfx_rules r on r.base = t.tail group by t.h),
+{name}_s AS (select h, labs, len(labs) as n, coalesce(exc, longest, 0) as s from {name}_h left join {name}_m using (h)),
+{name}_p AS (select h, case when s = 0 and n = 4 and regexp_matches(h, {q(RE_IPV4)}) then true else false end as ip,
+                    labs, n, s, n - s as i from {name}_s),
+{name} AS (select a.*,
+   case when not ip and i >= 2 then array_to_string(list_slice(labs, 1, i - 1), '.') else '' end as _sub,
+   case when ip then h when i >= 1 then labs[i] else '' end as _dom,
+   case when not ip and s > 0 then array_to_string(list_slice(labs, i + 1, n), '.') else '' end as _suf
+ from {src} a join {name}_p b on a.{host} = b.h)"""
 
 
 def enriched_ctes(source: str = "urls_raw", keys: str = "page_id", country: bool = False) -> str:
@@ -170,7 +158,7 @@ def with_urls(body: str, feed: bool = False) -> str:
 
 # --- statements ------------------------------------------------------------------------------
 
-from ..functions.constants import (COUNTRY_DIM, FUZZY_MAX_DISTANCE, HOSTING_EXAMPLE_REPEATS,  # noqa: E402
+from ..functions.constants import (FUZZY_MAX_DISTANCE, HOSTING_EXAMPLE_REPEATS,  # noqa: E402
                                    HOSTING_EXAMPLE_URLS, HOSTING_SUFFIXES, LEGIT_DOMAINS,
                                    MALICIOUS_TLDS, RISK_CHAR_PATTERN, RISK_WEIGHTS, RULE_REASONS,
                                    SIMPLE_RISK_TLDS, SIMPLE_RISK_WORDS, SPECIAL_CHAR_CLASS,
@@ -534,7 +522,6 @@ reg("scale_features", over_urls(
         for c in TRAINING_FEATURES)
     + " from (select page_id, " + ", ".join(f"{_TF[c]} as {c}" for c in TRAINING_FEATURES) + " from urls)"))
 reg("accuracy", over_scored("select round(avg(case when type = prediction then 1.0 else 0.0 end), 6) as accuracy from scored"))
-reg("upsert_metrics", ORACLE["accuracy"])
 reg("classification_report", over_scored(
     """, per AS (
          select coalesce(t.class, p.class) as class, coalesce(t.support, 0) as support, coalesce(t.tp, 0) as tp,
@@ -560,6 +547,27 @@ reg("confusion_matrix", over_scored(
        left join (select type, prediction, count(*) as cnt from scored group by type, prediction) n
          on n.type = a.c and n.prediction = b.c"""))
 
+reg("upsert_metrics", f"""select 'accuracy' as part, '' as a, '' as b, accuracy as value from ({ORACLE["accuracy"]})
+    union all select 'f1', class, '', f1 from ({ORACLE["classification_report"]}) where precision is not null
+    union all select 'matrix', label, prediction, cast(cnt as double) from ({ORACLE["confusion_matrix"]})""")
+reg("rules_without_model", over_scored(
+    "select page_id, prediction, round(confidence, 6) as confidence, false as override_applied from scored"))
+reg("override_facts", over_urls("""select page_id, case when m < 2 then 'benign' else 'malware' end as prediction,
+        cast(case when m < 2 then 0.95 else 0.8 end as double) as confidence, m = 2 as is_malicious, m < 2 as override_applied, m = 1 as strict_applied
+        from (select page_id, page_id % 3 as m from urls)"""))
+
+
+def model_facts() -> str:
+    """Counts that the sample and the split fix, and what holds of any fitted model."""
+    return over_urls("""select cast(sum(k) - sum(floor(k * 20 / 100)) as bigint) as n_train, cast(sum(floor(k * 20 / 100)) as bigint) as n_test,
+        cast(count(*) as int) as n_classes, true as sums_to_one, true as confidence_is_largest, true as at_least_majority, true as importances_sum_to_one
+        from (select least(c, greatest(1000, cast(floor(20000 * c / sum(c) over ()) as bigint))) as k
+              from (select type, count(*) as c from urls group by type))""")
+
+
+for _name in ("gbt_facts", "forest_facts", "text_facts"):
+    reg(_name, model_facts())
+
 RAW_ROWS = "select url, type from urls_raw"
 reg("read_raw_urls", over_raw(RAW_ROWS))
 reg("drop_header_row", over_raw(RAW_ROWS))

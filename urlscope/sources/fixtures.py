@@ -79,3 +79,12 @@ def url_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ev.join(raw, "page_id")
             .join(F.broadcast(nation), F.col("nk") == F.col("n_nationkey"))
             .select("event_id", "ts", "url", "type", F.col("n_name").alias("country")))
+
+
+#: (name, alias, alpha_3) rows of the test country table: NATION_0..NATION_19 map to codes,
+#: NATION_18 and NATION_19 share one code, and one alias is misspelt; NATION_20..24 are absent.
+COUNTRY_DIM = (
+    [(f"NATION_{i}", f"Nation {i}", f"N{i:02d}") for i in range(18)]
+    + [("NATION_18", "Nation 18", "N18"), ("NATION_19", "Nation 19", "N18"),
+       ("NATOIN_22", "Natoin 22", "N22")]
+)
