@@ -80,7 +80,7 @@ class Lattice:
         codes = np.zeros((len(tails), self.longest), np.uint64)
         for k, x in enumerate(tails):
             codes[k, :len(x)] = [ord(c) + 1 for c in reversed(x)]
-        self.table = Lookup(_mix((codes * _POWERS[None, :self.longest]).sum(1, dtype=np.uint64)), np.arange(len(tails)), np.int32)
+        self.table = Lookup(_mix((codes * _POWERS[None, :self.longest]).sum(1, dtype=np.uint64)), np.arange(len(tails)), np.int32, room=4)
         self.beside = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         # text of an id, as bytes; U+2581 stands for a blank
         self.spelled = [b""] * n
@@ -98,8 +98,11 @@ class Lattice:
 
     def cut(self, text: str) -> list[str]:
         """The text in runs that no piece spans."""
+        words = _WORD.findall(text)
+        if not words or max(map(len, words)) <= _LONG:
+            return words
         out = []
-        for w in _WORD.findall(text):
+        for w in words:
             if len(w) <= _LONG:
                 out.append(w)
                 continue
@@ -150,24 +153,27 @@ class Lattice:
         lone = np.flatnonzero(lone)  # no piece of its own: an edge over its bytes, its code point as a negative number
         ends, lengths = np.concatenate([ends, lone]), np.concatenate([lengths, np.ones(len(lone), np.int64)])
         ids, weights = np.concatenate([ids, -1 - own[lone].astype(np.int64)]), np.concatenate([weights, np.full(len(lone), self.byte_weight)])
-        order = np.lexsort((lengths, ends, place[ends]))  # by position in the word
+        order = np.argsort(ends * (self.longest + 1) + lengths)  # by state
         ends, lengths, ids, weights = ends[order], lengths[order], ids[order], weights[order]
-        cuts = np.searchsorted(place[ends], np.arange(int(sizes.max()) + 1))
+        begins_word = place[ends] < lengths
+        starts = np.where(begins_word, len(chars), ends - lengths)
         sums, share = np.zeros(len(chars) + 1), np.zeros(len(ends))
-        starts = np.where(place[ends] - lengths >= 0, ends - lengths, len(chars))
         sums[-1] = 1.0
+        # position by position; the states of one position stay in order
+        where = place[ends]
+        steps = np.argsort(where.astype(np.uint16) if where.max() < 1 << 16 else where, kind="stable")
+        cuts = np.searchsorted(where[steps], np.arange(int(sizes.max()) + 1))
         for t, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-            e = ends[lo:hi]
-            part = weights[lo:hi] * sums[starts[lo:hi]]
+            edges = steps[lo:hi]
+            e = ends[edges]
+            part = weights[edges] * sums[starts[edges]]
             new = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
             total = np.add.reduceat(part, new)
             sums[e[new]] = total
-            share[lo:hi] = part / np.repeat(total, np.diff(np.append(new, len(e))))
+            share[edges] = part / np.repeat(total, np.diff(np.append(new, len(e))))
             if t % self.longest == self.longest - 1:  # long runs: the sums that are still used start near 1 again
                 sums[e[new][:, None] - np.arange(self.longest)[None, :]] /= total[:, None]
-        # by state; cumulative shares, the last one above any draw
-        order = np.lexsort((lengths, ends))
-        ends, lengths, ids, share = ends[order], lengths[order], ids[order], share[order]
+        # cumulative shares of each state, the last one above any draw
         first = np.searchsorted(ends, np.arange(len(chars)))
         total = np.cumsum(share)
         share = total - np.repeat(total[first] - share[first], np.diff(np.append(first, len(ends))))
@@ -176,7 +182,7 @@ class Lattice:
         base, at = self.n_states, self.n_edges
         self.first[base:base + len(chars)] = at + first
         self.share[at:at + len(ends)], self.id[at:at + len(ends)] = share, ids
-        self.before[at:at + len(ends)] = np.where(place[ends] - lengths >= 0, base + ends - lengths, -1)
+        self.before[at:at + len(ends)] = np.where(begins_word, -1, base + ends - lengths)
         self.n_states, self.n_edges = base + len(chars), at + len(ends)
         self.words.update(zip(words, (base + begins + sizes - 1).tolist()))
 
