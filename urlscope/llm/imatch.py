@@ -117,11 +117,13 @@ def edited_pairs(spark: SparkSession, docs: DataFrame, words: frozenset[bytes],
     ids = rows.select("id", F.xxhash64("text").alias("h"))
     q = ids.agg(F.percentile_approx("id", F.lit([i / n for i in range(1, n)] or [0.5]), 10000).alias("q"), F.count("*").alias("n")).first()
     bounds = sorted(set(q["q"] or []), reverse=True)
-    # ranges in descending order: 0 holds the ids from the largest bound on, nulls come last
-    part = F.when(F.col("id").isNull(), len(bounds) + 1)
-    for i, bound in enumerate(bounds):
-        part = part.when(F.col("id") >= bound, i)
-    part = part.otherwise(len(bounds))
+    # ranges in descending order: 0 holds the ids from the largest bound on, nulls come last. A range's
+    # number is that of the bounds above the id, counted by whole blocks and then within one
+    step = max(1, int(len(bounds) ** 0.5))
+    every, last = (F.array(*[F.lit(b) for b in x]).cast("array<bigint>") for x in (bounds, bounds[step - 1::step]))
+    above = lambda x: F.size(F.filter(x, lambda b: b > F.col("id")))
+    block = above(last) * step
+    part = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(block + above(F.slice(every, block + 1, F.lit(step))))
     ids = ids.withColumn("part", part)
     heads = {r["part"]: (r["least"]["id"], r["least"]["h"]) for r in ids.groupBy("part").agg(
         F.min(F.struct((-F.col("id")).alias("o"), "h", "id")).alias("least")).collect()}
