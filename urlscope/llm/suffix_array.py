@@ -39,8 +39,8 @@ from . import common
 LENGTH = 200
 GRAM = 80
 HOT = 20_000
-_SEGMENT = 2_000_000
-_PART = 3_000_000
+_SEGMENT = 500_000
+_PART = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SCHEMA = "key bigint, ctx bigint, doc_id bigint, place bigint, until bigint"
 
