@@ -16,20 +16,22 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from urlscope.functions.features import lexical_features, training_features  # noqa: E402
+from urlscope.functions.features import F1_COLUMNS, lexical_features  # noqa: E402
 from urlscope.operators import aggregates as A  # noqa: E402
 from urlscope.operators import lookup as L  # noqa: E402
 from urlscope.operators import ml as ML  # noqa: E402
+from urlscope.operators import sampling as M  # noqa: E402
 from urlscope.operators.enrich import enrich_urls  # noqa: E402
 from urlscope.operators.rules import score_rules  # noqa: E402
 from urlscope.session import scratch_path  # noqa: E402
-from urlscope.sources.fixtures import url_feed  # noqa: E402
+from urlscope.sources.fixtures import COUNTRY_DIM, url_feed  # noqa: E402
 
 
 def main() -> None:
@@ -41,6 +43,7 @@ def main() -> None:
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="urlscope-bench-"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
@@ -68,7 +71,7 @@ def main() -> None:
     timed("agg_mal_domains", lambda: run(A.mal_domains(urls)))
     timed("agg_malicious_tld_counts", lambda: run(A.malicious_tld_counts(urls)))
     timed("agg_threat_scores", lambda: run(A.threat_scores(urls)))
-    timed("agg_country_counts", lambda: run(L.country_counts(urls)))
+    timed("agg_country_counts", lambda: run(L.country_counts(urls, L.country_dim(spark, COUNTRY_DIM))))
     timed("agg_url_length_by_type", lambda: run(A.url_length_by_type(urls)))
     timed("score", lambda: run(score_rules(lexical_features(urls))))
 
@@ -79,8 +82,10 @@ def main() -> None:
     timed("summary", summary)
 
     def train():
-        t = training_features(urls)
-        ML.train_forest(t, num_trees=20, max_depth=6)
+        # the registered query's inputs and sizes: a stratified sample, all 26 features
+        fit = scratch_path(spark, "bench-fit")
+        M.stratified_sample(lexical_features(urls), 20_000, "event_id", floor=1_000).write.parquet(fit)
+        ML.train_forest(spark.read.parquet(fit), F1_COLUMNS, num_trees=20, max_depth=6)
     timed("train", train)
 
     total = round(sum(times.values()), 3)
