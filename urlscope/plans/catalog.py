@@ -105,6 +105,23 @@ def drop_null_rows(spark, sf):
     return P.drop_null_rows(urls_raw(spark, sf)).select("page_id", "url", "type")
 
 
+@query
+def drop_null_rows_mixed(spark, sf):
+    """P8 where it has something to drop."""
+    u = urls_raw(spark, sf)
+    u = u.select("page_id", F.when(F.col("page_id") % 7 != 2, F.col("url")).alias("url"), F.when(F.col("page_id") % 11 != 3, F.col("type")).alias("type"))
+    return P.drop_null_rows(u)
+
+
+@query
+def numeric_only_mixed(spark, sf):
+    """P9 over a text column with nulls, words and NaN."""
+    score = (F.when(F.col("page_id") % 5 == 1, F.lit("high")).when(F.col("page_id") % 5 == 2, F.lit("NaN"))
+             .when(F.col("page_id") % 5 > 2, F.col("url_length").cast("string")))
+    u = urls(spark, sf).select("page_id", score.alias("threat_score"))
+    return P.numeric_only(u).select("page_id", F.col("threat_score").cast("double").alias("threat_score"))
+
+
 @query
 def numeric_only(spark, sf):
     return P.numeric_only(urls(spark, sf)).select("page_id", r6("threat_score").alias("threat_score"))
@@ -410,6 +427,14 @@ def zscore_outliers(spark, sf):
     return Z.zscore_outliers(h, "cnt").select("host", "cnt", r6("z").alias("z"))
 
 
+@query
+def outlier_lengths(spark, sf):
+    """Z1 over a table of more than ten groups: rows by URL length in steps of two, one group made large."""
+    step = F.when(F.col("page_id") % 2 == 0, F.lit(-1)).otherwise(F.floor(F.col("url_length") / 2)).cast("bigint")
+    c = urls(spark, sf).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("cnt"))
+    return Z.zscore_outliers(c, "cnt").select("step", "cnt", r6("z").alias("z"))
+
+
 @query
 def outlier_types(spark, sf):
     c = A.counts_by_type(urls(spark, sf))

@@ -297,6 +297,8 @@ reg("is_malicious_type", over_urls("select page_id, type, coalesce(lower(type) i
 reg("project_columns", over_urls("select page_id, url, type, domain from urls"))
 reg("drop_null_rows", over_raw("select page_id, url, type from urls_raw where url is not null and type is not null"))
 reg("numeric_only", over_urls("select page_id, round(threat_score, 6) as threat_score from urls where threat_score is not null and not isnan(threat_score)"))
+reg("drop_null_rows_mixed", over_raw("select page_id, url, type from urls_raw where page_id % 7 <> 2 and page_id % 11 <> 3"))
+reg("numeric_only_mixed", over_urls("select page_id, cast(url_length as double) as threat_score from urls where page_id % 5 > 2"))
 reg("match_class", over_urls("select page_id, url from urls where type = 'phishing'"))
 
 SAMPLE_IDS = f"smp AS (select page_id from urls order by md5('42|' || cast(page_id as varchar)) limit {SAMPLE_N})"
@@ -509,6 +511,8 @@ def z_sql(src_cte: str, cols: str, value: str) -> str:
 reg("zscore_outliers", over_urls(z_sql("hc", "host, cnt", "cnt"),
                                  f"hc AS (select {sql_netloc('url')} as host, count(*) as cnt from urls group by 1)"))
 reg("outlier_types", over_urls(z_sql("ct", "type, cnt", "cnt"), "ct AS (select type, count(*) as cnt from urls group by type)"))
+reg("outlier_lengths", over_urls(z_sql("cl", "step, cnt", "cnt"), """cl AS (select case when page_id % 2 = 0 then -1
+        else cast(floor(url_length / 2) as bigint) end as step, count(*) as cnt from urls group by 1)"""))
 reg("outlier_scores", over_urls(z_sql("ts", "type, round(avg_score, 6) as avg_score", "avg_score"), THREAT))
 
 # --- L, S, W ----------------------------------------------------------------------------------
