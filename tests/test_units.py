@@ -210,3 +210,22 @@ def test_top_features_without_a_shuffle(spark):
     from urlscope.plans.catalog import QUERIES
     plan = QUERIES["top_features_per_url"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_restarted_streams_add_nothing_twice(spark, tmp_path):
+    from urlscope.streaming import streams as W
+    schema = "event_id bigint, url string, type string, country string"
+    rows = [(i, f"http://h{i % 3}.com/a", "ab"[i % 2], "x") for i in range(40)]
+    spark.createDataFrame(rows[:30], schema).repartition(3).write.parquet(str(tmp_path / "in"))
+
+    def go():
+        feed = W.read_feed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, max_files=1)
+        W.run_append(feed.select("event_id"), str(tmp_path / "out"), str(tmp_path / "ck1"))
+        W.run_update(W.counts(W.read_feed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)), str(tmp_path / "cnt"), str(tmp_path / "ck2"))
+        return (sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()),
+                {r["type"]: r["cnt"] for r in W.latest(spark, str(tmp_path / "cnt"), "type", ["cnt"]).collect()})
+
+    first = go()
+    assert first == (list(range(30)), {"a": 15, "b": 15}) and go() == first
+    spark.createDataFrame(rows[30:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert go() == (list(range(40)), {"a": 20, "b": 20})

@@ -241,6 +241,21 @@ def page_of(df: DataFrame, page: int, order: list[Column], size: int = PAGE_SIZE
     return df.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], last: tuple | None, size: int = PAGE_SIZE) -> DataFrame:
+    """T3/T4 by key: the ``size`` rows behind the row ``last`` of the page before (None: the first page).
+
+    order: (column, descending), together a total order. Every task keeps ``size`` rows however deep the page is.
+    """
+    behind = F.lit(last is None)
+    same = F.lit(True)
+    for (name, down), value in zip(order, last or ()):
+        c = F.col(name)
+        behind = behind | (same & (c < F.lit(value) if down else c > F.lit(value)))
+        same = same & (c == F.lit(value))
+    keys = [F.desc(name) if down else F.asc(name) for name, down in order]
+    return df.filter(behind).orderBy(*keys).limit(size)
+
+
 def display_url(url: Column | str, n: int = DISPLAY_URL_CHARS) -> Column:
     """URL cut to ``n`` characters plus ``...`` when longer."""
     u = F.col(url) if isinstance(url, str) else url

@@ -290,6 +290,15 @@ def page_of_domains(spark, sf):
     return A.page_of(A.mal_domains(urls(spark, sf)), PAGE_NO, [F.desc("cnt"), F.asc("domain")])
 
 
+@query
+def next_page_of_domains(spark, sf):
+    """T3 by key: the page behind the last row of the first one."""
+    order = [("cnt", True), ("domain", False)]
+    c = A.mal_domains(urls(spark, sf))
+    for_last = A.page_after(c, order, None).orderBy("cnt", F.desc("domain")).first()
+    return A.page_after(c, order, (for_last["cnt"], for_last["domain"]) if for_last else None)
+
+
 @query
 def recent_urls(spark, sf):
     return A.page_of(urls(spark, sf).select("page_id", "url", "type"), 1, [F.desc("page_id")])

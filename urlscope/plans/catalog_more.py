@@ -389,5 +389,5 @@ def stream_alerts(spark, sf):
 @query
 def stream_counts(spark, sf):
     sink, ck = scratch_path(spark, "w3-out"), scratch_path(spark, "w3-ck")
-    W.run_complete(W.counts(_stream(spark, sf)), sink, ck)
-    return spark.read.parquet(sink)
+    W.run_update(W.counts(_stream(spark, sf)), sink, ck)
+    return W.latest(spark, sink, "type", ["cnt"])

@@ -420,6 +420,7 @@ MALD = f"mald AS (select domain, count(*) as cnt from urls where {MAL} group by
 reg("top_k", over_urls("select domain, cnt from mald order by cnt desc, domain limit 20", MALD))
 reg("chart_top_n", over_urls("select domain, cnt from mald order by cnt desc, domain limit 15", MALD))
 reg("page_of_domains", over_urls(f"select domain, cnt from mald order by cnt desc, domain limit 25 offset {(PAGE_NO - 1) * 25}", MALD))
+reg("next_page_of_domains", ORACLE["page_of_domains"])
 reg("recent_urls", over_urls("select page_id, url, type from urls order by page_id desc limit 25"))
 _STACK = " union all ".join(
     f"select page_id, {i} as pos, {q(c)} as feature, cast({c} as double) as value from f1" for i, c in enumerate(F1_COLS))

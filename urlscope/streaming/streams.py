@@ -45,14 +45,22 @@ def run_append(df: DataFrame, sink: str, checkpoint: str, available_now: bool =
     return q
 
 
-def run_complete(df: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
-    """Complete-mode aggregate written as a whole small table per micro-batch."""
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+def run_update(df: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
+    """Update-mode aggregate: a micro-batch writes only the groups it changed, to a folder of its own
+    number, so a batch that runs twice writes the same folder again."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    w = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     q = w.start()
     if available_now:
         q.awaitTermination()
     return q
+
+
+def latest(spark: SparkSession, sink: str, key: str, values: list[str]) -> DataFrame:
+    """The table that ``run_update`` keeps: each key's row of the last batch that changed it."""
+    rows = spark.read.parquet(sink)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("x"))
+    return last.select(key, *[F.col(f"x.{v}").alias(v) for v in values])
