@@ -33,7 +33,7 @@ _SENTENCES = common.byte_table(b"0123456789abcdefghijklmnopqrstuvwxyz\n", {c: 10
 #: Most labelled documents of each label in the fit.
 MAX_DOCS = 2000
 #: A word needs so many fitted documents to get a weight.
-MIN_DOCS = 5
+MIN_DOCS = 10
 
 
 def sentences(text: bytes | None) -> list[list[bytes]]:
@@ -60,7 +60,7 @@ class Weights(dict):
 
 
 def fit(vocab: dict[bytes, int], ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray,
-        steps: int = 120, l2: float = 2e-5) -> dict:
+        steps: int = 120, l2: float = 5e-5) -> dict:
     """Weights by Adam on the noisy-or likelihood, classes weighted alike; {b"": bias, word: weight}.
 
     vocab: features to 1, 2, ...; ids: every sentence's word numbers behind a 0 for the bias;
