@@ -35,6 +35,15 @@ def _fit_split(df, key="page_id"):
     return df.sparkSession.read.parquet(path)
 
 
+def _fit_and_test(df, key="page_id"):
+    """(rows of the fit, rows to predict): the whole table is split, the bounded sample, written once, is
+    taken within its train part, and its test part stays whole."""
+    path = scratch_path(df.sparkSession, "fit")
+    split = M.stratified_split(df, key)
+    M.stratified_sample(_part(split, "train"), FIT_ROWS, key, floor=FIT_FLOOR).write.parquet(path)
+    return df.sparkSession.read.parquet(path), _part(split, "test")
+
+
 def _gbt_rows(spark, sf):
     return _fit_split(training_features(urls(spark, sf)))
 
@@ -80,20 +89,20 @@ def scale_features(spark, sf):
 
 @query
 def train_gbt(spark, sf):
-    d = _gbt_rows(spark, sf)
-    return ML.predict(_fit_gbt(d), _part(d, "test")).select("page_id", "type", "prediction")
+    fit, test = _fit_and_test(training_features(urls(spark, sf)))
+    return ML.predict(_fit_gbt(fit), test).select("page_id", "type", "prediction")
 
 
 @query
 def train_forest(spark, sf):
-    d = _forest_rows(spark, sf)
-    return ML.predict(_fit_forest(d), _part(d, "test")).select("page_id", "type", "prediction")
+    fit, test = _fit_and_test(lexical_features(urls(spark, sf)))
+    return ML.predict(_fit_forest(fit), test).select("page_id", "type", "prediction")
 
 
 @query
 def train_text(spark, sf):
-    d = _text_rows(spark, sf)
-    return ML.predict(_fit_text(d), _part(d, "test")).select("page_id", "type", "prediction")
+    fit, test = _fit_and_test(urls(spark, sf).select("page_id", "url", "type"))
+    return ML.predict(_fit_text(fit), test).select("page_id", "type", "prediction")
 
 
 def _model_facts(spark, model, d, importance):
@@ -161,8 +170,8 @@ def feature_importance(spark, sf):
 
 @query
 def score_batch(spark, sf):
-    d = _text_rows(spark, sf)
-    out = ML.score_batch(_fit_text(d), d)
+    """Fitted on the sample, every row is scored."""
+    out = ML.score_batch(_fit_text(_text_rows(spark, sf)), urls(spark, sf).select("page_id", "url", "type"))
     return out.select("page_id", "prediction", "confidence", F.to_json("probabilities").alias("probabilities"))
 
 
@@ -195,18 +204,18 @@ def override_facts(spark, sf):
 @query
 def save_model(spark, sf):
     """Persist a fitted pipeline with its metadata, load both back and score with the loaded copy."""
-    d = _forest_rows(spark, sf)
-    model = _fit_forest(d)
+    fit, test = _fit_and_test(lexical_features(urls(spark, sf)))
+    model = _fit_forest(fit)
     path, about = scratch_path(spark, "model"), scratch_path(spark, "model-about")
     model.write().overwrite().save(path)
-    one = ML.accuracy(ML.predict(model, _part(d, "test"))).select(
-        F.lit("forest").alias("kind"), F.lit(_part(d, "train").count()).alias("n_train"), F.array(*[F.lit(c) for c in F1_COLUMNS]).alias("features"),
+    one = ML.accuracy(ML.predict(model, test)).select(
+        F.lit("forest").alias("kind"), F.lit(fit.count()).alias("n_train"), F.array(*[F.lit(c) for c in F1_COLUMNS]).alias("features"),
         F.array(*[F.lit(c) for c in ML.labels_of(model)]).alias("labels"), "accuracy")
     S.overwrite_result(one, about)
     loaded, features = PipelineModel.load(path), spark.read.parquet(about).first()["features"]
     if list(features) != F1_COLUMNS:
         raise ValueError("the model was fitted on other features")
-    return ML.predict(loaded, _part(d, "test")).select("page_id", "prediction")
+    return ML.predict(loaded, test).select("page_id", "prediction")
 
 
 # --- S: sources and sinks -------------------------------------------------------------------
