@@ -42,7 +42,7 @@ HOT = 20_000
 _SEGMENT = 500_000
 _PART = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_SCHEMA = "key bigint, ctx bigint, doc_id bigint, place bigint, until bigint"
+_SCHEMA = "key bigint, ctx bigint, doc_id bigint, h bigint, place bigint, until bigint"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -231,16 +231,16 @@ def scan(keys: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h, text): h has 24 bits of the text's hash, which keep texts of one id apart."""
+    """(doc_id, h, text): h is the text's 64-bit hash, which keeps texts of one id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("h"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 class Repeats:
     """Repeats of at least ``length`` bytes in the texts of a table.
 
-    entries: (key, ctx, doc_id, place, until, copies, lead) one row for each anchor that isn't alone in its bucket.
-    place holds position << 32 | bytes on the right << 24 | h. Before the shuffle, equal surroundings within a batch
+    entries: (key, ctx, doc_id, h, place, until, copies, lead) one row for each anchor that isn't alone in its bucket.
+    place holds position << 8 | bytes on the right. Before the shuffle, equal surroundings within a batch
     become one row, and rows with ``until`` hold the spans known from that: neither many copies nor a text
     that repeats one word brings more than a row a batch to its bucket. occurrences: every anchor keeps a row,
     which ``groups`` needs.
@@ -261,9 +261,9 @@ class Repeats:
         length, gram, occurrences, window = self.length, self.gram, self.occurrences, self.window
 
         def rows(ids, h, text, pos, right, key, ctx, until):
-            place = pos << 32 | right << 24 | h[text]
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), ids.take(pa.array(text)), pa.array(place), until],
-                                              ["key", "ctx", "doc_id", "place", "until"])
+            place = pos << 8 | right
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), ids.take(pa.array(text)), pa.array(h[text]), pa.array(place), until],
+                                              ["key", "ctx", "doc_id", "h", "place", "until"])
 
         def find(batches):
             for b in batches:
@@ -326,11 +326,10 @@ class Repeats:
     def _leads(self) -> DataFrame:
         """(key, ctx, left, right): the surroundings of the entries that have to be compared; left is reversed."""
         window, length = self.window, self.length
-        place = F.col("place")
         # the least place of a pair stands for it: leads of a very long run may come in pieces
-        leads = (self.entries.where("lead").groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "place")).alias("x"))
-                 .select("key", "ctx", F.col("x.doc_id").alias("id"), F.col("x.place").alias("place")))
-        wanted = (leads.groupBy("id", place.bitwiseAND(F.lit((1 << 24) - 1)).alias("g"))
+        leads = (self.entries.where("lead").groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "h", "place")).alias("x"))
+                 .select("key", "ctx", F.col("x.doc_id").alias("id"), F.col("x.h").alias("g"), F.col("x.place").alias("place")))
+        wanted = (leads.groupBy("id", "g")
                   .agg(F.collect_list(F.struct("key", "ctx", "place")).alias("wanted")))
         rows = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "text", "wanted")
 
@@ -339,7 +338,7 @@ class Repeats:
                 out = []
                 for t, wanted in zip(common.utf8_lists(b, "text"), b.column("wanted").to_pylist()):
                     for w in wanted:
-                        pos, right = w["place"] >> 32, w["place"] >> 24 & 255
+                        pos, right = w["place"] >> 8, w["place"] & 255
                         out.append((w["key"], w["ctx"], t[max(0, pos - window + 1):pos][::-1], t[pos:pos + right]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                                                  ["key", "ctx", "left", "right"])
@@ -432,8 +431,8 @@ class Repeats:
     def _spans(self) -> DataFrame:
         """(doc_id, h, start, end) of all repeats, not merged."""
         place = F.col("place")
-        pos, right, h = F.shiftright(place, 32), F.shiftright(place, 24).bitwiseAND(F.lit(255)), place.bitwiseAND(F.lit((1 << 24) - 1))
-        rows = self.entries.select("key", "ctx", "doc_id", h.alias("h"), pos.alias("pos"), right.alias("right"), "until", "copies")
+        pos, right = F.shiftright(place, 8), place.bitwiseAND(F.lit(255))
+        rows = self.entries.select("key", "ctx", "doc_id", "h", pos.alias("pos"), right.alias("right"), "until", "copies")
         known = rows.where("until is not null").select("doc_id", "h", F.col("pos").alias("start"), F.col("until").alias("end"))
         rows = rows.where("until is null").drop("until")
         left = F.least("pos", F.lit(self.window - 1))
@@ -450,7 +449,7 @@ class Repeats:
         occurrences; copies of whole surroundings are a repeat of their own. Not for hot buckets, whose strings are counted only."""
         if not self.occurrences:
             raise ValueError("occurrences=True is asked for")
-        rows = self.entries.select("key", "ctx", "doc_id", F.shiftright("place", 32).alias("pos"), F.shiftright("place", 24).bitwiseAND(F.lit(255)).alias("right"), "copies")
+        rows = self.entries.select("key", "ctx", "doc_id", F.shiftright("place", 8).alias("pos"), F.col("place").bitwiseAND(F.lit(255)).alias("right"), "copies")
         left = F.least("pos", F.lit(self.window - 1))
         whole = rows.where(F.col("copies") & (left + F.col("right") >= self.length)).select(
             F.xxhash64("key", "ctx").alias("number"), "doc_id", (F.col("pos") - left).alias("start"), (left + F.col("right")).alias("length"))
@@ -468,7 +467,7 @@ class Repeats:
         spans = self.spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         spans = spans.select(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h"), "spans")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        packed = rows.select(F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("one"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("two"), text.alias("text"))
+        packed = rows.select(F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("one"), F.xxhash64(text).alias("two"), text.alias("text"))
         joined = packed.join(spans, F.col("one").eqNullSafe(F.col("span_id")) & (F.col("two") == F.col("span_h")), "left").select("row", "text", "spans")
 
         def run(batches):
