@@ -7,10 +7,12 @@ product of its children's block probabilities:
 
     Pw(s) = 1/2 Pe(s) + 1/2 * Pe(rest of s) * product of Pw(cs) over the kept children cs
 
-Contexts seen in less than a share ``LEAST`` of all training bytes aren't kept apart; what follows
-them in a parent counts as the parent's "rest". At most 1 / LEAST contexts can reach that share at
-any depth, so the model that goes to the tasks is bounded however large the corpus is, while the
-counts themselves are taken over all training bytes and grow with them.
+Contexts of at least ``minimum`` bytes (two) are kept apart, however large the corpus is; what follows the others
+in a parent counts as the parent's "rest". Subtrees are dealt out by their root's context of ``ROOT`` bytes, in
+buckets whose number follows the training bytes; a bucket's task builds its subtrees and hands up the sums of their
+roots. One task builds the top, whose contexts of fewer than ``ROOT`` bytes are at most 65,793. To score, texts are cut in
+pieces; the different codes of a piece go to the buckets, whose tasks load the bucket's subtrees, and
+the answers go back to a file a piece.
 
 Prediction mixes along the path with the posterior weights of the trained tree: with
 w = 1/2 Pe(s) / Pw(s), a decision has the probability w * KT(s) + (1 - w) * (that of the child on the path, or
@@ -37,12 +39,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
-from .lookup import Lookup
 
 DEPTH = 6
-LEAST = 5e-6
+#: Bytes of the context by which subtrees are dealt out; the top has the shorter contexts.
+ROOT = 3
 LEAST_WORD = 1e-6
 _CHUNK = 2_000_000
+#: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece.
+_BUCKET, _PIECE = 1_000_000, 4_000_000
 _WORDS = 300_000
 
 
@@ -87,8 +91,47 @@ def _add(a: tuple, b: tuple) -> tuple:
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _gram_counts(batches, depth: int):
-    """Counts of the grams of a task, added up before they are shuffled."""
+def _sum(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _add((codes, counts), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+
+def _different(codes: np.ndarray) -> np.ndarray:
+    """Sorted codes, each once."""
+    return codes[np.append(True, codes[1:] != codes[:-1])[:len(codes)]]
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Compressed, all first bytes before all second ones."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _spread(data: bytes, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+
+
+def _pack(codes: np.ndarray) -> bytes:
+    """Sorted codes as compressed steps."""
+    return _squeeze(np.diff(codes, prepend=np.uint64(0)))
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_spread(data, np.uint64, n), dtype=np.uint64)
+
+
+def _dealt(codes: np.ndarray, buckets: int):
+    """(bucket, the places of its codes): all codes of a context of ROOT bytes go to one bucket."""
+    root = codes >> np.uint64(8) & np.uint64((1 << 8 * ROOT) - 1)
+    bucket = ((root + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket.view(np.int64), minlength=buckets))
+    for b in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        yield b, order[ends[b - 1] if b else 0:ends[b]]
+
+
+def _gram_counts(batches, depth: int, buckets: int):
+    """Counts of the grams of a task, added up before they are shuffled: a row a bucket."""
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     total, waiting, size = empty, [], 0
 
@@ -106,14 +149,30 @@ def _gram_counts(batches, depth: int):
             total = _add(total, take())
             waiting, size = [], 0
             if len(total[0]) > 2_500_000:
-                yield _gram_batch(total)
+                yield from _gram_batches(total, buckets)
                 total = empty
     total = _add(total, take()) if waiting else total
-    yield _gram_batch(total)
+    yield from _gram_batches(total, buckets)
 
 
-def _gram_batch(total: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1].astype(np.int64))], ["gram", "n"])
+def _gram_batches(total: tuple, buckets: int):
+    for b, at in _dealt(total[0], buckets):
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_pack(total[0][at])], pa.binary()),
+                                          pa.array([_squeeze(total[1][at].astype(np.int64))], pa.binary())], ["bucket", "n", "codes", "counts"])
+
+
+def _runs(batches, name: str):
+    """(value, rows) of runs of equal values of a column, the rows as dicts."""
+    now, held = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and row[name] != now:
+                yield now, held
+                held = []
+            now = row[name]
+            held.append(row)
+    if held:
+        yield now, held
 
 
 # ---- the tree --------------------------------------------------------------------------
@@ -128,75 +187,126 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - np.log(low)
 
 
+def _kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
+
+
+_SMALL = _kt_log(*np.meshgrid(np.arange(64.0), np.arange(64.0), indexing="ij"))
+
+
 def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov block probability of a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
+    out = _SMALL[np.minimum(a, 63).astype(np.int64), np.minimum(b, 63).astype(np.int64)]
+    large = np.flatnonzero((a > 63) | (b > 63))
+    out[large] = _kt_log(a[large], b[large])
+    return out
+
+
+class Ordered:
+    """Sorted numbers to be found."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    @property
+    def used(self) -> np.ndarray:
+        return np.ones(len(self.keys), bool)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, place)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+def _level(codes: np.ndarray, counts: np.ndarray) -> list:
+    """(keys, zeros, ones, each code's node) of the nodes before each of the eight decisions; keys are context << 8 | prefix.
+    Codes are sorted, so the keys of a decision are too."""
+    out, n = [], counts.astype(float)
+    for j in range(8):
+        keys = Tree._prefix(codes, j)
+        new = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
+        first = np.flatnonzero(new)
+        bit = (codes >> np.uint64(7 - j) & np.uint64(1)).astype(float)
+        every, ones = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n, n * bit))
+        out.append((keys[first], every - ones, ones, np.cumsum(new) - 1))
+    return out
 
 
 class Tree:
-    """The trained tree, ready for prediction.
+    """Depths low, low + 1, ... of the trained tree: all of it, the top, or the subtrees of a bucket.
 
-    grams: for each depth k the (codes, counts) of context + byte, of the kept contexts only.
+    grams: for each depth the sorted (codes, counts) of context + byte, of the kept contexts only.
+    below: for each decision (keys, zeros, ones, log Pw) of the last depth's nodes, added up over the kept children
+    of other parts; None: there are none. ``finish`` makes it ready for prediction.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(grams) - 1
-        nodes = []  # of each depth: sorted keys (context << 8 | prefix), zeros, ones
-        for codes, counts in grams:
-            ctx, byte = codes.astype(np.uint64) & ~np.uint64(255), (codes & np.uint64(255)).astype(np.int64)
-            keys, bits = [], []
-            for j in range(8):
-                keys.append(ctx | ((1 << j) | (byte >> (8 - j))).astype(np.uint64))
-                bits.append(byte >> (7 - j) & 1)
-            keys, bits, n = np.concatenate(keys), np.concatenate(bits), np.tile(counts.astype(float), 8)
-            own, at = np.unique(keys, return_inverse=True)
-            ones = np.bincount(at, n * bits, len(own))
-            nodes.append((own, np.bincount(at, n, len(own)) - ones, ones))
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], low: int = 0, below: list | None = None):
+        self.low, self.depth = low, low + len(grams) - 1
+        self.codes = [np.zeros(0, np.uint64)] * low + [c.astype(np.uint64) for c, _ in grams]
+        self.levels = [None] * low + [_level(c.astype(np.uint64), n) for c, n in grams]
         # upwards: block probabilities, and what isn't in a kept child
-        log_w, rest, up, weight = [None] * len(nodes), [None] * len(nodes), [None] * len(nodes), [None] * len(nodes)
-        for d in range(self.depth, -1, -1):
-            keys, a, b = nodes[d]
-            own = kt_log(a, b)
-            if d == self.depth:
-                log_w[d], weight[d], rest[d] = own, np.ones(len(keys)), (np.zeros(len(keys)), np.zeros(len(keys)))
-                continue
-            child, ca, cb = nodes[d + 1]
-            parent = self._shorter(child, d)
-            up[d + 1] = np.searchsorted(keys, parent)
-            ra, rb = a - np.bincount(up[d + 1], ca, len(keys)), b - np.bincount(up[d + 1], cb, len(keys))
-            below = np.bincount(up[d + 1], log_w[d + 1], len(keys)) + kt_log(ra, rb)
-            log_w[d] = np.logaddexp(own, below) - math.log(2)
-            weight[d] = np.exp(own - math.log(2) - log_w[d])
-            rest[d] = (ra, rb)
-        # downwards: probability of a one where the path ends at a node, as an affine map of its own
-        self.nodes, sure = [], None
-        for d, (keys, a, b) in enumerate(nodes):
-            kt = (b + 0.5) / (a + b + 1)
-            ra, rb = rest[d]
-            end = np.where(ra + rb > 0, (rb + 0.5) / (ra + rb + 1), kt)
-            if d == 0:
-                add, times = np.zeros(len(keys)), np.ones(len(keys))
-            else:
-                add, times = sure[0][up[d]], sure[1][up[d]]
-            ends = add + times * (weight[d] * kt + (1 - weight[d]) * end)
-            sure = (add + times * weight[d] * kt, times * (1 - weight[d]))
-            self.nodes.append(Lookup(keys, ends))
-        self.contexts = [Lookup(np.unique(c >> np.uint64(8)), None, room=4) for c, _ in grams]
-        self.grams = [Lookup(c, self._log_of_seen(d, c), room=4) for d, (c, _) in enumerate(grams)]
+        self.log_w, self.rest, self.weight = ([[None] * 8 for _ in self.levels] for _ in range(3))
+        for d in range(self.depth, low - 1, -1):
+            for j, (keys, a, b, _) in enumerate(self.levels[d]):
+                own = kt_log(a, b)
+                if d < self.depth:
+                    child, ca, cb, _ = self.levels[d + 1][j]
+                    child, cw = self._shorter(child, d), self.log_w[d + 1][j]
+                elif below is not None:
+                    child, ca, cb, cw = below[j]
+                else:
+                    self.log_w[d][j], self.weight[d][j], self.rest[d][j] = own, np.ones(len(keys)), (np.zeros(len(keys)), np.zeros(len(keys)))
+                    continue
+                up = np.searchsorted(keys, child)
+                ra, rb = a - np.bincount(up, ca, len(keys)), b - np.bincount(up, cb, len(keys))
+                inner = np.bincount(up, cw, len(keys)) + kt_log(ra, rb)
+                self.log_w[d][j] = np.logaddexp(own, inner) - math.log(2)
+                self.weight[d][j] = np.exp(own - math.log(2) - self.log_w[d][j])
+                self.rest[d][j] = (ra, rb)
+
+    def for_parents(self):
+        """(keys, zeros, ones, log Pw) of the nodes above, added up over this part's first depth."""
+        for (keys, a, b, _), w in zip(self.levels[self.low], self.log_w[self.low]):
+            own, at = np.unique(self._shorter(keys, self.low - 1), return_inverse=True)
+            yield own, *(np.bincount(at, x, len(own)) for x in (a, b, w))
+
+    def finish(self, above: Tree | None = None) -> Tree:
+        """Downwards: probability of a one where the path ends at a node, as an affine map of its own."""
+        sure = None if above is None else above.sure
+        self.nodes, self.contexts, self.values = [], [], []
+        for d in range(self.low, self.depth + 1):
+            nodes, passed, value = [], [], np.zeros(len(self.codes[d]))
+            for j, ((keys, a, b, of), one) in enumerate(zip(self.levels[d], self._ones(self.codes[d]))):
+                w, (ra, rb) = self.weight[d][j], self.rest[d][j]
+                kt = (b + 0.5) / (a + b + 1)
+                end = np.where(ra + rb > 0, (rb + 0.5) / (ra + rb + 1), kt)
+                if d == 0:
+                    add, times = np.zeros(len(keys)), np.ones(len(keys))
+                else:
+                    up = np.searchsorted(sure[j][0], self._shorter(keys, d - 1))
+                    add, times = sure[j][1][up], sure[j][2][up]
+                ends = add + times * (w * kt + (1 - w) * end)
+                passed.append((keys, add + times * w * kt, times * (1 - w)))
+                nodes.append((Ordered(keys), ends))
+                value += np.log10(np.where(one, ends[of], 1 - ends[of]))
+            sure = passed
+            self.nodes.append(nodes)
+            self.values.append(value.astype(np.float32))
+            self.contexts.append(Ordered(_different(self.codes[d] >> np.uint64(8))))
+        self.sure, self.levels, self.log_w, self.rest, self.weight = sure, None, None, None, None
+        self.grams = [Ordered(c) for c in self.codes[self.low:]]
+        if above is not None:
+            for name in ("nodes", "contexts", "values", "grams"):
+                setattr(self, name, getattr(above, name) + getattr(self, name))
+        return self
 
     @staticmethod
     def _shorter(keys: np.ndarray, d: int) -> np.ndarray:
         """Node keys with the context cut to d bytes."""
         return keys & np.uint64((1 << 8 * (d + 1)) - 1)
 
-    def _log_of_seen(self, d: int, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of seen bytes where the kept context ends at depth d."""
-        out = np.zeros(len(codes))
-        for j, one in enumerate(self._ones(codes)):
-            p = self.nodes[d].find(self._prefix(codes, j))[1].astype(float)
-            out += np.log10(np.where(one, p, 1 - p))
-        return out.astype(np.float32)
-
     @staticmethod
     def _ones(codes: np.ndarray):
         return ((codes >> np.uint64(7 - j) & np.uint64(1)).astype(bool) for j in range(8))
@@ -210,9 +320,9 @@ class Tree:
         out = np.zeros(len(codes), np.float32)
         left, now = np.arange(len(codes)), codes
         for d in range(self.depth, -1, -1):
-            now = now & np.uint64((1 << 8 * (d + 1)) - 1)
-            hit, value = self.grams[d].find(now)
-            out[left[hit]] = value[hit]
+            now = self._shorter(now, d)
+            hit, at = self.grams[d].find(now)
+            out[left[hit]] = self.values[d][at[hit]]
             left, now = left[~hit], now[~hit]
             if not len(left):
                 return out
@@ -230,54 +340,102 @@ class Tree:
         for j, one in enumerate(self._ones(codes)):
             p, left, key = np.full(len(codes), 0.5), np.arange(len(codes)), self._prefix(codes, j)
             for d in range(depth, -1, -1):
-                hit, value = self.nodes[d].find(self._shorter(key[left], d))
-                p[left[hit]] = value[hit]
+                place, ends = self.nodes[d][j]
+                hit, at = place.find(self._shorter(key[left], d))
+                p[left[hit]] = ends[at[hit]]
                 left = left[~hit]
             out += np.log10(np.where(one, p, 1 - p))
         return out.astype(np.float32)
 
 
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST, minimum: int = 2) -> str:
-    """The tree of all rows of ``docs``: the shared folder it is written to. Spark adds up the counts; one
-    task, which gets the kept contexts only (a bounded number of rows), builds the tree.
-    minimum: bytes that a context needs in any case."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    grams = common.map_arrow(rows, lambda batches: _gram_counts(batches, depth), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = common.stored(spark, grams, "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    kept = None
-    for d in range(depth, -1, -1):
-        if d < depth:
-            mask = (1 << 8 * (d + 1)) - 1
-            grams = common.stored(spark, grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        context = F.shiftrightunsigned("gram", 8)
-        often = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= max(minimum, least * total))
-        # a kept context's shorter contexts are kept too: their counts are no smaller
-        mine = (grams.join(often, context == F.col("context"), "left_semi") if d else grams).withColumn("d", F.lit(d))
-        kept = mine if kept is None else kept.unionByName(mine)
-
-    def build(batches):
-        parts = [(b.column("d").to_numpy(), b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        d, gram, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        levels = []
-        for k in range(depth + 1):
-            own = gram[d == k].view(np.uint64)
-            order = np.argsort(own)
-            levels.append((own[order], n[d == k][order]))
-        common.write_whole(folder, "tree", cloudpickle.dumps(Tree(levels)))
-        yield pa.RecordBatch.from_arrays([pa.array([len(gram)], pa.int64())], ["grams"])
+def _kept(codes: np.ndarray, counts: np.ndarray, high: int, low: int, enough: float) -> list:
+    """(codes, counts) of the depths low to high, of the contexts with enough bytes. A kept context's shorter
+    contexts are kept too: their counts are no smaller."""
+    out = []
+    for d in range(high, low - 1, -1):
+        if d < high:
+            codes, counts = _sum(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts)
+        keep = np.ones(len(codes), bool)
+        if d and len(codes):
+            own, at = np.unique(codes >> np.uint64(8), return_inverse=True)
+            keep = (np.bincount(at, counts, len(own)) >= enough)[at]
+        out.append((codes[keep], counts[keep]))
+    return out[::-1]
+
+
+def _read(folder: str, name: str) -> bytes | None:
+    from pyarrow import fs
+    system, path = common.open_folder(folder)
+    if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+        return None
+    with system.open_input_file(f"{path}/{name}") as f:
+        return f.read()
 
+
+def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = 0.0, minimum: int = 2) -> str:
+    """The tree of all rows of ``docs``: the shared folder it is written to, a file a bucket of subtrees and the top.
+    minimum: bytes that a context needs to be kept; least: a share of all bytes that it needs besides."""
     from urlscope.session import scratch_path  # here, as task functions take this module along by value
 
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
+    buckets, enough, high = max(1, -(-total // _BUCKET)), max(minimum, least * total), min(ROOT - 1, depth)
     folder = scratch_path(spark, "tree")
-    kept.select("d", "gram", "n").repartition(1).mapInArrow(build, "grams bigint").collect()
+
+    def grow(batches):
+        for bucket, held in _runs(batches, "bucket"):
+            codes, counts = _sum(np.concatenate([_unpack(r["codes"], r["n"]) for r in held]), np.concatenate([_spread(r["counts"], np.int64, r["n"]) for r in held]))
+            if depth >= ROOT:
+                levels = _kept(codes, counts, depth, ROOT, enough)
+                common.write_whole(folder, f"bucket-{bucket}", cloudpickle.dumps([(len(c), _pack(c), _squeeze(n)) for c, n in levels]))
+                for key, *sums in Tree(levels, ROOT).for_parents():
+                    yield part(1, key, *sums)
+            codes, counts = _sum(codes & np.uint64((1 << 8 * (high + 1)) - 1), counts)
+            yield part(0, codes, counts.astype(float), np.zeros(len(codes)), np.zeros(len(codes)))
+
+    def part(kind, key, a, b, w):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(a), pa.array(b), pa.array(w)],
+                                          ["kind", "key", "a", "b", "w"])
+
+    def top(batches):
+        parts = [[b.column(k).to_numpy() for k in range(5)] for b in batches]
+        kind, key, a, b, w = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+        key, order = key.view(np.uint64), np.argsort(key.view(np.uint64), kind="stable")
+        kind, key, a, b, w = (x[order] for x in (kind, key, a, b, w))
+        levels = _kept(key[kind == 0], a[kind == 0].astype(np.int64), high, 0, enough)
+        below = None
+        if depth >= ROOT:
+            own = [(kind == 1) & (key & np.uint64(255) >= np.uint64(1 << j)) & (key & np.uint64(255) < np.uint64(2 << j)) for j in range(8)]
+            below = [tuple(x[at] for x in (key, a, b, w)) for at in own]
+        common.write_whole(folder, "top", cloudpickle.dumps((levels, Tree(levels, 0, below).finish())))
+        common.write_whole(folder, "sizes", cloudpickle.dumps((depth, buckets)))
+        yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], ["rows"])
+
+    grams = common.map_arrow(rows, lambda batches: _gram_counts(batches, depth, buckets), "bucket int, n int, codes binary, counts binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    sums = grams.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(grow, "kind int, key bigint, a double, b double, w double")
+    sums = common.stored(spark, sums, "sums").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abw"])
+    # contexts of fewer than ROOT bytes only: 256 ** ROOT grams at most, whatever the input
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    # a row of no kind, so that the task runs without training rows too
+    none = spark.range(1).select(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), *[F.lit(0.0).alias(c) for c in "abw"])
+    sums.unionByName(none).repartition(1).mapInArrow(top, "rows bigint").collect()
     return folder
 
 
+def _levels(folder: str, bucket: int) -> list | None:
+    data = _read(folder, f"bucket-{bucket}")
+    return None if data is None else [(_unpack(c, n), _spread(k, np.int64, n)) for n, c, k in cloudpickle.loads(data)]
+
+
 def load(folder: str) -> Tree:
-    system, path = common.open_folder(folder)
-    with system.open_input_file(f"{path}/tree") as f:
-        return cloudpickle.loads(f.read())
+    """The whole tree, for small ones."""
+    depth, buckets = cloudpickle.loads(_read(folder, "sizes"))
+    levels = cloudpickle.loads(_read(folder, "top"))[0]
+    parts = [x for x in (_levels(folder, b) for b in range(buckets)) if x is not None]
+    for k in range(depth + 1 - len(levels)):
+        levels.append(_sum(np.concatenate([p[k][0] for p in parts] or [np.zeros(0, np.uint64)]), np.concatenate([p[k][1] for p in parts] or [np.zeros(0, np.int64)])))
+    return Tree(levels).finish()
 
 
 # ---- words -----------------------------------------------------------------------------
@@ -305,23 +463,87 @@ def word_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text") ->
 
 def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    from urlscope.session import scratch_path  # here, as task functions take this module along by value
+
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = words.where(F.col("c") >= LEAST_WORD * total).toArrow()
     sent = spark.sparkContext.broadcast((hot["word"].to_pylist(), np.log10(hot["c"].to_numpy() + 1.0)))
-    folder = tree
+    folder, answers = tree, scratch_path(spark, "answers")
+    depth, buckets = cloudpickle.loads(_read(folder, "sizes"))
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def cut(batches):
         from pyspark import TaskContext
-        tree = load(folder)
+        row = piece = TaskContext.get().partitionId() << 40
+        size = 0
+        for b in batches:
+            if size > _PIECE:
+                piece, size = piece + 1, 0
+            size += sum(len(t or b"") + 1 for t in common.utf8_lists(b, "text"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), pa.array(np.full(b.num_rows, piece)), *b.columns], ["row", "piece", "id", "text"])
+            row += b.num_rows
+
+    def ask(batches):
+        waiting, now = [], None
+        for b in batches:
+            pieces, texts = b.column("piece").to_numpy(), common.utf8_lists(b, "text")
+            for piece in np.unique(pieces).tolist():
+                if piece != now:
+                    yield from asked(now, waiting)
+                    waiting, now = [], piece
+                waiting += [texts[i] for i in np.flatnonzero(pieces == piece)]
+        yield from asked(now, waiting)
+
+    def asked(piece, texts):
+        found = _different(np.sort(np.concatenate([_different(np.sort(gram_codes(p, depth)[0])) for p in _pieces(texts)] or [np.zeros(0, np.uint64)])))
+        for b, at in _dealt(found, buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([b], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_pack(found[at])], pa.binary())],
+                                             ["piece", "bucket", "n", "codes"])
+
+    def answer(batches):
+        top = cloudpickle.loads(_read(folder, "top"))[1]
+        now = tree = None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row["bucket"] != now:
+                    now, tree = row["bucket"], None  # the last one's memory is free before the next is built
+                    levels = _levels(folder, now)
+                    tree = top if levels is None else Tree(levels, ROOT).finish(top)
+                out.append(_squeeze(tree.log10(_unpack(row["codes"], row["n"]))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "values"])
+
+    def keep(batches):
+        for piece, held in _runs(batches, "piece"):
+            codes = np.concatenate([_unpack(r["codes"], r["n"]) for r in held])
+            values = np.concatenate([_spread(r["values"], np.float32, r["n"]) for r in held])
+            order = np.argsort(codes, kind="stable")
+            common.write_whole(answers, f"{piece}", cloudpickle.dumps((len(codes), _pack(codes[order]), _squeeze(values[order]))))
+            yield pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64())], ["codes"])
+
+    def answered(piece):
+        n, codes, values = cloudpickle.loads(_read(answers, f"{piece}"))
+        return Ordered(_unpack(codes, n)), _spread(values, np.float32, n)
+
+    def run(batches):
+        now = None
         # the value of a word's count, so that a token costs one lookup
         value = dict(zip(sent.value[0], sent.value[1].tolist()))
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = common.utf8_lists(b, "text")
-            scores = []
-            for part in _pieces(texts):
-                codes, starts = gram_codes(part, tree.depth)
-                scores.append(np.add.reduceat(tree.log10(codes).astype(float), starts))
+            texts, pieces, scores = common.utf8_lists(b, "text"), b.column("piece").to_numpy(), np.zeros(b.num_rows)
+            for piece in np.unique(pieces).tolist():
+                if piece != now:
+                    place = value10 = None  # the last piece's memory is free before the next is read
+                    now, (place, value10) = piece, answered(piece)
+                mine, done = np.flatnonzero(pieces == piece), 0
+                for part in _pieces([texts[i] for i in mine]):
+                    codes, starts = gram_codes(part, depth)
+                    own, at = np.unique(codes, return_inverse=True)
+                    hit, where = place.find(own)
+                    if not hit.all():
+                        raise ValueError("a code was not answered")
+                    scores[mine[done:done + len(part)]] = np.add.reduceat(value10[where][at].astype(float), starts)
+                    done += len(part)
             out = []
             for t in texts:
                 own = (t or b"").lower().split()
@@ -331,15 +553,20 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
                 out.append((len(t or b""), len(own), len(got), math.fsum(got), list(rare.keys()), list(rare.values())))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(texts))), b.column("id"), pa.array(np.concatenate(scores) if scores else np.zeros(0)),
+                [b.column("row"), b.column("id"), pa.array(scores),
                  *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))],
                 ["row", "id", "score", "n_bytes", "n_tokens", "n_known", "logs", "rare", "times"])
-            row += len(texts)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    pieces = common.stored(spark, common.map_arrow(rows, cut, f"row bigint, piece bigint, id {kind}, text string"), "pieces")
+    # a piece's different codes go to the buckets of the tree, the answers back to a file a piece
+    asking = common.map_arrow(pieces.select("piece", "text"), ask, "piece bigint, bucket int, n int, codes binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    told = asking.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "piece bigint, bucket int, n int, codes binary, values binary")
+    told = told.repartition(max(1, pieces.select("piece").distinct().count()), "piece").sortWithinPartitions("piece")
+    told.mapInArrow(keep, "codes bigint").agg(F.sum("codes")).first()
     parts = common.stored(spark, common.map_arrow(
-        rows, run, f"row bigint, id {kind}, score double, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, "
+        pieces, run, f"row bigint, id {kind}, score double, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, "
                    "rare array<binary>, times array<int>"), "scored")
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = (rare.join(words, "word").groupBy("row")
