@@ -15,15 +15,16 @@ KEYS = {1: "doc_id n_bytes n_tokens ids_crc32 lossless", 2: "doc_id n_words n_hi
         3: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", 4: "doc_id n_bytes n_removed n_spans kept_sha256",
         5: "doc_id fingerprint component_id", 6: "doc_id start n_tokens ids_crc32",
         7: "page_id payload_bytes payload_digest record_type refers_to", 8: "doc_id held_out n_tokens n_known train_tokens base_score score",
-        9: "doc_id held_out score predicted", 10: "doc_id n_words votes weak_label score predicted"}
+        9: "doc_id held_out score predicted", 10: "doc_id n_words votes weak_label score predicted",
+        11: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", 12: "doc_id n_shingles component_id", 13: "item_id rank doc_id score"}
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+def test_operators_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op13_shared_search"}))
 def test_query_gives_a_row_for_every_row(spark, name):
     n = int(re.match(r"op(\d+)_", name)[1])
     out = QUERIES[name](spark, SMALL)

@@ -1,6 +1,6 @@
 """The operators' registered queries: (spark, sf_dir) -> DataFrame."""
 
-from . import ctw, decontaminate, imatch, lattice, quality, simhash, suffix_array, tokens, toxicity, warc
+from . import crosstok, ctw, decontaminate, imatch, jaccard, lattice, quality, ranked, simhash, suffix_array, tokens, toxicity, warc
 
 QUERIES = {
     "op1_piece_lattice": lattice.query,
@@ -13,7 +13,10 @@ QUERIES = {
     "op8_context_tree": ctw.query,
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
+    "op11_token_alignment": crosstok.query,
+    "op12_ngram_join": jaccard.query,
+    "op13_shared_search": ranked.query,
 }
 
 #: DuckDB twins, where SQL can express the query.
-ORACLE: dict[str, str] = {"op2_positional_index": decontaminate.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_positional_index": decontaminate.ORACLE_SQL, "op13_shared_search": ranked.ORACLE_SQL}
