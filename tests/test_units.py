@@ -229,3 +229,52 @@ def test_restarted_streams_add_nothing_twice(spark, tmp_path):
     assert first == (list(range(30)), {"a": 15, "b": 15}) and go() == first
     spark.createDataFrame(rows[30:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert go() == (list(range(40)), {"a": 20, "b": 20})
+
+
+def test_one_line_of_two_fields_decides(spark, tmp_path):
+    from urlscope.sources import files as S
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("http://a.com\nhttp://b.com\nhttp://c.com,phishing\n")
+    assert sorted(S.read_raw_urls(spark, str(tmp_path / "in")).collect(), key=str) == [("http://a.com", None), ("http://b.com", None), ("http://c.com", "phishing")]
+
+
+@pytest.mark.parametrize("split", [128 << 20, 700, 150, 64])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, split):
+    import csv
+    import random
+
+    from urlscope.sources import files as S
+    r, want = random.Random(4), []
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        with open(tmp_path / f"in/{k}.csv", "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            for i in range(80):
+                url = f"http://x{k}.com/" + ("".join(r.choice(["a", "\n", "\n", ",", '"', "x" * 30]) for _ in range(r.randint(1, 12))) if r.random() < 0.4 else str(i))
+                label = r.choice(["benign", "mal\nware", "ph,i"])
+                w.writerow([url, label])
+                want.append((url, label))
+                if r.random() < 0.2:
+                    f.write(f'\nbare"quote{i}\n')
+                    want.append((f'bare"quote{i}', None))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        assert sorted(map(tuple, S.read_raw_urls(spark, str(tmp_path / "in")).collect()), key=str) == sorted(want, key=str)
+        assert not S.rejected_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_open_and_long_quotes(spark, tmp_path, monkeypatch):
+    """A file that ends within quotes has no such records; a record that is too long is rejected."""
+    from urlscope.sources import files as S
+    (tmp_path / "open.csv").write_text('u1,x\n"open,y\nu2,z\n')
+    assert S.detect_format(spark, str(tmp_path / "open.csv")) is None
+    assert sorted(r.url for r in S.read_raw_urls(spark, str(tmp_path / "open.csv"), ",").collect()) == ["open,y", "u1", "u2"]
+    monkeypatch.setattr(S, "RECORD_LIMIT", 20)
+    (tmp_path / "long.csv").write_text('u1,x\n"a\nb",y\n"' + "c\n" * 20 + '",z\n')
+    assert sorted(r.url for r in S.read_raw_urls(spark, str(tmp_path / "long.csv")).collect()) == ["a\nb", "u1"]
+    assert {(r.line, r.n) for r in S.rejected_lines(spark, str(tmp_path / "long.csv")).collect()} == {('"c', 1), ("c", 19), ('",z', 1)}

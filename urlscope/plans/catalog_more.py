@@ -325,11 +325,15 @@ def with_fallback_source(spark, sf):
     return S.with_fallback_source(spark, store, csv)
 
 
+def _named(spark, sf):
+    """Rows with a URL and a label."""
+    return urls_raw(spark, sf).filter(F.length(F.trim("url")) > 0).select("page_id", "url", F.coalesce(F.nullif("type", F.lit("")), F.lit("none")).alias("type"))
+
+
 def _untidy_folder(spark, sf):
     """A folder of three files: one with a header, one with none, one with odd lines."""
     path = scratch_path(spark, "raw-untidy")
-    raw = urls_raw(spark, sf)
-    part = raw.filter(F.length(F.trim("url")) > 0).select("page_id", "url", F.coalesce(F.nullif("type", F.lit("")), F.lit("none")).alias("type"))
+    part = _named(spark, sf)
     S.write_raw_csv(part.filter("page_id % 3 = 0"), path, header=True)
     S.write_raw_csv(part.filter("page_id % 3 = 1"), path, header=False, mode="append")
     odd = part.filter("page_id % 3 = 2")
@@ -351,6 +355,42 @@ def rejected_lines(spark, sf):
     return S.rejected_lines(spark, _untidy_folder(spark, sf))
 
 
+@query
+def read_raw_bare(spark, sf):
+    """Four lines of five hold a URL alone; the others decide the separator, and no line is lost."""
+    path = scratch_path(spark, "raw-bare")
+    part = _named(spark, sf).select(F.when(F.col("page_id") % 5 == 0, F.concat_ws(",", "url", "type")).otherwise(F.col("url")).alias("value"))
+    part.write.text(path)
+    return S.read_raw_urls(spark, path)
+
+
+def _folder_with_breaks(spark, sf):
+    """Every third URL goes on over two more lines, within quotes; every seventh line has a quote that opens nothing."""
+    path = scratch_path(spark, "raw-breaks")
+    broken = F.concat(F.lit('"'), F.col("url"), F.lit('\n/a,""b""\n\n/c",'), F.col("type"))
+    loose = F.concat("url", F.lit('"q,'), "type")
+    plain = F.concat_ws(",", "url", "type")
+    rows = _named(spark, sf).select(F.when(F.col("page_id") % 3 == 0, broken).when(F.col("page_id") % 7 == 0, loose).otherwise(plain).alias("value"))
+    rows.write.text(path)
+    return path, rows.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+
+
+@query
+def read_raw_breaks(spark, sf):
+    """Quoted line breaks, read in some 200 splits, so that records lie across their borders."""
+    path, size = _folder_with_breaks(spark, sf)
+    out, key, cost = scratch_path(spark, "raw-breaks-read"), "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key), spark.conf.get(cost)
+    try:
+        spark.conf.set(key, str(max(256, size // 200)))
+        spark.conf.set(cost, "0")
+        S.read_raw_urls(spark, path).write.parquet(out)
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set(cost, before[1])
+    return spark.read.schema(S.RAW_SCHEMA).parquet(out)
+
+
 @query
 def split_fallback_unicode(spark, sf):
     """S3: a no-break space parts the fields."""

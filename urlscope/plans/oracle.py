@@ -591,6 +591,9 @@ reg("read_raw_folder", over_raw(f"""select url, type from {_PART} where page_id
         union all select url || '/a,b', type from {_PART} where page_id % 3 = 2 and page_id % 2 = 1"""))
 reg("rejected_lines", over_raw(f"""select url || '/x,y,' || type as line, count(*) as n from {_PART}
         where page_id % 3 = 2 and page_id % 2 = 0 group by 1"""))
+reg("read_raw_bare", over_raw(f"select url, case when page_id % 5 = 0 then type end as type from {_PART}"))
+reg("read_raw_breaks", over_raw(f"""select case when page_id % 3 = 0 then url || chr(10) || '/a,"b"' || chr(10) || chr(10) || '/c'
+        when page_id % 7 = 0 then url || '"q' else url end as url, type from {_PART}"""))
 _BLANKS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 _NOT_BLANKS = "[^" + _BLANKS[1:]
 reg("split_fallback_unicode", over_raw(

@@ -1,15 +1,21 @@
 """Sources and sinks (S1-S12) over any Hadoop file system.
 
 Reading a raw ``url,type`` file looks at every line of every file: one aggregate counts, for each
-separator, the lines that split into two fields, and the reader then parses all lines in
-parallel as column expressions. Header rows go by their value, wherever they stand, so a folder
-in which one file has a header loses no data row. Lines of more than two fields are kept in a
-reject table with their number, never cut. Writers are Spark writers: append, overwrite, partitioned.
+separator, the lines that split into two fields; the first separator that has any is taken, and the reader
+then parses all lines in parallel as column expressions. Lines of one field keep their text with a null type. Header rows go
+by their value, wherever they stand, so a folder in which one file has a header loses no data row. Lines of more than two
+fields are kept in a reject table with their number, never cut. Writers are Spark writers: append, overwrite, partitioned.
+
+A quoted field may hold line breaks, also where a file is split. Whether a line begins within a quoted field is a prefix scan: a
+line takes the reader from one state to another (within quotes or not), so it is one of four functions, which are composed within
+each split, then over the splits of a file. Only lines of records that do span lines are shuffled; files without such
+records are read line by line. A file that ends within quotes has no records under that separator, and a record of over
+``RECORD_LIMIT`` characters is refused: its lines are rejected one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEPARATORS, WHITESPACE
@@ -17,6 +23,8 @@ from ..functions.urlparts import py_strip
 from ..session import exists
 
 RAW_SCHEMA = "url string, type string"
+#: Most characters of a record that spans lines.
+RECORD_LIMIT = 131_072
 #: A run of what Python calls white space; Java's own class is ASCII only.
 _SPACES = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
 
@@ -33,16 +41,92 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.length(py_strip("value")) > 0)
 
 
+def _within(line: Column, sep: str, before: bool) -> Column:
+    """Whether a quoted field is open behind ``line``, if one was (or was not) before it. A quote opens a field only
+    where the field begins; doubled quotes leave the state as it is."""
+    def step(open_: Column, chunk: Column) -> Column:
+        odd = (F.length(chunk) - F.length(F.replace(chunk, F.lit('"'), F.lit("")))) % 2 == 1
+        return F.when(open_, ~odd).otherwise(chunk.startswith('"') & odd)
+
+    chunks = F.split(line, "[" + sep + "]")
+    return F.when(line.contains('"'), F.aggregate(chunks, F.lit(before), step)).otherwise(F.lit(before))
+
+
+def _numbered_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(file, block, at, value, before, after, record): each line with its place, whether a quoted field is open before and
+    after it, and how many records of its file end before it."""
+    line = F.col("value")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        _within(line, sep, False).alias("c"), _within(line, sep, True).alias("o"))
+    # a window holds the lines of one split of a file
+    w = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("swaps", F.sum((F.col("c") & ~F.col("o")).cast("int")).over(w))
+    lines = lines.withColumn("fixed", F.last(F.when(F.col("c") == F.col("o"), F.struct("c", "swaps")), ignorenulls=True).over(w))
+
+    def state(start: Column) -> Column:
+        return F.when(F.col("fixed").isNotNull(), F.col("fixed.c") != ((F.col("swaps") - F.col("fixed.swaps")) % 2 == 1)).otherwise(start != (F.col("swaps") % 2 == 1))
+
+    # what a split does to either state, and the records that end in it
+    blocks = (lines.groupBy("file", "block")
+              .agg(F.max_by(state(F.lit(False)), "at").alias("c"), F.max_by(state(F.lit(True)), "at").alias("o"),
+                   F.count_if(~state(F.lit(False))).alias("n_c"), F.count_if(~state(F.lit(True))).alias("n_o")))
+    # the splits of a file, one row each
+    v = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumn("swaps", F.sum((F.col("c") & ~F.col("o")).cast("int")).over(v))
+    blocks = blocks.withColumn("fixed", F.last(F.when(F.col("c") == F.col("o"), F.struct("c", "swaps")), ignorenulls=True).over(v))
+    blocks = blocks.withColumn("start", F.coalesce(F.lag(state(F.lit(False))).over(one), F.lit(False)))
+    ended = F.sum(F.when(F.col("start"), F.col("n_o")).otherwise(F.col("n_c"))).over(v) - F.when(F.col("start"), F.col("n_o")).otherwise(F.col("n_c"))
+    blocks = blocks.select("file", "block", "start", ended.alias("base"))
+    lines = lines.join(blocks, ["file", "block"]).withColumn("after", state(F.col("start")))
+    lines = lines.withColumn("before", F.coalesce(F.lag("after").over(Window.partitionBy("file", "block").orderBy("at")), F.col("start")))
+    record = F.col("base") + F.coalesce(F.count_if(~F.col("after")).over(behind), F.lit(0))
+    return lines.select("file", "block", "at", "value", "before", "after", record.alias("record"))
+
+
+def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(value, whole): the records of a folder in which some span lines, joined by line feeds; whole is false for lines of records that are too
+    long. Blank lines go where they stand between records."""
+    lines = _numbered_lines(spark, path, sep)
+    alone = lines.filter(~F.col("before") & ~F.col("after") & (F.length(py_strip("value")) > 0)).select("value", F.lit(True).alias("whole"))
+    parts = lines.filter("before or after")
+    sizes = parts.groupBy("file", "record").agg(F.sum(F.length("value") + 1).alias("size"))
+    parts = parts.join(sizes, ["file", "record"])
+    joined = (parts.filter(F.col("size") <= RECORD_LIMIT).groupBy("file", "record")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n").alias("value")))
+    long = parts.filter(F.col("size") > RECORD_LIMIT).select("value", F.lit(False).alias("whole"))
+    return alone.unionByName(joined.select("value", F.lit(True).alias("whole"))).unionByName(long)
+
+
+def _ends_open(spark: SparkSession, path: str, sep: str) -> bool:
+    """Whether any file ends within quotes."""
+    last = _numbered_lines(spark, path, sep).groupBy("file").agg(F.max_by("after", F.struct("block", "at")).alias("after"))
+    return last.filter("after").limit(1).count() > 0
+
+
+def _format(spark: SparkSession, path: str, seps: list[str] = SEPARATORS) -> tuple[str | None, bool]:
+    """(separator or None, whether some record spans lines)."""
+    value = F.col("value")
+    counts = _lines(spark, path).agg(*[c for i, s in enumerate(seps) for c in (
+        F.count_if(F.size(_fields(value, s)) == 2).alias(f"two{i}"), F.count_if(_within(value, s, False)).alias(f"open{i}"))]).first()
+    for i, s in enumerate(seps):
+        if not counts[f"open{i}"]:
+            if counts[f"two{i}"]:
+                return s, False
+        elif not _ends_open(spark, path, s) and _parsed(spark, path, s, True).filter(F.size("f") == 2).limit(1).count():
+            return s, True
+    return None, False
+
+
 def detect_format(spark: SparkSession, path: str) -> str | None:
     """The separator, or None.
 
-    A separator fits when over half of all non-blank lines split into exactly two fields with it,
-    quotes respected; separators are tried in the fixed order comma, tab, semicolon, pipe. One
-    aggregate over all lines, five numbers to the driver.
+    The first of comma, tab, semicolon and pipe under which any record has exactly two fields, quotes respected. One
+    aggregate over all lines, eight numbers to the driver; only where a quoted field is left open are records put together.
     """
-    counts = _lines(spark, path).agg(F.count("*").alias("n"), *[
-        F.count_if(F.size(_fields(F.col("value"), s)) == 2).alias(f"s{i}") for i, s in enumerate(SEPARATORS)]).first()
-    return next((s for i, s in enumerate(SEPARATORS) if counts[f"s{i}"] * 2 > counts["n"]), None)
+    return _format(spark, path)[0]
 
 
 def _no_header(df: DataFrame) -> DataFrame:
@@ -61,31 +145,41 @@ def split_fallback(spark: SparkSession, path: str) -> DataFrame:
                       .select(F.col("p")[0].alias("url"), F.col("p")[1].alias("type")))
 
 
-def _parsed(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, sep: str, spanning: bool) -> DataFrame:
+    """(value, f): the records with their fields; no fields for what is too long."""
+    if spanning:
+        return _records(spark, path, sep).select("value", F.when(F.col("whole"), _fields(F.col("value"), sep)).alias("f"))
     return _lines(spark, path).select("value", _fields(F.col("value"), sep).alias("f"))
 
 
+def _chosen(spark: SparkSession, path: str, sep: str | None) -> tuple[str | None, bool]:
+    if sep is None:
+        return _format(spark, path)
+    opened = _lines(spark, path).filter(_within(F.col("value"), sep, False)).limit(1).count() > 0
+    return sep, opened and not _ends_open(spark, path, sep)
+
+
 def read_raw_urls(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """``url, type`` from delimited text of unknown (or given) separator.
 
-    Lines of one field have a null type; lines of three or more fields are in ``rejected_lines``.
+    Records of one field have a null type; records of three or more fields are in ``rejected_lines``.
     """
-    sep = sep or detect_format(spark, path)
+    sep, spanning = _chosen(spark, path, sep)
     if sep is None:
         return split_fallback(spark, path)
     f = F.col("f")
-    return _no_header(_parsed(spark, path, sep).filter(F.size("f") <= 2)
+    return _no_header(_parsed(spark, path, sep, spanning).filter(F.size("f") <= 2).filter("f is not null")
                       .select(F.get(f, F.lit(0)).alias("url"), F.get(f, F.lit(1)).alias("type")))
 
 
 def rejected_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """(line, n): the lines that ``read_raw_urls`` leaves out, with how often they stand there."""
-    sep = sep or detect_format(spark, path)
+    """(line, n): the records that ``read_raw_urls`` leaves out, with how often they stand there."""
+    sep, spanning = _chosen(spark, path, sep)
     if sep is None:
         line = py_strip("value")
         bad = _lines(spark, path).filter(F.size(F.when(line.contains("\t"), F.split(line, "\t", 2)).otherwise(F.split(line, _SPACES, 2))) != 2)
     else:
-        bad = _parsed(spark, path, sep).filter(F.size("f") > 2)
+        bad = _parsed(spark, path, sep, spanning).filter("f is null or size(f) > 2")
     return bad.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
