@@ -77,8 +77,9 @@ def brute_repeats(texts: list[bytes], length: int = 200):
     return out
 
 
-@pytest.mark.parametrize("hot, occurrences", [(1, False), (20_000, False), (20_000, True)])
-def test_repeats(spark, docs, hot, occurrences):
+@pytest.mark.parametrize("hot, occurrences, piece", [(1, False, 100_000), (20_000, False, 100_000), (20_000, True, 100_000), (20_000, True, 4), (1, False, 1), (1, True, 4)])
+def test_repeats(spark, docs, hot, occurrences, piece, monkeypatch):
+    monkeypatch.setattr(suffix_array, "PIECE", piece)
     found = suffix_array.Repeats(spark, docs, hot=hot, occurrences=occurrences)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())
                   for r in found.removed(docs).collect())
@@ -103,12 +104,25 @@ def test_intervals_and_maximal_repeats():
     assert got == {"i": {1, 4, 7, 10}, "issi": {1, 4}, "p": {8, 9}, "s": {2, 3, 5, 6}, "si": {3, 6}, "ssi": {2, 5}}
 
 
-def test_groups_hold_all_occurrences(spark):
+@pytest.mark.parametrize("piece", [1, 2, 3, 4, 5, 100_000])
+def test_runs_over_several_pieces(spark, piece, monkeypatch):
+    """One string in many equal documents, and in some with other surroundings: no row of a long run is lost."""
+    monkeypatch.setattr(suffix_array, "PIECE", piece)
+    shared, same = prose(3, 60), prose(4, 90)
+    texts = [same] * 12 + [prose(10 + i, 5) + shared + prose(50 + i, 5) for i in range(9)] + [prose(7, 80) + same[:300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(20, "doc_id")
+    found = suffix_array.Repeats(spark, df)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found.removed(df).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts])))
+
+
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_groups_hold_all_occurrences(spark, hot):
     shared = prose(5, 30).encode()[:210].decode("utf-8", "ignore")
     rows = [(i, prose(40 + i, 20) + f"#{i}" + shared + f"{i}# " + prose(60 + i, 20)) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     groups = {}
-    for r in suffix_array.Repeats(spark, df, occurrences=True).groups().collect():
+    for r in suffix_array.Repeats(spark, df, occurrences=True, hot=hot).groups().collect():
         t = rows[r["doc_id"]][1].encode()
         groups.setdefault(r["number"], set()).add((r["doc_id"], r["start"], t[r["start"]:r["start"] + r["length"]]))
     for members in groups.values():

@@ -19,7 +19,8 @@ Repeats longer than what an anchor reaches are found piece by piece, each at its
 in step 4; so the spans are exact for any length, while a group of ``repeats`` ends at the reach.
 
 A bucket of over ``HOT`` different surroundings isn't brought together in a task: its strings of
-``length`` bytes are hashed and counted by Spark instead (128 bits), which finds the same spans.
+``length`` bytes are hashed and counted by Spark instead (128 bits), which finds the same spans. Its groups are
+the repeated strings of ``length`` bytes, each with all its occurrences, not joined to longer ones.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` have no spans. Rows
 of equal id and text are separate documents, each a repeat of the other. Equal ids with
@@ -39,6 +40,8 @@ from . import common
 LENGTH = 200
 GRAM = 80
 HOT = 20_000
+#: Rows of sorted anchors that are looked at together.
+PIECE = 100_000
 _SEGMENT = 500_000
 _PART = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -280,8 +283,8 @@ class Repeats:
                     yield rows(ids, h, text, pos, right, key, ctx, pa.nulls(len(text), pa.int64()))
 
         def shared(batches):
-            """Rows of keys that have more than one; a run is handed on as soon as that is known."""
-            held = None
+            """Rows of keys that have more than one, in pieces of some ``PIECE`` rows; a piece knows the rows beside it."""
+            held, before = None, None
             for b in batches:
                 t = pa.Table.from_batches([b])
                 known = t.filter(pc.is_valid(t["until"]))
@@ -290,31 +293,39 @@ class Repeats:
                     yield from known.append_column("copies", no).append_column("lead", no).combine_chunks().to_batches()
                 t = t.filter(pc.is_null(t["until"]))
                 held = t if held is None else pa.concat_tables([held, t])
-                key = held["key"].to_numpy()
-                if not len(key) or len(key) < 100_000 or key[0] == key[-1] and len(key) < 1_000_000:
-                    continue
-                # up to the last key, or all of a very long run (its rest is marked as shared by the overlap of one row)
-                cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
-                if cut == 0:
-                    yield from sift(held.slice(0, len(key) - 1), True)
-                    held = held.slice(len(key) - 1)
-                else:
-                    yield from sift(held.slice(0, cut), False)
-                    held = held.slice(cut)
+                if len(held) > PIECE:
+                    last = len(held) - 1
+                    behind = (held["key"][last].as_py(), held["ctx"][last].as_py())
+                    yield from sift(held.slice(0, last), before, behind)
+                    before = (held["key"][last - 1].as_py(), held["ctx"][last - 1].as_py())
+                    held = held.slice(last)
             if held is not None and len(held):
-                yield from sift(held, False)
+                yield from sift(held, before, None)
 
-        def sift(t, more):
+        def sift(t, before, behind):
+            """before, behind: (key, ctx) of the row before and behind the piece."""
             key, ctx = t["key"].to_numpy(), t["ctx"].to_numpy()
+            goes_on = before is not None and before[0] == key[0]
+            comes = behind is not None and behind[0] == key[-1]
             new_key = np.append(True, key[1:] != key[:-1])
             new = new_key | np.append(True, ctx[1:] != ctx[:-1])
             of_key, of_ctx = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-            rows, kinds, copies = np.bincount(of_key), np.bincount(of_key, new), np.bincount(of_ctx)
-            keep = (rows[of_key] > 1) | more
+            rows, kinds, copies = np.bincount(of_key), np.bincount(of_key, new).astype(np.int64), np.bincount(of_ctx)
+            if goes_on:
+                rows[0] += 1
+                same = before[1] == ctx[0]
+                copies[0] += same
+                kinds[0] += not same
+                new[0] = not same
+            if comes:
+                rows[-1] += 1
+                copies[-1] += behind[1] == ctx[-1]
+                kinds[-1] += 1  # it may have others
+            keep = rows[of_key] > 1
             out = t.filter(pa.array(keep))
             out = out.append_column("copies", pa.array((copies[of_ctx] > 1)[keep]))
             # the first row of each surroundings stands for it, where there are different ones
-            out = out.append_column("lead", pa.array((new & ((kinds[of_key] > 1) | more))[keep]))
+            out = out.append_column("lead", pa.array((new & (kinds[of_key] > 1))[keep]))
             yield from out.combine_chunks().to_batches()
 
         raw = common.map_arrow(self.docs, find, _SCHEMA)
@@ -396,9 +407,11 @@ class Repeats:
             self._stored_surroundings = common.stored(self.spark, self._leads(), "surroundings")
         return self._stored_surroundings
 
-    def _counted(self) -> DataFrame:
-        """(key, ctx, before, behind) for the buckets that are too large to be brought together."""
-        window, length = self.window, self.length
+    def _strings(self) -> DataFrame:
+        """(a, b, key, ctx, before): the repeated strings of the buckets that are too large to be brought together, by their hashes."""
+        if hasattr(self, "_stored_strings"):
+            return self._stored_strings
+        length = self.length
 
         def strings(batches):
             for b in batches:
@@ -425,8 +438,12 @@ class Repeats:
         # by anchor too: one place is not counted once for each anchor within reach
         same = ["a", "b", "key", "before"]
         again = each.groupBy(*same).count().where("count > 1").select(*same)
-        return (each.join(again, same, "left_semi").groupBy("key", "ctx")
-                .agg(F.max("before").alias("before"), (F.lit(length) - F.min("before")).alias("behind")))
+        self._stored_strings = common.stored(self.spark, each.join(again, same, "left_semi"), "repeated")
+        return self._stored_strings
+
+    def _counted(self) -> DataFrame:
+        """(key, ctx, before, behind) for those buckets."""
+        return self._strings().groupBy("key", "ctx").agg(F.max("before").alias("before"), (F.lit(self.length) - F.min("before")).alias("behind"))
 
     def _spans(self) -> DataFrame:
         """(doc_id, h, start, end) of all repeats, not merged."""
@@ -445,16 +462,20 @@ class Repeats:
         return whole.unionByName(part).unionByName(known)
 
     def groups(self) -> DataFrame:
-        """(number, doc_id, start, length): every maximal repeat within an anchor's reach with all its
-        occurrences; copies of whole surroundings are a repeat of their own. Not for hot buckets, whose strings are counted only."""
+        """(number, doc_id, h, start, length): every maximal repeat within an anchor's reach with all its occurrences; copies of
+        whole surroundings are a repeat of their own, and in buckets of over ``hot`` surroundings every repeated string of
+        ``length`` bytes is."""
         if not self.occurrences:
             raise ValueError("occurrences=True is asked for")
-        rows = self.entries.select("key", "ctx", "doc_id", F.shiftright("place", 8).alias("pos"), F.col("place").bitwiseAND(F.lit(255)).alias("right"), "copies")
+        rows = self.entries.select("key", "ctx", "doc_id", "h", F.shiftright("place", 8).alias("pos"), F.col("place").bitwiseAND(F.lit(255)).alias("right"), "copies")
         left = F.least("pos", F.lit(self.window - 1))
         whole = rows.where(F.col("copies") & (left + F.col("right") >= self.length)).select(
-            F.xxhash64("key", "ctx").alias("number"), "doc_id", (F.col("pos") - left).alias("start"), (left + F.col("right")).alias("length"))
-        part = rows.join(self._scanned(groups=True), ["key", "ctx"]).select(
-            "number", "doc_id", (F.col("pos") - F.col("before")).alias("start"), (F.col("before") + F.col("behind")).alias("length"))
+            F.xxhash64("key", "ctx").alias("number"), "doc_id", "h", (F.col("pos") - left).alias("start"), (left + F.col("right")).alias("length"))
+        found = self._scanned(groups=True).select("key", "ctx", "before", "behind", "number")
+        if self._hot_table.limit(1).count():
+            found = found.unionByName(self._strings().select("key", "ctx", "before", (F.lit(self.length) - F.col("before")).alias("behind"), F.xxhash64("a", "b").alias("number")))
+        part = rows.join(found, ["key", "ctx"]).select(
+            "number", "doc_id", "h", (F.col("pos") - F.col("before")).alias("start"), (F.col("before") + F.col("behind")).alias("length"))
         return whole.unionByName(part)
 
     def removed(self, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
