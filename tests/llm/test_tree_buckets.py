@@ -23,3 +23,49 @@ def test_buckets_and_pieces(spark, monkeypatch):
     tree = ctw.load(folder)
     for r in docs.join(ctw.score_documents(spark, docs, folder, ctw.word_counts(spark, known)), "doc_id").collect():
         assert abs(r["score"] - tree.log10(ctw.gram_codes([r["text"].encode()])[0]).astype(float).sum()) < 1e-3
+
+
+def test_frequent_contexts_belong_to_the_top(spark, monkeypatch):
+    """However subtrees are dealt out, the tree is the same, and no bucket gets what stands behind a frequent context."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit(" the the th"), F.repeat(F.concat(F.lit(" the"), F.sha2(F.col("id").cast("string"), 256)), 3)).alias("text"))
+    plain = ctw.train(spark, docs)
+    assert not any(len(x) for x in ctw._layout(plain).hot)
+    monkeypatch.setattr(ctw, "_BUCKET", 500)
+    monkeypatch.setattr(ctw, "HOT", 1 / 2000)
+    dealt = ctw.train(spark, docs)
+    layout = ctw._layout(dealt)
+    assert int.from_bytes(b" th", "big") in layout.hot[0].tolist() and len(layout.hot[1]) and len(layout.hot[2])
+    one, other = ctw.load(plain), ctw.load(dealt)
+    assert all((a == b).all() for a, b in zip(one.codes, other.codes))
+    sizes = [sum(int(n.sum()) for own in ctw._levels(dealt, b).values() for _, n in own[:1]) for b in range(layout.buckets)]
+    assert max(sizes) < sum(sizes) / 20
+    words = ctw.word_counts(spark, docs)
+    got, want = ({r["doc_id"]: r["score"] for r in ctw.score_documents(spark, docs, f, words).collect()} for f in (dealt, plain))
+    assert len(got) == 400 and all(abs(got[i] - want[i]) < 1e-3 for i in got)
+
+
+def test_a_lost_bucket_is_an_error(spark, monkeypatch):
+    import os
+
+    import pytest
+    monkeypatch.setattr(ctw, "_BUCKET", 2_000)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    folder = ctw.train(spark, docs)
+    path = folder.removeprefix("file://")
+    assert len([f for f in os.listdir(path) if f.startswith("bucket-")]) == ctw._layout(folder).buckets > 1
+    os.rename(f"{path}/bucket-1", f"{path}/moved")
+    with pytest.raises(Exception, match="bucket-1"):
+        ctw.score_documents(spark, docs, folder, ctw.word_counts(spark, docs)).collect()
+
+
+def test_texts_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "_PIECE", 50)
+    docs = spark.createDataFrame([(1, "ab cd " * 100), (2, None), (3, ""), (4, "x"), (5, "Zz " * 33), (None, "ab cd " * 100)], "doc_id bigint, text string").repartition(2)
+    folder = ctw.train(spark, docs)
+    tree = ctw.load(folder)
+    for reread in (False, True):
+        rows = ctw.score_documents(spark, docs if not reread else docs.cache(), folder, ctw.word_counts(spark, docs), reread=reread).join(docs, "doc_id", "left").collect()
+        assert len(rows) == 6
+        for r in rows:
+            text = "ab cd " * 100 if r["doc_id"] is None else r["text"] or ""
+            assert abs(r["score"] - tree.log10(ctw.gram_codes([text.encode()])[0]).astype(float).sum()) < 1e-3

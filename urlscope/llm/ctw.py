@@ -8,11 +8,16 @@ product of its children's block probabilities:
     Pw(s) = 1/2 Pe(s) + 1/2 * Pe(rest of s) * product of Pw(cs) over the kept children cs
 
 Contexts of at least ``minimum`` bytes (two) are kept apart, however large the corpus is; what follows the others
-in a parent counts as the parent's "rest". Subtrees are dealt out by their root's context of ``ROOT`` bytes, in
-buckets whose number follows the training bytes; a bucket's task builds its subtrees and hands up the sums of their
-roots. One task builds the top, whose contexts of fewer than ``ROOT`` bytes are at most 65,793. To score, texts are cut in
-pieces; the different codes of a piece go to the buckets, whose tasks load the bucket's subtrees, and
-the answers go back to a file a piece.
+in a parent counts as the parent's "rest". Subtrees are dealt out by their root's context to buckets whose number
+follows the training bytes; a root has ``ROOT`` bytes, or one more than a frequent context: those that hold over a share ``HOT`` of
+all bytes (by a sample, which changes the layout only) belong to the top, so that no bucket gets all that stands behind
+one frequent context. A bucket's task builds its subtrees and hands up the sums of their roots, and one task builds the top, which has
+the contexts of fewer than ``ROOT`` bytes and at most 1 / HOT frequent ones of each length.
+
+To score, texts are cut in pieces; the different codes of a piece go to their buckets, whose tasks load the bucket's
+subtrees and send back the values alone, in the order in which they were asked; a file a piece holds them for the
+pass that adds them up. Every bucket has a file, so one that is lost is an error. Pieces and buckets grow with the root of the input beyond
+``LARGE``, so that the rows between them grow no faster than the input.
 
 Prediction mixes along the path with the posterior weights of the trained tree: with
 w = 1/2 Pe(s) / Pw(s), a decision has the probability w * KT(s) + (1 - w) * (that of the child on the path, or
@@ -35,18 +40,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
+from .packed import pack, read_whole, runs, spread, squeeze, unpack
 
 DEPTH = 6
-#: Bytes of the context by which subtrees are dealt out; the top has the shorter contexts.
+#: Least bytes of a context by which subtrees are dealt out; the top has the shorter contexts.
 ROOT = 3
+#: Share of all bytes from which on a longer context belongs to the top, and bytes of text by which these are found.
+HOT, _SAMPLE = 1 / 16384, 20_000_000
 LEAST_WORD = 1e-6
-_CHUNK = 2_000_000
-#: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece.
-_BUCKET, _PIECE = 1_000_000, 4_000_000
+#: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece, up to LARGE bytes of text.
+_BUCKET, _PIECE, LARGE = 1_000_000, 8_000_000, 10_000_000_000
 _WORDS = 300_000
 
 
@@ -54,125 +62,102 @@ _WORDS = 300_000
 
 def gram_codes(texts: list, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(code of every byte with its context, where each text's codes begin); a text ends with byte 0."""
-    pad = b"\0" * depth
-    low = [(t or b"").lower() for t in texts]
-    buf = np.frombuffer(b"".join([x for t in low for x in (pad, t, b"\0")]), np.uint8)
-    sizes = np.array([len(t) + 1 for t in low], np.int64)
+    return _codes([(b"\0" * depth, (t or b"").lower() + b"\0") for t in texts], depth)
+
+
+def _codes(parts: list[tuple[bytes, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for parts of texts, each given as (the ``depth`` bytes before it, its own)."""
+    buf = np.frombuffer(b"".join([x for p in parts for x in p]), np.uint8)
+    sizes = np.array([len(t) for _, t in parts], np.int64)
     code = np.zeros(len(buf) - depth, np.uint64) if len(buf) else np.zeros(0, np.uint64)
     for k in range(depth + 1):
         code |= buf[depth - k:len(buf) - k].astype(np.uint64) << np.uint64(8 * k)
     starts = np.cumsum(sizes) - sizes
-    if len(texts) > 1:  # codes that end in the padding between two texts go
+    if len(parts) > 1:  # codes that end in the padding between two texts go
         keep = np.ones(len(code), bool)
-        at = (starts + depth * np.arange(len(texts)))[1:]
+        at = (starts + depth * np.arange(len(parts)))[1:]
         keep[(at[:, None] - 1 - np.arange(depth)[None, :]).ravel()] = False
         code = code[keep]
     return code, starts
 
 
-def _pieces(texts: list):
-    """Texts in runs of some MB, so that arrays stay small; a text is never cut."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or b"")
-        if size > _CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _pieces(batches, depth: int, size: int):
+    """(rows, [(row, bytes before, own bytes)]) of runs of some ``size`` bytes: a longer text goes on in the next piece.
+    ``rows`` counts those that begin in the piece."""
+    parts, rows, row, room = [], 0, 0, size
+    for b in batches:
+        for t in common.utf8_lists(b, "text"):
+            low = (t or b"").lower() + b"\0"
+            rows, before = rows + 1, b"\0" * depth
+            while len(low) > room:
+                parts.append((row, before, low[:room]))
+                before, low = (before + low[:room])[-depth:] if depth else b"", low[room:]
+                yield rows, parts
+                parts, rows, room = [], 0, size
+            parts.append((row, before, low))
+            room -= len(low)
+            row += 1
+    if parts:
+        yield rows, parts
+
+
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different codes in order, how often each is there)."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
+    return codes[first], np.diff(np.append(first, len(codes)))
 
 
-def _add(a: tuple, b: tuple) -> tuple:
-    codes, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.argsort(codes, kind="stable")
+def _sum(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, each once, with the sums of their counts."""
+    order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _sum(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _add((codes, counts), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-
-
 def _different(codes: np.ndarray) -> np.ndarray:
     """Sorted codes, each once."""
     return codes[np.append(True, codes[1:] != codes[:-1])[:len(codes)]]
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Compressed, all first bytes before all second ones."""
-    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), codec="zstd", asbytes=True)
-
+class Layout:
+    """Where subtrees lie: ``hot[k]`` has the contexts of ROOT + k bytes that belong to the top."""
 
-def _spread(data: bytes, kind, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+    def __init__(self, depth: int, buckets: int, hot: list[np.ndarray]):
+        self.depth, self.buckets, self.hot = depth, buckets, hot
+        self.first = np.zeros(1 << 8 * ROOT, bool)
+        self.first[hot[0].astype(np.int64)] = True
 
+    def __getstate__(self):
+        return self.depth, self.buckets, self.hot
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Sorted codes as compressed steps."""
-    return _squeeze(np.diff(codes, prepend=np.uint64(0)))
+    def __setstate__(self, state):
+        self.__init__(*state)
 
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(_spread(data, np.uint64, n), dtype=np.uint64)
-
-
-def _dealt(codes: np.ndarray, buckets: int):
-    """(bucket, the places of its codes): all codes of a context of ROOT bytes go to one bucket."""
-    root = codes >> np.uint64(8) & np.uint64((1 << 8 * ROOT) - 1)
-    bucket = ((root + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket.view(np.int64), minlength=buckets))
-    for b in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-        yield b, order[ends[b - 1] if b else 0:ends[b]]
-
-
-def _gram_counts(batches, depth: int, buckets: int):
-    """Counts of the grams of a task, added up before they are shuffled: a row a bucket."""
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    total, waiting, size = empty, [], 0
-
-    def take():
-        out = empty
-        for p in _pieces(waiting):
-            out = _add(out, np.unique(gram_codes(p, depth)[0], return_counts=True))
+    def roots(self, codes: np.ndarray) -> np.ndarray:
+        """Bytes of the context at which each code's subtree begins."""
+        context = codes >> np.uint64(8)
+        out = np.full(len(codes), ROOT, np.uint8)
+        left = np.flatnonzero(self.first[(context & np.uint64((1 << 8 * ROOT) - 1)).view(np.int64)])
+        for k in range(1, self.depth - ROOT + 1):
+            out[left] = ROOT + k
+            if k == len(self.hot) or not len(left):
+                break
+            left = left[Ordered(self.hot[k]).find(context[left] & np.uint64((1 << 8 * (ROOT + k)) - 1))[0]]
         return out
 
-    for b in batches:
-        got = common.utf8_lists(b, "text")
-        waiting += got
-        size += sum(len(t or b"") for t in got)
-        if size > _CHUNK:
-            total = _add(total, take())
-            waiting, size = [], 0
-            if len(total[0]) > 2_500_000:
-                yield from _gram_batches(total, buckets)
-                total = empty
-    total = _add(total, take()) if waiting else total
-    yield from _gram_batches(total, buckets)
-
-
-def _gram_batches(total: tuple, buckets: int):
-    for b, at in _dealt(total[0], buckets):
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_pack(total[0][at])], pa.binary()),
-                                          pa.array([_squeeze(total[1][at].astype(np.int64))], pa.binary())], ["bucket", "n", "codes", "counts"])
-
-
-def _runs(batches, name: str):
-    """(value, rows) of runs of equal values of a column, the rows as dicts."""
-    now, held = None, []
-    for b in batches:
-        for row in b.to_pylist():
-            if held and row[name] != now:
-                yield now, held
-                held = []
-            now = row[name]
-            held.append(row)
-    if held:
-        yield now, held
+    def dealt(self, codes: np.ndarray):
+        """(bucket, the places of its codes) for each bucket that has any."""
+        size = self.roots(codes).astype(np.uint64)
+        root = codes >> np.uint64(8) & ((np.uint64(1) << np.uint64(8) * size) - np.uint64(1))
+        bucket = ((root + size) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.buckets)
+        # 16-bit numbers are sorted in one step
+        bucket = bucket.astype(np.uint16) if self.buckets <= 1 << 16 else bucket.view(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])[:len(order)])
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+            yield int(bucket[order[lo]]), order[lo:hi]
 
 
 # ---- the tree --------------------------------------------------------------------------
@@ -235,15 +220,15 @@ def _level(codes: np.ndarray, counts: np.ndarray) -> list:
 
 
 class Tree:
-    """Depths low, low + 1, ... of the trained tree: all of it, the top, or the subtrees of a bucket.
+    """Depths low, low + 1, ... of the trained tree: all of it, the top, or subtrees of a bucket.
 
     grams: for each depth the sorted (codes, counts) of context + byte, of the kept contexts only.
-    below: for each decision (keys, zeros, ones, log Pw) of the last depth's nodes, added up over the kept children
-    of other parts; None: there are none. ``finish`` makes it ready for prediction.
+    below: for a depth and each decision (keys, zeros, ones, log Pw) of its nodes, added up over the kept children
+    in other parts. ``finish`` makes it ready for prediction.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], low: int = 0, below: list | None = None):
-        self.low, self.depth = low, low + len(grams) - 1
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], low: int = 0, below: dict[int, list] | None = None):
+        self.low, self.depth, below = low, low + len(grams) - 1, below or {}
         self.codes = [np.zeros(0, np.uint64)] * low + [c.astype(np.uint64) for c, _ in grams]
         self.levels = [None] * low + [_level(c.astype(np.uint64), n) for c, n in grams]
         # upwards: block probabilities, and what isn't in a kept child
@@ -251,17 +236,20 @@ class Tree:
         for d in range(self.depth, low - 1, -1):
             for j, (keys, a, b, _) in enumerate(self.levels[d]):
                 own = kt_log(a, b)
-                if d < self.depth:
-                    child, ca, cb, _ = self.levels[d + 1][j]
-                    child, cw = self._shorter(child, d), self.log_w[d + 1][j]
-                elif below is not None:
-                    child, ca, cb, cw = below[j]
-                else:
+                if d == self.depth and d not in below:
                     self.log_w[d][j], self.weight[d][j], self.rest[d][j] = own, np.ones(len(keys)), (np.zeros(len(keys)), np.zeros(len(keys)))
                     continue
-                up = np.searchsorted(keys, child)
-                ra, rb = a - np.bincount(up, ca, len(keys)), b - np.bincount(up, cb, len(keys))
-                inner = np.bincount(up, cw, len(keys)) + kt_log(ra, rb)
+                ra, rb, inner = a.copy(), b.copy(), np.zeros(len(keys))
+                parts = [below[d][j]] if d in below else []
+                if d < self.depth:
+                    child, ca, cb, _ = self.levels[d + 1][j]
+                    parts.append((self._shorter(child, d), ca, cb, self.log_w[d + 1][j]))
+                for child, ca, cb, cw in parts:
+                    up = np.searchsorted(keys, child)
+                    ra -= np.bincount(up, ca, len(keys))
+                    rb -= np.bincount(up, cb, len(keys))
+                    inner += np.bincount(up, cw, len(keys))
+                inner += kt_log(ra, rb)
                 self.log_w[d][j] = np.logaddexp(own, inner) - math.log(2)
                 self.weight[d][j] = np.exp(own - math.log(2) - self.log_w[d][j])
                 self.rest[d][j] = (ra, rb)
@@ -274,7 +262,7 @@ class Tree:
 
     def finish(self, above: Tree | None = None) -> Tree:
         """Downwards: probability of a one where the path ends at a node, as an affine map of its own."""
-        sure = None if above is None else above.sure
+        self.sure = [] if above is None else above.sure[:self.low]
         self.nodes, self.contexts, self.values = [], [], []
         for d in range(self.low, self.depth + 1):
             nodes, passed, value = [], [], np.zeros(len(self.codes[d]))
@@ -285,21 +273,21 @@ class Tree:
                 if d == 0:
                     add, times = np.zeros(len(keys)), np.ones(len(keys))
                 else:
-                    up = np.searchsorted(sure[j][0], self._shorter(keys, d - 1))
-                    add, times = sure[j][1][up], sure[j][2][up]
+                    up = np.searchsorted(self.sure[d - 1][j][0], self._shorter(keys, d - 1))
+                    add, times = self.sure[d - 1][j][1][up], self.sure[d - 1][j][2][up]
                 ends = add + times * (w * kt + (1 - w) * end)
                 passed.append((keys, add + times * w * kt, times * (1 - w)))
                 nodes.append((Ordered(keys), ends))
                 value += np.log10(np.where(one, ends[of], 1 - ends[of]))
-            sure = passed
+            self.sure.append(passed)
             self.nodes.append(nodes)
             self.values.append(value.astype(np.float32))
             self.contexts.append(Ordered(_different(self.codes[d] >> np.uint64(8))))
-        self.sure, self.levels, self.log_w, self.rest, self.weight = sure, None, None, None, None
+        self.levels, self.log_w, self.rest, self.weight = None, None, None, None
         self.grams = [Ordered(c) for c in self.codes[self.low:]]
         if above is not None:
             for name in ("nodes", "contexts", "values", "grams"):
-                setattr(self, name, getattr(above, name) + getattr(self, name))
+                setattr(self, name, getattr(above, name)[:self.low] + getattr(self, name))
         return self
 
     @staticmethod
@@ -363,33 +351,75 @@ def _kept(codes: np.ndarray, counts: np.ndarray, high: int, low: int, enough: fl
     return out[::-1]
 
 
-def _read(folder: str, name: str) -> bytes | None:
-    from pyarrow import fs
-    system, path = common.open_folder(folder)
-    if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
-        return None
-    with system.open_input_file(f"{path}/{name}") as f:
-        return f.read()
+def _frequent(rows: DataFrame, depth: int, total: int) -> list[np.ndarray]:
+    """The contexts of ROOT, ROOT + 1, ... bytes, shorter than the depth, that hold over a share HOT of the bytes of a sample of texts."""
+    lengths = list(range(ROOT, depth))
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // _SAMPLE))) == 0)
+
+    def count(batches):
+        for _, parts in _pieces(batches, depth, _SAMPLE):
+            codes = _codes([p[1:] for p in parts], depth)[0] >> np.uint64(8)
+            for k in lengths:
+                # what is frequent overall is so in some piece; all others stay here
+                got, n = _counted(codes & np.uint64((1 << 8 * k) - 1))
+                own = n >= HOT * len(codes) / 8
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(own.sum()), k, np.int32)), pa.array(got[own].view(np.int64)), pa.array(n[own])], ["k", "context", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(codes)], pa.int64())], ["k", "context", "n"])
+
+    found = common.map_arrow(some, count, "k int, context bigint, n bigint").groupBy("k", "context").agg(F.sum("n").alias("n"))
+    # every context of one length holds a share HOT, so at most 1 / HOT of them come here
+    whole = F.max(F.when(F.col("k") == 0, F.col("n"))).over(Window.partitionBy())
+    limit = F.greatest(F.lit(HOT), F.lit(_BUCKET / max(1, total))) * whole
+    hot = found.withColumn("least", limit).where("k > 0 and n > least").select("k", "context").toArrow()
+    k, context = hot["k"].to_numpy(), hot["context"].to_numpy().view(np.uint64)
+    out = [np.sort(context[k == n]) for n in lengths]
+    # a context is in the top only if the shorter ones are
+    for i in range(1, len(out)):
+        shorter = out[i] & np.uint64((1 << 8 * lengths[i - 1]) - 1)
+        out[i] = out[i][Ordered(out[i - 1]).find(shorter)[0]]
+    return out
 
 
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = 0.0, minimum: int = 2) -> str:
-    """The tree of all rows of ``docs``: the shared folder it is written to, a file a bucket of subtrees and the top.
+    """The tree of all rows of ``docs``: the shared folder it is written to, a file a bucket of subtrees, the top and the layout.
     minimum: bytes that a context needs to be kept; least: a share of all bytes that it needs besides."""
     from urlscope.session import scratch_path  # here, as task functions take this module along by value
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
-    buckets, enough, high = max(1, -(-total // _BUCKET)), max(minimum, least * total), min(ROOT - 1, depth)
-    folder = scratch_path(spark, "tree")
+    grown = max(1.0, (total / LARGE) ** 0.5)
+    buckets, enough, high = max(1, -(-total // int(_BUCKET * grown))), max(minimum, least * total), min(ROOT - 1, depth)
+    layout = Layout(depth, buckets, _frequent(rows, depth, total) if depth > ROOT else [np.zeros(0, np.uint64)])
+    folder, piece_size = scratch_path(spark, "tree"), int(_PIECE * grown)
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(layout))
+
+    def count(batches):
+        layout = cloudpickle.loads(sent.value)
+        for _, parts in _pieces(batches, depth, piece_size):
+            codes, counts = _counted(_codes([p[1:] for p in parts], depth)[0])
+            for bucket, at in layout.dealt(codes):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([pack(codes[at])], pa.binary()),
+                                                  pa.array([squeeze(counts[at])], pa.binary())], ["bucket", "n", "codes", "counts"])
 
     def grow(batches):
-        for bucket, held in _runs(batches, "bucket"):
-            codes, counts = _sum(np.concatenate([_unpack(r["codes"], r["n"]) for r in held]), np.concatenate([_spread(r["counts"], np.int64, r["n"]) for r in held]))
+        layout = cloudpickle.loads(sent.value)
+        for bucket, held in runs(batches, "bucket"):
+            codes, counts = _sum(np.concatenate([unpack(r["codes"], r["n"]) for r in held if r["n"]] or [np.zeros(0, np.uint64)]),
+                                 np.concatenate([spread(r["counts"], np.int64, r["n"]) for r in held if r["n"]] or [np.zeros(0, np.int64)]))
+            root, parts = layout.roots(codes), {}
             if depth >= ROOT:
-                levels = _kept(codes, counts, depth, ROOT, enough)
-                common.write_whole(folder, f"bucket-{bucket}", cloudpickle.dumps([(len(c), _pack(c), _squeeze(n)) for c, n in levels]))
-                for key, *sums in Tree(levels, ROOT).for_parents():
-                    yield part(1, key, *sums)
+                for low in np.unique(root).tolist():
+                    levels = _kept(codes[root == low], counts[root == low], depth, low, enough)
+                    parts[low] = [(len(c), pack(c), squeeze(n)) for c, n in levels]
+                    for key, *sums in Tree(levels, low).for_parents():
+                        yield part(low, key, *sums)
+                    # what stands behind a frequent context is counted there, too
+                    if low > ROOT:
+                        for d in range(ROOT, low):
+                            key, n = _sum(codes[root == low] & np.uint64((1 << 8 * (d + 1)) - 1), counts[root == low])
+                            yield part(-d, key, n.astype(float), np.zeros(len(key)), np.zeros(len(key)))
+            # every bucket has a file, empty or not
+            common.write_whole(folder, f"bucket-{bucket}", cloudpickle.dumps(parts))
             codes, counts = _sum(codes & np.uint64((1 << 8 * (high + 1)) - 1), counts)
             yield part(0, codes, counts.astype(float), np.zeros(len(codes)), np.zeros(len(codes)))
 
@@ -403,39 +433,50 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
         key, order = key.view(np.uint64), np.argsort(key.view(np.uint64), kind="stable")
         kind, key, a, b, w = (x[order] for x in (kind, key, a, b, w))
         levels = _kept(key[kind == 0], a[kind == 0].astype(np.int64), high, 0, enough)
-        below = None
+        below = {}
         if depth >= ROOT:
-            own = [(kind == 1) & (key & np.uint64(255) >= np.uint64(1 << j)) & (key & np.uint64(255) < np.uint64(2 << j)) for j in range(8)]
-            below = [tuple(x[at] for x in (key, a, b, w)) for at in own]
+            levels += [(key[kind == -d], a[kind == -d].astype(np.int64)) for d in range(ROOT, depth)]
+            for low in range(ROOT, depth + 1):
+                own = [(kind == low) & (key & np.uint64(255) >= np.uint64(1 << j)) & (key & np.uint64(255) < np.uint64(2 << j)) for j in range(8)]
+                below[low - 1] = [tuple(x[at] for x in (key, a, b, w)) for at in own]
         common.write_whole(folder, "top", cloudpickle.dumps((levels, Tree(levels, 0, below).finish())))
-        common.write_whole(folder, "sizes", cloudpickle.dumps((depth, buckets)))
+        common.write_whole(folder, "layout", sent.value)
         yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], ["rows"])
 
-    grams = common.map_arrow(rows, lambda batches: _gram_counts(batches, depth, buckets), "bucket int, n int, codes binary, counts binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    sums = grams.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(grow, "kind int, key bigint, a double, b double, w double")
-    sums = common.stored(spark, sums, "sums").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abw"])
-    # contexts of fewer than ROOT bytes only: 256 ** ROOT grams at most, whatever the input
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    # a row of no kind, so that the task runs without training rows too
-    none = spark.range(1).select(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), *[F.lit(0.0).alias(c) for c in "abw"])
-    sums.unionByName(none).repartition(1).mapInArrow(top, "rows bigint").collect()
+    grams = common.map_arrow(rows, count, "bucket int, n int, codes binary, counts binary")
+    empty = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("counts"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with common.batches_of(spark, 64):
+        sums = grams.unionByName(empty).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(grow, "kind int, key bigint, a double, b double, w double")
+        sums = common.stored(spark, sums, "sums")
+    # contexts of fewer than ROOT bytes and the frequent ones only, whatever the input; a row of no kind, so that the task
+    # runs without training rows too
+    sums = sums.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abw"])
+    none = spark.range(1).select(F.lit(99).alias("kind"), F.lit(0).cast("long").alias("key"), *[F.lit(0.0).alias(c) for c in "abw"])
+    with common.batches_of(spark, 100_000):
+        sums.unionByName(none).repartition(1).mapInArrow(top, "rows bigint").collect()
     return folder
 
 
-def _levels(folder: str, bucket: int) -> list | None:
-    data = _read(folder, f"bucket-{bucket}")
-    return None if data is None else [(_unpack(c, n), _spread(k, np.int64, n)) for n, c, k in cloudpickle.loads(data)]
+def _levels(folder: str, bucket: int) -> dict[int, list]:
+    """A bucket's subtrees by the bytes of their roots; an error if its file is lost."""
+    return {low: [(unpack(c, n), spread(k, np.int64, n)) for n, c, k in levels] for low, levels in cloudpickle.loads(read_whole(folder, f"bucket-{bucket}")).items()}
+
+
+def _layout(folder: str) -> Layout:
+    return cloudpickle.loads(read_whole(folder, "layout"))
 
 
 def load(folder: str) -> Tree:
     """The whole tree, for small ones."""
-    depth, buckets = cloudpickle.loads(_read(folder, "sizes"))
-    levels = cloudpickle.loads(_read(folder, "top"))[0]
-    parts = [x for x in (_levels(folder, b) for b in range(buckets)) if x is not None]
-    for k in range(depth + 1 - len(levels)):
-        levels.append(_sum(np.concatenate([p[k][0] for p in parts] or [np.zeros(0, np.uint64)]), np.concatenate([p[k][1] for p in parts] or [np.zeros(0, np.int64)])))
-    return Tree(levels).finish()
+    layout = _layout(folder)
+    levels = list(cloudpickle.loads(read_whole(folder, "top"))[0])
+    levels += [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * (layout.depth + 1 - len(levels))
+    for b in range(layout.buckets):
+        for low, own in _levels(folder, b).items():
+            for d, (codes, counts) in enumerate(own, low):
+                levels[d] = tuple(np.concatenate(x) for x in zip(levels[d], (codes, counts)))
+    return Tree([_sum(*x) for x in levels]).finish()
 
 
 # ---- words -----------------------------------------------------------------------------
@@ -461,112 +502,125 @@ def word_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text") ->
 
 # ---- scores ----------------------------------------------------------------------------
 
-def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", reread: bool = False) -> DataFrame:
+    """(id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score) for every row.
+
+    reread: ``docs`` comes from files in the same parts each time it is read; else it is stored first, as it is read twice. A piece
+    is known by its content, so one that differs the second time is an error.
+    """
     from urlscope.session import scratch_path  # here, as task functions take this module along by value
 
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = words.where(F.col("c") >= LEAST_WORD * total).toArrow()
     sent = spark.sparkContext.broadcast((hot["word"].to_pylist(), np.log10(hot["c"].to_numpy() + 1.0)))
     folder, answers = tree, scratch_path(spark, "answers")
-    depth, buckets = cloudpickle.loads(_read(folder, "sizes"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def cut(batches):
-        from pyspark import TaskContext
-        row = piece = TaskContext.get().partitionId() << 40
-        size = 0
-        for b in batches:
-            if size > _PIECE:
-                piece, size = piece + 1, 0
-            size += sum(len(t or b"") + 1 for t in common.utf8_lists(b, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), pa.array(np.full(b.num_rows, piece)), *b.columns], ["row", "piece", "id", "text"])
-            row += b.num_rows
+    depth, kind = _layout(folder).depth, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not reread:
+        rows = common.stored(spark, rows, "texts")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    piece_size = int(_PIECE * max(1.0, (size / LARGE) ** 0.5))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def name(parts) -> str:
+        out = xxhash.xxh128()
+        for _, before, own in parts:
+            out.update(before)
+            out.update(own)
+        return out.hexdigest()
 
     def ask(batches):
-        waiting, now = [], None
-        for b in batches:
-            pieces, texts = b.column("piece").to_numpy(), common.utf8_lists(b, "text")
-            for piece in np.unique(pieces).tolist():
-                if piece != now:
-                    yield from asked(now, waiting)
-                    waiting, now = [], piece
-                waiting += [texts[i] for i in np.flatnonzero(pieces == piece)]
-        yield from asked(now, waiting)
-
-    def asked(piece, texts):
-        found = _different(np.sort(np.concatenate([_different(np.sort(gram_codes(p, depth)[0])) for p in _pieces(texts)] or [np.zeros(0, np.uint64)])))
-        for b, at in _dealt(found, buckets):
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([b], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_pack(found[at])], pa.binary())],
-                                             ["piece", "bucket", "n", "codes"])
+        layout = _layout(folder)
+        for _, parts in _pieces(batches, depth, piece_size):
+            codes, piece = _counted(_codes([p[1:] for p in parts], depth)[0])[0], name(parts)
+            for b, at in layout.dealt(codes):
+                yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([b], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([pack(codes[at])], pa.binary())],
+                                                 ["piece", "bucket", "n", "codes"])
 
     def answer(batches):
-        top = cloudpickle.loads(_read(folder, "top"))[1]
-        now = tree = None
+        layout, top, now, trees = _layout(folder), cloudpickle.loads(read_whole(folder, "top"))[1], None, {}
         for b in batches:
             out = []
             for row in b.to_pylist():
                 if row["bucket"] != now:
-                    now, tree = row["bucket"], None  # the last one's memory is free before the next is built
-                    levels = _levels(folder, now)
-                    tree = top if levels is None else Tree(levels, ROOT).finish(top)
-                out.append(_squeeze(tree.log10(_unpack(row["codes"], row["n"]))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "values"])
+                    now, trees = row["bucket"], {}  # the last one's memory is free before the next is built
+                    trees = {low: Tree(levels, low).finish(top) for low, levels in _levels(folder, now).items()}
+                codes = unpack(row["codes"], row["n"])
+                root, values = layout.roots(codes), np.zeros(len(codes), np.float32)
+                for low in np.unique(root).tolist():
+                    own = root == low
+                    # a subtree that was never seen is left to the contexts above it
+                    values[own] = (trees[low] if low in trees else top).log10(codes[own])
+                out.append(squeeze(values))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(out, pa.binary())], ["piece", "bucket", "n", "values"])
 
     def keep(batches):
-        for piece, held in _runs(batches, "piece"):
-            codes = np.concatenate([_unpack(r["codes"], r["n"]) for r in held])
-            values = np.concatenate([_spread(r["values"], np.float32, r["n"]) for r in held])
-            order = np.argsort(codes, kind="stable")
-            common.write_whole(answers, f"{piece}", cloudpickle.dumps((len(codes), _pack(codes[order]), _squeeze(values[order]))))
-            yield pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64())], ["codes"])
-
-    def answered(piece):
-        n, codes, values = cloudpickle.loads(_read(answers, f"{piece}"))
-        return Ordered(_unpack(codes, n)), _spread(values, np.float32, n)
+        for piece, held in runs(batches, "piece"):
+            # equal pieces ask alike
+            held = {r["bucket"]: r for r in held}
+            values = np.concatenate([spread(r["values"], np.float32, r["n"]) for _, r in sorted(held.items())])
+            common.write_whole(answers, piece, len(values).to_bytes(8, "little") + squeeze(values))
+            yield pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64())], ["codes"])
+
+    def add_up(parts, layout: Layout) -> np.ndarray:
+        """The sum of the values of each part's codes."""
+        codes, starts = _codes([p[1:] for p in parts], depth)
+        order = np.argsort(codes)
+        new = np.append(True, codes[order][1:] != codes[order][:-1])
+        own, place = codes[order][new], np.cumsum(new) - 1
+        known = read_whole(answers, name(parts))
+        told = spread(known[8:], np.float32, int.from_bytes(known[:8], "little"))
+        if len(told) != len(own):
+            raise ValueError("a piece was answered in part")
+        values = np.empty(len(own))
+        values[np.concatenate([at for _, at in layout.dealt(own)])] = told
+        each = np.empty(len(codes))
+        each[order] = values[place]
+        return np.add.reduceat(each, starts)
 
     def run(batches):
-        now = None
+        from pyspark import TaskContext
         # the value of a word's count, so that a token costs one lookup
-        value = dict(zip(sent.value[0], sent.value[1].tolist()))
-        for b in batches:
-            texts, pieces, scores = common.utf8_lists(b, "text"), b.column("piece").to_numpy(), np.zeros(b.num_rows)
-            for piece in np.unique(pieces).tolist():
-                if piece != now:
-                    place = value10 = None  # the last piece's memory is free before the next is read
-                    now, (place, value10) = piece, answered(piece)
-                mine, done = np.flatnonzero(pieces == piece), 0
-                for part in _pieces([texts[i] for i in mine]):
-                    codes, starts = gram_codes(part, depth)
-                    own, at = np.unique(codes, return_inverse=True)
-                    hit, where = place.find(own)
-                    if not hit.all():
-                        raise ValueError("a code was not answered")
-                    scores[mine[done:done + len(part)]] = np.add.reduceat(value10[where][at].astype(float), starts)
-                    done += len(part)
-            out = []
-            for t in texts:
-                own = (t or b"").lower().split()
-                own.append(b"")
-                got = [value[w] for w in own if w in value]
-                rare = Counter(w for w in own if w not in value) if len(got) < len(own) else {}
-                out.append((len(t or b""), len(own), len(got), math.fsum(got), list(rare.keys()), list(rare.values())))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("id"), pa.array(scores),
-                 *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))],
-                ["row", "id", "score", "n_bytes", "n_tokens", "n_known", "logs", "rare", "times"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = common.stored(spark, common.map_arrow(rows, cut, f"row bigint, piece bigint, id {kind}, text string"), "pieces")
-    # a piece's different codes go to the buckets of the tree, the answers back to a file a piece
-    asking = common.map_arrow(pieces.select("piece", "text"), ask, "piece bigint, bucket int, n int, codes binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    told = asking.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "piece bigint, bucket int, n int, codes binary, values binary")
-    told = told.repartition(max(1, pieces.select("piece").distinct().count()), "piece").sortWithinPartitions("piece")
-    told.mapInArrow(keep, "codes bigint").agg(F.sum("codes")).first()
+        value, row = dict(zip(sent.value[0], sent.value[1].tolist())), TaskContext.get().partitionId() << 40
+        layout, held = _layout(folder), []
+
+        def seen():
+            for b in batches:
+                held.append(b)
+                yield b
+
+        scores, done = {}, 0
+        for _, parts in _pieces(seen(), depth, piece_size):
+            for (i, _, _), x in zip(parts, add_up(parts, layout).tolist()):
+                scores[i] = scores.get(i, 0.0) + x
+            # the last row may go on
+            while held and done + held[0].num_rows <= parts[-1][0]:
+                b = held.pop(0)
+                yield told(b, row + done, [scores.pop(done + k) for k in range(b.num_rows)], value)
+                done += b.num_rows
+        for b in held:
+            yield told(b, row + done, [scores.pop(done + k) for k in range(b.num_rows)], value)
+            done += b.num_rows
+
+    def told(b, row, scores, value):
+        out = []
+        for t in common.utf8_lists(b, "text"):
+            own = (t or b"").lower().split()
+            own.append(b"")
+            got = [value[w] for w in own if w in value]
+            rare = Counter(w for w in own if w not in value) if len(got) < len(own) else {}
+            out.append((len(t or b""), len(own), len(got), math.fsum(got), list(rare.keys()), list(rare.values())))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column("id"), pa.array(scores, pa.float64()), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))],
+                                          ["row", "id", "score", "n_bytes", "n_tokens", "n_known", "logs", "rare", "times"])
+
+    # a piece's different codes go to the buckets of the tree, the values back to a file a piece
+    asking = common.map_arrow(rows, ask, "piece string, bucket int, n int, codes binary")
+    with common.batches_of(spark, 64):
+        values = asking.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "piece string, bucket int, n int, values binary")
+        values.repartition(tasks, "piece").sortWithinPartitions("piece").mapInArrow(keep, "codes bigint").agg(F.sum("codes")).first()
     parts = common.stored(spark, common.map_arrow(
-        pieces, run, f"row bigint, id {kind}, score double, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, "
+        rows, run, f"row bigint, id {kind}, score double, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, "
                    "rare array<binary>, times array<int>"), "scored")
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = (rare.join(words, "word").groupBy("row")
@@ -583,6 +637,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.crc_column("doc_id", 7) == 2
     known = docs.where(~held_out)
-    out = score_documents(spark, docs, train(spark, known), word_counts(spark, known))
+    out = score_documents(spark, docs, train(spark, known), word_counts(spark, known), reread=True)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
                       (-F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

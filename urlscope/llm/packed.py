@@ -10,11 +10,13 @@ from . import common
 
 def squeeze(numbers: np.ndarray) -> bytes:
     """Compressed, all first bytes before all second ones."""
-    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def spread(data: bytes, kind, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
     raw = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
 
