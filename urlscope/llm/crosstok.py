@@ -36,7 +36,7 @@ from . import common
 #: Share of all counts from which on a pair goes to the tasks.
 LEAST = 1e-6
 #: Units that a worker keeps, and bits of an id.
-_KEPT, _BITS = 300_000, 20
+_KEPT, _BITS = 400_000, 20
 #: Characters of a text that are looked at in one go.
 _SLICE = 2_000_000
 #: Before a blank or line end that comes behind a character other than white space.
@@ -101,8 +101,11 @@ class Csr:
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[Csr, Csr, np.ndarray, np.ndarray]:
     """(overlap links with the bytes shared, shared-group links, group of each A token, of each B token)."""
     overlap = Csr.spans(ends_a).times(Csr.spans(ends_b).transposed())
-    cuts = np.intersect1d(ends_a, ends_b)
-    of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    last = np.zeros((2, int(ends_a[-1]) + 1 if len(ends_a) else 1), bool)
+    last[0, ends_a], last[1, ends_b] = True, True
+    both = last[0] & last[1]
+    cuts, before = np.flatnonzero(both), np.cumsum(both) - both
+    of_a, of_b = before[ends_a], before[ends_b]
     shared = Csr.of(of_a, len(cuts)).times(Csr.of(of_b, len(cuts)).transposed())
     return overlap, shared, of_a, of_b
 
@@ -168,15 +171,20 @@ class Aligner:
     def spelled(self, keys: list) -> tuple[list[bytes], list, list]:
         """(bytes, ids of A, ids of B) of each unit; a unit that isn't spelled back has no ids."""
         whole = [" " + k if isinstance(k, str) else k.decode() for k in keys]
-        ids_a = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
         # what has no blank of its own goes behind a line's end, which joins nothing: its piece and the blank's go again
         ids_b = self.b.encode([k if isinstance(k, str) else "\n" + k.decode() for k in keys], num_threads=1)
         ids_b = [ids if isinstance(k, str) else ids[2:] for k, ids in zip(keys, ids_b)]
         raw = [x.encode() for x in whole]
-        back_a, back_b = ([b"".join(map(table.__getitem__, x)) for x in ids] for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-        if back_a != raw or back_b != raw:
-            for n, (x, y, z) in enumerate(zip(raw, back_a, back_b)):
-                if not x == y == z:
+        for table, sizes, ids in ((self.bytes_a, self.sizes_a, ids_a), (self.bytes_b, self.sizes_b, ids_b)):
+            # all units at once; one by one only if that isn't the same
+            flat = list(chain.from_iterable(ids))
+            if b"".join(map(table.__getitem__, flat)) == b"".join(raw):
+                ends = np.append(0, np.cumsum(sizes[flat], dtype=np.int64))[np.cumsum([len(x) for x in ids], dtype=np.int64)]
+                if (ends == np.cumsum([len(x) for x in raw])).all():
+                    continue
+            for n, x in enumerate(raw):
+                if b"".join(map(table.__getitem__, ids[n])) != x:
                     ids_a[n] = ids_b[n] = []
         return raw, ids_a, ids_b
 
