@@ -17,6 +17,8 @@ def spark():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[*]").appName("urlscope-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         # all tests share one JVM: plans, broadcasts and fitted models of a whole run
+         .config("spark.driver.memory", "6g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="urlscope-test-ckpt-"))

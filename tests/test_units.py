@@ -151,6 +151,29 @@ def test_split_keeps_repeated_keys_and_null_labels(spark):
     assert plan.count("Join ") <= 4
 
 
+def test_samples_and_splits_scan_their_input_twice(spark, tmp_path):
+    """Once to count, once to label; the result reads what was written, and a sample writes no row that is out."""
+    from urlscope.operators import sampling as M
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def look(x):
+        seen.add(1)
+        return x
+
+    spark.range(400).selectExpr("id as k", "concat('l', id % 3) as type").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).withColumn("k", look.asNondeterministic()("k"))
+    for made in (lambda: M.fixed_sample(df, 50, "k"), lambda: M.stratified_sample(df, 60, "k", floor=5), lambda: M.stratified_split(df, "k")):
+        before = seen.value
+        out = made()
+        assert seen.value - before == 800
+        files = out.inputFiles()
+        assert files and all("labelled-" in f for f in files)
+        out.collect()
+        assert seen.value - before == 800
+    assert spark.read.parquet(*sorted({f.rsplit("/", 1)[0] for f in M.fixed_sample(df, 50, "k").inputFiles()})).count() < 60
+
+
 def test_format_comes_from_all_lines(spark, tmp_path):
     from urlscope.sources import files as S
     (tmp_path / "in").mkdir()

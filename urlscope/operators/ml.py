@@ -10,15 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import (IDF, HashingTF, IndexToString, NGram, RegexTokenizer,
-                                StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import (IDF, CountVectorizerModel, IndexToString, StandardScaler,
+                                StringIndexer, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import TRAINING_FEATURES
+from . import boost
+from .boost import Boosted
 
 
 def index_labels(df: DataFrame, label: str = "type", out: str = "label") -> DataFrame:
@@ -58,49 +59,12 @@ def _front(features: list[str], scale: bool = True) -> list:
     return stages
 
 
-@dataclass
-class BoostedModel:
-    """L3's model: indexing and scaling, then one two-class boosted model for each label."""
-
-    front: PipelineModel
-    models: list[GBTClassificationModel]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``probability`` (each label's share of the summed class probabilities) and ``prediction_idx``."""
-        out = PipelineModel(self.front.stages[1:]).transform(df)
-        for i, m in enumerate(self.models):
-            m = m.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(f"_y{i}")
-            out = m.transform(out)
-        shares = F.array(*[vector_to_array(f"_p{i}")[1] for i in range(len(self.models))])
-        out = out.withColumn("_shares", shares).drop(*[f"{c}{i}" for i in range(len(self.models)) for c in ("_raw", "_p", "_y")])
-        total = F.aggregate("_shares", F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn("probability", array_to_vector(F.transform("_shares", lambda x: x / total)))
-        best = F.array_position("_shares", F.array_max("_shares")) - 1
-        return out.withColumn("prediction_idx", best.cast("double")).drop("_shares")
-
-
-def train_gbt(train: DataFrame, features: list[str] = TRAINING_FEATURES, max_iter: int = 100,
-              max_depth: int = 8, step_size: float = 0.1, subsampling_rate: float = 0.8,
-              min_instances: int = 10, seed: int = 42, validation: str | None = "_valid", key: str = "page_id") -> BoostedModel:
-    """L3: gradient-boosted trees, one label against the rest (Spark's are two-class).
-
-    Boosting stops early: a tenth of the rows, by hash of ``key``, is held out, and a model ends
-    once a further tree no longer lowers the loss on it (validation=None: all rounds).
-    """
-    rows = train
-    if validation:
-        rows = train.withColumn(validation, F.pmod(F.xxhash64(key), F.lit(10)) == 0)
-    front = Pipeline(stages=_front(features)).fit(rows)
-    ready = front.transform(rows).select("features", "label", *([validation] if validation else []))
-    models = []
-    for i in range(len(front.stages[0].labels)):
-        gbt = GBTClassifier(featuresCol="features", labelCol="_one", maxIter=max_iter, maxDepth=max_depth,
-                            stepSize=step_size, subsamplingRate=subsampling_rate,
-                            minInstancesPerNode=min_instances, seed=seed)
-        if validation:
-            gbt = gbt.setValidationIndicatorCol(validation)
-        models.append(gbt.fit(ready.withColumn("_one", (F.col("label") == i).cast("double"))))
-    return BoostedModel(front, models)
+def train_gbt(train: DataFrame, features: list[str] = TRAINING_FEATURES, max_iter: int = 100, max_depth: int = 8,
+              step_size: float = 0.1, subsampling_rate: float = 0.8, min_instances: int = 10, min_split: int = 20, seed: int = 42,
+              patience: int = 3, key: str = "page_id") -> Boosted:
+    """L3: gradient-boosted trees, one ensemble over all labels; boosting ends early as ``boost.train`` says."""
+    return boost.train(train, features, key=key, max_iter=max_iter, max_depth=max_depth, step=step_size, subsample=subsampling_rate,
+                       min_leaf=min_instances, min_split=min_split, patience=patience, seed=seed)
 
 
 def train_forest(train: DataFrame, features: list[str] = TRAINING_FEATURES, num_trees: int = 100,
@@ -111,39 +75,77 @@ def train_forest(train: DataFrame, features: list[str] = TRAINING_FEATURES, num_
     return Pipeline(stages=_front(features) + [rf]).fit(train)
 
 
-def train_text(train: DataFrame, url: str = "url", n: int = 3, num_features: int = 1 << 18,
-               max_iter: int = 100, reg: float = 0.0) -> PipelineModel:
-    """Classifier on the raw URL text: character n-grams → hashed TF → IDF → multinomial LR."""
-    stages = [
-        StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        RegexTokenizer(inputCol=url, outputCol="_chars", pattern="", gaps=True, toLowercase=True, minTokenLength=1),
-        NGram(n=n, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", family="multinomial",
-                           maxIter=max_iter, regParam=reg, predictionCol="prediction_idx"),
-    ]
-    return Pipeline(stages=stages).fit(train)
+def url_grams(url: Column | str, n: int = 3) -> Column:
+    """The runs of n characters of a URL, lower-cased; none if it is shorter."""
+    low = F.lower(F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit("")))
+    last = F.length(low) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def chi_square(df: DataFrame, grams: str, label: str = "type") -> DataFrame:
+    """(gram, df, chi2): how far a gram's rows by label are from what its frequency alone gives, for every gram.
+
+    The statistic of the table of labels by presence is N^2 / (df (N - df)) * (sum of A^2 / N_c - df^2 / N), where A counts the rows of
+    a label with the gram, so labels without it need no row. A gram that all rows have tells nothing and gets 0.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    by_label = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
+    by_label = by_label.withColumn("n", F.sum("n_c").over(Window.partitionBy()))  # one row per label
+    each = rows.select(F.col(label).alias("label"), F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram", "label").agg(F.count(F.lit(1)).alias("a"))
+    each = each.join(by_label, "label")
+    sums = each.groupBy("gram").agg(F.sum("a").alias("df"), F.sum(F.col("a").cast("double") * F.col("a") / F.col("n_c")).alias("s"), F.first("n").cast("double").alias("n"))
+    value = F.col("n") * F.col("n") / (F.col("df") * (F.col("n") - F.col("df"))) * (F.col("s") - F.col("df").cast("double") * F.col("df") / F.col("n"))
+    return sums.select("gram", "df", F.when(F.col("df") < F.col("n"), value).otherwise(F.lit(0.0)).alias("chi2"))
+
+
+@dataclass
+class TextModel:
+    """L5's model: the chosen grams' counts, weighted by IDF, into a multinomial regression."""
+
+    labels: list[str]
+    vocabulary: list[str]
+    n: int
+    model: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``probability`` and ``prediction_idx``."""
+        return self.model.transform(df.withColumn("_grams", url_grams("url", self.n))).drop("_grams")
+
+
+def train_text(train: DataFrame, url: str = "url", n: int = 3, vocabulary: int = 20_000,
+               max_iter: int = 100, reg: float = 0.0) -> TextModel:
+    """Classifier on the raw URL text: the ``vocabulary`` character n-grams of the highest chi-square against the label → TF → IDF →
+    multinomial regression. The statistic is computed by Spark over all grams; the fit holds ``vocabulary`` numbers a label."""
+    rows = train.select(F.col(url).alias("url"), "type").withColumn("_grams", url_grams("url", n))
+    chosen = [r["gram"] for r in chi_square(rows, "_grams").orderBy(F.col("chi2").desc(), "gram").limit(vocabulary).collect()]
+    index = StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
+    count = CountVectorizerModel.from_vocabulary(chosen or [""], "_grams", "_tf")
+    fitted = Pipeline(stages=[count, IDF(inputCol="_tf", outputCol="features"),
+                              LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter, regParam=reg,
+                                                 predictionCol="prediction_idx")]).fit(index.transform(rows))
+    return TextModel(list(index.labels), chosen, n, fitted)
 
 
-def labels_of(model: PipelineModel | BoostedModel) -> list[str]:
-    return list((model.front if isinstance(model, BoostedModel) else model).stages[0].labels)
+def labels_of(model: PipelineModel | Boosted | TextModel) -> list[str]:
+    return list(model.stages[0].labels if isinstance(model, PipelineModel) else model.labels)
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Apply a model; ``prediction`` is the label string again (IndexToString).
+def predict(model: PipelineModel | Boosted | TextModel, df: DataFrame) -> DataFrame:
+    """Apply a model; ``prediction`` is the label string again.
 
     The label indexer only serves the fit (null labels are skipped there): rows of any label are scored.
     """
-    out = (model if isinstance(model, BoostedModel) else PipelineModel(model.stages[1:])).transform(df)
+    if isinstance(model, Boosted):
+        return model.transform(df)
+    out = (PipelineModel(model.stages[1:]) if isinstance(model, PipelineModel) else model).transform(df)
     back = IndexToString(inputCol="prediction_idx", outputCol="prediction", labels=labels_of(model))
     return back.transform(out)
 
 
-def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score_batch(model: PipelineModel | Boosted | TextModel, df: DataFrame) -> DataFrame:
     """Prediction, confidence (largest class probability) and a per-class probability map."""
     out = predict(model, df)
-    probs = vector_to_array("probability")
+    probs = F.col("probabilities") if isinstance(model, Boosted) else vector_to_array("probability")
     names = F.array(*[F.lit(x) for x in labels_of(model)])
     return out.withColumns({
         "confidence": F.array_max(probs),
@@ -151,14 +153,11 @@ def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
     })
 
 
-def feature_importance(model: PipelineModel | BoostedModel, features: list[str] = TRAINING_FEATURES):
-    """(feature, importance); those of the boosted models of all labels are averaged."""
-    if isinstance(model, BoostedModel):
-        vecs = [m.featureImportances.toArray() for m in model.models]
-        imp = [sum(v[i] for v in vecs) / len(vecs) for i in range(len(features))]
-    else:
-        imp = list(model.stages[-1].featureImportances.toArray())
-    return [(f, float(i)) for f, i in zip(features, imp)]
+def feature_importance(model: PipelineModel | Boosted, features: list[str] = TRAINING_FEATURES) -> list[tuple[str, float]]:
+    """(feature, importance), which sum to 1: the shares of the gains of the boosted ensemble, or those of the forest."""
+    if isinstance(model, Boosted):
+        return model.importances()
+    return [(f, float(i)) for f, i in zip(features, model.stages[-1].featureImportances.toArray())]
 
 
 # --- metrics over (label, prediction) pairs (L6-L8) -----------------------------------------

@@ -23,54 +23,32 @@ from .catalog import QUERIES, query, r6, scored, urls
 
 #: Most labelled rows of a fit: a stratified sample (M2) with at least FIT_FLOOR rows of a label.
 FIT_ROWS, FIT_FLOOR = 20_000, 1_000
-#: Sizes of the registered queries' models; the functions default to the full ones (100 rounds of depth 8
-#: with early stopping, 100 trees of depth 10, 100 iterations), which take minutes on these tables.
-GBT_ITER, GBT_DEPTH, FOREST_TREES, FOREST_DEPTH, TEXT_ITER = 10, 4, 20, 6, 50
-
-
-def _fit_split(df, key="page_id"):
-    """The bounded sample with its split, written once: a fit reads it again and again."""
-    path = scratch_path(df.sparkSession, "fit")
-    M.stratified_split(M.stratified_sample(df, FIT_ROWS, key, floor=FIT_FLOOR), key).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
 
 
 def _fit_and_test(df, key="page_id"):
-    """(rows of the fit, rows to predict): the whole table is split, the bounded sample, written once, is
-    taken within its train part, and its test part stays whole."""
-    path = scratch_path(df.sparkSession, "fit")
+    """(rows of the fit, rows to predict): the whole table is split, the bounded sample is
+    taken within its train part, and its test part stays whole. Both are read from what the split has written."""
     split = M.stratified_split(df, key)
+    path = scratch_path(df.sparkSession, "fit")
     M.stratified_sample(_part(split, "train"), FIT_ROWS, key, floor=FIT_FLOOR).write.parquet(path)
     return df.sparkSession.read.parquet(path), _part(split, "test")
 
 
-def _gbt_rows(spark, sf):
-    return _fit_split(training_features(urls(spark, sf)))
-
-
-def _forest_rows(spark, sf):
-    return _fit_split(lexical_features(urls(spark, sf)))
-
-
-def _text_rows(spark, sf):
-    return _fit_split(urls(spark, sf).select("page_id", "url", "type"))
-
-
 def _part(df, name):
     return df.filter(F.col("split") == name)
 
 
-def _fit_gbt(rows):
-    return ML.train_gbt(_part(rows, "train"), max_iter=GBT_ITER, max_depth=GBT_DEPTH)
-
-
 def _fit_forest(rows):
-    return ML.train_forest(_part(rows, "train"), F1_COLUMNS, num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
+    return ML.train_forest(rows, F1_COLUMNS)
 
 
 def _fit_text(rows):
     """L5 with U1: the hosting examples join the training rows."""
-    return ML.train_text(M.augment_training(_part(rows, "train")), max_iter=TEXT_ITER)
+    return ML.train_text(M.augment_training(rows))
+
+
+def _text_split(spark, sf):
+    return _fit_and_test(urls(spark, sf).select("page_id", "url", "type"))
 
 
 # --- L: learning ----------------------------------------------------------------------------
@@ -90,7 +68,7 @@ def scale_features(spark, sf):
 @query
 def train_gbt(spark, sf):
     fit, test = _fit_and_test(training_features(urls(spark, sf)))
-    return ML.predict(_fit_gbt(fit), test).select("page_id", "type", "prediction")
+    return ML.predict(ML.train_gbt(fit), test).select("page_id", "type", "prediction")
 
 
 @query
@@ -101,45 +79,44 @@ def train_forest(spark, sf):
 
 @query
 def train_text(spark, sf):
-    fit, test = _fit_and_test(urls(spark, sf).select("page_id", "url", "type"))
+    fit, test = _text_split(spark, sf)
     return ML.predict(_fit_text(fit), test).select("page_id", "type", "prediction")
 
 
-def _model_facts(spark, model, d, importance):
-    """What must hold of any fitted model: rows by split, classes, probabilities, importances, accuracy."""
-    scored = ML.score_batch(model, _part(d, "test"))
+def _model_facts(model, fit, test, importance):
+    """What must hold of any fitted model: rows of the fit and of the test part, classes, probabilities, importances, accuracy."""
+    scored = ML.score_batch(model, test)
     total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
     top = F.array_max(F.map_values("probabilities"))
     one = scored.agg(F.count("*").alias("n_test"), F.bool_and(F.abs(total - 1) < 1e-6).alias("sums_to_one"),
                      F.bool_and(F.abs(top - F.col("confidence")) < 1e-9).alias("confidence_is_largest"),
                      F.avg((F.col("type") == F.col("prediction")).cast("double")).alias("acc"),
                      F.max(F.size("probabilities")).alias("n_classes"))
-    most = _part(d, "test").groupBy("type").count().agg(F.max("count").alias("most"))
-    n_train = _part(d, "train").count()
+    most = test.groupBy("type").count().agg(F.max("count").alias("most"))
     whole = importance is None or abs(sum(i for _, i in importance) - 1) < 1e-6
-    return (one.crossJoin(most).select(F.lit(n_train).alias("n_train"), "n_test", "n_classes", "sums_to_one", "confidence_is_largest",
+    return (one.crossJoin(most).select(F.lit(fit.count()).alias("n_train"), "n_test", "n_classes", "sums_to_one", "confidence_is_largest",
                                        (F.col("acc") * F.col("n_test") >= F.col("most")).alias("at_least_majority"),
                                        F.lit(whole).alias("importances_sum_to_one")))
 
 
 @query
 def gbt_facts(spark, sf):
-    d = _gbt_rows(spark, sf)
-    model = _fit_gbt(d)
-    return _model_facts(spark, model, d, ML.feature_importance(model))
+    fit, test = _fit_and_test(training_features(urls(spark, sf)))
+    model = ML.train_gbt(fit)
+    return _model_facts(model, fit, test, ML.feature_importance(model))
 
 
 @query
 def forest_facts(spark, sf):
-    d = _forest_rows(spark, sf)
-    model = _fit_forest(d)
-    return _model_facts(spark, model, d, ML.feature_importance(model, F1_COLUMNS))
+    fit, test = _fit_and_test(lexical_features(urls(spark, sf)))
+    model = _fit_forest(fit)
+    return _model_facts(model, fit, test, ML.feature_importance(model, F1_COLUMNS))
 
 
 @query
 def text_facts(spark, sf):
-    d = _text_rows(spark, sf)
-    return _model_facts(spark, _fit_text(d), d, None)
+    fit, test = _text_split(spark, sf)
+    return _model_facts(_fit_text(fit), fit, test, None)
 
 
 def _rule_pairs(spark, sf):
@@ -164,21 +141,21 @@ def confusion_matrix(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    model = _fit_gbt(_gbt_rows(spark, sf))
+    model = ML.train_gbt(_fit_and_test(training_features(urls(spark, sf)))[0])
     return spark.createDataFrame(ML.feature_importance(model), "feature string, importance double")
 
 
 @query
 def score_batch(spark, sf):
     """Fitted on the sample, every row is scored."""
-    out = ML.score_batch(_fit_text(_text_rows(spark, sf)), urls(spark, sf).select("page_id", "url", "type"))
+    out = ML.score_batch(_fit_text(_text_split(spark, sf)[0]), urls(spark, sf).select("page_id", "url", "type"))
     return out.select("page_id", "prediction", "confidence", F.to_json("probabilities").alias("probabilities"))
 
 
 @query
 def model_then_rules(spark, sf):
     """Model prediction, known-domain override, rule reasons, in one pass over the features."""
-    out = R.model_then_rules(lexical_features(urls(spark, sf)), _fit_text(_text_rows(spark, sf)))
+    out = R.model_then_rules(lexical_features(urls(spark, sf)), _fit_text(_text_split(spark, sf)[0]))
     return out.select("page_id", "prediction", "confidence", "is_malicious", "override_applied",
                       F.to_json("probabilities").alias("probabilities"), F.array_join("reasons", "; ").alias("reasons"))
 

@@ -563,11 +563,11 @@ reg("override_facts", over_urls("""select page_id, case when m < 2 then 'benign'
 
 
 def model_facts() -> str:
-    """Counts that the sample and the split fix, and what holds of any fitted model."""
-    return over_urls("""select cast(sum(k) - sum(floor(k * 20 / 100)) as bigint) as n_train, cast(sum(floor(k * 20 / 100)) as bigint) as n_test,
+    """Counts that the split of the whole table and the sample of its train part fix, and what holds of any fitted model."""
+    return over_urls("""select cast(sum(k) as bigint) as n_train, cast(sum(test) as bigint) as n_test,
         cast(count(*) as int) as n_classes, true as sums_to_one, true as confidence_is_largest, true as at_least_majority, true as importances_sum_to_one
-        from (select least(c, greatest(1000, cast(floor(20000 * c / sum(c) over ()) as bigint))) as k
-              from (select type, count(*) as c from urls group by type))""")
+        from (select test, least(c - test, greatest(1000, cast(floor(20000 * (c - test) / sum(c - test) over ()) as bigint))) as k
+              from (select type, count(*) as c, cast(floor(count(*) * 20 / 100) as bigint) as test from urls group by type))""")
 
 
 for _name in ("gbt_facts", "forest_facts", "text_facts"):
