@@ -69,3 +69,13 @@ def test_texts_longer_than_a_piece(spark, monkeypatch):
         for r in rows:
             text = "ab cd " * 100 if r["doc_id"] is None else r["text"] or ""
             assert abs(r["score"] - tree.log10(ctw.gram_codes([text.encode()])[0]).astype(float).sum()) < 1e-3
+
+
+def test_buckets_without_a_kept_context(spark, monkeypatch):
+    """Training texts in which no context of three bytes or more comes twice, and a bucket without any."""
+    monkeypatch.setattr(ctw, "_BUCKET", 8)
+    docs = spark.createDataFrame([(1, "abcdefghijkl"), (2, "zyxwvuts")], "doc_id bigint, text string")
+    folder = ctw.train(spark, docs)
+    tree = ctw.load(folder)
+    for r in docs.join(ctw.score_documents(spark, docs, folder, ctw.word_counts(spark, docs)), "doc_id").collect():
+        assert abs(r["score"] - tree.log10(ctw.gram_codes([r["text"].encode()])[0]).astype(float).sum()) < 1e-3

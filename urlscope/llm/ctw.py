@@ -424,7 +424,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
             yield part(0, codes, counts.astype(float), np.zeros(len(codes)), np.zeros(len(codes)))
 
     def part(kind, key, a, b, w):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(a), pa.array(b), pa.array(w)],
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), *(pa.array(x.astype(float)) for x in (a, b, w))],
                                           ["kind", "key", "a", "b", "w"])
 
     def top(batches):
