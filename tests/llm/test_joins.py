@@ -158,7 +158,7 @@ def crowded():
     return rows
 
 
-@pytest.mark.parametrize("bounds", [{}, {"CHUNK": 7, "GROUP": 5, "PIECE": 2000, "RANGE": 900}, {"STARS": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"CHUNK": 7, "GROUP": 5, "PIECE": 2000, "RANGE": 900, "LARGE": 20_000}, {"ROUNDS": 0}, {"ROUNDS": 1}])
 def test_join_components(spark, monkeypatch, bounds):
     for k, v in bounds.items():
         monkeypatch.setattr(jaccard, k, v)

@@ -9,9 +9,12 @@
 4. A pair that meets at a prefix shingle goes on if its lengths, its positions there and its suffixes allow enough shared
    shingles: the suffixes are cut at fixed pivots of the hash, and the differences of the parts' sizes bound their distance. The first
    shared shingle of a pair lies in both prefixes, so each alike pair passes there.
-5. Rounds of stars first: every set is verified against one member of its buckets at most, which joins the bulk of any large group of
-   near copies. Then all pairs of a bucket that lie in different components and weren't verified yet are, each once. Members of one component
-   need no links between themselves, so no group brings all its pairs. Large buckets are cut into chunks, large verifying groups are salted.
+   Before a pair is written, the whole sets are held against each other too: each set's parities over 1024 parts, in a bit each,
+   bound the distance from below.
+5. Every set is verified against one set that leads its buckets, which joins the bulk of any large group of near copies. Then, in rounds, it is
+   against the one of another component that its parities are nearest to, until no link comes of it. At last all pairs of a bucket
+   that lie in different components and weren't verified yet are, each once. Members of one component need no links between
+   themselves, so no group brings all its pairs. Large buckets are cut into chunks, large verifying groups are salted.
 6. Components over the links give every document the smallest id that it reaches.
 
 Shingles are 64-bit hashes: a wrong answer needs two shingles of one pair to collide. Sets are told apart by 128 bits.
@@ -33,14 +36,16 @@ from .components import components
 from .packed import pack, read_whole, runs, spread, squeeze, unpack
 
 SHINGLE, PERCENT = 5, 80
-#: Bytes of text that are asked for as one piece; codes of a range of hashes that a task counts.
-PIECE, RANGE = 4_000_000, 4_000_000
+#: Bytes of text that are asked for as one piece, and codes of a range of hashes that are counted together, up to ``LARGE`` bytes of text. From there on
+#: both grow with the root of the input, so that what passes between them, a row for each piece and range, grows no faster than the input.
+PIECE, RANGE, LARGE = 4_000_000, 4_000_000, 10_000_000_000
 #: Sets of a bucket, and members of a verifying group, that go to one task.
 CHUNK, GROUP = 8192, 1000
-STARS = 2
-#: Parts of a suffix, and bits of a shingle's code that is counted.
-_PARTS, _CODE = 16, 48
-_WORDS = 500_000
+#: Most rounds in which every set goes to its nearest one; what is left then goes all at once.
+ROUNDS = 12
+#: Parts of a suffix, of a whole set, and bits of a shingle's code that is counted.
+_PARTS, _FINE, _CODE = 16, 1024, 48
+_WORDS = 300_000
 _FACTOR = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 6)]
 
 
@@ -87,14 +92,14 @@ def needed(n, m, percent: int):
 
 # ---- sets and frequencies --------------------------------------------------------------
 
-def _pieces(batches):
-    """(piece, row, id, text): texts in runs of some MB."""
+def _pieces(batches, size_of: int):
+    """(piece, row, id, text): texts in runs of some ``size_of`` bytes."""
     from pyspark import TaskContext
     row = piece = TaskContext.get().partitionId() << 40
     size = 0
     for b in batches:
         sizes = np.array([len(t or b"") for t in common.utf8_lists(b, "text")], np.int64)
-        part = piece + (size + np.cumsum(sizes) - sizes) // PIECE
+        part = piece + (size + np.cumsum(sizes) - sizes) // size_of
         size += int(sizes.sum())
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(row, row + b.num_rows)), *b.columns], ["piece", "row", "id", "text"])
         row += b.num_rows
@@ -132,9 +137,9 @@ def _coded(texts, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
 class Sets:
     """The shingle sets of a table.
 
-    marks: (row, id, n, a, b, first, prefix, shared) for every row; a and b name the set, ``first`` is the number of its shingles
+    marks: (row, id, n, a, b, first, prefix, shared, parity) for every row; a and b name the set, ``first`` is the number of its shingles
     that no other document has, ``prefix`` that of its other shingles within the prefix, and ``shared`` holds all its other
-    shingles in order, where the prefix has one.
+    shingles in order and ``parity`` their parities, where the prefix has one.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT):
@@ -142,10 +147,12 @@ class Sets:
         self.spark, self.percent = spark, percent
         kind = docs.schema[id_col].dataType.simpleString()
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        pieces = common.stored(spark, common.map_arrow(rows, _pieces, f"piece bigint, row bigint, id {kind}, text string"), "pieces")
-        total = pieces.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        grown = max(1.0, (total / LARGE) ** 0.5)
+        piece_size = int(PIECE * grown)
         # a word and the blank behind it have some six bytes
-        ranges = max(1, -(-total // (6 * RANGE)))
+        ranges = max(1, -(-total // int(6 * RANGE * grown)))
+        pieces = common.stored(spark, common.map_arrow(rows, lambda batches: _pieces(batches, piece_size), f"piece bigint, row bigint, id {kind}, text string"), "pieces")
         told = scratch_path(spark, "frequencies")
 
         def ask(batches):
@@ -179,7 +186,7 @@ class Sets:
                 yield pa.RecordBatch.from_arrays([pa.array([len(counts)], pa.int64())], ["n"])
 
         def mark(batches):
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             for piece, (row, ids, texts) in _whole_pieces(batches, ["row", "id", "text"]):
                 sets, _, at, _ = _coded(texts, size)
                 known = read_whole(told, f"{piece}") if len(at) else None
@@ -189,26 +196,27 @@ class Sets:
                     n, own = len(x), count[lo:lo + len(x)]
                     lo += n
                     if not n:
-                        out.append((0, 0, 0, 0, 0, None))
+                        out.append((0, 0, 0, 0, 0, None, None))
                         continue
                     name = np.frombuffer(xxhash.xxh128_digest(x.tobytes()), np.int64)
                     first = int((own == 1).sum())
                     more = prefix(n, percent) - first
-                    shared = None
+                    shared = parity = None
                     if more > 0 and first < n:
                         # hashes are sorted, so a stable order by frequency is one by (frequency, hash)
                         many = own > 1
                         shared = x[many][np.argsort(own[many], kind="stable")].tobytes()
-                    out.append((n, int(name[0]), int(name[1]), first, min(max(0, more), n - first), shared))
+                        parity = np.packbits(np.bincount((x[many] & np.uint64(_FINE - 1)).view(np.int64), minlength=_FINE).astype(np.uint8) & 1).tobytes()
+                    out.append((n, int(name[0]), int(name[1]), first, min(max(0, more), n - first), shared, parity))
                 yield pa.RecordBatch.from_arrays([row, ids, *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))],
-                                                 ["row", "id", "n", "a", "b", "first", "prefix", "shared"])
+                                                 ["row", "id", "n", "a", "b", "first", "prefix", "shared", "parity"])
 
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         asked = common.map_arrow(pieces.select("piece", "text"), ask, "piece bigint, range int, n int, codes binary, counts binary")
-        answers = common.map_arrow(asked.repartition(min(ranges, max(shuffles, 1)), "range").sortWithinPartitions("range"), answer, "piece bigint, range int, n int, counts binary")
+        answers = common.map_arrow(asked.repartition(2 * min(ranges, shuffles), "range").sortWithinPartitions("range"), answer, "piece bigint, range int, n int, counts binary")
         common.map_arrow(answers.repartition(shuffles, "piece").sortWithinPartitions("piece", "range"), keep, "n bigint").agg(F.sum("n")).first()
-        self.marks = common.stored(spark, common.map_arrow(pieces, mark, f"row bigint, id {kind}, n int, a bigint, b bigint, first int, prefix int, shared binary"), "marks")
-        alive = self.marks.where("shared is not null").select("a", "b", "n", "first", "prefix", "shared")
+        self.marks = common.stored(spark, common.map_arrow(pieces, mark, f"row bigint, id {kind}, n int, a bigint, b bigint, first int, prefix int, shared binary, parity binary"), "marks")
+        alive = self.marks.where("shared is not null").select("a", "b", "n", "first", "prefix", "shared", "parity")
         self.sets = common.stored(spark, alive.dropDuplicates(["a", "b"]).withColumn("s", F.monotonically_increasing_id()), "sets")
 
     # ---- candidates --------------------------------------------------------------------
@@ -237,18 +245,13 @@ class Sets:
         rows = common.map_arrow(self.sets.select("s", "n", "first", "prefix", "shared"), run, "h bigint, s bigint, n int, pos int, x0 bigint, x1 bigint")
         return common.stored(self.spark, rows, "prefixes")
 
-    def _star(self, rows: DataFrame, part: DataFrame | None, seed: int) -> DataFrame:
-        """(u, v): for every set one member of its buckets, of another component, that it meets most often."""
+    def _star(self, rows: DataFrame) -> DataFrame:
+        """(u, v): for every set the one that leads most of its buckets."""
         percent = self.percent
-        if part is not None:
-            rows = rows.join(part, "s", "left").withColumn("component", F.coalesce("component", "s"))
-        else:
-            rows = rows.withColumn("component", F.col("s"))
         # the same sets lead wherever they are
-        leader = F.min_by(F.struct("s", "n", "pos", "x0", "x1", "component"), F.xxhash64("s", F.lit(seed)))
-        leaders = rows.groupBy("h").agg(leader.alias("l"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h", "l.*")
-        leaders = leaders.select("h", *[F.col(c).alias(f"l_{c}") for c in ("s", "n", "pos", "x0", "x1", "component")])
-        met = rows.join(leaders, "h").where("component != l_component").drop("component", "l_component", "h")
+        leaders = rows.groupBy("h").agg(F.min_by(F.struct("s", "n", "pos", "x0", "x1"), F.xxhash64("s")).alias("l"), F.count("*").alias("size")).where("size > 1")
+        leaders = leaders.select("h", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("s", "n", "pos", "x0", "x1")])
+        met = rows.join(leaders, "h").where("s != l_s").drop("h")
 
         def run(batches):
             for b in batches:
@@ -259,8 +262,9 @@ class Sets:
         found = common.map_arrow(met, run, "v bigint, u bigint").groupBy("u", "v").count()
         return found.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
 
-    def _rest(self, rows: DataFrame, part: DataFrame) -> DataFrame:
-        """(u, v): all pairs of a bucket that lie in different components and pass the filters."""
+    def _met(self, rows: DataFrame, part: DataFrame, nearest: bool) -> DataFrame:
+        """(u, v): all pairs of a bucket that lie in different components and pass the filters; nearest: of these, for each v only
+        the u with the least distance between parities."""
         percent = self.percent
         rows = rows.join(part, "s", "left").withColumn("component", F.coalesce("component", "s"))
         mixed = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
@@ -268,14 +272,16 @@ class Sets:
         mine = rows.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int"))
         # chunk a of a large bucket meets every chunk b: one task for each pair (a, b), a <= b
         mine = mine.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        mine = mine.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "s", "n", "pos", "x0", "x1", "component")
+        mine = mine.join(self.sets.select("s", "first", "parity"), "s")
+        mine = mine.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "s", "n", "pos", "x0", "x1", "component", "first", "parity")
 
         def run(batches):
             key, held = None, []
             for b in batches:
-                cols = [b.column(k).to_numpy() for k in range(10)]
                 if not b.num_rows:
                     continue
+                cols = [b.column(k).to_numpy() for k in range(11)]
+                cols.append(np.frombuffer(b"".join(b.column("parity").to_pylist()), np.uint64).reshape(b.num_rows, -1))
                 cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
                 found = []
                 for lo, hi in zip(np.append(0, cut), np.append(cut, b.num_rows)):
@@ -290,18 +296,18 @@ class Sets:
                 yield told(found)
 
         def told(found):
-            u, v = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            u, v, apart = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(apart)], ["u", "v", "apart"])
 
         def flush(key, held):
             if sum(len(x[0]) for x in held) < 2:
                 return []
-            own, s, n, pos, x0, x1, component = (np.concatenate(x) for x in zip(*held))
+            own, s, n, pos, x0, x1, component, first, parity = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(n, kind="stable")
-            own, s, n, pos, x0, x1, component = (c[order] for c in (own, s, n, pos, x0, x1, component))
+            own, s, n, pos, x0, x1, component, first, parity = (c[order] for c in (own, s, n, pos, x0, x1, component, first, parity))
             # by length: what is too long for the first of a block is so for what comes before it, too
             ends = np.searchsorted(n, n * 100 // percent, "right")
-            out = []
+            out, best = [], np.full(len(s), 1 << 62, np.int64)
             for lo in range(0, len(s), 128):
                 hi = min(lo + 128, len(s))
                 stop = int(ends[hi - 1])
@@ -313,13 +319,30 @@ class Sets:
                     i, j = i[keep], j[keep]
                 if len(i):
                     ok = _passes([c[i] for c in (n, pos, x0, x1)], [c[j] for c in (n, pos, x0, x1)], percent)
-                    if ok.any():
-                        u, v = s[i[ok]], s[j[ok]]
-                        out.append((np.minimum(u, v), np.maximum(u, v)))
+                    i, j = i[ok], j[ok]
+                    # shingles that no other document has are all differences
+                    apart = first[i] + first[j] + np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+                    ok = apart <= n[i] + n[j] - 2 * needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
+                    i, j, apart = i[ok], j[ok], apart[ok]
+                    if nearest:
+                        np.minimum.at(best, i, apart << 32 | j)
+                        np.minimum.at(best, j, apart << 32 | i)
+                    elif len(i):
+                        u, v = s[i], s[j]
+                        out.append((np.minimum(u, v), np.maximum(u, v), apart))
+            if nearest:
+                own = np.flatnonzero(best < 1 << 62)
+                if len(own):
+                    out.append((s[best[own] & 0xFFFFFFFF], s[own], best[own] >> 32))
             return out
 
         dealt = mine.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
-        return common.map_arrow(dealt, run, "u bigint, v bigint").distinct()
+        found = common.map_arrow(dealt, run, "u bigint, v bigint, apart bigint")
+        if nearest:
+            found = found.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
+            # two that are nearest to each other are one pair
+            return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return found.select("u", "v").distinct()
 
     # ---- verification ------------------------------------------------------------------
 
@@ -353,17 +376,23 @@ class Sets:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """((u, v) links between sets whose closure joins all alike pairs, (s, component))."""
-        rows, tested, links, part = self.prefixes(), None, None, None
-        for k in range(STARS + 1):
-            pairs = self._star(rows, part, k) if k < STARS else self._rest(rows, part)
-            if tested is not None:
-                both = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-                pairs = pairs.join(both, ["u", "v"], "left_anti")
-            pairs = common.stored(self.spark, pairs, "pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
+        rows = self.prefixes()
+        tested = common.stored(self.spark, self._star(rows), "pairs")
+        links = common.stored(self.spark, self.verified(tested), "alike")
+        part = components(self.spark, links).withColumnRenamed("node", "s")
+        nearest = ROUNDS > 0
+        for k in range(ROUNDS + 1):
+            both = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            pairs = common.stored(self.spark, self._met(rows, part, nearest).join(both, ["u", "v"], "left_anti"), "pairs")
             found = common.stored(self.spark, self.verified(pairs), "alike")
-            links = found if links is None else links.unionByName(found)
-            part = components(self.spark, links).withColumnRenamed("node", "s")
+            tested = tested.unionByName(pairs)
+            if found.limit(1).count():
+                links = links.unionByName(found)
+                part = components(self.spark, links).withColumnRenamed("node", "s")
+            if not nearest:
+                break
+            # the last time with all pairs that are left
+            nearest = k + 1 < ROUNDS and found.limit(1).count() > 0
         return links, part
 
 
