@@ -301,3 +301,89 @@ def test_open_and_long_quotes(spark, tmp_path, monkeypatch):
     (tmp_path / "long.csv").write_text('u1,x\n"a\nb",y\n"' + "c\n" * 20 + '",z\n')
     assert sorted(r.url for r in S.read_raw_urls(spark, str(tmp_path / "long.csv")).collect()) == ["a\nb", "u1"]
     assert {(r.line, r.n) for r in S.rejected_lines(spark, str(tmp_path / "long.csv")).collect()} == {('"c', 1), ("c", 19), ('",z', 1)}
+
+
+def test_features_that_fail(spark):
+    df = spark.createDataFrame([("http://[bad/x.php",), (None,), ("http://[::1]/a",)], "url string").withColumn("tld", F.lit("com"))
+    from urlscope.functions.features import F1_COLUMNS
+    got = {r["url"]: r for r in lexical_features(df).collect()}
+    for url in ("http://[bad/x.php", None):
+        assert [got[url][c] for c in F1_COLUMNS] == [0] * 25 + [5.0]
+    assert got["http://[::1]/a"]["url_length"] == 14
+
+
+@pytest.mark.parametrize("letters", [1, 2, 30])
+def test_numbered_pages_rank_only_what_they_touch(spark, letters):
+    import random
+    r = random.Random(5)
+    rows = sorted({("".join(r.choice("abcé") for _ in range(r.randint(0, 5))), r.randint(1, 4)) for _ in range(300)})
+    df = spark.createDataFrame([*dict(rows).items()], "domain string, cnt int").repartition(4)
+    want = sorted(dict(rows).items(), key=lambda x: (-x[1], x[0].encode()))
+    for page in (1, 2, 5, 9, 40):
+        out = A.numbered_page(df, page, size=20, letters=letters)
+        assert sorted(map(tuple, out.collect())) == sorted(want[20 * page - 20:20 * page])
+        assert "Offset" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantile_sketches_keep_their_bound(spark):
+    import numpy as np
+    r = np.random.default_rng(9)
+    values = [("a", float(x)) for x in r.normal(size=60_000)] + [("b", float(x)) for x in r.exponential(size=20_000)] + [("a", None), ("b", float("nan")), ("c", None)]
+    df = spark.createDataFrame(values, "type string, x double").repartition(6)
+    whole = A.quantile_sketches(df, "type", "x")
+    merged = A.merge_sketches(A.quantile_sketches(df.filter("x > 0"), "type", "x").unionByName(A.quantile_sketches(df.filter("x <= 0"), "type", "x")), "type")
+    for got in (whole, merged):
+        rows = {r["type"]: r for r in A.sketch_box(got, (0.01, 0.25, 0.5, 0.75, 0.99), ("low", "q1", "median", "q3", "high")).collect()}
+        assert set(rows) == {"a", "b"} and (rows["a"]["n"], rows["b"]["n"]) == (60_000, 20_000)
+        for t in "ab":
+            x = np.sort([v for g, v in values if g == t and v is not None and not math.isnan(v)])
+            for p, name in ((0.01, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.99, "high")):
+                assert abs(np.searchsorted(x, rows[t][name], "right") / len(x) - p) <= A.SKETCH_RANK_ERROR + 1 / len(x)
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """An equality on any of the columns reads a part of the rows."""
+    from urlscope.sources import files as S
+    df = spark.range(200_000).selectExpr("concat('http://d', id % 5000, '.x/', id) as url", "concat('d', lpad(id % 5000, 4, '0'), '.x') as domain", "concat('t', id % 4) as type",
+                                         "concat('s', hash(id) % 50) as tld", "cast(pmod(hash(id, 7), 400) as bigint) as url_length", "concat('c', pmod(hash(id, 9), 30)) as country",
+                                         "timestamp_seconds(1700000000 + id * 37) as ts")
+    S.layout_for_lookups(df, str(tmp_path / "t"), files=8, row_group_bytes=64 << 10)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 200_000
+    assert back.groupBy(*back.columns).count().filter("count > 1").count() == df.groupBy(*df.columns).count().filter("count > 1").count()
+    for condition in ("domain = 'd0042.x'", "type = 't1'", "tld = 's7'", "url_length = 17", "country = 'c3'", "ts = timestamp_seconds(1700000000 + 37 * 777)"):
+        out = back.filter(condition)
+        n = out.count()
+        assert n == df.filter(condition).count() > 0
+        plan = out.select("url")._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        read = _scanned(plan)
+        assert n <= read < 0.75 * 200_000, (condition, read)
+
+
+def _scanned(plan) -> int:
+    """Rows that the scan of an executed plan has read."""
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if "Scan" in p.nodeName():
+            return p.metrics().apply("numOutputRows").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+    raise AssertionError("no scan")
+
+
+def test_counts_from_state_cost_the_same_after_many_batches(spark, tmp_path):
+    from urlscope.streaming import streams as W
+    folder, sink, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    want = {}
+    for i in range(5):
+        spark.createDataFrame([("a", i), ("b" if i % 2 else "a", i)], "type string, n int").write.mode("append").parquet(folder)
+        for t in ("a", "b" if i % 2 else "a"):
+            want[t] = want.get(t, 0) + 1
+        counts = W.read_feed(spark, folder, spark.read.parquet(folder).schema, 1).groupBy("type").agg(F.count("*").alias("cnt"))
+        W.run_update(counts, sink, ck)
+        state = W.from_state(spark, ck, "type", {"count": "cnt"})
+        assert {r["type"]: r["cnt"] for r in state.collect()} == want == {r["type"]: r["cnt"] for r in W.latest(spark, sink, "type", ["cnt"]).collect()}
+        assert state.count() == len(want) and "batch=" not in str(state.inputFiles())

@@ -56,10 +56,15 @@ def char_entropy(text: Column | str) -> Column:
     return F.when(t.isNull() | (F.length(t) == 0), F.lit(0.0)).otherwise(ent + F.lit(0.0))
 
 
+#: Fixed value: the risk of a URL whose features can't be taken; all other features are 0 then.
+FAILED_RISK = 5.0
+
+
 def lexical_features(df: DataFrame, url: str = "url", suffix: str = "tld") -> DataFrame:
     """26 feature columns added to ``df`` (needs the resolved public suffix column).
 
-    Staged in three projections so shared parts (netloc, path, lower-case URL) are computed
+    A null URL, and one whose host the URL splitter refuses (brackets that hold no IP address), get the default row: risk ``FAILED_RISK``,
+    everything else 0. Staged in three projections so shared parts (netloc, path, lower-case URL) are computed
     once per row.
     """
     u = F.col(url)
@@ -103,7 +108,9 @@ def lexical_features(df: DataFrame, url: str = "url", suffix: str = "tld") -> Da
     for name, weight in RISK_WEIGHTS:
         risk = risk + F.col(name) * F.lit(float(weight))
     staged = staged.withColumn("security_risk_score", F.greatest(F.lit(RISK_MIN), F.least(F.lit(RISK_MAX), risk)))
-    return staged.drop("_nl", "_pth", "_qry", "_low")
+    failed = u.isNull() | ~U.netloc_parses(nl)
+    defaults = {c: F.when(failed, F.lit(FAILED_RISK if c == "security_risk_score" else 0)).otherwise(F.col(c)) for c in F1_COLUMNS}
+    return staged.withColumns(defaults).drop("_nl", "_pth", "_qry", "_low")
 
 
 def _training_like(df: DataFrame, url: Column, host: Column, url_len: Column) -> DataFrame:

@@ -195,6 +195,35 @@ def _box(urls: DataFrame, value: Column, outliers: bool) -> DataFrame:
     return out
 
 
+#: Size parameter of a quantile sketch, and the share of the rows by which a rank it gives may be off (with 99 % confidence).
+SKETCH_K, SKETCH_RANK_ERROR = 4096, 0.001
+
+
+def quantile_sketches(df: DataFrame, group: str, value: str, k: int = SKETCH_K) -> DataFrame:
+    """(group, n, sketch): a mergeable quantile sketch of the numbers of each group; nulls and NaN are left out.
+
+    A sketch has some kilobytes whatever the number of rows, and sketches of parts (days, folders) merge to that of the whole.
+    """
+    # no filter on the value: it would stand in the plan with the value's whole derivation
+    rows = df.select(F.col(group), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    return rows.groupBy(group).agg(F.count("_v").alias("n"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch")).filter("n > 0")
+
+
+def merge_sketches(sketches: DataFrame, group: str) -> DataFrame:
+    """(group, n, sketch) of several tables of sketches put together."""
+    return sketches.groupBy(group).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_box(sketches: DataFrame, probs=(0.25, 0.5, 0.75), names=("q1", "median", "q3")) -> DataFrame:
+    """A14/A15 for any number column: quantiles and 1.5-IQR fences from sketches; each quantile's rank is right within
+    ``SKETCH_RANK_ERROR`` of the rows (``SKETCH_K``), where ``_box`` counts every value of a whole number."""
+    out = sketches
+    for p, name in zip(probs, names):
+        out = out.withColumn(name, F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))))
+    iqr = F.col(names[-1]) - F.col(names[0])
+    return out.drop("sketch").withColumns({"lower_fence": F.col(names[0]) - F.lit(1.5) * iqr, "upper_fence": F.col(names[-1]) + F.lit(1.5) * iqr})
+
+
 def url_length_box(urls: DataFrame) -> DataFrame:
     """Box statistics of URL length per label, with mean and 1.5-IQR outlier count."""
     return _box(urls, F.length("url"), outliers=True)
@@ -241,6 +270,27 @@ def page_of(df: DataFrame, page: int, order: list[Column], size: int = PAGE_SIZE
     return df.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
 
 
+def rank_directory(df: DataFrame, count: str, name: str, letters: int = 4) -> DataFrame:
+    """(count, first letters of name, size, before): how many rows stand before those of each count and beginning, by descending count and
+    ascending name. One row for each different (count, beginning), however many rows share it."""
+    sizes = df.groupBy(F.col(count).alias("_count"), F.substring(name, 1, letters).alias("_begin")).agg(F.count(F.lit(1)).alias("size"))
+    # over the directory, not over the rows
+    w = Window.orderBy(F.desc("_count"), F.asc("_begin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sizes.withColumn("before", F.sum("size").over(w) - F.col("size"))
+
+
+def numbered_page(df: DataFrame, page: int, count: str = "cnt", name: str = "domain", size: int = PAGE_SIZE, letters: int = 4) -> DataFrame:
+    """T3 by number: the same rows as ``page_of`` over (count descending, name), without gathering the pages before.
+
+    The directory says which beginnings the page touches; only their rows are ranked, each beginning by itself.
+    """
+    first = max(page - 1, 0) * size
+    touched = rank_directory(df, count, name, letters).filter((F.col("before") < first + size) & (F.col("before") + F.col("size") > first))
+    rows = df.join(touched, (F.col(count) == F.col("_count")) & F.substring(name, 1, letters).eqNullSafe(F.col("_begin")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("_count", "_begin").orderBy(F.asc(name)))
+    return rows.withColumn("_place", place).filter((F.col("_place") > first) & (F.col("_place") <= first + size)).select(*df.columns)
+
+
 def page_after(df: DataFrame, order: list[tuple[str, bool]], last: tuple | None, size: int = PAGE_SIZE) -> DataFrame:
     """T3/T4 by key: the ``size`` rows behind the row ``last`` of the page before (None: the first page).
 
@@ -262,6 +312,11 @@ def display_url(url: Column | str, n: int = DISPLAY_URL_CHARS) -> Column:
     return F.when(F.length(u) > n, F.concat(F.substring(u, 1, n), F.lit("..."))).otherwise(u)
 
 
+def named_counts(df: DataFrame, name: str = "domain", count: str = "cnt") -> DataFrame:
+    """Result rows as they are shown: the group under ``name``, its count with separators under ``value``."""
+    return df.select(F.col(name).alias("name"), thousands(count).alias("value"))
+
+
 def thousands(col: Column | str) -> Column:
     """Integer with thousands separators."""
     c = F.col(col) if isinstance(col, str) else col

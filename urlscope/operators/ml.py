@@ -160,6 +160,22 @@ def feature_importance(model: PipelineModel | Boosted, features: list[str] = TRA
     return [(f, float(i)) for f, i in zip(features, model.stages[-1].featureImportances.toArray())]
 
 
+def metrics_rows(pairs: DataFrame, importance: list[tuple[str, float]] = (), label: str = "type", prediction: str = "prediction") -> DataFrame:
+    """A model's whole metrics in long form, (part, a, b, value): accuracy; precision, recall, f1 and support of each class and of
+    the averages; the confusion matrix (label a, prediction b); the importance of each feature."""
+    report = classification_report(pairs, label, prediction)
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("double").alias("value")) for c in ("precision", "recall", "f1", "support")])
+    long = report.filter(F.col("class").isNull() | (F.col("class") != "accuracy")).select(F.col("class").alias("a"), F.explode(parts).alias("x"))
+    out = accuracy(pairs, label, prediction).select(F.lit("accuracy").alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.col("accuracy").alias("value"))
+    out = out.unionByName(long.select("x.part", "a", F.lit("").alias("b"), "x.value"))
+    matrix = confusion_matrix(pairs, label, prediction)
+    out = out.unionByName(matrix.select(F.lit("matrix").alias("part"), F.col("label").alias("a"), F.col("prediction").alias("b"), F.col("cnt").cast("double").alias("value")))
+    if importance:
+        rows = pairs.sparkSession.createDataFrame([("importance", f, "", float(v)) for f, v in importance], "part string, a string, b string, value double")
+        out = out.unionByName(rows)
+    return out
+
+
 # --- metrics over (label, prediction) pairs (L6-L8) -----------------------------------------
 
 def accuracy(pairs: DataFrame, label: str = "type", prediction: str = "prediction") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urlparts as U
+from ..functions.features import F1_COLUMNS
 from ..functions.constants import (HOSTING_POINTS, HOSTING_SUFFIXES, LEGIT_DOMAINS,
                                    OVERRIDE_CONFIDENCE, OVERRIDE_PROBABILITIES, RULE_REASONS)
 from .clean import is_malicious_type
@@ -31,6 +32,12 @@ def _conditions(f) -> dict[str, Column]:
     }
 
 
+def score_result(scored: DataFrame, url: str = "url") -> DataFrame:
+    """The whole result of scored URLs, their features as one struct."""
+    return scored.withColumn("features", F.struct(*F1_COLUMNS)).select(
+        *[c for c in scored.columns if c not in F1_COLUMNS and c != url], F.col(url).alias(url), "features")
+
+
 def score_rules(features: DataFrame, url: str = "url", clamp: bool = False) -> DataFrame:
     """R1-R5 over an F1 table: ``rule_score, reasons, prediction, confidence, is_malicious``.
 

@@ -290,6 +290,18 @@ def page_of_domains(spark, sf):
     return A.page_of(A.mal_domains(urls(spark, sf)), PAGE_NO, [F.desc("cnt"), F.asc("domain")])
 
 
+@query
+def numbered_page_of_domains(spark, sf):
+    """T3 by number, through the directory of ranks."""
+    return A.numbered_page(A.mal_domains(urls(spark, sf)), PAGE_NO)
+
+
+@query
+def named_counts(spark, sf):
+    """The first page of malicious domains as result rows."""
+    return A.named_counts(A.numbered_page(A.mal_domains(urls(spark, sf)), 1))
+
+
 @query
 def next_page_of_domains(spark, sf):
     """T3 by key: the page behind the last row of the first one."""
@@ -336,6 +348,16 @@ def lexical(spark, sf):
     return f.select("page_id", *[r6(c).alias(c) if c in dbl else F.col(c) for c in F1_COLUMNS])
 
 
+@query
+def failed_features(spark, sf):
+    """F1 where it fails: every fourth URL is null, every fourth has brackets that hold no address."""
+    u = urls(spark, sf)
+    bad = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://[bad"), "page_id", F.lit("/x"))).when(F.col("page_id") % 4 != 1, F.col("url"))
+    f = lexical_features(u.withColumn("url", bad))
+    dbl = {"digit_ratio", "domain_entropy", "security_risk_score"}
+    return f.select("page_id", *[r6(c).alias(c) if c in dbl else F.col(c) for c in F1_COLUMNS])
+
+
 @query
 def training(spark, sf):
     f = training_features(urls(spark, sf))
@@ -399,6 +421,30 @@ def score_urls(spark, sf):
                                     F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query
+def score_result(spark, sf):
+    """R5 with the features that the score was taken from."""
+    out = R.score_result(scored(spark, sf).select("page_id", "url", "prediction", "confidence", "is_malicious", "rule_score", "reasons", *F1_COLUMNS))
+    dbl = {"digit_ratio", "domain_entropy", "security_risk_score"}
+    return out.select("page_id", "url", "prediction", r6("confidence").alias("confidence"), "is_malicious", "rule_score", F.array_join("reasons", "; ").alias("reasons"),
+                      *[r6(F.col(f"features.{c}")).alias(c) if c in dbl else F.col(f"features.{c}").alias(c) for c in F1_COLUMNS])
+
+
+@query
+def quantile_sketch_facts(spark, sf):
+    """A14 for a number column: sketches of three parts of the rows, merged; the rank of every quartile is within the stated error."""
+    u = features(spark, sf).select("page_id", "type", "digit_ratio")
+    parts = [A.quantile_sketches(u.filter(F.col("page_id") % 3 == i), "type", "digit_ratio") for i in range(3)]
+    box = A.sketch_box(A.merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]), "type"))
+    x = F.col("digit_ratio")
+    ranks = u.join(box, "type").groupBy("type").agg(F.first("n").alias("n"), *[e for q in ("q1", "median", "q3") for e in (
+        F.avg((x < F.col(q)).cast("double")).alias(f"{q}_below"), F.avg((x <= F.col(q)).cast("double")).alias(f"{q}_upto"))])
+    near = F.lit(True)
+    for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        near = near & (F.col(f"{q}_below") <= p + A.SKETCH_RANK_ERROR) & (F.col(f"{q}_upto") >= p - A.SKETCH_RANK_ERROR)
+    return ranks.select("type", "n", near.alias("within_error"))
+
+
 # --- M, U: sampling -------------------------------------------------------------------------
 
 @query

@@ -19,7 +19,7 @@ from ..session import scratch_path
 from ..sources import files as S
 from ..sources.fixtures import url_feed, urls_raw
 from ..streaming import streams as W
-from .catalog import QUERIES, query, r6, scored, urls
+from .catalog import QUERIES, feed, query, r6, scored, urls
 
 #: Most labelled rows of a fit: a stratified sample (M2) with at least FIT_FLOOR rows of a label.
 FIT_ROWS, FIT_FLOOR = 20_000, 1_000
@@ -285,14 +285,53 @@ def overwrite_result(spark, sf):
 def upsert_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
     pairs = _rule_pairs(spark, sf)
-    accuracy = ML.accuracy(pairs).select(F.lit("accuracy").alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), r6("accuracy").alias("value"))
-    report = ML.classification_report(pairs).filter("precision is not null").select(F.lit("f1").alias("part"), F.col("class").alias("a"), F.lit("").alias("b"), r6("f1").alias("value"))
-    matrix = ML.confusion_matrix(pairs).select(F.lit("matrix").alias("part"), F.col("label").alias("a"), F.col("prediction").alias("b"), F.col("cnt").cast("double").alias("value"))
-    m = accuracy.unionByName(report).unionByName(matrix)
+    m = ML.metrics_rows(pairs).withColumn("value", r6("value"))
     S.overwrite_result(m, path)
     return S.overwrite_result(m, path)
 
 
+@query
+def model_metrics_facts(spark, sf):
+    """S9 of a fitted model: its whole metrics are stored over older ones and read back."""
+    fit, test = _fit_and_test(lexical_features(urls(spark, sf)))
+    model, path = _fit_forest(fit), scratch_path(spark, "model-metrics")
+    S.overwrite_result(ML.metrics_rows(_rule_pairs(spark, sf)), path)
+    m = S.overwrite_result(ML.metrics_rows(ML.predict(model, test).select("type", "prediction"), ML.feature_importance(model, F1_COLUMNS)), path)
+    one = {p: F.sum(F.when(F.col("part") == p, F.col("value"))) for p in ("importance", "matrix")}
+    support = F.sum(F.when((F.col("part") == "support") & ~F.col("a").isin("macro avg", "weighted avg"), F.col("value")))
+    return m.agg(F.count_if(F.col("part") == "importance").alias("features"), (F.abs(one["importance"] - 1) < 1e-6).alias("importances_sum_to_one"),
+                 one["matrix"].cast("bigint").alias("n_test"), support.cast("bigint").alias("support"),
+                 F.count_if((F.col("part").isin("accuracy", "precision", "recall", "f1")) & ~F.col("value").between(0, 1)).alias("out_of_range"))
+
+
+@query
+def score_batch_facts(spark, sf):
+    """One row for every URL, probabilities that sum to 1, the largest as confidence."""
+    out = ML.score_batch(_fit_text(_text_split(spark, sf)[0]), urls(spark, sf).select("page_id", "url", "type"))
+    p = F.map_values("probabilities")
+    return out.agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("ids"), F.bool_and(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6).alias("sums_to_one"),
+                   F.bool_and(F.col("confidence") == F.array_max(p)).alias("confidence_is_largest"), F.max(F.size("probabilities")).alias("n_classes"))
+
+
+@query
+def model_then_rules_facts(spark, sf):
+    """One row for every URL; an override always says benign, whatever the model says."""
+    out = R.model_then_rules(lexical_features(urls(spark, sf)), _fit_text(_text_split(spark, sf)[0]))
+    return out.agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("ids"), F.bool_and(~F.col("override_applied") | (F.col("prediction") == "benign")).alias("overrides_are_benign"),
+                   F.bool_and(F.col("confidence").between(0, 1)).alias("confidence_in_range"), F.bool_and(F.col("reasons").isNotNull()).alias("reasons_given"))
+
+
+@query
+def save_model_facts(spark, sf):
+    """The loaded copy predicts every row as the fitted model does."""
+    fit, test = _fit_and_test(lexical_features(urls(spark, sf)))
+    model, path = _fit_forest(fit), scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    one = ML.predict(model, test).select("page_id", F.col("prediction").alias("one"))
+    two = ML.predict(PipelineModel.load(path), test).select("page_id", F.col("prediction").alias("two"))
+    return one.join(two, "page_id").agg(F.count("*").alias("n_test"), F.bool_and(F.col("one") == F.col("two")).alias("equal"))
+
+
 @query
 def with_fallback_source(spark, sf):
     csv = scratch_path(spark, "raw-pipe")
@@ -383,6 +422,14 @@ def layout_urls(spark, sf):
     return spark.read.parquet(path).select("page_id", "url", "domain", "type")
 
 
+@query
+def layout_for_lookups(spark, sf):
+    """S11 for all six columns, over the feed, which has countries and times."""
+    path = scratch_path(spark, "layout-lookups")
+    S.layout_for_lookups(feed(spark, sf), path)
+    return spark.read.parquet(path).select("event_id", "url", "domain", "type", "country")
+
+
 # --- W: streaming ---------------------------------------------------------------------------
 
 def _feed_folder(spark, sf):
@@ -417,3 +464,14 @@ def stream_counts(spark, sf):
     sink, ck = scratch_path(spark, "w3-out"), scratch_path(spark, "w3-ck")
     W.run_update(W.counts(_stream(spark, sf)), sink, ck)
     return W.latest(spark, sink, "type", ["cnt"])
+
+
+@query
+def stream_counts_state(spark, sf):
+    """W3 served from the state of the running query, stopped and started again in between."""
+    ck, sink, folder = scratch_path(spark, "w3-ck"), scratch_path(spark, "w3-out"), scratch_path(spark, "feed-in")
+    rows = url_feed(spark, sf)
+    for i in range(2):
+        rows.filter(F.col("event_id") % 2 == i).write.mode("append").parquet(folder)
+        W.run_update(W.counts(W.read_feed(spark, folder, rows.schema, max_files=1)), sink, ck)
+    return W.from_state(spark, ck, "type", {"count": "cnt"})

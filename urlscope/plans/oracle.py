@@ -421,6 +421,8 @@ reg("top_k", over_urls("select domain, cnt from mald order by cnt desc, domain l
 reg("chart_top_n", over_urls("select domain, cnt from mald order by cnt desc, domain limit 15", MALD))
 reg("page_of_domains", over_urls(f"select domain, cnt from mald order by cnt desc, domain limit 25 offset {(PAGE_NO - 1) * 25}", MALD))
 reg("next_page_of_domains", ORACLE["page_of_domains"])
+reg("numbered_page_of_domains", ORACLE["page_of_domains"])
+reg("named_counts", over_urls("select domain as name, format('{:,}', cnt) as value from mald order by cnt desc, domain limit 25", MALD))
 reg("recent_urls", over_urls("select page_id, url, type from urls order by page_id desc limit 25"))
 _STACK = " union all ".join(
     f"select page_id, {i} as pos, {q(c)} as feature, cast({c} as double) as value from f1" for i, c in enumerate(F1_COLS))
@@ -436,6 +438,9 @@ reg("sample_preview", over_urls("select * from ulbt order by type, bucket limit
 # --- F
 _F1_OUT = ", ".join(f"round({c}, 6) as {c}" if c in ("digit_ratio", "domain_entropy", "security_risk_score") else c for c in F1_COLS)
 reg("lexical_features", over_urls(f"select page_id, {_F1_OUT} from f1", F1_SQL))
+_FAILED = ", ".join(f"case when page_id % 4 < 2 then {5.0 if c == 'security_risk_score' else 0} else {e} end as {c}" for c, e in (
+    (c, f"round({c}, 6)" if c in ("digit_ratio", "domain_entropy", "security_risk_score") else c) for c in F1_COLS))
+reg("failed_features", over_urls(f"select page_id, {_FAILED} from f1", F1_SQL))
 
 
 def training_like(url: str, host: str, url_len: str) -> dict:
@@ -482,6 +487,11 @@ reg("score_urls", over_scored(
     "select page_id, url, prediction, round(confidence, 6) as confidence, prediction in ('phishing', 'malware', 'defacement') as is_malicious, "
     "rule_score, reasons from scored"))
 
+reg("score_result", over_scored(
+    "select s.page_id, s.url, prediction, round(confidence, 6) as confidence, prediction in ('phishing', 'malware', 'defacement') as is_malicious, "
+    f"rule_score, reasons, {_F1_OUT} from scored s"))
+reg("quantile_sketch_facts", over_urls("select type, count(*) as n, true as within_error from urls group by type"))
+
 # --- M, U
 reg("fixed_sample", over_urls(f"select page_id, url, type from urls order by md5('42|' || cast(page_id as varchar)) limit {SAMPLE_N}"))
 reg("stratified_sample", over_urls(
@@ -553,7 +563,8 @@ reg("confusion_matrix", over_scored(
          on n.type = a.c and n.prediction = b.c"""))
 
 reg("upsert_metrics", f"""select 'accuracy' as part, '' as a, '' as b, accuracy as value from ({ORACLE["accuracy"]})
-    union all select 'f1', class, '', f1 from ({ORACLE["classification_report"]}) where precision is not null
+    union all select p.part, class, '', case p.part when 'precision' then precision when 'recall' then recall when 'f1' then f1 else support end
+        from ({ORACLE["classification_report"]}), (VALUES ('precision'), ('recall'), ('f1'), ('support')) p(part) where class <> 'accuracy'
     union all select 'matrix', label, prediction, cast(cnt as double) from ({ORACLE["confusion_matrix"]})""")
 reg("rules_without_model", over_scored(
     "select page_id, prediction, round(confidence, 6) as confidence, false as override_applied from scored"))
@@ -573,6 +584,15 @@ def model_facts() -> str:
 for _name in ("gbt_facts", "forest_facts", "text_facts"):
     reg(_name, model_facts())
 
+_TEST = """(select cast(sum(floor(c * 20 / 100)) as bigint) as n_test from (select count(*) as c from urls group by type))"""
+reg("model_metrics_facts", over_urls(f"""select cast({len(F1_COLS)} as bigint) as features, true as importances_sum_to_one, n_test, n_test as support,
+        cast(0 as bigint) as out_of_range from {_TEST}"""))
+reg("save_model_facts", over_urls(f"select n_test, true as equal from {_TEST}"))
+reg("score_batch_facts", over_urls("""select count(*) as n, count(distinct page_id) as ids, true as sums_to_one, true as confidence_is_largest,
+        cast(count(distinct type) as int) as n_classes from urls"""))
+reg("model_then_rules_facts", over_urls("""select count(*) as n, count(distinct page_id) as ids, true as overrides_are_benign, true as confidence_in_range,
+        true as reasons_given from urls"""))
+
 RAW_ROWS = "select url, type from urls_raw"
 reg("read_raw_urls", over_raw(RAW_ROWS))
 reg("drop_header_row", over_raw(RAW_ROWS))
@@ -602,6 +622,7 @@ reg("split_fallback_unicode", over_raw(
 reg("append_urls", over_raw("select page_id, url, type from urls_raw union all select page_id, url, type from urls_raw"))
 reg("overwrite_result", ORACLE["counts_by_type"])
 reg("layout_urls", over_urls("select page_id, url, domain, type from urls"))
+reg("layout_for_lookups", over_urls("select event_id, url, domain, type, country from urls", feed=True))
 
 reg("stream_new_urls", "WITH " + URLS_RAW.strip() + "," + URL_FEED.strip() + "\nselect event_id, url, type from url_feed")
 reg("stream_counts", over_urls("select type, count(*) as cnt from urls group by type", feed=True))
@@ -609,3 +630,4 @@ reg("stream_alerts", over_urls(
     "select event_id, url, type, prediction, rule_score, round(confidence, 6) as confidence from scored "
     "where prediction in ('phishing', 'malware', 'defacement')",
     RULES_SQL.replace("page_id", "event_id"), feed=True))
+reg("stream_counts_state", ORACLE["stream_counts"])

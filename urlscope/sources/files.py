@@ -247,10 +247,68 @@ def with_fallback_source(spark: SparkSession, primary: str, fallback_csv: str, s
     return read_raw_urls(spark, fallback_csv)
 
 
+#: The columns by which stored URLs are looked up.
+LOOKUP_COLUMNS = ["domain", "type", "tld", "url_length", "country", "ts"]
+
+
+def _position(c: Column) -> Column:
+    """A number that grows with the value: a string's first six bytes, a number or time itself."""
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+
+
+def _below(value: Column, cuts: list[float]) -> Column:
+    """How many of the cuts are below the value."""
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < value)) if cuts else F.lit(0)
+
+
+def interleaved(df: DataFrame, columns: list[str], bits: int = 6) -> Column:
+    """A sort key that keeps rows together that are near in all ``columns``: the bits of each column's quantile range, in turn.
+
+    The ranges come from one pass of quantile sketches, a few numbers a column.
+    """
+    kinds = dict(df.dtypes)
+    values = [_position(F.col(c)) if kinds[c] in ("string", "binary")
+              else F.coalesce(F.col(c).cast("timestamp" if kinds[c].startswith(("timestamp", "date")) else "double").cast("double"), F.lit(-1e300)) for c in columns]
+    cuts = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]).approxQuantile(
+        [f"v{i}" for i in range(len(columns))], [i / (1 << bits) for i in range(1, 1 << bits)], 1e-3)
+    key = F.lit(0).cast("bigint")
+    for i, (v, own) in enumerate(zip(values, cuts)):
+        own = sorted(set(own))
+        # spread over all bits, so that a column of few values counts as much as the others
+        place = _below(v, own)
+        place = F.floor(place * F.lit((1 << bits) / (len(own) + 1))).cast("int")
+        for b in range(bits):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(place, b).bitwiseAND(F.lit(1)).cast("bigint"), b * len(columns) + len(columns) - 1 - i))
+    return key
+
+
+def layout_for_lookups(df: DataFrame, path: str, columns: list[str] | None = None, files: int | None = None, row_group_bytes: int = 8 << 20) -> None:
+    """S11 for all indexed columns: rows in interleaved order of the columns, so that every column's values lie in few row groups, and a bloom filter
+    on each text column, so that an equality skips the row groups whose least and greatest value hold it by chance. Ranges of the key
+    are parted by the URL's hash, so that one hot value is many tasks and files."""
+    columns = [c for c in (columns or LOOKUP_COLUMNS) if c in df.columns]
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_key", interleaved(df, columns)).withColumn("_hash", F.xxhash64("url"))
+    writer = (rows.repartitionByRange(n, "_key", "_hash").sortWithinPartitions("_key", "_hash").drop("_key", "_hash")
+              .write.mode("overwrite").option("parquet.block.size", row_group_bytes).option("parquet.page.size", max(1024, row_group_bytes // 16)))
+    for c, kind in df.dtypes:
+        if c in columns and kind == "string":
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", "100000")
+    # times as 64-bit numbers: those of 96 bits, the default, have no least and greatest value
+    setting = "spark.sql.parquet.outputTimestampType"
+    before = df.sparkSession.conf.get(setting)
+    try:
+        df.sparkSession.conf.set(setting, "TIMESTAMP_MICROS")
+        writer.parquet(path)
+    finally:
+        df.sparkSession.conf.set(setting, before)
+
+
 def layout_urls(df: DataFrame, path: str, partition: str = "type", sort: str = "domain", files: int | None = None) -> None:
     """Partitioned by label, sorted by domain within files, so filters on the label prune
     folders and filters on the domain skip row groups by their min/max statistics. Ranges over
-    (label, domain) give a large label many files instead of one task."""
+    (label, domain, hash of the URL) give a large label, and a domain that holds much of it, many files instead of one task."""
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, partition, sort).sortWithinPartitions(partition, sort)
+    rows = df.withColumn("_hash", F.xxhash64("url"))
+    (rows.repartitionByRange(n, partition, sort, "_hash").sortWithinPartitions(partition, sort).drop("_hash")
      .write.mode("overwrite").partitionBy(partition).parquet(path))

@@ -59,6 +59,13 @@ def run_update(df: DataFrame, sink: str, checkpoint: str, available_now: bool =
     return q
 
 
+def from_state(spark: SparkSession, checkpoint: str, key: str, values: dict[str, str]) -> DataFrame:
+    """The running table itself, read from the state that the checkpoint keeps: its cost is that of the groups, however
+    many batches there were. values: the name of each value for its place in the state (``count`` for a count)."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col(f"key.{key}").alias(key), *[F.col(f"value.{place}").alias(name) for place, name in values.items()])
+
+
 def latest(spark: SparkSession, sink: str, key: str, values: list[str]) -> DataFrame:
     """The table that ``run_update`` keeps: each key's row of the last batch that changed it."""
     rows = spark.read.parquet(sink)
