@@ -54,7 +54,7 @@ ROOT = 3
 HOT, _SAMPLE = 1 / 16384, 20_000_000
 LEAST_WORD = 1e-6
 #: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece, up to LARGE bytes of text.
-_BUCKET, _PIECE, LARGE = 1_000_000, 8_000_000, 10_000_000_000
+_BUCKET, _PIECE, LARGE = 2_000_000, 6_000_000, 10_000_000_000
 _WORDS = 300_000
 
 
@@ -70,8 +70,10 @@ def _codes(parts: list[tuple[bytes, bytes]], depth: int) -> tuple[np.ndarray, np
     buf = np.frombuffer(b"".join([x for p in parts for x in p]), np.uint8)
     sizes = np.array([len(t) for _, t in parts], np.int64)
     code = np.zeros(len(buf) - depth, np.uint64) if len(buf) else np.zeros(0, np.uint64)
+    # byte k of a number is the k-th byte before
+    each = code.view(np.uint8).reshape(len(code), 8)
     for k in range(depth + 1):
-        code |= buf[depth - k:len(buf) - k].astype(np.uint64) << np.uint64(8 * k)
+        each[:, k] = buf[depth - k:len(buf) - k]
     starts = np.cumsum(sizes) - sizes
     if len(parts) > 1:  # codes that end in the padding between two texts go
         keep = np.ones(len(code), bool)
@@ -397,9 +399,8 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
         layout = cloudpickle.loads(sent.value)
         for _, parts in _pieces(batches, depth, piece_size):
             codes, counts = _counted(_codes([p[1:] for p in parts], depth)[0])
-            for bucket, at in layout.dealt(codes):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([pack(codes[at])], pa.binary()),
-                                                  pa.array([squeeze(counts[at])], pa.binary())], ["bucket", "n", "codes", "counts"])
+            dealt = [(bucket, len(at), pack(codes[at]), squeeze(counts[at])) for bucket, at in layout.dealt(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in dealt], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "n", "codes", "counts"])
 
     def grow(batches):
         layout = cloudpickle.loads(sent.value)
@@ -533,9 +534,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
         layout = _layout(folder)
         for _, parts in _pieces(batches, depth, piece_size):
             codes, piece = _counted(_codes([p[1:] for p in parts], depth)[0])[0], name(parts)
-            for b, at in layout.dealt(codes):
-                yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([b], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([pack(codes[at])], pa.binary())],
-                                                 ["piece", "bucket", "n", "codes"])
+            dealt = [(piece, b, len(at), pack(codes[at])) for b, at in layout.dealt(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in dealt], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["piece", "bucket", "n", "codes"])
 
     def answer(batches):
         layout, top, now, trees = _layout(folder), cloudpickle.loads(read_whole(folder, "top"))[1], None, {}
@@ -566,15 +566,17 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
         """The sum of the values of each part's codes."""
         codes, starts = _codes([p[1:] for p in parts], depth)
         order = np.argsort(codes)
-        new = np.append(True, codes[order][1:] != codes[order][:-1])
-        own, place = codes[order][new], np.cumsum(new) - 1
+        codes = codes[order]
+        new = np.append(True, codes[1:] != codes[:-1])
+        own, place = codes[new], np.cumsum(new, dtype=np.int32) - 1
+        del codes, new
         known = read_whole(answers, name(parts))
         told = spread(known[8:], np.float32, int.from_bytes(known[:8], "little"))
         if len(told) != len(own):
             raise ValueError("a piece was answered in part")
         values = np.empty(len(own))
         values[np.concatenate([at for _, at in layout.dealt(own)])] = told
-        each = np.empty(len(codes))
+        each = np.empty(len(order))
         each[order] = values[place]
         return np.add.reduceat(each, starts)
 
