@@ -39,6 +39,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -52,7 +53,7 @@ DEPTH = 6
 ROOT = 3
 #: Share of all bytes from which on a longer context belongs to the top, and bytes of text by which these are found.
 HOT, _SAMPLE = 1 / 16384, 20_000_000
-LEAST_WORD = 1e-6
+LEAST_WORD = 2.5e-7
 #: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece, up to LARGE bytes of text.
 _BUCKET, _PIECE, LARGE = 2_000_000, 6_000_000, 10_000_000_000
 _WORDS = 300_000
@@ -540,18 +541,21 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
     def answer(batches):
         layout, top, now, trees = _layout(folder), cloudpickle.loads(read_whole(folder, "top"))[1], None, {}
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                if row["bucket"] != now:
-                    now, trees = row["bucket"], {}  # the last one's memory is free before the next is built
+            out, sizes, bucket = [], b.column("n").to_numpy(), b.column("bucket").to_numpy()
+            asked = b.column("codes").to_pylist()
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+            for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
+                if bucket[lo] != now:
+                    now, trees = int(bucket[lo]), {}  # the last one's memory is free before the next is built
                     trees = {low: Tree(levels, low).finish(top) for low, levels in _levels(folder, now).items()}
-                codes = unpack(row["codes"], row["n"])
+                # what several pieces ask of a bucket is looked up together
+                codes = np.concatenate([unpack(x, n) for x, n in zip(asked[lo:hi], sizes[lo:hi].tolist())])
                 root, values = layout.roots(codes), np.zeros(len(codes), np.float32)
                 for low in np.unique(root).tolist():
-                    own = root == low
+                    own = np.flatnonzero(root == low)
                     # a subtree that was never seen is left to the contexts above it
                     values[own] = (trees[low] if low in trees else top).log10(codes[own])
-                out.append(squeeze(values))
+                out += map(squeeze, np.split(values, np.cumsum(sizes[lo:hi])[:-1]))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(out, pa.binary())], ["piece", "bucket", "n", "values"])
 
     def keep(batches):
@@ -565,19 +569,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
     def add_up(parts, layout: Layout) -> np.ndarray:
         """The sum of the values of each part's codes."""
         codes, starts = _codes([p[1:] for p in parts], depth)
-        order = np.argsort(codes)
-        codes = codes[order]
-        new = np.append(True, codes[1:] != codes[:-1])
-        own, place = codes[new], np.cumsum(new, dtype=np.int32) - 1
-        del codes, new
+        own = _counted(codes)[0]
         known = read_whole(answers, name(parts))
         told = spread(known[8:], np.float32, int.from_bytes(known[:8], "little"))
         if len(told) != len(own):
             raise ValueError("a piece was answered in part")
         values = np.empty(len(own))
         values[np.concatenate([at for _, at in layout.dealt(own)])] = told
-        each = np.empty(len(order))
-        each[order] = values[place]
+        each = values[pd.Index(own).get_indexer(pd.Index(codes))]
         return np.add.reduceat(each, starts)
 
     def run(batches):
@@ -609,8 +608,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
         for t in common.utf8_lists(b, "text"):
             own = (t or b"").lower().split()
             own.append(b"")
-            got = [value[w] for w in own if w in value]
-            rare = Counter(w for w in own if w not in value) if len(got) < len(own) else {}
+            got, rare = list(map(value.get, own)), {}
+            if None in got:
+                rare = Counter(w for w, x in zip(own, got) if x is None)
+                got = [x for x in got if x is not None]
             out.append((len(t or b""), len(own), len(got), math.fsum(got), list(rare.keys()), list(rare.values())))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column("id"), pa.array(scores, pa.float64()), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))],
