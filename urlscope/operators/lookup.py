@@ -7,6 +7,8 @@ the URL side is never shuffled for the lookup. The lookup runs on the per-countr
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +102,64 @@ def country_lookup_fuzzy(urls: DataFrame, dim: DataFrame | None = None,
             .groupBy("country").agg(F.min(F.struct("d", F.col("alpha_3").alias("c"))).alias("b")))
     return rest.join(best, "country", "left").select(
         "country", F.coalesce(F.col("b.c"), F.lit(OTHER_CODE)).alias("country_code"), F.col("b.d").cast("bigint").alias("distance"))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the letters without them."""
+    marked = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    plain = [(c, unicodedata.normalize("NFD", c)[0]) for c in marked]
+    plain = [(c, p) for c, p in plain if p != c and p.isascii()]
+    return "".join(c for c, _ in plain), "".join(p for _, p in plain)
+
+
+#: Words of country names that tell nothing by themselves.
+_FILLERS = ["of", "the", "and"]
+
+
+def folded(name: Column) -> Column:
+    """Lower case without accents, apostrophes left out, all other marks as single blanks."""
+    low = F.lower(F.translate(name, *_plain_letters()))
+    low = F.regexp_replace(F.translate(low, "'\u2019`.", ""), "[^\\p{L}\\p{N}]+", " ")
+    return F.trim(low)
+
+
+def _words(name: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(folded(name), " ")), lambda w: (w != "") & ~w.isin(*_FILLERS))
+
+
+def country_search(names: DataFrame, dim: DataFrame | None = None, places: DataFrame | None = None, max_distance: int = FUZZY_MAX_DISTANCE) -> DataFrame:
+    """J2b as a search: ``country, country_code, found_by`` for each different name of ``names``.
+
+    Tried in this order, accents and marks aside: a country's name or alias (``name``); a part of a country, by ``places``
+    (place, alpha_3) (``place``); the country whose name or alias has all words of the name, each written out or cut to three letters at least,
+    and the fewest others (``words``); the nearest name within ``max_distance`` (``near``). Ties go to the smaller code, what isn't found to
+    ``OTHER``. Only different names are looked at, and the tables are reference tables, so they are broadcast.
+    """
+    spark = names.sparkSession
+    dim = dim if dim is not None else country_dim(spark)
+    keys = dim.select(F.explode(F.array("name", "alias")).alias("key"), "alpha_3").filter("key is not null")
+    wanted = names.select(F.col("country")).distinct().withColumn("f", folded(F.col("country")))
+    exact = _bounded(keys.groupBy(folded(F.col("key")).alias("f")).agg(F.min("alpha_3").alias("by_name")))
+    found = wanted.join(exact, "f", "left")
+    if places is not None:
+        parts = _bounded(places.groupBy(folded(F.col("place")).alias("f")).agg(F.min("alpha_3").alias("by_place")))
+        found = found.join(parts, "f", "left")
+    else:
+        found = found.withColumn("by_place", F.lit(None).cast("string"))
+    rest = found.filter("by_name is null and by_place is null").select("country", "f", _words(F.col("country")).alias("own"))
+    # the index: every beginning of every word
+    whole = keys.withColumn("words", _words(F.col("key"))).withColumn("n", F.size("words"))
+    index = whole.select("key", "alpha_3", "n", F.explode("words").alias("word"))
+    index = index.select("key", "alpha_3", "n", "word", F.explode(F.expr("transform(sequence(least(3, length(word)), length(word)), i -> substring(word, 1, i))")).alias("begin"))
+    asked = rest.select("country", F.size("own").alias("m"), F.explode("own").alias("begin"))
+    met = asked.join(_bounded(index), "begin").groupBy("country", "m", "key", "alpha_3", "n").agg(F.count_distinct("begin").alias("hit"))
+    by_words = met.filter("hit = m").groupBy("country").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("others"), "alpha_3")).alias("w")).select("country", F.col("w.alpha_3").alias("by_words"))
+    name = F.col("f")
+    near = rest.select("country", "f", F.explode(deletions(name, max_distance)).alias("part"))
+    right = keys.select(folded(F.col("key")).alias("k"), "alpha_3", F.explode(deletions(folded(F.col("key")), max_distance)).alias("part"))
+    by_near = (near.join(right, "part").withColumn("d", F.levenshtein("f", "k")).filter(F.col("d") <= max_distance)
+               .groupBy("country").agg(F.min(F.struct("d", "alpha_3")).alias("b")).select("country", F.col("b.alpha_3").alias("by_near")))
+    out = found.join(by_words, "country", "left").join(by_near, "country", "left")
+    ways = [("by_name", "name"), ("by_place", "place"), ("by_words", "words"), ("by_near", "near")]
+    how = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(w)) for c, w in ways])
+    return out.select("country", F.coalesce(*[F.col(c) for c, _ in ways], F.lit(OTHER_CODE)).alias("country_code"), how.alias("found_by"))

@@ -25,7 +25,8 @@ from ..operators import rules as R
 from ..operators import sampling as M
 from ..operators.enrich import enrich_urls
 from ..operators.suffix import resolve_suffix
-from ..sources.fixtures import COUNTRY_DIM, url_feed, urls_raw
+from ..functions.literals import literal_table
+from ..sources.fixtures import COUNTRY_DIM, SEARCH_DIM, SEARCH_NAMES, SEARCH_PLACES, url_feed, urls_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -273,6 +274,15 @@ def avg_score_by_type(spark, sf):
     return A.avg_score_by_type(urls(spark, sf)).select("type", r6("avg_score").alias("avg_score"))
 
 
+@query
+def country_search(spark, sf):
+    """J2b as a search: events by the code that their country's name is found under, and how."""
+    names = F.array(*[F.lit(n) for n, _, _ in SEARCH_NAMES])
+    events = url_feed(spark, sf).select(F.element_at(names, (F.col("event_id") % len(SEARCH_NAMES) + 1).cast("int")).alias("country"))
+    found = L.country_search(events, L.country_dim(spark, SEARCH_DIM), literal_table(spark, SEARCH_PLACES, "place string, alpha_3 string"))
+    return events.join(found, "country").groupBy("country_code", "found_by").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 # --- T: sorts, limits, paging ---------------------------------------------------------------
 
 @query

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions.constants import THREAT_TLDS, WHITESPACE
 from ..functions.suffix_list import icann_rules
-from ..sources.fixtures import COUNTRY_DIM
+from ..sources.fixtures import COUNTRY_DIM, SEARCH_NAMES
 
 
 def q(s: str) -> str:
@@ -631,3 +631,8 @@ reg("stream_alerts", over_urls(
     "where prediction in ('phishing', 'malware', 'defacement')",
     RULES_SQL.replace("page_id", "event_id"), feed=True))
 reg("stream_counts_state", ORACLE["stream_counts"])
+_NAMED = " ".join(f"when {i} then {q(code)}" for i, (_, code, _) in enumerate(SEARCH_NAMES))
+_HOW = " ".join(f"when {i} then {q(how)}" for i, (_, _, how) in enumerate(SEARCH_NAMES) if how)
+reg("country_search", "WITH " + URLS_RAW.strip() + "," + URL_FEED.strip() + f"""
+    select case event_id % {len(SEARCH_NAMES)} {_NAMED} end as country_code, case event_id % {len(SEARCH_NAMES)} {_HOW} end as found_by, count(*) as cnt
+    from url_feed group by 1, 2""")

@@ -81,6 +81,14 @@ def url_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("event_id", "ts", "url", "type", F.col("n_name").alias("country")))
 
 
+#: Rows for the country search: (name, alias, alpha_3) and (place, alpha_3).
+SEARCH_DIM = [("Germany", "Deutschland", "DEU"), ("C\u00f4te d'Ivoire", "Ivory Coast", "CIV"), ("South Korea", "Korea, Republic of", "KOR"),
+              ("North Korea", "Korea, Democratic People's Republic of", "PRK"), ("Brazil", "Brasil", "BRA")]
+SEARCH_PLACES = [("Bavaria", "DEU"), ("Bayern", "DEU"), ("S\u00e3o Paulo", "BRA")]
+#: Names that events get by their number, with the code and the way they are to be found by.
+SEARCH_NAMES = [("Bavaria", "DEU", "place"), ("Cote d'Ivoire", "CIV", "name"), ("Korea, Rep.", "KOR", "words"), ("Brasill", "BRA", "near"),
+                ("SAO PAULO", "BRA", "place"), ("Korea Dem. People's Rep.", "PRK", "words"), ("Atlantis", "OTHER", None)]
+
 #: (name, alias, alpha_3) rows of the test country table: NATION_0..NATION_19 map to codes,
 #: NATION_18 and NATION_19 share one code, and one alias is misspelt; NATION_20..24 are absent.
 COUNTRY_DIM = (
