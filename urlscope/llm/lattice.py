@@ -175,8 +175,13 @@ class Lattice:
                 sums[e[new][:, None] - np.arange(self.longest)[None, :]] /= total[:, None]
         # cumulative shares of each state, the last one above any draw
         first = np.searchsorted(ends, np.arange(len(chars)))
-        total = np.cumsum(share)
-        share = total - np.repeat(total[first] - share[first], np.diff(np.append(first, len(ends))))
+        # added up within each state, edge by edge: they depend on the word alone, not on what it is filtered with
+        counts, rank = np.diff(np.append(first, len(ends))), 1
+        left = np.flatnonzero(counts > 1)
+        while len(left):
+            share[first[left] + rank] += share[first[left] + rank - 1]
+            rank += 1
+            left = left[counts[left] > rank]
         share[np.append(first[1:], len(ends)) - 1] = 2.0
         self._room(len(chars), len(ends))
         base, at = self.n_states, self.n_edges
