@@ -48,6 +48,15 @@ def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
+def one_text_each(rows: DataFrame, *others: str) -> DataFrame:
+    """(others..., id, text): of the rows of one id the one with the least hash of its text, so that a bound on ids is one on rows.
+    ``id`` comes as a number: its own, or its hash if it is no number."""
+    kind = rows.schema["id"].dataType.simpleString()
+    number = F.col("id").cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("id")
+    own = rows.groupBy("id", *others).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return own.select(*others, number.alias("id"), "text")
+
+
 def utf8_lists(batch: pa.RecordBatch, name: str) -> list:
     """A string column as UTF-8 bytes, null as None."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

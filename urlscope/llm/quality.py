@@ -178,7 +178,7 @@ def weak_model(docs: DataFrame, text_col: str = "text") -> tuple[float, np.ndarr
 
 
 def train(docs: DataFrame, posterior: dict[int, float], id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> np.ndarray:
-    """The hashed scorer, fitted to the posteriors of at most ``max_docs`` documents."""
+    """The hashed scorer, fitted to the posteriors of at most ``max_docs`` documents; of rows of one id one is taken."""
     picked = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_docs)
 
     def run(batches):
@@ -192,10 +192,10 @@ def train(docs: DataFrame, posterior: dict[int, float], id_col: str = "doc_id",
                 if f["repeats"]:
                     ids, values = np.append(ids, np.int32(_REPEAT)), np.append(values, np.float32(f["repeats"]))
                 out.append((votes(f), ids.tobytes(), values.astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array([x[i] for x in out], k) for i, k in
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[i] for x in out], k) for i, k in
                                              enumerate((pa.int32(), pa.binary(), pa.binary())))], ["id", "pattern", "ids", "vals"])
 
-    rows = _texts(docs, id_col, text_col).join(F.broadcast(picked), "id")  # at most max_docs ids
+    rows = common.one_text_each(_texts(docs, id_col, text_col).join(F.broadcast(picked), "id"))  # at most max_docs ids and as many rows
     got = common.map_arrow(rows, run, "id bigint, pattern int, ids binary, vals binary").toArrow().sort_by("id")
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["ids"].to_pylist(), got["vals"].to_pylist())]
     return fit(pairs, np.array([posterior[p] for p in got["pattern"].to_pylist()], float))

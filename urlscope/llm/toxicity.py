@@ -116,7 +116,7 @@ def score(text: bytes | None, bias: float, weights: Weights) -> tuple[float, int
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", max_docs: int = MAX_DOCS) -> dict:
-    """Fit on at most ``max_docs`` labelled documents of each label, by hash of the id."""
+    """Fit on at most ``max_docs`` labelled documents of each label, by hash of the id; of rows of one id one is taken."""
     spark = docs.sparkSession
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
              .where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most 2 * max_docs ids: small enough to send to every task
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
             .join(F.broadcast(picked.drop("h")), "id"))
-    rows = common.stored(spark, rows, "labelled")
+    rows = common.stored(spark, common.one_text_each(rows, "y"), "labelled")
     words = common.map_arrow(rows.select("text"), _word_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     vocab = {bytes(r["word"]): i + 1 for i, r in enumerate(words.where(F.col("n") >= MIN_DOCS).orderBy("word").collect())}
     sent = spark.sparkContext.broadcast(vocab)
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             get = sent.value.get
             bags = [b"".join(np.array([0, *(v for w in s for f in features(w) if (v := get(f)))], np.int32).tobytes()
                              for s in sentences(t) or [[]]) for t in common.utf8_lists(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("id").cast(pa.int64()), pa.array(bags, pa.binary())], ["y", "id", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("id"), pa.array(bags, pa.binary())], ["y", "id", "bag"])
 
     # word numbers of the bounded sample: some tens of MB at most
     got = common.map_arrow(rows, run, "y int, id bigint, bag binary").toArrow().sort_by([("id", "ascending"), ("bag", "ascending")])
