@@ -47,6 +47,28 @@ def test_pipeline(spark):
     assert not docs.where("not lossless").count()
 
 
+def test_copies_without_an_id_go(spark):
+    """Rows of a null id are copies like any other; of two without an id one stays."""
+    a, b = "one two three four five six seven eight nine ten", "other words stand in this text than in the one before it"
+    rows = [(None, a), (7, a), (3, a), (None, a), (None, b), (None, b), (4, "x y"), (4, "quite another text under the same number"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, {"k": 1}) for i, t in rows], "doc_id bigint, text string, about map<string,int>")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect()]
+    assert sorted(got, key=str)[:4] == sorted([(3, a), (5, None), (None, b), *[x for x in got if x[0] == 4]], key=str)[:4] and len(got) == 4
+
+
+def test_columns_with_an_operators_names_come_back_untouched(spark):
+    names = ["toxicity", "worst_sentence", "sentence_score", "n_removed", "n_bytes", "n_spans", "kept", "row", "rest", "h", "n", "id", "fp"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    for c in names:
+        docs = docs.withColumn(c, __import__("pyspark").sql.functions.expr(f"concat('{c}', doc_id)"))
+    docs = docs.cache()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = common.stored(spark, stage(spark, docs, SMALL), "clash")
+        assert out.dtypes == docs.dtypes, name
+        for c in names:
+            assert out.where(f"{c} != concat('{c}', doc_id)").count() == 0, (name, c)
+
+
 def test_pipeline_takes_odd_rows(spark):
     odd = [(1, None, None, None, None), (None, "a b", "en", "s", 3), (2, "", "en", "s", 0), (2, "x y z", "en", "s", 5), (3, "x " * 500, None, None, 1000)]
     docs = spark.createDataFrame(odd, common.table(spark, SMALL, "documents").schema)

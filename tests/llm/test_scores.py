@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from llm_data import docs, no_docs, pairs, prose  # noqa: F401
 
-from urlscope.llm import ctw, imatch, lattice, quality, tokens, toxicity, warc
+from urlscope.llm import common, ctw, imatch, lattice, quality, tokens, toxicity, warc
 
 
 # ---- I-Match ---------------------------------------------------------------------------
@@ -300,6 +300,37 @@ def test_nothing_to_learn_from(spark, docs, no_docs):
     assert ctw.score_documents(spark, no_docs, tree, ctw.word_counts(spark, docs)).count() == 0
 
 
+def test_filtered_words_do_not_depend_on_each_other():
+    """A word's shares are the same bits whether it is filtered alone or with others."""
+    import public_tokenizers
+    words = sorted({w for i in range(30) for w in (" " + prose(i, 60)).replace(" ", "| ").split("|") if w})
+    together, alone = (lattice.Lattice(public_tokenizers.path("piece_bpe_32k.model")) for _ in range(2))
+    ends = together.states(words)
+    for w, end in zip(words[:200], ends):
+        alone.clear()
+        one = int(alone.states([w])[0])
+        for back in range(len(w)):
+            x, y = int(end) - back, one - back
+            lo, hi = together.first[x], together.first[x + 1] if x + 1 < together.n_states else together.n_edges
+            at, to = alone.first[y], alone.first[y + 1] if y + 1 < alone.n_states else alone.n_edges
+            assert (together.share[lo:hi] == alone.share[at:to]).all() and (together.id[lo:hi] == alone.id[at:to]).all()
+
+
+def test_a_hot_id_brings_one_row_to_the_fit(spark):
+    """The fits see one row of each id, however many there are, and the same one however rows are dealt."""
+    rows = [(i, prose(i, 40) + (" vilebadword" if i % 2 else "")) for i in range(40)]
+    many = spark.createDataFrame(rows + [(1, prose(500 + k, 40)) for k in range(300)], "doc_id bigint, text string").repartition(7)
+    once = common.one_text_each(many.selectExpr("doc_id as id", "text"))
+    assert once.count() == 40 and once.dtypes == [("id", "bigint"), ("text", "string")]
+    once = once.withColumnRenamed("id", "doc_id")
+    posterior = quality.weak_model(many)[2]
+    assert (quality.train(many, posterior) == quality.train(once, posterior)).all()
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    assert toxicity.train(many, labels) == toxicity.train(once, labels)
+    names = spark.createDataFrame([("a", "x"), ("a", None), ("b", None)], "id string, text string")
+    assert common.one_text_each(names).count() == 2
+
+
 # ---- toxicity --------------------------------------------------------------------------
 
 def toxic_rows():
