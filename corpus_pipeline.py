@@ -5,7 +5,8 @@ documents; rows of null id or text are ordinary rows throughout.
 
 1. toxicity: documents that score 0.5 or more go.
 2. simhash near-dedup: of each group linked by at most 4 bits over 4-word shingles, the
-   document with the smallest id stays (rows of a null id form no group and stay).
+   document with the smallest id stays, null ids last; of equal ids the one with the least hash of its text. Rows are
+   documents of their own here; of those that stay under one id that isn't null, the one with the least hash does.
 3. suffix-array dedup: strings of 200 bytes that start anywhere else too are taken out of the
    texts, a character only if all its bytes go; n_chars is that of the text that is left. Documents stay, if
    need be with an empty text.
@@ -20,31 +21,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from urlscope.llm import common, decontaminate, lattice, simhash, suffix_array, toxicity
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the other columns as one, so that no operator meets a name of its own among them."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)).alias("rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return rows.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c)
+                         for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxicity.score_rows(docs, model)
-    return scored.where("toxicity < 0.5").select(*docs.columns)
+    return _unpacked(toxicity.score_rows(_packed(docs), model).where("toxicity < 0.5"), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(spark, docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    # of rows with one id the one with the least text stays
-    stays = docs.join(keep, "doc_id", "left_semi")
-    twice = stays.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.limit(1).count():
-        once = stays.join(twice, "doc_id", "left_semi")
-        once = once.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("x")).select("doc_id", "x.*")
-        stays = stays.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
-    return stays.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # a number for each row, written with it, so that rows of one id or none are told apart
+    rows = _packed(docs).withColumn("n", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text"))
+    rows = common.stored(spark, rows, "rows")
+    found = simhash.near_duplicates(spark, rows.select("n", "text"), id_col="n").select("n", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n"))
+    kept = rows.select("n", "doc_id", "h").join(found, "n").groupBy("component_id").agg(first.alias("x")).select("x.*")
+    once = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).select("x.n")
+    keep = once.unionByName(kept.where("doc_id is null").select("n"))
+    return _unpacked(rows.join(keep, "n", "left_semi"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_array.Repeats(spark, docs).removed(docs, characters=True)
+    rows = _packed(docs)
+    out = suffix_array.Repeats(spark, rows).removed(rows, characters=True)
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars"))
-    columns = [n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("rest.n_chars"))
+    return _unpacked(out, docs, **new)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
