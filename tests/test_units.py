@@ -387,3 +387,35 @@ def test_counts_from_state_cost_the_same_after_many_batches(spark, tmp_path):
         state = W.from_state(spark, ck, "type", {"count": "cnt"})
         assert {r["type"]: r["cnt"] for r in state.collect()} == want == {r["type"]: r["cnt"] for r in W.latest(spark, sink, "type", ["cnt"]).collect()}
         assert state.count() == len(want) and "batch=" not in str(state.inputFiles())
+
+
+def test_a_new_version_takes_effect_without_a_restart(spark, tmp_path):
+    import time
+
+    from urlscope.operators.suffix import rules_frame
+    from urlscope.streaming import streams as W
+    folder, versions, sink, ck = (str(tmp_path / x) for x in ("in", "versions", "out", "ck"))
+    rows = spark.createDataFrame([(i, f"http://p{i}.web.app/login.php?user=a@b//x.exe", "phishing", "x") for i in range(4)], "event_id bigint, url string, type string, country string")
+
+    def arrive(i):
+        rows.filter(f"event_id = {i}").write.mode("append").parquet(folder)
+        end = time.time() + 60
+        while time.time() < end:
+            got = {r["event_id"]: (r["tld"], r["version"]) for r in spark.read.schema("event_id bigint, tld string, version int").parquet(sink).collect()} if (tmp_path / "out").exists() else {}
+            if i in got:
+                return got[i]
+            time.sleep(0.3)
+        raise AssertionError("no alert came")
+
+    rows.filter("false").write.parquet(folder)
+    stream = W.read_feed(spark, folder, rows.schema, 1)
+    q = W.run_versioned_alerts(stream, versions, sink, ck, available_now=False, interval="200 milliseconds")
+    try:
+        assert arrive(0) == ("app", 0)
+        W.publish(spark, versions, 1, rules_frame(spark).unionByName(rules_frame(spark, ["web.app"])))
+        assert arrive(1) == ("web.app", 1)
+        rules_frame(spark, ["nothing"]).write.parquet(f"{versions}/000002/rules")  # not marked as ready
+        assert arrive(2) == ("web.app", 1)
+        assert q.isActive
+    finally:
+        q.stop()

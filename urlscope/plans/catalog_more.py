@@ -15,6 +15,7 @@ from ..operators import aggregates as A
 from ..operators import ml as ML
 from ..operators import rules as R
 from ..operators import sampling as M
+from ..operators.suffix import rules_frame
 from ..session import scratch_path
 from ..sources import files as S
 from ..sources.fixtures import url_feed, urls_raw
@@ -475,3 +476,20 @@ def stream_counts_state(spark, sf):
         rows.filter(F.col("event_id") % 2 == i).write.mode("append").parquet(folder)
         W.run_update(W.counts(W.read_feed(spark, folder, rows.schema, max_files=1)), sink, ck)
     return W.from_state(spark, ck, "type", {"count": "cnt"})
+
+
+#: Suffixes that only the second version of the list has.
+HOSTING_SUFFIX_RULES = ["web.app", "github.io", "netlify.app", "vercel.app"]
+
+
+@query
+def stream_alerts_versions(spark, sf):
+    """W2 with versions: one half of the events arrives under the built-in suffix list, the other after a longer list was published."""
+    versions, sink, ck, folder = (scratch_path(spark, x) for x in ("versions", "w2v-out", "w2v-ck", "feed-in"))
+    rows = url_feed(spark, sf)
+    longer = rules_frame(spark).unionByName(rules_frame(spark, HOSTING_SUFFIX_RULES))
+    for i, rules in enumerate((None, longer)):
+        W.publish(spark, versions, i + 1, rules)
+        rows.filter(F.col("event_id") % 2 == i).write.mode("append").parquet(folder)
+        W.run_versioned_alerts(W.read_feed(spark, folder, rows.schema), versions, sink, ck)
+    return spark.read.parquet(sink).drop("batch").withColumn("confidence", r6("confidence"))

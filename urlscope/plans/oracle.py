@@ -636,3 +636,8 @@ _HOW = " ".join(f"when {i} then {q(how)}" for i, (_, _, how) in enumerate(SEARCH
 reg("country_search", "WITH " + URLS_RAW.strip() + "," + URL_FEED.strip() + f"""
     select case event_id % {len(SEARCH_NAMES)} {_NAMED} end as country_code, case event_id % {len(SEARCH_NAMES)} {_HOW} end as found_by, count(*) as cnt
     from url_feed group by 1, 2""")
+_LONGER = " ".join(f"when ends_with(lower({sql_netloc('url')}), '.{x}') then {q(x)}" for x in ("web.app", "github.io", "netlify.app", "vercel.app"))
+reg("stream_alerts_versions", over_urls(
+    f"""select event_id, url, type, case when event_id % 2 = 0 then tld else case {_LONGER} else tld end end as tld, prediction, rule_score,
+        round(confidence, 6) as confidence, cast(event_id % 2 + 1 as int) as version from scored where prediction in ('phishing', 'malware', 'defacement')""",
+    RULES_SQL.replace("page_id", "event_id"), feed=True))
