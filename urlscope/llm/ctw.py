@@ -56,7 +56,7 @@ HOT, _SAMPLE = 1 / 16384, 20_000_000
 LEAST_WORD = 2.5e-7
 #: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece, up to LARGE bytes of text.
 _BUCKET, _PIECE, LARGE = 2_000_000, 6_000_000, 10_000_000_000
-_WORDS = 300_000
+_WORDS = 600_000
 
 
 # ---- grams -----------------------------------------------------------------------------
@@ -125,15 +125,15 @@ def _different(codes: np.ndarray) -> np.ndarray:
 
 
 class Layout:
-    """Where subtrees lie: ``hot[k]`` has the contexts of ROOT + k bytes that belong to the top."""
+    """Where subtrees lie: ``hot[k]`` has the contexts of ROOT + k bytes that belong to the top; ``total`` counts the training bytes."""
 
-    def __init__(self, depth: int, buckets: int, hot: list[np.ndarray]):
-        self.depth, self.buckets, self.hot = depth, buckets, hot
+    def __init__(self, depth: int, buckets: int, hot: list[np.ndarray], total: int = 0):
+        self.depth, self.buckets, self.hot, self.total = depth, buckets, hot, total
         self.first = np.zeros(1 << 8 * ROOT, bool)
         self.first[hot[0].astype(np.int64)] = True
 
     def __getstate__(self):
-        return self.depth, self.buckets, self.hot
+        return self.depth, self.buckets, self.hot, self.total
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -357,7 +357,7 @@ def _kept(codes: np.ndarray, counts: np.ndarray, high: int, low: int, enough: fl
 def _frequent(rows: DataFrame, depth: int, total: int) -> list[np.ndarray]:
     """The contexts of ROOT, ROOT + 1, ... bytes, shorter than the depth, that hold over a share HOT of the bytes of a sample of texts."""
     lengths = list(range(ROOT, depth))
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // _SAMPLE))) == 0)
+    some = rows.sample(min(1.0, _SAMPLE / max(1, total)), seed=1)
 
     def count(batches):
         for _, parts in _pieces(batches, depth, _SAMPLE):
@@ -392,7 +392,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
     grown = max(1.0, (total / LARGE) ** 0.5)
     buckets, enough, high = max(1, -(-total // int(_BUCKET * grown))), max(minimum, least * total), min(ROOT - 1, depth)
-    layout = Layout(depth, buckets, _frequent(rows, depth, total) if depth > ROOT else [np.zeros(0, np.uint64)])
+    layout = Layout(depth, buckets, _frequent(rows, depth, total) if depth > ROOT else [np.zeros(0, np.uint64)], total)
     folder, piece_size = scratch_path(spark, "tree"), int(_PIECE * grown)
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(layout))
 
@@ -516,11 +516,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
     hot = words.where(F.col("c") >= LEAST_WORD * total).toArrow()
     sent = spark.sparkContext.broadcast((hot["word"].to_pylist(), np.log10(hot["c"].to_numpy() + 1.0)))
     folder, answers = tree, scratch_path(spark, "answers")
-    depth, kind = _layout(folder).depth, docs.schema[id_col].dataType.simpleString()
+    depth, size, kind = _layout(folder).depth, _layout(folder).total, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if not reread:
         rows = common.stored(spark, rows, "texts")
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     piece_size = int(_PIECE * max(1.0, (size / LARGE) ** 0.5))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
