@@ -106,6 +106,23 @@ def tokenizer():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_an_id_with_many_rows_fills_several_files(spark, tmp_path, hot):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer())
+    rows = [(hot, prose(i, 12)) for i in range(120)] + [(i, prose(900 + i, 12)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    listed = tokens.write_files(spark, df, tokenizer(), f"file://{tmp_path}/t", files=12)
+    assert listed.agg({"n_docs": "max"}).first()[0] < 60 and listed.agg({"n_docs": "sum"}).first()[0] == 180
+    got = sorted(tokens.read_files(listed).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i or 0))
+    crcs = [zlib.crc32(np.frombuffer(r["ids"], "<u4").astype("<u2").tobytes()) for r in got if r["doc_id"] == hot]
+    assert len(crcs) >= 120 and crcs == sorted(crcs)
+    want = Counter((i, np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in rows)
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer())

@@ -10,7 +10,8 @@ u64 number of chunks; then for each level the chunks, the bitmap (one bit a chun
 first, padded to 64 bytes) and its directory (u64 for each 512 bits); then the i64 document ids and
 u64 ends (ids up to and with each document, in this file).
 
-Documents are dealt by ranges of their id to files, one task a file; a file is written under a
+Documents are dealt by ranges of their id to files, one task a file, so many that a file holds some ``FILE_BYTES`` of the table at most; an
+id that fills several files is dealt on by the crc of its documents' tokens. A file is written under a
 name of the task's attempt and then renamed, so a task that is run again does no harm. Only the
 range bounds and the files' lengths, one number a file each, pass the driver.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import sys
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 END_ID = 1
+#: Bytes of the stored table for a file, by the size that Spark knows of it.
+FILE_BYTES = 256_000_000
 _NULL = -(1 << 63)
 #: str.split() also cuts at these, the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -221,24 +225,29 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: st
                 text_col: str = "text", end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write the files and return (file_no, path, n_docs, n_tokens, start): one row a file, in id order.
 
-    files: the number of id ranges; by default one for every shuffle partition.
+    files: the number of ranges; by default one for every shuffle partition, or more by the table's size.
     """
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # what has no known size (a plan that isn't read from files) counts as one of Spark's partitions
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), 100_000) if size < 1 << 62 else 1)
     key = F.coalesce(F.col("id"), F.lit(_NULL))
     # bounds from the id column alone; one number for each file
     row = docs.select(F.col(id_col).cast("long").alias("id")).agg(
         F.percentile_approx(key, F.lit([i / n for i in range(1, n)]), 10000).alias("q")).first() if n > 1 else None
-    bounds = np.unique(np.array((row and row["q"]) or [], np.int64))
+    # an id that stands for several bounds fills as many files
+    bounds = np.sort(np.array((row and row["q"]) or [], np.int64))
 
     def deal(batches):
         for ids, tokens, kind in _encoded(batches, tokenizer, end_id):
             ids = ids.fill_null(_NULL)
-            no = np.searchsorted(bounds, ids.to_numpy(), side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(no), ids, pa.array(tokens, pa.binary()), pa.array([kind.itemsize] * len(no), pa.int32())],
-                                             ["file_no", "id", "ids", "width"])
-
-    dealt = common.map_arrow(_id_text(docs, id_col, text_col), deal, "file_no int, id bigint, ids binary, width int")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("file_no")).sortWithinPartitions("file_no", "id", F.crc32("ids"))
+            no = np.searchsorted(bounds, ids.to_numpy(), side="left")
+            crc = np.array([zlib.crc32(t) for t in tokens], np.int64)
+            no += crc * np.maximum(1, np.searchsorted(bounds, ids.to_numpy(), side="right") - no) >> 32
+            yield pa.RecordBatch.from_arrays([pa.array(no.astype(np.int32)), ids, pa.array(tokens, pa.binary()), pa.array([kind.itemsize] * len(no), pa.int32()), pa.array(crc)],
+                                             ["file_no", "id", "ids", "width", "crc"])
+
+    dealt = common.map_arrow(_id_text(docs, id_col, text_col), deal, "file_no int, id bigint, ids binary, width int, crc bigint")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("file_no")).sortWithinPartitions("file_no", "id", "crc").drop("crc")
 
     def write(batches):
         file_no, parts = None, []
