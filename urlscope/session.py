@@ -54,7 +54,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    return _qualified(spark, root)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it: what tasks open by other means is the same folder."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hpath).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
