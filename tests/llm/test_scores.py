@@ -85,6 +85,24 @@ def test_archive(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == len(PAGES) and text.count("<p>é</p>".encode()) == 1 and b"\r\nX: y" not in text
 
 
+def test_exported_files_are_read_again(spark, tmp_path):
+    """Store, WARC files and back: every record with its exact header and payload."""
+    df = spark.createDataFrame([(*p,) for p in PAGES], "page_id bigint, url string, html string").repartition(3)
+    warc.write_store(spark, df, str(tmp_path / "store"))
+    warc.export_files(spark, str(tmp_path / "store"), str(tmp_path / "out"))
+    back = Counter((r["id"], bytes(r["header"]), bytes(r["payload"])) for r in warc.restored(warc.read_files(spark, str(tmp_path / "out"))).collect())
+    assert back == Counter((r["id"], bytes(r["header"]), bytes(r["payload"])) for r in warc.records(spark, str(tmp_path / "store")).collect())
+    assert Counter((i, p) for i, _, p in back.elements()) == Counter((p[0], (p[2] or "").encode()) for p in PAGES)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/part-0").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_files(spark, str(tmp_path / "bad")).collect()
+    empty = df.where("false")
+    warc.write_store(spark, empty, str(tmp_path / "none"))
+    warc.export_files(spark, str(tmp_path / "none"), str(tmp_path / "no-files"))
+    assert warc.restored(warc.read_files(spark, str(tmp_path / "no-files"))).collect() == []
+
+
 def test_damaged_archive(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:2], "page_id bigint, url string, html string")
     warc.write_store(spark, df, str(tmp_path / "store"))

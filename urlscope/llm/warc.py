@@ -10,8 +10,9 @@ A store holds two tables below one folder:
 Equal digests are not taken on trust: while it writes, the store also compares length and a
 second, independent digest of every payload under one SHA-256, and while it reads it hashes the
 stored bytes again. A record is header + blank line + payload + two blank lines; ``records``
-puts that back together by a join on the digest, and ``export_files`` writes it as WARC files.
-A revisit record has no block of its own; its payload is found by the response it refers to.
+puts that back together by a join on the digest, and ``export_files`` writes it as WARC files, which
+``read_files`` reads again record by record. A revisit record has no block of its own; its payload is that of the response
+with its digest that it refers to, which ``restored`` joins to it. The query reads the store, not the files.
 
 Defined cases: a null payload counts as empty. Of rows with one id the store makes one record
 each, and the one with the smallest header is the response where all else is equal. Null ids come last among equal
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -167,6 +169,63 @@ def export_files(spark: SparkSession, folder: str, out: str) -> None:
     records(spark, folder).select(F.concat(F.col("header").cast("string"), block).alias("value")).write.option("lineSep", LINE + LINE).text(out)
 
 
+def _warc_records(stream):
+    """(header, block) of each record of a WARC file, one at a time."""
+    while line := stream.readline():
+        if line.strip() == b"":
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError("a record doesn't begin with its version")
+        header = [line]
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            header.append(line)
+        size = next((int(x.split(b":", 1)[1]) for x in header if x.lower().startswith(b"content-length:")), None)
+        block = stream.read(size) if size is not None else b""
+        if size is None or len(block) != size or line == b"" or stream.read(4) != b"\r\n\r\n":
+            raise ValueError("a record is cut short")
+        yield b"".join(header) + b"\r\n", block
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, header, record_type, refers_to, digest, block) of every record of the WARC files below ``folder``, a task a file, a record at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path")
+
+    def run(batches):
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                system, at = common.open_folder(path if "://" in path else path.replace("file:", "file://", 1))
+                with system.open_input_stream(at) as f:
+                    held, size = [], 0
+                    for header, block in _warc_records(io.BufferedReader(f, 1 << 20)):
+                        held.append((header, block))
+                        size += len(header) + len(block)
+                        if size > 4_000_000:
+                            yield told(held)
+                            held, size = [], 0
+                    yield told(held)
+
+    def told(held):
+        out = []
+        for header, block in held:
+            fields = dict(x.split(": ", 1) for x in header.decode().split(LINE)[1:] if x)
+            ids = [None if (v := fields.get(k)) is None or v == "<urn:page:null>" else int(v[len("<urn:page:"):-1]) for k in ("WARC-Record-ID", "WARC-Refers-To")]
+            out.append((ids[0], header, fields["WARC-Type"], ids[1], fields["WARC-Payload-Digest"].removeprefix("sha1:"), block))
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["id", "header", "record_type", "refers_to", "digest", "block"])
+
+    return common.map_arrow(files, run, "id bigint, header binary, record_type string, refers_to bigint, digest string, block binary")
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    """(id, header, payload) of the records of ``read_files``: revisits get the payload of the response with their digest that they refer to."""
+    responses = rows.where("record_type = 'response'").select(F.col("digest"), F.col("id").alias("first"), F.col("block").alias("whole"))
+    revisits = rows.where("record_type = 'revisit'")
+    # several responses of one id have different digests
+    found = revisits.join(responses, (revisits["digest"] == responses["digest"]) & revisits["refers_to"].eqNullSafe(responses["first"]), "left")
+    found = found.select("id", "header", F.when(F.col("whole").isNotNull(), F.col("whole")).otherwise(F.raise_error(F.lit("a revisit's response is not there"))).alias("payload"))
+    return rows.where("record_type = 'response'").select("id", "header", F.col("block").alias("payload")).unionByName(found)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: archive all pages, read the archive back, give each record's facts."""
     from urlscope.session import scratch_path
