@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from llm_data import brute_bits, brute_components, docs, no_docs, pairs, prose  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from urlscope.llm import decontaminate, simhash, suffix_array
 from urlscope.llm.components import components
 
@@ -184,3 +186,39 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
     got = decontaminate.Index(spark, df, bench).proximity(terms=3, slop=6).collect()
     assert {r["doc_id"] for r in got} == {1}
+
+
+def brute_near(rows, bench, terms, slop, window=10):
+    """Windows by their texts' number: (doc_id, item, window, place) where the rarest words stand near each other."""
+    docs = [(i, words(t)) for i, t in rows]
+    items = [(i, words(t)) for i, t in bench]
+    known = {w for _, x in items for w in x}
+    tf = Counter(w for _, x in docs for w in x if w in known)
+    out = set()
+    for i, x in items:
+        size = min(window, len(x))
+        for ws in range(len(x) - size + 1) if x else ():
+            own = sorted(range(ws, ws + size), key=lambda at: (tf[x[at]], at))
+            if not tf[x[own[0]]]:
+                continue
+            rare = [x[at] for at in own[:min(terms, size)]]
+            for d, y in docs:
+                for pos, w in enumerate(y):
+                    if w == rare[0] and all(any(z == r and abs(k - pos) <= slop for k, z in enumerate(y[max(0, pos - slop):pos + slop + 1], max(0, pos - slop))) for r in rare[1:]):
+                        out.add((d, len(y), i, ws, pos))
+    return out
+
+
+@pytest.mark.parametrize("terms,slop,small", [(3, 6, 500_000), (2, 1, 500_000), (1, 4, 500_000), (3, 20, 0)])
+def test_proximity_against_brute_force(spark, docs, no_docs, terms, slop, small, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    items = [(i, t) for i, t in BENCH if i is not None]
+    items = [(k, t) for k, (_, t) in enumerate(items)] + [(90, "ta lo ta"), (91, "mir"), (92, ""), (93, None), (94, "nowhere ta")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    index = decontaminate.Index(spark, docs, bench)
+    names = index.items.select("b", F.col("item_id").cast("long").alias("item")).distinct()
+    sizes = index.postings.where("t = -1").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_words").distinct()
+    got = index.proximity(terms=terms, slop=slop).join(names, "b").join(sizes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    got = {(r["doc_id"], r["n_words"], r["item"], r["ws"], r["pos"]) for r in got.collect()}
+    assert got == brute_near(pairs(), items, terms, slop) and got
+    assert decontaminate.Index(spark, no_docs, bench).proximity().count() == 0

@@ -167,19 +167,21 @@ class Index:
         ranked = common.stored(self.spark, self.ranked(window).where(F.col("rank") <= terms).select("b", "ws", "rank", "t", "size"), "rarest")
         n = ranked.count()
         out = None
+        # null ids stand under an own key, so that plain equality joins them
+        key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("none"))
         for rank in range(1, terms + 1):
             part = (self.postings.join(_small(ranked.where(F.col("rank") == rank), n), "t")
-                    .select("doc_id", "h", "b", "ws", "pos", F.least("size", F.lit(terms)).alias("need")))
+                    .select("doc_id", key.alias("key"), "h", "b", "ws", "pos", F.least("size", F.lit(terms)).alias("need")))
             if out is None:
                 out = part
                 continue
             # buckets of slop words: what is near is in the same bucket or a neighbouring one
-            part = part.select("doc_id", "h", "b", "ws", F.col("pos").alias("other"),
+            part = part.select("key", "h", "b", "ws", F.col("pos").alias("other"),
                                F.explode(F.array(*[F.floor(F.col("pos") / slop) + i for i in (-1, 0, 1)])).alias("bucket"))
-            met = (out.withColumn("bucket", F.floor(F.col("pos") / slop)).join(part, ["doc_id", "h", "b", "ws", "bucket"])
-                   .where(F.abs(F.col("pos") - F.col("other")) <= slop).select("doc_id", "h", "b", "ws", "pos", "need").distinct())
+            met = (out.withColumn("bucket", F.floor(F.col("pos") / slop)).join(part, ["key", "h", "b", "ws", "bucket"])
+                   .where(F.abs(F.col("pos") - F.col("other")) <= slop).select("doc_id", "key", "h", "b", "ws", "pos", "need").distinct())
             out = met.unionByName(out.where(F.col("need") < rank))
-        return out.drop("need").distinct()
+        return out.drop("need", "key").distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
