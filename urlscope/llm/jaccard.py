@@ -212,8 +212,10 @@ class Sets:
                                                  ["row", "id", "n", "a", "b", "first", "prefix", "shared", "parity"])
 
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # ranges hold alike many codes, so they are dealt in turn
+        tasks = min(ranges, shuffles)
         asked = common.map_arrow(pieces.select("piece", "text"), ask, "piece bigint, range int, n int, codes binary, counts binary")
-        answers = common.map_arrow(asked.repartition(2 * min(ranges, shuffles), "range").sortWithinPartitions("range"), answer, "piece bigint, range int, n int, counts binary")
+        answers = common.map_arrow(asked.repartitionById(tasks, F.col("range") % tasks).sortWithinPartitions("range"), answer, "piece bigint, range int, n int, counts binary")
         common.map_arrow(answers.repartition(shuffles, "piece").sortWithinPartitions("piece", "range"), keep, "n bigint").agg(F.sum("n")).first()
         self.marks = common.stored(spark, common.map_arrow(pieces, mark, f"row bigint, id {kind}, n int, a bigint, b bigint, first int, prefix int, shared binary, parity binary"), "marks")
         alive = self.marks.where("shared is not null").select("a", "b", "n", "first", "prefix", "shared", "parity")
