@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -44,6 +45,41 @@ def test_last_document_is_followed_by_the_first(spark):
     assert imatch.edited_pairs(spark, one, frozenset()).first()["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def brute_fingerprint(text, lexicon):
+    """Subset by subset and term by term."""
+    import struct
+
+    import xxhash
+    own = {w for w in re.split(r"[^0-9A-Za-z\x80-\U0010ffff]+", text) if w}
+    own = {"".join(c.lower() if c.isascii() else c for c in w).encode() for w in own}
+    kept = sorted(w for w in own if w in lexicon) or sorted(own)
+    if not kept:
+        return hashlib.blake2b(text.encode(), digest_size=2).digest() * len(imatch.RATES)
+    out = []
+    for i, rate in enumerate(imatch.RATES):
+        seed = (i + 1) * 0x9E3779B97F4A7C15 % 2 ** 64
+        picked = b""
+        for w in kept:
+            h = xxhash.xxh64_intdigest(w, 1)
+            if ((h ^ seed) * 0xC2B2AE3D27D4EB4F % 2 ** 64 >> 40) % rate == 0:
+                picked += struct.pack("<Q", h)
+        out.append(xxhash.xxh32_intdigest(picked, i) % 65535 + 1 if picked else 0)
+    return struct.pack(f"<{len(out)}H", *out)
+
+
+def test_fingerprints_against_brute_force():
+    texts = [t or "" for _, t in pairs()] + [prose(2, 30)[:k] for k in range(0, 60, 7)]
+    words = sorted({w for t in texts for w in imatch.terms(t.encode())})
+    for lexicon in (frozenset(), frozenset(words[::3]), frozenset(words[::50])):
+        made = [imatch.fingerprint(t.encode(), lexicon) for t in texts]
+        assert made == [brute_fingerprint(t, lexicon) for t in texts]
+        for a, b in itertools.islice(itertools.combinations(made, 2), 60):
+            x, y = (np.frombuffer(f, "<u2").tolist() for f in (a, b))
+            used = [(r, p == q) for r, p, q in zip(imatch.RATES, x, y) if p or q]
+            want = 1.0 if a == b else sum(r for r, same in used if same) / sum(r for r, _ in used) if used else 0.0
+            assert abs(imatch.likeness(a, b) - want) < 1e-12
+
+
 def test_lexicon_band(spark):
     df = spark.createDataFrame([(i, f"all {'half' if i % 2 else ''} {'few' if i < 3 else ''} only{i}") for i in range(20)], "doc_id bigint, text string")
     assert imatch.lexicon(spark, df, low=0.1, high=0.6) == {b"half", b"few"}
