@@ -39,15 +39,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a number for each row, written with it, so that rows of one id or none are told apart
-    rows = _packed(docs).withColumn("n", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text"))
-    rows = common.stored(spark, rows, "rows")
-    found = simhash.near_duplicates(spark, rows.select("n", "text"), id_col="n").select("n", "component_id")
+    # a number for each different id and text; a hot one is one row a task before texts are shuffled
+    number = F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    rows = _packed(docs).withColumn("n", number)
+    found = simhash.near_duplicates(spark, rows.select("n", "text"), id_col="n").select("n", "component_id").distinct()
+    slim = rows.select("n", "doc_id", F.xxhash64("text").alias("h")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n"))
-    kept = rows.select("n", "doc_id", "h").join(found, "n").groupBy("component_id").agg(first.alias("x")).select("x.*")
+    kept = slim.join(found, "n").groupBy("component_id").agg(first.alias("x")).select("x.*")
     once = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).select("x.n")
-    keep = once.unionByName(kept.where("doc_id is null").select("n"))
-    return _unpacked(rows.join(keep, "n", "left_semi"), docs)
+    keep = common.stored(spark, once.unionByName(kept.where("doc_id is null").select("n")), "kept")
+    return _unpacked(rows.dropDuplicates(["n"]).join(keep, "n", "left_semi"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
