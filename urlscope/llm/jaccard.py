@@ -42,7 +42,7 @@ PIECE, RANGE, LARGE = 4_000_000, 4_000_000, 10_000_000_000
 #: Sets of a bucket, and members of a verifying group, that go to one task.
 CHUNK, GROUP = 8192, 1000
 #: Most rounds in which every set goes to its nearest one; what is left then goes all at once.
-ROUNDS = 12
+ROUNDS = 2
 #: Parts of a suffix, of a whole set, and bits of a shingle's code that is counted.
 _PARTS, _FINE, _CODE = 16, 1024, 48
 _WORDS = 300_000
