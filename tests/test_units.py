@@ -419,3 +419,36 @@ def test_a_new_version_takes_effect_without_a_restart(spark, tmp_path):
         assert q.isActive
     finally:
         q.stop()
+
+
+def test_alerts_score_each_row_once(spark):
+    """The filter tests the finished column: pushed down, it would hold the whole derivation several times."""
+    from urlscope.operators.rules import malicious, model_then_rules
+    from urlscope.streaming import streams as W
+    rows = spark.createDataFrame([(1, "http://a.ru/setup.exe", "x", "y"), (2, "https://www.a.com/", "x", "y")], "event_id bigint, url string, type string, country string")
+    scored = lexical_features(enrich_urls(rows))
+    for out in (W.alerts(rows), malicious(model_then_rules(scored), "event_id", "url", "tld")):
+        assert [r["event_id"] for r in out.collect()] == [1]
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [line for line in plan if "Filter" in line and ".exe" in line]
+
+
+def test_entropy_reads_a_stored_column(spark):
+    """The characters left of a host are taken out once, not once for each of them."""
+    df = lexical_features(enrich_urls(one(spark, [(1, "http://ab-c.com/", "x")])))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\p{L}\\p{N}]") == 1 and math.isclose(df.first()["domain_entropy"], math.log2(6) - 2 / 6)
+
+
+def _files_of(spark, folder):
+    return spark.read.parquet(folder).select("_metadata.file_path").distinct().count()
+
+
+def test_feed_fills_the_cores(spark, tmp_path):
+    """A micro-batch has a file for each core, and there are no more micro-batches than the feed was made for."""
+    from urlscope.plans import catalog_more as Q
+    from urlscope.streaming import streams as W
+    from conftest import SF_SMALL
+    q = W.run_append(Q._stream(spark, SF_SMALL).select("event_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    sizes = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(sizes) == 4 and _files_of(spark, str(tmp_path / "out")) >= 4 * spark.sparkContext.defaultParallelism

@@ -72,6 +72,15 @@ def score_rules(features: DataFrame, url: str = "url", clamp: bool = False) -> D
     return staged.withColumn("is_malicious", is_malicious_type("prediction")).drop("_rhost", "_hosting")
 
 
+def malicious(scored: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of the scored rows that are malicious.
+
+    The rows pass through ``inline``, so that each is scored once and the filter tests one column. Without it Catalyst pushes the filter
+    below the projections and writes the whole derivation of ``is_malicious`` into it, with every shared part once for each use.
+    """
+    return scored.select(F.inline(F.array(F.struct("is_malicious", *columns)))).filter("is_malicious").select(*columns)
+
+
 def legit_override(scored: DataFrame, url: str = "url", prediction: str = "prediction",
                    confidence: str = "confidence", strict: bool = False) -> DataFrame:
     """A non-benign prediction becomes benign when a listed domain is a substring of the host.

@@ -433,17 +433,31 @@ def layout_for_lookups(spark, sf):
 
 # --- W: streaming ---------------------------------------------------------------------------
 
+#: Most rows of an arriving file, so that a larger feed comes as more files.
+ARRIVAL_ROWS = 1_000_000
+
+
+def _batch_files(spark):
+    """Files of a micro-batch: one for each core, as a file of one row group is one task."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
+def _arrive(spark, rows, folder, batches=1):
+    """Adds the rows to ``folder`` as parquet files of like sizes (arrivals), enough for so many micro-batches."""
+    rows.repartition(batches * _batch_files(spark), "event_id").write.option("maxRecordsPerFile", ARRIVAL_ROWS).mode("append").parquet(folder)
+
+
 def _feed_folder(spark, sf):
-    """Raw feed rows written as several parquet files (arrivals) into a fresh folder."""
+    """Raw feed rows written as the arrivals of several micro-batches into a fresh folder."""
     folder = scratch_path(spark, "feed-in")
-    url_feed(spark, sf).repartition("event_id").write.mode("overwrite").parquet(folder)
+    _arrive(spark, url_feed(spark, sf), folder, batches=4)
     return folder
 
 
 def _stream(spark, sf):
     folder = _feed_folder(spark, sf)
     schema = spark.read.parquet(folder).schema
-    return W.read_feed(spark, folder, schema, max_files=2)
+    return W.read_feed(spark, folder, schema, max_files=_batch_files(spark))
 
 
 @query

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.features import lexical_features
 from ..operators.enrich import enrich_urls
-from ..operators.rules import model_then_rules, score_rules
+from ..operators.rules import malicious, model_then_rules, score_rules
 from ..session import exists
 
 
@@ -27,8 +27,7 @@ def read_feed(spark: SparkSession, folder: str, schema: StructType, max_files: i
 def alerts(stream: DataFrame) -> DataFrame:
     """Enrich, score and keep the URLs the rules call malicious (stateless, append)."""
     scored = score_rules(lexical_features(enrich_urls(stream)))
-    return scored.filter(F.col("is_malicious")).select(
-        "event_id", "url", "type", "prediction", "rule_score", "confidence")
+    return malicious(scored, "event_id", "url", "type", "prediction", "rule_score", "confidence")
 
 
 def publish(spark: SparkSession, versions: str, number: int, rules: DataFrame | None = None, model: PipelineModel | None = None) -> None:
