@@ -452,3 +452,13 @@ def test_feed_fills_the_cores(spark, tmp_path):
     q = W.run_append(Q._stream(spark, SF_SMALL).select("event_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
     sizes = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
     assert len(sizes) == 4 and _files_of(spark, str(tmp_path / "out")) >= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["stream_alerts_versions", "stream_counts_state"])
+def test_arrivals_fill_the_cores(spark, tmp_path, monkeypatch, name):
+    """Both halves of the feed arrive as a file for each core."""
+    from urlscope.plans import catalog_more as Q
+    from conftest import SF_SMALL
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, x: str(tmp_path / x))
+    assert Q.QUERIES[name](spark, SF_SMALL).count() > 0
+    assert _files_of(spark, str(tmp_path / "feed-in")) >= 2 * spark.sparkContext.defaultParallelism

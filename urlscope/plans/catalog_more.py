@@ -487,8 +487,8 @@ def stream_counts_state(spark, sf):
     ck, sink, folder = scratch_path(spark, "w3-ck"), scratch_path(spark, "w3-out"), scratch_path(spark, "feed-in")
     rows = url_feed(spark, sf)
     for i in range(2):
-        rows.filter(F.col("event_id") % 2 == i).write.mode("append").parquet(folder)
-        W.run_update(W.counts(W.read_feed(spark, folder, rows.schema, max_files=1)), sink, ck)
+        _arrive(spark, rows.filter(F.col("event_id") % 2 == i), folder)
+        W.run_update(W.counts(W.read_feed(spark, folder, rows.schema, max_files=_batch_files(spark))), sink, ck)
     return W.from_state(spark, ck, "type", {"count": "cnt"})
 
 
@@ -504,6 +504,6 @@ def stream_alerts_versions(spark, sf):
     longer = rules_frame(spark).unionByName(rules_frame(spark, HOSTING_SUFFIX_RULES))
     for i, rules in enumerate((None, longer)):
         W.publish(spark, versions, i + 1, rules)
-        rows.filter(F.col("event_id") % 2 == i).write.mode("append").parquet(folder)
+        _arrive(spark, rows.filter(F.col("event_id") % 2 == i), folder)
         W.run_versioned_alerts(W.read_feed(spark, folder, rows.schema), versions, sink, ck)
     return spark.read.parquet(sink).drop("batch").withColumn("confidence", r6("confidence"))

@@ -70,7 +70,7 @@ def run_versioned_alerts(stream: DataFrame, versions: str, sink: str, checkpoint
             loaded[number] = (rules, model)
         rules, model = loaded[number]
         rows = model_then_rules(lexical_features(enrich_urls(batch, rules)), model)
-        (rows.filter("is_malicious").select("event_id", "url", "type", "tld", "prediction", "rule_score", "confidence", F.lit(number).alias("version"))
+        (malicious(rows, "event_id", "url", "type", "tld", "prediction", "rule_score", "confidence").withColumn("version", F.lit(number))
          .write.mode("overwrite").parquet(f"{sink}/batch={batch_id}"))
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
