@@ -79,3 +79,24 @@ def test_buckets_without_a_kept_context(spark, monkeypatch):
     tree = ctw.load(folder)
     for r in docs.join(ctw.score_documents(spark, docs, folder, ctw.word_counts(spark, docs)), "doc_id").collect():
         assert abs(r["score"] - tree.log10(ctw.gram_codes([r["text"].encode()])[0]).astype(float).sum()) < 1e-3
+
+
+def test_codes_of_a_piece_are_held_once():
+    """Fewer, larger pieces ask for fewer codes; their codes (eight bytes a byte of text) are never held twice."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, int(n), np.uint8)) for n in rng.integers(0, 9_000, 400)]
+    parts = [(b"\0" * ctw.DEPTH, t) for t in texts]
+    n = sum(map(len, texts))
+    tracemalloc.start()
+    codes, starts = ctw._codes(parts, ctw.DEPTH)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * n and len(codes) == n and starts.tolist() == np.cumsum([0, *map(len, texts)])[:-1].tolist()
+    assert codes.tolist() == [c for t in texts for c in ctw._codes([(b"\0" * ctw.DEPTH, t)], ctw.DEPTH)[0].tolist()]
+    seen, times = ctw._counted(codes)
+    assert int(times.sum()) == n and (seen[1:] > seen[:-1]).all() and len(np.unique(codes)) == len(seen)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 1_000_000] * 18)], ["text"])
+    assert [rows for rows, _ in ctw._pieces([batch], ctw.DEPTH, ctw._PIECE)] == [10, 8]

@@ -55,8 +55,9 @@ ROOT = 3
 HOT, _SAMPLE = 1 / 16384, 20_000_000
 LEAST_WORD = 2.5e-7
 #: Training bytes of a bucket of subtrees, and bytes of text that are scored as one piece, up to LARGE bytes of text.
-_BUCKET, _PIECE, LARGE = 2_000_000, 6_000_000, 10_000_000_000
-_WORDS = 600_000
+_BUCKET, _PIECE, LARGE = 2_000_000, 10_000_000, 10_000_000_000
+#: Words that are counted, and codes that are looked up, at once.
+_WORDS, _RUN = 600_000, 1_000_000
 
 
 # ---- grams -----------------------------------------------------------------------------
@@ -76,12 +77,11 @@ def _codes(parts: list[tuple[bytes, bytes]], depth: int) -> tuple[np.ndarray, np
     for k in range(depth + 1):
         each[:, k] = buf[depth - k:len(buf) - k]
     starts = np.cumsum(sizes) - sizes
-    if len(parts) > 1:  # codes that end in the padding between two texts go
-        keep = np.ones(len(code), bool)
-        at = (starts + depth * np.arange(len(parts)))[1:]
-        keep[(at[:, None] - 1 - np.arange(depth)[None, :]).ravel()] = False
-        code = code[keep]
-    return code, starts
+    # codes that end in the padding between two texts go: each text's move up in place, as a copy would hold all codes twice
+    for i, (to, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
+        if i:
+            code[to:to + n] = code[to + i * depth:to + i * depth + n]
+    return code[:int(sizes.sum())], starts
 
 
 def _pieces(batches, depth: int, size: int):
@@ -105,8 +105,8 @@ def _pieces(batches, depth: int, size: int):
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different codes in order, how often each is there)."""
-    codes = np.sort(codes)
+    """(different codes in order, how often each is there). The given codes are sorted in place."""
+    codes.sort()
     first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
     return codes[first], np.diff(np.append(first, len(codes)))
 
@@ -568,14 +568,17 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
     def add_up(parts, layout: Layout) -> np.ndarray:
         """The sum of the values of each part's codes."""
         codes, starts = _codes([p[1:] for p in parts], depth)
-        own = _counted(codes)[0]
+        own = _counted(codes.copy())[0]
         known = read_whole(answers, name(parts))
         told = spread(known[8:], np.float32, int.from_bytes(known[:8], "little"))
         if len(told) != len(own):
             raise ValueError("a piece was answered in part")
         values = np.empty(len(own))
         values[np.concatenate([at for _, at in layout.dealt(own)])] = told
-        each = values[pd.Index(own).get_indexer(pd.Index(codes))]
+        # in runs, and each code's place takes its value, so that no more than the codes is held whole
+        each, places = codes.view(np.float64), pd.Index(own)
+        for lo in range(0, len(codes), _RUN):
+            each[lo:lo + _RUN] = values[places.get_indexer(pd.Index(codes[lo:lo + _RUN]))]
         return np.add.reduceat(each, starts)
 
     def run(batches):
