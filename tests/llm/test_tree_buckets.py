@@ -100,3 +100,47 @@ def test_codes_of_a_piece_are_held_once():
     assert int(times.sum()) == n and (seen[1:] > seen[:-1]).all() and len(np.unique(codes)) == len(seen)
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 1_000_000] * 18)], ["text"])
     assert [rows for rows, _ in ctw._pieces([batch], ctw.DEPTH, ctw._PIECE)] == [10, 8]
+
+
+def _scored_as_by_the_whole_tree(docs, folder, words):
+    tree, spark = ctw.load(folder), docs.sparkSession
+    rows = docs.join(ctw.score_documents(spark, docs, folder, words), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert abs(r["score"] - tree.log10(ctw.gram_codes([r["text"].encode()])[0]).astype(float).sum()) < 1e-3
+
+
+def test_scoring_holds_the_codes_of_a_run_only(spark, monkeypatch):
+    """A piece's codes, eight bytes for each of its bytes, are made in runs while it is scored; a text may be longer than a run."""
+    monkeypatch.setattr(ctw, "_PIECE", 20_000)
+    monkeypatch.setattr(ctw, "_RUN", 1_000)
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), F.when(F.col("id") % 50 == 0, 60).otherwise(3).cast("int"))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(2)
+    folder, words, codes = ctw.train(spark, docs), ctw.word_counts(spark, docs), ctw._codes
+
+    def few(parts, depth):
+        if sum(len(t) for _, t in parts) > 1_000:
+            raise MemoryError("codes of more than a run")
+        return codes(parts, depth)
+
+    with monkeypatch.context() as m:
+        m.setattr(ctw, "_codes", few)
+        scored = ctw.score_documents(spark, docs, folder, words)
+        scored.count()
+    _scored_as_by_the_whole_tree(docs, folder, words)
+
+
+def test_the_different_codes_of_runs_are_those_of_the_piece(monkeypatch):
+    monkeypatch.setattr(ctw, "_RUN", 700)
+    rng = np.random.default_rng(2)
+    for letters in (3, 200):
+        parts = [(i, b"\0" * ctw.DEPTH, bytes(rng.integers(1, 1 + letters, int(n), np.uint8))) for i, n in enumerate(rng.integers(1, 3_000, 40))]
+        assert ctw._distinct(parts, ctw.DEPTH).tolist() == ctw._counted(ctw._codes([p[1:] for p in parts], ctw.DEPTH)[0])[0].tolist()
+
+
+def test_a_text_that_ends_where_the_piece_does(spark, monkeypatch):
+    """The next text begins in the next piece, not with none of its bytes in the one that is full."""
+    monkeypatch.setattr(ctw, "_PIECE", 50)
+    monkeypatch.setattr(ctw, "_RUN", 25)
+    docs = spark.createDataFrame([(i, ("ab cd %03d " % i * 6)[:49 if i % 3 else 24]) for i in range(30)], "doc_id bigint, text string").coalesce(1)
+    _scored_as_by_the_whole_tree(docs, ctw.train(spark, docs), ctw.word_counts(spark, docs))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from contextlib import contextmanager
 
@@ -48,6 +49,14 @@ def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
+def give_back() -> None:
+    """Return memory that is free within this worker to the machine: else an idle worker goes on holding what a step took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed arrays of up to 32 MB
+    if trim:
+        trim(0)
+
+
 def one_text_each(rows: DataFrame, *others: str) -> DataFrame:
     """(others..., id, text): of the rows of one id the one with the least hash of its text, so that a bound on ids is one on rows.
     ``id`` comes as a number: its own, or its hash if it is no number."""

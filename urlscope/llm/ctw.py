@@ -16,7 +16,8 @@ the contexts of fewer than ``ROOT`` bytes and at most 1 / HOT frequent ones of e
 
 To score, texts are cut in pieces; the different codes of a piece go to their buckets, whose tasks load the bucket's
 subtrees and send back the values alone, in the order in which they were asked; a file a piece holds them for the
-pass that adds them up. Every bucket has a file, so one that is lost is an error. Pieces and buckets grow with the root of the input beyond
+pass that adds them up. A piece's codes are made in runs of ``_RUN`` there, never whole, and a task gives free memory back after each
+piece and bucket. Every bucket has a file, so one that is lost is an error. Pieces and buckets grow with the root of the input beyond
 ``LARGE``, so that the rows between them grow no faster than the input.
 
 Prediction mixes along the path with the posterior weights of the trained tree: with
@@ -39,7 +40,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -84,24 +84,48 @@ def _codes(parts: list[tuple[bytes, bytes]], depth: int) -> tuple[np.ndarray, np
     return code[:int(sizes.sum())], starts
 
 
+def _cut(parts, depth: int, size: int):
+    """Runs of some ``size`` bytes of parts, each given as (place, bytes before, own bytes): a longer one goes on in the next run."""
+    out, room = [], size
+    for place, before, own in parts:
+        while len(own) > room:
+            if room:
+                out.append((place, before, own[:room]))
+                before, own = (before + own[:room])[-depth:] if depth else b"", own[room:]
+            yield out
+            out, room = [], size
+        out.append((place, before, own))
+        room -= len(own)
+    if out:
+        yield out
+
+
 def _pieces(batches, depth: int, size: int):
     """(rows, [(row, bytes before, own bytes)]) of runs of some ``size`` bytes: a longer text goes on in the next piece.
     ``rows`` counts those that begin in the piece."""
-    parts, rows, row, room = [], 0, 0, size
-    for b in batches:
-        for t in common.utf8_lists(b, "text"):
-            low = (t or b"").lower() + b"\0"
-            rows, before = rows + 1, b"\0" * depth
-            while len(low) > room:
-                parts.append((row, before, low[:room]))
-                before, low = (before + low[:room])[-depth:] if depth else b"", low[room:]
-                yield rows, parts
-                parts, rows, room = [], 0, size
-            parts.append((row, before, low))
-            room -= len(low)
-            row += 1
-    if parts:
-        yield rows, parts
+    texts, begun = (t for b in batches for t in common.utf8_lists(b, "text")), 0
+    for parts in _cut(((row, b"\0" * depth, (t or b"").lower() + b"\0") for row, t in enumerate(texts)), depth, size):
+        yield parts[-1][0] + 1 - begun, parts
+        begun = parts[-1][0] + 1
+        common.give_back()
+
+
+def _distinct(parts, depth: int) -> np.ndarray:
+    """The different codes of a piece in order. They are gathered in runs: its codes, eight bytes a byte of text, are never held whole."""
+    own, more = np.zeros(0, np.uint64), []
+    for some in _cut(parts, depth, _RUN):
+        codes = _codes([p[1:] for p in some], depth)[0]
+        codes.sort()
+        more.append(_different(codes))
+        if sum(map(len, more)) > max(4 * _RUN, len(own)):
+            own, more = _merged([own, *more]), []
+    return _merged([own, *more])
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    codes = np.concatenate(parts)
+    codes.sort()
+    return _different(codes)
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,6 +448,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", depth: i
             common.write_whole(folder, f"bucket-{bucket}", cloudpickle.dumps(parts))
             codes, counts = _sum(codes & np.uint64((1 << 8 * (high + 1)) - 1), counts)
             yield part(0, codes, counts.astype(float), np.zeros(len(codes)), np.zeros(len(codes)))
+            common.give_back()
 
     def part(kind, key, a, b, w):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), *(pa.array(x.astype(float)) for x in (a, b, w))],
@@ -533,7 +558,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
     def ask(batches):
         layout = _layout(folder)
         for _, parts in _pieces(batches, depth, piece_size):
-            codes, piece = _counted(_codes([p[1:] for p in parts], depth)[0])[0], name(parts)
+            codes, piece = _distinct(parts, depth), name(parts)
             dealt = [(piece, b, len(at), pack(codes[at])) for b, at in layout.dealt(codes)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in dealt], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["piece", "bucket", "n", "codes"])
 
@@ -546,6 +571,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
             for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
                 if bucket[lo] != now:
                     now, trees = int(bucket[lo]), {}  # the last one's memory is free before the next is built
+                    common.give_back()
                     trees = {low: Tree(levels, low).finish(top) for low, levels in _levels(folder, now).items()}
                 # what several pieces ask of a bucket is looked up together
                 codes = np.concatenate([unpack(x, n) for x, n in zip(asked[lo:hi], sizes[lo:hi].tolist())])
@@ -567,19 +593,21 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
 
     def add_up(parts, layout: Layout) -> np.ndarray:
         """The sum of the values of each part's codes."""
-        codes, starts = _codes([p[1:] for p in parts], depth)
-        own = _counted(codes.copy())[0]
-        known = read_whole(answers, name(parts))
+        own, known = _distinct(parts, depth), read_whole(answers, name(parts))
         told = spread(known[8:], np.float32, int.from_bytes(known[:8], "little"))
         if len(told) != len(own):
             raise ValueError("a piece was answered in part")
-        values = np.empty(len(own))
+        values, sums = np.empty(len(own), np.float32), np.zeros(len(parts))
         values[np.concatenate([at for _, at in layout.dealt(own)])] = told
-        # in runs, and each code's place takes its value, so that no more than the codes is held whole
-        each, places = codes.view(np.float64), pd.Index(own)
-        for lo in range(0, len(codes), _RUN):
-            each[lo:lo + _RUN] = values[places.get_indexer(pd.Index(codes[lo:lo + _RUN]))]
-        return np.add.reduceat(each, starts)
+        for some in _cut(((i, *p[1:]) for i, p in enumerate(parts)), depth, _RUN):
+            codes, starts = _codes([p[1:] for p in some], depth)
+            order = np.argsort(codes)
+            codes = codes[order]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            each = np.empty(len(codes))
+            each[order] = np.repeat(values[np.searchsorted(own, codes[first])], np.diff(np.append(first, len(codes))))
+            sums[[p[0] for p in some]] += np.add.reduceat(each, starts)
+        return sums
 
     def run(batches):
         from pyspark import TaskContext
