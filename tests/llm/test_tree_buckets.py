@@ -138,6 +138,17 @@ def test_the_different_codes_of_runs_are_those_of_the_piece(monkeypatch):
         assert ctw._distinct(parts, ctw.DEPTH).tolist() == ctw._counted(ctw._codes([p[1:] for p in parts], ctw.DEPTH)[0])[0].tolist()
 
 
+def test_places_of_numbers():
+    rng = np.random.default_rng(3)
+    for keys in (np.array([7], np.uint64), np.arange(5_000, dtype=np.uint64) << np.uint64(48), np.unique(rng.integers(0, 1 << 56, 20_000, np.uint64)), np.arange(3_000, dtype=np.uint64)):
+        at = rng.integers(0, len(keys), 50_000)
+        assert (ctw.Places(keys).of(keys[at]) == at).all()
+    # whatever the tables say, the search finds them
+    blind = ctw.Places(keys)
+    blind.tables = [np.zeros_like(t) for t in blind.tables]
+    assert (blind.of(keys[at]) == at).all()
+
+
 def test_a_text_that_ends_where_the_piece_does(spark, monkeypatch):
     """The next text begins in the next piece, not with none of its bytes in the one that is full."""
     monkeypatch.setattr(ctw, "_PIECE", 50)

@@ -232,6 +232,32 @@ class Ordered:
         return self.keys[at] == keys, at
 
 
+class Places:
+    """Where numbers are among sorted different ones that have them all: by a table of hashes, two more for those that fell
+    together in the one before, and a search for what is left."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys), dtype=np.int32)
+        for k in range(3):
+            self.tables.append(np.zeros(1 << max(1, (2 * len(left)).bit_length()), np.int32))
+            slots = self._slots(keys[left], k)
+            self.tables[k][slots] = left
+            left = left[self.tables[k][slots] != left]
+
+    def _slots(self, keys: np.ndarray, k: int) -> np.ndarray:
+        bits, factor = len(self.tables[k]).bit_length() - 1, (0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1)
+        return ((keys ^ keys >> np.uint64(29)) * np.uint64(factor) >> np.uint64(64 - bits)).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = self.tables[0][self._slots(keys, 0)]
+        left = np.flatnonzero(self.keys[out] != keys)
+        for k in range(1, len(self.tables)):
+            out[left] = self.tables[k][self._slots(keys[left], k)]
+            left = left[self.keys[out[left]] != keys[left]]
+        out[left] = np.searchsorted(self.keys, keys[left])
+        return out
+
+
 def _level(codes: np.ndarray, counts: np.ndarray) -> list:
     """(keys, zeros, ones, each code's node) of the nodes before each of the eight decisions; keys are context << 8 | prefix.
     Codes are sorted, so the keys of a decision are too."""
@@ -599,14 +625,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, tree: str, words: Data
             raise ValueError("a piece was answered in part")
         values, sums = np.empty(len(own), np.float32), np.zeros(len(parts))
         values[np.concatenate([at for _, at in layout.dealt(own)])] = told
+        places = Places(own)
         for some in _cut(((i, *p[1:]) for i, p in enumerate(parts)), depth, _RUN):
             codes, starts = _codes([p[1:] for p in some], depth)
-            order = np.argsort(codes)
-            codes = codes[order]
-            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-            each = np.empty(len(codes))
-            each[order] = np.repeat(values[np.searchsorted(own, codes[first])], np.diff(np.append(first, len(codes))))
-            sums[[p[0] for p in some]] += np.add.reduceat(each, starts)
+            sums[[p[0] for p in some]] += np.add.reduceat(values[places.of(codes)].astype(float), starts)
         return sums
 
     def run(batches):
